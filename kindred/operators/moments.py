@@ -18,7 +18,25 @@ from pyspark.sql import functions as F
 _MAX_CELLS = 16_000_000
 
 
-def _outer_sums(width: int, augment: Callable | None, keyed: bool):
+def _dense(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    flat = batch.column(batch.num_columns - 1).flatten()
+    if len(flat) != batch.num_rows * width or flat.null_count:
+        raise ValueError(f"every vector must hold {width} non-null numbers")
+    return flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+
+
+def _scattered(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    entries = batch.column(batch.num_columns - 1)
+    rows = np.repeat(np.arange(batch.num_rows), entries.value_lengths().to_numpy(zero_copy_only=False))
+    flat = entries.flatten()
+    block = np.zeros((batch.num_rows, width))
+    block[rows, flat.field(0).to_numpy(zero_copy_only=False)] = flat.field(1).to_numpy(zero_copy_only=False)
+    return block
+
+
+def _outer_sums(width: int, augment: Callable | None, keyed: bool, sparse: bool = False):
+    rows_at_once = max(1, _MAX_CELLS // width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
 
@@ -33,13 +51,9 @@ def _outer_sums(width: int, augment: Callable | None, keyed: bool):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             sums.clear()
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column(batch.num_columns - 1).flatten()
-            if len(flat) != batch.num_rows * width or flat.null_count:
-                raise ValueError(f"every vector must hold {width} non-null numbers")
-            block = flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+        pieces = (b.slice(lo, rows_at_once) for b in batches for lo in range(0, b.num_rows, rows_at_once))
+        for batch in pieces:
+            block = _scattered(batch, width) if sparse else _dense(batch, width)
             groups = [(None, block)]
             if keyed:
                 codes = batch.column(0).dictionary_encode()
@@ -56,13 +70,17 @@ def _outer_sums(width: int, augment: Callable | None, keyed: bool):
     return run
 
 
-def outer_sums(df: DataFrame, vector: str, width: int, key: str | None = None, augment=None) -> DataFrame:
+def outer_sums(
+    df: DataFrame, vector: str, width: int, key: str | None = None, augment=None, sparse: bool = False
+) -> DataFrame:
     """``([key,] i, j, s)`` with i <= j: the upper triangle of Σ v v'.
 
-    ``augment`` maps a (rows x width) block to the block actually multiplied.
+    ``vector`` is an array of ``width`` numbers or, if ``sparse``, an array of
+    (position, value) structs.  ``augment`` maps a (rows x width) block to the
+    block actually multiplied.
     """
     columns = ([F.col(key).cast("string").alias("key")] if key else []) + [F.col(vector).alias("v")]
     names = (["key"] if key else []) + ["i", "j"]
     schema = ("key string, " if key else "") + "i int, j int, s double"
-    partial = df.select(*columns).mapInArrow(_outer_sums(width, augment, key is not None), schema)
+    partial = df.select(*columns).mapInArrow(_outer_sums(width, augment, key is not None, sparse), schema)
     return partial.groupBy(*names).agg(F.sum("s").alias("s"))
