@@ -84,7 +84,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _general(k, y, w, s, nu):
-    """Log-evidence by one Cholesky per channel: own weights or unseen stimuli."""
+    """Log-evidence by one factorisation per channel: own weights or unseen stimuli."""
     seen = np.isfinite(y)
     if w is None:
         w = np.ones_like(y)
@@ -98,10 +98,9 @@ def _general(k, y, w, s, nu):
         d = np.arange(k.shape[0])
         cov[:, d, d] += np.where(on, nu[part, None], 1.0)
         z = np.where(on, y[part], 0.0) * scale
-        low = np.linalg.cholesky(cov)
-        white = np.linalg.solve(low, z[:, :, None])[:, :, 0]
-        logdet = 2 * np.log(low[:, d, d]).sum(axis=1) - 2 * np.log(np.where(on, scale, 1.0)).sum(axis=1)
-        out[part] = -0.5 * (logdet + (white**2).sum(axis=1) + count * _LOG_2PI)
+        square = (z * np.linalg.solve(cov, z[:, :, None])[:, :, 0]).sum(axis=1)
+        logdet = np.linalg.slogdet(cov).logabsdet - 2 * np.log(np.where(on, scale, 1.0)).sum(axis=1)
+        out[part] = -0.5 * (logdet + square + count * _LOG_2PI)
     return out
 
 
@@ -125,8 +124,10 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             square *= square
             for noise_id, nu, s in noises:
                 spread = s[:, None] * lam + nu[:, None]
+                # an estimated signal variance may be negative; the score then
+                # takes the absolute determinant
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    ll = -0.5 * ((np.log(spread) + square / spread).sum(axis=1) - row.logw + n * _LOG_2PI)
+                    ll = -0.5 * ((np.log(np.abs(spread)) + square / spread).sum(axis=1) - row.logw + n * _LOG_2PI)
                 if slow.any():
                     own = w[slow] if w is not None else (
                         None if shared is None else np.broadcast_to(shared, (int(slow.sum()), n))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from kindred.operators.reliability import cell_stats, merge_stats
 from kindred.sources.activations import Layers
 from kindred.sources.tables import compare_to_table
 
@@ -31,31 +31,26 @@ def append_activations(layers: Layers, path: str, checkpoint: str) -> StreamingQ
 
 
 def trial_statistics(trials: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Maintain ``(voxel, stim, n, mean, ss)`` over a stream of trials.
+    """Reduce each micro-batch of trials to mergeable ``(voxel, stim, n, mean, ss)`` rows.
 
-    The state is one row per voxel and stimulus.  Each micro-batch replaces the
-    table version it writes, so a repeated batch leaves the same result.
+    Counts, means and squared deviations merge exactly, so no state has to be
+    kept between batches; a replayed batch overwrites its own rows.
     """
-    stats = trials.groupBy("voxel", "stim").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("ss")
-    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        cell_stats(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        stats.writeStream.outputMode("complete")
-        .option("checkpointLocation", checkpoint)
+        trials.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
     )
 
 
-def latest_statistics(stats: DataFrame) -> DataFrame:
-    """The newest version of a table written by :func:`trial_statistics`."""
-    newest = stats.agg(F.max("version").alias("version"))
-    return stats.join(F.broadcast(newest), "version").drop("version")
+def merged_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """The statistics of all batches written by :func:`trial_statistics`."""
+    return merge_stats(spark.read.parquet(path).drop("batch"), ["voxel", "stim"])
 
 
 def compare_arrivals(
