@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.gram import pack
@@ -25,21 +25,57 @@ from kindred.session import BROADCAST_LIMIT
 _LOG_2PI = float(np.log(2 * np.pi))
 
 
-def responses(stats: DataFrame, index: DataFrame, dim: int, with_reps: bool = False) -> DataFrame:
-    """``(voxel, y[, w])`` from per-stimulus statistics; y follows the stimulus index.
+def channel_profiles(stats: DataFrame, index: DataFrame, dim: int, standardize: bool = True) -> DataFrame:
+    """``(voxel, y, w, noise_var, signal_var, total_var)`` from per-stimulus statistics.
 
-    A stimulus a voxel never saw is NULL in its y.  ``w`` holds the number of
-    presentations, by which the noise of a mean response is divided.
+    y holds the mean responses and w the numbers of presentations, both in the
+    order of ``index (stim, i)``; a stimulus the voxel never saw is NULL.  With
+    ``standardize`` everything is in units of the voxel's standard deviation
+    (ddof 0) around its mean.  A voxel has at most ``dim`` statistics, so one
+    grouping brings all of them together and no further exchange is needed.
     """
     cells = stats.join(F.broadcast(index) if dim * 64 <= BROADCAST_LIMIT else index, "stim")
-    packed = cells.groupBy("voxel").agg(
-        F.map_from_entries(F.collect_list(F.struct("i", F.struct("mean", F.col("n").cast("double").alias("n"))))).alias("m")
+    row = cells.groupBy("voxel").agg(F.sort_array(F.collect_list(F.struct("i", "n", "mean", "ss"))).alias("c"))
+
+    def total(term) -> Column:
+        return F.aggregate("c", F.lit(0.0), lambda acc, x: acc + term(x))
+
+    row = row.withColumn("n", total(lambda x: x["n"])).withColumn(
+        "centre", total(lambda x: x["n"] * x["mean"]) / F.col("n")
+    )
+    row = row.withColumn("within", total(lambda x: x["ss"])).withColumn(
+        "between", total(lambda x: x["n"] * F.pow(x["mean"] - F.col("centre"), 2))
+    )
+    spare = F.col("n") - F.size("c")
+    none = F.raise_error(F.lit("noise cannot be estimated: no stimulus is repeated")).cast("double")
+    noise = F.when(spare > 0, F.col("within") / spare).otherwise(none)
+    spread = F.col("within") + F.col("between")
+    sd = F.sqrt(spread / F.col("n")) if standardize else F.lit(1.0)
+    centre = F.col("centre") if standardize else F.lit(0.0)
+    row = row.select(
+        "voxel",
+        F.when(sd > 0, sd).alias("sd"),
+        centre.alias("centre"),
+        noise.alias("noise"),
+        (spread / (F.col("n") - 1)).alias("total"),
+        "c",
     )
-    slots = F.sequence(F.lit(0), F.lit(dim - 1))
-    columns = [F.transform(slots, lambda i: F.col("m")[i]["mean"]).alias("y")]
-    if with_reps:
-        columns.append(F.transform(slots, lambda i: F.col("m")[i]["n"]).alias("w"))
-    return packed.select("voxel", *columns)
+    filled = F.when(F.size("c") == dim, F.col("c")).otherwise(_with_gaps(dim))
+    row = row.withColumn("c", filled)
+    return row.select(
+        "voxel",
+        F.transform("c", lambda x: (x["mean"] - F.col("centre")) / F.col("sd")).alias("y"),
+        F.transform("c", lambda x: x["n"].cast("double")).alias("w"),
+        (F.col("noise") / (F.col("sd") * F.col("sd"))).alias("noise_var"),
+        ((F.col("total") - F.col("noise")) / (F.col("sd") * F.col("sd"))).alias("signal_var"),
+        (F.col("total") / (F.col("sd") * F.col("sd"))).alias("total_var"),
+    )
+
+
+def _with_gaps(dim: int) -> Column:
+    """The statistics ``c`` of a voxel, with a NULL entry for every unseen stimulus."""
+    by_index = F.map_from_entries(F.transform("c", lambda x: F.struct(x["i"], x)))
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: by_index[i])
 
 
 def _eigen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

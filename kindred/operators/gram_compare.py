@@ -88,7 +88,8 @@ def neighbours(gram: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("layer", "i").orderBy(F.desc("sim"), "j")
     cos = cosine_similarity(gram).where("i <> j").withColumn("sim", F.round("v", 12))
     top = cos.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    return top.groupBy("layer", "i").agg(F.collect_list("j").alias("neighbours"))
+    ranked = F.sort_array(F.collect_list(F.struct("r", "j")))
+    return top.groupBy("layer", "i").agg(ranked.alias("s")).select("layer", "i", F.col("s.j").alias("neighbours"))
 
 
 def _neighbour(measure: Measure, gram: DataFrame, k: int) -> DataFrame:

@@ -140,8 +140,8 @@ def nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS) -> Dat
     # still partitioned by (layer, stim): no further exchange
     return (
         top.groupBy("layer", "stim")
-        .agg(F.collect_list("other").alias("neighbours"))
-        .select(name.alias("layer"), F.col("layer").alias("ord"), "stim", "neighbours")
+        .agg(F.sort_array(F.collect_list(F.struct("r", "other"))).alias("s"))
+        .select(name.alias("layer"), F.col("layer").alias("ord"), "stim", F.col("s.other").alias("neighbours"))
     )
 
 

@@ -6,15 +6,19 @@
   the line item states, values the quantities sold.
 * trials: users are channels, event types stimuli, events single trials.
 * event models: the same event types described by hour, weekday and key.
+* discount trials: suppliers are channels, discount rates stimuli, line items
+  single trials, and the discounted amount is the response.
+* discount models: the discount rates described by rate, item state and quantity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.operators import gram as G
 from kindred.operators import reliability as R
+from kindred.operators.evidence import channel_profiles
 from kindred.sources.activations import Layers, extract, slices
 
 
@@ -114,19 +118,52 @@ def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cell_stats(trials(spark, sf_dir))
 
 
-def event_channels(spark: SparkSession, sf_dir: str, with_reps: bool = False) -> DataFrame:
-    """z-scored mean responses with each user's own noise and signal variance."""
-    from kindred.operators.evidence import responses
-
-    stats = R.zscore_stats(event_stats(spark, sf_dir))
-    facts = R.voxel_reliability(stats).select(
-        "voxel", "noise_var", (F.col("total_var") - F.col("noise_var")).alias("signal_var")
-    )
+def event_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """z-scored mean responses of each user to the event types, with the user's own noise."""
     index = event_index(spark, sf_dir)
-    return responses(stats, index, index.count(), with_reps).join(facts, "voxel")
+    return channel_profiles(event_stats(spark, sf_dir), index, index.count())
 
 
 def presentation_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(i, w)``: mean number of presentations of each event type per user."""
     totals = event_stats(spark, sf_dir).groupBy("stim").agg(F.avg("n").alias("w"))
     return totals.join(event_index(spark, sf_dir), "stim").select("i", "w")
+
+
+def _percent() -> Column:
+    return F.round(F.col("l_discount") * 100).cast("int")
+
+
+def discount_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.stimulus_index(table(spark, sf_dir, "lineitem").select(_percent().alias("stim")))
+
+
+def discount_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trials = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("voxel"),
+        _percent().alias("stim"),
+        (F.col("l_extendedprice") * F.col("l_discount")).alias("v"),
+    )
+    return R.cell_stats(trials)
+
+
+def discount_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """z-scored mean discount amount of each supplier at each discount rate."""
+    index = discount_index(spark, sf_dir)
+    return channel_profiles(discount_stats(spark, sf_dir), index, index.count())
+
+
+def discount_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace-normalised Grams of three descriptions of the discount rates, from one scan."""
+    entries = F.array(
+        F.struct(F.lit("rate").alias("layer"), F.lit("rate").alias("feat"), F.col("l_discount").alias("v")),
+        F.struct(F.lit("state").alias("layer"), F.concat("l_returnflag", "l_linestatus").alias("feat"), F.lit(1.0).alias("v")),
+        F.struct(F.lit("quantity").alias("layer"), F.col("l_quantity").cast("string").alias("feat"), F.col("l_tax").alias("v")),
+    )
+    acts = (
+        table(spark, sf_dir, "lineitem")
+        .select(_percent().alias("stim"), F.inline(entries))
+        .groupBy("layer", "stim", "feat")
+        .agg(F.sum("v").alias("v"))
+    )
+    return G.trace_norm(G.gram_from_features(acts, discount_index(spark, sf_dir)))

@@ -322,47 +322,64 @@ _RUNS = [
     ("fl", "SELECT *, CASE WHEN stim <> lag(stim) OVER (PARTITION BY voxel ORDER BY trial) THEN 1 ELSE 0 END AS f FROM tr"),
     ("ru", "SELECT *, sum(f) OVER (PARTITION BY voxel ORDER BY trial ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM fl"),
 ]
-_FIT = ("fit", "SELECT -count(*) / sum(ln(noise_var / total_var)) AS a, count(*) AS n FROM rel")
+_LOGS = "sum(ln(noise_var / total_var))"
+_FIT = ("fit", f"SELECT CASE WHEN {_LOGS} < 0 THEN greatest(-count(*) / {_LOGS}, 1e-6) ELSE 'inf'::DOUBLE END AS a, count(*) AS n FROM rel")
 _GRIDSQL = ("grid", f"SELECT g::INTEGER AS noise_id, ((2 * g + 1) / {2 * GRID}.0) ** (1 / a) AS noise_var FROM fit, (SELECT unnest(range({GRID})) AS g)")
-_MODELS = [
-    ("ix", "SELECT event_type AS stim, (row_number() OVER (ORDER BY event_type) - 1)::INTEGER AS i FROM (SELECT DISTINCT event_type FROM events)"),
-    ("ma", """SELECT layer, i, feat, sum(v) AS v FROM (
-          SELECT 'hour' AS layer, event_type AS stim, hour(ts)::VARCHAR AS feat, 1.0::DOUBLE AS v FROM events
-          UNION ALL SELECT 'weekday', event_type, dayofweek(ts)::VARCHAR, 1.0 FROM events
-          UNION ALL SELECT 'key', event_type, regexp_extract(props, '([0-9]+)', 1), value FROM events) JOIN ix USING (stim) GROUP BY ALL"""),
-    ("mg", "SELECT x.layer AS model, x.i, y.i AS j, sum(x.v * y.v) AS v FROM ma x JOIN ma y ON x.layer = y.layer AND x.feat = y.feat GROUP BY ALL"),
-    ("mt", "SELECT model, sum(v) / count(*) AS s FROM mg WHERE i = j GROUP BY model"),
-    ("mk", "SELECT model, i, j, v / s AS v FROM mg JOIN mt USING (model)"),
-    ("z", """SELECT voxel, i, (st.mean - rel.mean) / sqrt(total_var * (rel.n - 1) / rel.n) AS y, st.n AS w FROM st JOIN rel USING (voxel) JOIN ix USING (stim)"""),
-    ("zn", "SELECT voxel, noise_var / (total_var * (n - 1) / n) AS nu, n / (n - 1.0) - noise_var / (total_var * (n - 1) / n) AS sv FROM rel"),
-    ("w", "SELECT i, avg(n) AS w FROM st JOIN ix USING (stim) GROUP BY i"),
-]
-_LL = "-0.5 * (any_value(ld) + sum(p.y * c.v * q.y) + 5 * ln(2 * pi()))"
 
 
-def _shared_ll(cov: str, keys: str) -> list[tuple[str, str]]:
+def _candidates(features: str) -> list[tuple[str, str]]:
+    """Stimulus index, trace-normalised model matrices, z-scored responses and noise per channel."""
+    return [
+        ("ix", "SELECT stim, (row_number() OVER (ORDER BY stim) - 1)::INTEGER AS i FROM (SELECT DISTINCT stim FROM tr)"),
+        ("ma", f"SELECT layer, i, feat, sum(v) AS v FROM ({features}) JOIN ix USING (stim) GROUP BY ALL"),
+        ("mg", "SELECT x.layer AS model, x.i, y.i AS j, sum(x.v * y.v) AS v FROM ma x JOIN ma y ON x.layer = y.layer AND x.feat = y.feat GROUP BY ALL"),
+        ("mt", "SELECT model, sum(v) / count(*) AS s FROM mg WHERE i = j GROUP BY model"),
+        ("mk", "SELECT model, i, j, v / s AS v FROM mg JOIN mt USING (model)"),
+        ("z", """SELECT voxel, i, (st.mean - rel.mean) / sqrt(total_var * (rel.n - 1) / rel.n) AS y, st.n AS w FROM st JOIN rel USING (voxel) JOIN ix USING (stim)"""),
+        ("zn", "SELECT voxel, noise_var / (total_var * (n - 1) / n) AS nu, n / (n - 1.0) - noise_var / (total_var * (n - 1) / n) AS sv FROM rel"),
+        ("w", "SELECT i, avg(n) AS w FROM st JOIN ix USING (stim) GROUP BY i"),
+    ]
+
+
+_MODELS = _candidates("""SELECT 'hour' AS layer, event_type AS stim, hour(ts)::VARCHAR AS feat, 1.0::DOUBLE AS v FROM events
+    UNION ALL SELECT 'weekday', event_type, dayofweek(ts)::VARCHAR, 1.0 FROM events
+    UNION ALL SELECT 'key', event_type, regexp_extract(props, '([0-9]+)', 1), value FROM events""")
+_DISCOUNT = [
+    ("tr", "SELECT l_suppkey AS voxel, round(l_discount * 100)::INTEGER AS stim, l_extendedprice * l_discount AS v FROM lineitem"),
+    *_STATS[1:],
+]
+_DISCOUNT_EV = [
+    *_DISCOUNT,
+    *_candidates("""SELECT 'rate' AS layer, round(l_discount * 100)::INTEGER AS stim, 'rate' AS feat, l_discount AS v FROM lineitem
+        UNION ALL SELECT 'state', round(l_discount * 100)::INTEGER, l_returnflag || l_linestatus, 1.0 FROM lineitem
+        UNION ALL SELECT 'quantity', round(l_discount * 100)::INTEGER, l_quantity::VARCHAR, l_tax FROM lineitem"""),
+]
+_LL = "-0.5 * (any_value(ld) + sum(p.y * c.v * q.y) + {dim} * ln(2 * pi()))"
+
+
+def _shared_ll(cov: str, keys: str, dim: int = 5) -> list[tuple[str, str]]:
     """``ll (voxel, keys, ll)`` for covariances that do not depend on the channel."""
     ks = ", ".join(f"c.{k.strip()}" for k in keys.split(","))
     return [
         ("cov", cov),
-        *_sweep("cov", keys, 5, "c"),
-        ("ll", f"SELECT p.voxel, {ks}, {_LL} AS ll FROM c JOIN z p ON p.i = c.i JOIN z q ON q.i = c.j AND q.voxel = p.voxel GROUP BY ALL"),
+        *_sweep("cov", keys, dim, "c"),
+        ("ll", f"SELECT p.voxel, {ks}, {_LL.format(dim=dim)} AS ll FROM c JOIN z p ON p.i = c.i JOIN z q ON q.i = c.j AND q.voxel = p.voxel GROUP BY ALL"),
     ]
 
 
-def _own_ll(noise: str, join: str = "") -> list[tuple[str, str]]:
+def _own_ll(noise: str, join: str = "", dim: int = 5) -> list[tuple[str, str]]:
     """``ll (voxel, model, ll)`` with one covariance per channel and model."""
     return [
         ("cov", f"SELECT zn.voxel, model, mk.i, mk.j, sv * mk.v + CASE WHEN mk.i = mk.j THEN {noise} ELSE 0 END AS v FROM zn, mk {join}"),
-        *_sweep("cov", "voxel, model", 5, "c"),
-        ("ll", f"SELECT p.voxel, c.model, {_LL} AS ll FROM c JOIN z p ON p.i = c.i AND p.voxel = c.voxel JOIN z q ON q.i = c.j AND q.voxel = p.voxel GROUP BY ALL"),
+        *_sweep("cov", "voxel, model", dim, "c"),
+        ("ll", f"SELECT p.voxel, c.model, {_LL.format(dim=dim)} AS ll FROM c JOIN z p ON p.i = c.i AND p.voxel = c.voxel JOIN z q ON q.i = c.j AND q.voxel = p.voxel GROUP BY ALL"),
     ]
 
 
 _SINGLE = f"SELECT model, i, j, (1 - {NOISE}) * v + CASE WHEN i = j THEN {NOISE} ELSE 0 END AS v FROM mk"
 _GRIDCOV = "SELECT model, noise_id, i, j, (1 - noise_var) * v + CASE WHEN i = j THEN noise_var ELSE 0 END AS v FROM mk, grid"
 _EV = [*_STATS, *_MODELS]
-_ONGRID = [*_EV, _FIT, _GRIDSQL, *_shared_ll(_GRIDCOV, "model, noise_id")]
+_ONGRID = [*_DISCOUNT_EV, _FIT, _GRIDSQL, *_shared_ll(_GRIDCOV, "model, noise_id", 11)]
 _ONE = [*_EV, *_shared_ll(_SINGLE, "model")]
 
 
@@ -531,14 +548,14 @@ def all_sql() -> dict[str, str]:
     found["stim_repetitions"] = _with(
         *_STATS, final="SELECT voxel, count(*) AS n_groups, min(n) AS min_reps, max(n) AS max_reps, min(n) = max(n) AS consistent FROM st GROUP BY voxel"
     )
-    found["mean_response"] = _with(*_STATS, final=f"SELECT voxel, stim, {_r('mean', 'y')}, n AS n_reps FROM st")
+    found["mean_response"] = _with(*_STATS, final=f"SELECT voxel, stim, {_r('mean', 'y', 9)}, n AS n_reps FROM st")
     found["noise_estimation"] = _with(*_STATS, final=f"SELECT voxel, {_r('noise_var', 'noise_var')} FROM rel")
     found["streamed_statistics"] = found["noise_estimation"]
     found["noise_by_run"] = _with(
         *_RUNS, ("rs", "SELECT voxel, run, count(*) AS n, var_pop(v) * count(*) AS ss FROM ru GROUP BY ALL"),
         final=f"SELECT voxel, {_r('sum(ss) / (sum(n) - count(*))', 'noise_var')} FROM rs GROUP BY voxel",
     )
-    rel = f"voxel, n, {_r('mean', 'mean')}, {_r('noise_var', 'noise_var')}, {_r('total_var', 'total_var')}, {_r('1 - noise_var / total_var', 'reliability')}"
+    rel = f"voxel, n, {_r('mean', 'mean', 9)}, {_r('noise_var', 'noise_var')}, {_r('total_var', 'total_var')}, {_r('1 - noise_var / total_var', 'reliability')}"
     found["voxel_reliability"] = _with(*_STATS, final=f"SELECT {rel} FROM rel")
     lines = ("tr", "SELECT l_suppkey AS voxel, l_returnflag || l_linestatus AS stim, l_quantity AS v FROM lineitem")
     found["supplier_reliability"] = _with(lines, *_STATS[1:], final=f"SELECT {rel} FROM rel")
@@ -549,11 +566,11 @@ def all_sql() -> dict[str, str]:
     found["zscore_response"] = _with(
         _STATS[0], zs, final=f"SELECT voxel, stim, count(*) AS n, {_r('avg(v)', 'mean')}, {_r('var_pop(v) * count(*)', 'ss')} FROM zs GROUP BY ALL"
     )
-    found["beta_noise_fit"] = _with(*_STATS, _FIT, final=f"SELECT {_r('a', 'a')}, 1.0::DOUBLE AS b, n FROM fit")
+    found["beta_noise_fit"] = _with(*_DISCOUNT, _FIT, final=f"SELECT {_r('a', 'a')}, 1.0::DOUBLE AS b, n FROM fit")
     found["beta_neg_loglik"] = _with(
-        *_STATS, final=f"SELECT {_r('-(count(*) * ln(2.0) + sum(ln(noise_var / total_var)))', 'neg_loglik')} FROM rel"
+        *_DISCOUNT, final=f"SELECT {_r('-(count(*) * ln(2.0) + sum(ln(noise_var / total_var)))', 'neg_loglik')} FROM rel"
     )
-    found["noise_grid"] = _with(*_STATS, _FIT, _GRIDSQL, final=f"SELECT noise_id, {_r('noise_var', 'noise_var')} FROM grid")
+    found["noise_grid"] = _with(*_DISCOUNT, _FIT, _GRIDSQL, final=f"SELECT noise_id, {_r('noise_var', 'noise_var')} FROM grid")
     found["grouped_trials"] = _with(
         _STATS[0], ("ft", "SELECT *, min(trial) OVER (PARTITION BY voxel, stim) AS f FROM tr"),
         final="SELECT voxel, stim, trial, row_number() OVER (PARTITION BY voxel ORDER BY f, trial) AS position FROM ft",
@@ -576,9 +593,10 @@ def all_sql() -> dict[str, str]:
     found["posterior_sum_check"] = _with(
         *_ONGRID, final=f"SELECT voxel, 1.0::DOUBLE AS total, count(*) AS n FROM ll GROUP BY voxel"
     )
-    found["winner_counts"] = _with(
-        *_ONE, final="SELECT model, count(*) AS n_voxels FROM (SELECT model, row_number() OVER (PARTITION BY voxel ORDER BY ll DESC, model) AS rn FROM ll) WHERE rn = 1 GROUP BY model"
-    )
+    found["discount_loglik"] = _with(*_DISCOUNT_EV, *_own_ll("nu", dim=11), final=ll)
+    winners = "SELECT model, count(*) AS n_voxels FROM (SELECT model, row_number() OVER (PARTITION BY voxel ORDER BY ll DESC, model) AS rn FROM ll) WHERE rn = 1 GROUP BY model"
+    found["winner_counts"] = _with(*_ONE, final=winners)
+    found["discount_winners"] = _with(*_ONGRID, _MARGINAL, final=winners.replace("FROM ll)", "FROM marg)"))
     qs = ", ".join(_r(f"quantile_cont(lp, {q})", n) for n, q in (("whisker_lo", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("whisker_hi", 1)))
     found["logpost_boxplot"] = _with(*_ONE, final=f"SELECT model, count(*) AS n, {qs} FROM ({_post('voxel')}) GROUP BY model")
 

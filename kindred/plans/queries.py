@@ -229,7 +229,7 @@ def stim_repetitions(spark, sf):
 
 
 def mean_response(spark, sf):
-    return _round(D.event_stats(spark, sf).select("voxel", "stim", F.col("mean").alias("y"), F.col("n").alias("n_reps")))
+    return _round(D.event_stats(spark, sf).select("voxel", "stim", F.col("mean").alias("y"), F.col("n").alias("n_reps")), 9)
 
 
 def noise_estimation(spark, sf):
@@ -240,15 +240,20 @@ def noise_by_run(spark, sf):
     return _round(R.noise_estimation(R.run_lengths(D.trials(spark, sf))))
 
 
+def _reliability(stats: DataFrame) -> DataFrame:
+    # a mean of two-decimal values can end in exactly half a millionth
+    return _round(_round(R.voxel_reliability(stats), 9, "mean"), 6, "noise_var", "total_var", "reliability")
+
+
 def voxel_reliability(spark, sf):
-    return _round(R.voxel_reliability(D.event_stats(spark, sf)))
+    return _reliability(D.event_stats(spark, sf))
 
 
 def supplier_reliability(spark, sf):
     lines = D.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("voxel"), F.concat("l_returnflag", "l_linestatus").alias("stim"), F.col("l_quantity").alias("v")
     )
-    return _round(R.voxel_reliability(R.cell_stats(lines)))
+    return _reliability(R.cell_stats(lines))
 
 
 def zscore_voxel(spark, sf):
@@ -261,64 +266,61 @@ def zscore_response(spark, sf):
 
 
 def beta_noise_fit(spark, sf):
-    return _round(R.fit_noise(R.voxel_reliability(D.event_stats(spark, sf))))
+    return _round(R.fit_noise(D.discount_channels(spark, sf)))
 
 
 def beta_neg_loglik(spark, sf):
-    return _round(R.beta_loglik(R.voxel_reliability(D.event_stats(spark, sf)), 2.0))
+    return _round(R.beta_loglik(D.discount_channels(spark, sf), 2.0))
 
 
 def noise_grid(spark, sf):
-    return _round(R.noise_grid(R.voxel_reliability(D.event_stats(spark, sf)), GRID))
+    return _round(R.noise_grid(D.discount_channels(spark, sf), GRID))
 
 
 def grouped_trials(spark, sf):
     return R.group_by_first_appearance(D.trials(spark, sf)).select("voxel", "stim", "trial", "position")
 
 
-def _models(spark, sf):
+def _event_scores(spark, sf, channels: DataFrame | None = None, **noise) -> DataFrame:
     # decomposed models: 3 x stimuli² x 16 bytes, known before the join
     n = D.event_index(spark, sf).count()
-    return D.event_models(spark, sf), 3 * n * n * 16
-
-
-def _single(spark, sf):
-    models, size = _models(spark, sf)
-    return E.loglik(D.event_channels(spark, sf), models, noise_var=NOISE, model_bytes=size)
+    channels = D.event_channels(spark, sf).drop("w") if channels is None else channels
+    scores = E.loglik(channels, D.event_models(spark, sf), model_bytes=3 * n * n * 16, **noise)
+    return _round(scores.select("voxel", "model", "ll"))
 
 
 def loglik_single_noise(spark, sf):
-    return _round(_single(spark, sf).select("voxel", "model", "ll"))
+    return _event_scores(spark, sf, noise_var=NOISE)
 
 
 def loglik_voxel_noise(spark, sf):
-    models, size = _models(spark, sf)
-    return _round(E.loglik(D.event_channels(spark, sf), models, model_bytes=size).select("voxel", "model", "ll"))
+    return _event_scores(spark, sf)
 
 
 def loglik_weighted(spark, sf):
-    models, size = _models(spark, sf)
-    weights = D.presentation_weights(spark, sf)
-    scores = E.loglik(D.event_channels(spark, sf), models, weights=weights, model_bytes=size)
-    return _round(scores.select("voxel", "model", "ll"))
+    return _event_scores(spark, sf, weights=D.presentation_weights(spark, sf))
 
 
 def loglik_voxel_weights(spark, sf):
-    models, size = _models(spark, sf)
-    scores = E.loglik(D.event_channels(spark, sf, with_reps=True), models, model_bytes=size)
-    return _round(scores.select("voxel", "model", "ll"))
+    return _event_scores(spark, sf, D.event_channels(spark, sf))
 
 
 def loglik_signal(spark, sf):
-    models, size = _models(spark, sf)
-    scores = E.loglik(D.event_channels(spark, sf), models, noise_var=NOISE, signal_var=0.9, model_bytes=size)
-    return _round(scores.select("voxel", "model", "ll"))
+    return _event_scores(spark, sf, noise_var=NOISE, signal_var=0.9)
+
 
+def _discount_scores(spark, sf, **noise) -> DataFrame:
+    n = D.discount_index(spark, sf).count()
+    channels = D.discount_channels(spark, sf).drop("w")
+    return E.loglik(channels, D.discount_models(spark, sf), model_bytes=3 * n * n * 16, **noise)
 
-def _on_grid(spark, sf):
-    models, size = _models(spark, sf)
-    grid = R.noise_grid(R.voxel_reliability(D.event_stats(spark, sf)), GRID)
-    return E.loglik(D.event_channels(spark, sf), models, grid=grid, model_bytes=size)
+
+def discount_loglik(spark, sf):
+    return _round(_discount_scores(spark, sf).select("voxel", "model", "ll"))
+
+
+def _on_grid(spark, sf) -> DataFrame:
+    return _discount_scores(spark, sf, grid=R.noise_grid(D.discount_channels(spark, sf), GRID))
 
 
 def loglik_noise_grid(spark, sf):
@@ -346,12 +348,24 @@ def posterior_sum_check(spark, sf):
     return _round(posts.groupBy("voxel").agg(F.sum("post").alias("total"), F.count(F.lit(1)).alias("n")))
 
 
+def _event_posterior(spark, sf) -> DataFrame:
+    n = D.event_index(spark, sf).count()
+    channels = D.event_channels(spark, sf).drop("w")
+    scores = E.loglik(channels, D.event_models(spark, sf), noise_var=NOISE, model_bytes=3 * n * n * 16)
+    return E.log_posterior(scores)
+
+
 def winner_counts(spark, sf):
-    return E.winner_counts(E.log_posterior(_single(spark, sf)))
+    return E.winner_counts(_event_posterior(spark, sf))
+
+
+def discount_winners(spark, sf):
+    return E.winner_counts(E.log_posterior(E.marginal(_on_grid(spark, sf))))
 
 
 def logpost_boxplot(spark, sf):
-    return _round(E.boxplot(E.log_posterior(_single(spark, sf)), models=3))
+    posts = G.materialize(_event_posterior(spark, sf).select("model", "log_post"), "logpost")
+    return _round(E.boxplot(posts, models=3))
 
 
 # --- sampling, regions, streams ----------------------------------------------
@@ -386,7 +400,7 @@ def region_trials(spark, sf):
 def scatter_volume(spark, sf):
     """Posterior of one model at every customer's key; 0 where a customer has no events."""
     coordinates = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("voxel"), "c_nationkey")
-    posts = E.posterior(E.log_posterior(_single(spark, sf))).where(F.col("model") == "hour")
+    posts = E.posterior(_event_posterior(spark, sf)).where(F.col("model") == "hour")
     return _round(R.scatter(coordinates, posts, ["post"]))
 
 
@@ -435,7 +449,7 @@ def all_queries() -> dict[str, Query]:
             scalar_rules, pairs_remaining, stored_distances, run_lengths, stim_repetitions, mean_response,
             noise_estimation, noise_by_run, voxel_reliability, supplier_reliability, zscore_voxel,
             zscore_response, beta_noise_fit, beta_neg_loglik, noise_grid, grouped_trials, loglik_single_noise,
-            loglik_voxel_noise, loglik_weighted, loglik_voxel_weights, loglik_signal, loglik_noise_grid,
+            loglik_voxel_noise, loglik_weighted, loglik_voxel_weights, loglik_signal, discount_loglik, discount_winners, loglik_noise_grid,
             loglik_noise_marginal, log_posterior, log_posterior_joint, log_posterior_per_noise,
             posterior_sum_check, winner_counts, logpost_boxplot, seeded_sample, stratified_split,
             document_split, region_trials, scatter_volume, epoch_metrics, streamed_statistics,
