@@ -40,8 +40,10 @@ def gram_from_features(acts: DataFrame, index: DataFrame | None = None, dim: int
         dim = index.count()
     if dim > MAX_DIM:
         raise ValueError(f"{dim} stimuli: compare the layers in feature space instead (compare_layers)")
+    # at most MAX_DIM rows; without the hint the activations would be shuffled
+    # by stimulus, of which there are few
     vectors = (
-        acts.join(index, "stim")
+        acts.join(F.broadcast(index), "stim")
         .groupBy("layer", "feat")
         .agg(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v"))).alias("x"))
     )
@@ -56,6 +58,14 @@ def mirror(upper: DataFrame) -> DataFrame:
     return upper.select("layer", F.inline(both), "v").select("layer", "i", "j", "v")
 
 
+def layer_pairs(gram: DataFrame) -> DataFrame:
+    """``(a, b)`` for every two layers a < b; the list of names is collected in one row."""
+    names = gram.select("layer").distinct().agg(F.sort_array(F.collect_list("layer")).alias("all"))
+    return names.select("all", F.posexplode("all").alias("p", "a")).select(
+        "a", F.explode(F.slice("all", F.col("p") + 2, F.size("all"))).alias("b")
+    )
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared scratch folder and read it back."""
     path = scratch_path(df.sparkSession, name)

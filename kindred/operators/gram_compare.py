@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from kindred.functions import linalg as la
 from kindred.functions.pair_measures import Conditioned
 from kindred.functions.scalars import clamp_cosine
-from kindred.operators.gram import condition, cosine_similarity, double_center, pack, squared_distances
+from kindred.operators.gram import condition, cosine_similarity, double_center, layer_pairs, pack, squared_distances
 from kindred.operators.ranks import average_ranks
-from kindred.plans.registry import Measure, Params, evaluate, resolve, resolve_all
+from kindred.plans.registry import Measure, Params, evaluate, resolve_all
 from kindred.schema import DIST
 
 
@@ -140,11 +140,7 @@ def matrix_pairs(gram: DataFrame, means: DataFrame | None = None, todo: DataFram
     left = packed.select(F.col("layer").alias("a"), F.col("m").alias("m1"), F.col("mu").alias("mu1"))
     right = packed.select(F.col("layer").alias("b"), "dim", F.col("m").alias("m2"), F.col("mu").alias("mu2"))
     if todo is None:
-        names = gram.select("layer").distinct()
-        everyone = names.agg(F.sort_array(F.collect_list("layer")).alias("all"))
-        todo = names.join(F.broadcast(everyone)).select(
-            F.col("layer").alias("a"), F.explode(F.filter("all", lambda o: o > F.col("layer"))).alias("b")
-        )
+        todo = layer_pairs(gram)
     cores = gram.sparkSession.sparkContext.defaultParallelism
     # few rows but heavy to compute: spread the pairs whatever their byte size
     return todo.select("a", "b").join(left, "a").join(right, "b").repartition(4 * cores, "a", "b")
@@ -209,6 +205,3 @@ def distance_form(dist: DataFrame) -> DataFrame:
     flipped = F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(1 - F.col("value"))
     value = F.when(diagonal_value(F.col("measure")) == 1, flipped).otherwise(F.col("value"))
     return dist.select("measure", "a", "b", value.alias("value"))
-
-
-__all__ = ["compare_gram", "symmetrize", "distance_form", "matrix_pairs", "cell_products", "neighbours", "resolve"]

@@ -65,18 +65,20 @@ def average_ranks(
     ``span`` may give known bounds ``(*keys, _lo, _hi)`` and saves one pass.
     """
     rows, stats = _binned(df, keys, value, bins, groups, span)
+    single = F.col("_min") == F.col("_max")
     # rows of a one-valued bin stay spread out: their rank needs no sorting
-    joined = rows.join(stats, [*keys, "_bin"]).withColumn(
-        "_part", F.when(F.col("_min") == F.col("_max"), F.spark_partition_id()).otherwise(-1)
-    )
-    part = [*keys, "_bin", "_part"]
-    first = F.rank().over(Window.partitionBy(*part).orderBy(value))
-    copies = F.count(F.lit(1)).over(Window.partitionBy(*part, value))
-    ranked = joined.withColumn("_first", first).withColumn("_copies", copies)
-    rank = F.when(F.col("_part") >= 0, (F.col("_n") + 1) / 2).otherwise(F.col("_first") + (F.col("_copies") - 1) / 2)
-    return ranked.withColumn(out, F.col("_before") + rank).drop(
-        "_bin", "_n", "_min", "_max", "_before", "_part", "_first", "_copies"
+    joined = (
+        rows.join(stats, [*keys, "_bin"])
+        .withColumn("_part", F.when(single, F.spark_partition_id()).otherwise(-1))
+        .withColumn("_base", F.col("_before") + F.when(single, (F.col("_n") + 1) / 2).otherwise(0.0))
+        .drop("_n", "_min", "_max", "_before")
     )
+    order = Window.partitionBy(*keys, "_bin", "_part").orderBy(value)
+    # first and last rank among equals; both come from one sorted pass
+    first, last = F.rank().over(order), F.count(F.lit(1)).over(order)
+    ranked = joined.withColumn("_first", first).withColumn("_last", last)
+    rank = F.col("_base") + F.when(F.col("_part") < 0, (F.col("_first") + F.col("_last")) / 2).otherwise(0.0)
+    return ranked.withColumn(out, rank).drop("_bin", "_part", "_base", "_first", "_last")
 
 
 def quantiles(

@@ -38,8 +38,19 @@ def run_lengths(trials: DataFrame, chunk: int = RUN_CHUNK) -> DataFrame:
     pieces = numbered.groupBy("voxel", "chunk", "local", "stim").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("ss")
     )
-    borders = pieces.groupBy("voxel", "chunk").agg(
-        F.max("local").alias("last"), F.min_by("stim", "local").alias("head"), F.max_by("stim", "local").alias("tail")
+    # whole pieces, although only their stimulus is needed: then this branch and
+    # the one below read the same columns and share the sorted exchange
+    piece = F.struct("local", "stim", "n", "mean", "ss")
+    borders = (
+        pieces.groupBy("voxel", "chunk")
+        .agg(F.min(piece).alias("first"), F.max(piece).alias("final"))
+        .select(
+            "voxel",
+            "chunk",
+            F.col("first.stim").alias("head"),
+            F.col("final.stim").alias("tail"),
+            F.col("final.local").alias("last"),
+        )
     )
     chunks = Window.partitionBy("voxel").orderBy("chunk")
     opens = F.coalesce((F.col("head") != F.lag("tail").over(chunks)).cast("long"), F.lit(0))
@@ -93,15 +104,18 @@ def voxel_reliability(stats: DataFrame) -> DataFrame:
     ``total_var`` (ddof 1) is pooled from the same statistics, so the trials
     are read once.  A constant voxel has no reliability (NULL).
     """
+    # both branches read n, mean and ss, so that they share one exchange
     centre = stats.groupBy("voxel").agg(
-        F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")
+        F.sum("n").alias("total"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"),
+        _noise().alias("noise"),
     )
     # deviations from the voxel's mean, not a difference of large squares
     between = F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2))
     pooled = (
         stats.join(centre, "voxel")
-        .groupBy("voxel", F.col("total").alias("n"), F.col("grand").alias("mean"))
-        .agg(_noise().alias("noise_var"), (F.sum("ss") + between).alias("spread"))
+        .groupBy("voxel", F.col("total").alias("n"), F.col("grand").alias("mean"), F.col("noise").alias("noise_var"))
+        .agg((F.sum("ss") + between).alias("spread"))
         .select("voxel", "n", "mean", "noise_var", (F.col("spread") / (F.col("n") - 1)).alias("total_var"))
     )
     ratio = F.when(F.col("total_var") > 0, 1 - F.col("noise_var") / F.col("total_var"))
@@ -173,21 +187,29 @@ def noise_grid(
     return points.select("noise_id", quantile(q, "a", "b").alias("noise_var"))
 
 
-def group_by_first_appearance(trials: DataFrame) -> DataFrame:
+def group_by_first_appearance(trials: DataFrame, chunk: int = RUN_CHUNK) -> DataFrame:
     """``(voxel, stim, trial, v, position)``: trials ordered stimulus by stimulus.
 
     Stimuli are ordered by their first trial, trials of a stimulus by number.
-    The position is first rank of the stimulus plus rank inside it, so sorting
-    happens per (voxel, stimulus) only.
+    Trials are counted per (voxel, stimulus, chunk of the trial axis); running
+    totals of the counts give where a chunk starts, and only the trials of one
+    such chunk are sorted together.
     """
-    first = trials.groupBy("voxel", "stim").agg(F.min("trial").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("voxel").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    starts = first.select("voxel", "stim", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("voxel", "stim").orderBy("trial"))
+    cut = trials.withColumn("chunk", F.floor(F.col("trial") / chunk))
+    pieces = cut.groupBy("voxel", "stim", "chunk").agg(F.min("trial").alias("first"), F.count(F.lit(1)).alias("n"))
+    stims = pieces.groupBy("voxel", "stim").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    up_to = (Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("voxel").orderBy("first").rowsBetween(*up_to)), F.lit(0))
+    starts = stims.select("voxel", "stim", start.alias("start"))
+    earlier = F.sum("n").over(Window.partitionBy("voxel", "stim").orderBy("chunk").rowsBetween(*up_to))
+    offsets = pieces.join(starts, ["voxel", "stim"]).select(
+        "voxel", "stim", "chunk", (F.col("start") + F.coalesce(earlier, F.lit(0))).alias("offset")
+    )
+    inside = F.row_number().over(Window.partitionBy("voxel", "stim", "chunk").orderBy("trial"))
     return (
-        trials.withColumn("inside", inside)
-        .join(starts, ["voxel", "stim"])
-        .select("voxel", "stim", "trial", "v", (F.col("start") + F.col("inside")).alias("position"))
+        cut.join(offsets, ["voxel", "stim", "chunk"])
+        .withColumn("position", F.col("offset") + inside)
+        .select("voxel", "stim", "trial", "v", "position")
     )
 
 

@@ -31,6 +31,8 @@ TIE_DECIMALS = 12
 def _block_pairs(layers: Layers, block_rows: int) -> tuple[DataFrame, int]:
     wide = layers.wide()
     n = wide.count()
+    # wide layers get smaller blocks: a block stays below 16 MB
+    block_rows = max(64, min(block_rows, 2_000_000 // sum(layers.widths.values())))
     cores = wide.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, ceil(n / block_rows), min(ceil(sqrt(2 * cores)), ceil(n / 64)))
     packed = (
@@ -209,21 +211,27 @@ def rank_similarity(layers: Layers) -> DataFrame:
     )
     position = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
     span = widest.select(position[F.col("layer")].alias("layer"), F.lit(0.0).alias("_lo"), "_hi")
-    ranked = average_ranks(long, ["layer"], "d", groups=len(names), span=span)
-    per_pair = ranked.groupBy("i", "j").agg(F.sort_array(F.collect_list(F.struct("layer", "rank"))).alias("r"))
+    ranked = average_ranks(long, ["layer"], "d", groups=len(names), span=span).select("i", "j", "layer", "rank")
+    # one fixed-width row per pair of stimuli: hashed, where collected lists would be sorted
+    per_pair = ranked.groupBy("i", "j").agg(
+        *[F.max(F.when(F.col("layer") == c, F.col("rank"))).alias(f"r{c}") for c in range(len(names))]
+    )
     sums = outer_sums(
-        per_pair.select(F.col("r.rank").alias("r")),
+        per_pair.select(F.array(*[F.col(f"r{c}") for c in range(len(names))]).alias("r")),
         "r",
         len(names),
         augment=lambda z: np.hstack([np.ones((len(z), 1)), z]),
     )
-    # the ranks of n values always sum to n (n + 1) / 2, so only n is needed to centre
-    count = sums.where("i = 0 and j = 0").select(F.col("s").alias("n"))
+    # ranks of n values always sum to n (n + 1) / 2, so only n is needed to
+    # centre; the cells are one per layer pair, like the result
     name = F.array(*[F.lit(x) for x in names])
     n = F.col("n")
     return (
-        sums.where("i > 0 and i < j")
-        .join(F.broadcast(count))
+        sums.agg(
+            F.max(F.when(F.col("j") == 0, F.col("s"))).alias("n"),
+            F.collect_list(F.when((F.col("i") > 0) & (F.col("i") < F.col("j")), F.struct("i", "j", "s"))).alias("cells"),
+        )
+        .select("n", F.inline("cells"))
         .select(
             F.lit("rsarank").alias("measure"),
             F.get(name, F.col("i") - 1).alias("a"),

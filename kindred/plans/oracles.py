@@ -544,7 +544,7 @@ def all_sql() -> dict[str, str]:
     b5 = found["layers_kldiv"].replace("0.01", "0.05")
     found["stored_distances"] = f"SELECT * FROM ({found['layers_cka']}) UNION ALL SELECT * FROM ({b5})"
 
-    found["run_lengths"] = _with(*_RUNS, final="SELECT voxel, run, stim, count(*) AS n FROM ru GROUP BY ALL")
+    found["run_lengths"] = _with(*_RUNS, final=f"SELECT voxel, run, stim, count(*) AS n, {_r('avg(v)', 'mean', 9)}, {_r('var_pop(v) * count(*)', 'ss')} FROM ru GROUP BY ALL")
     found["stim_repetitions"] = _with(
         *_STATS, final="SELECT voxel, count(*) AS n_groups, min(n) AS min_reps, max(n) AS max_reps, min(n) = max(n) AS consistent FROM st GROUP BY voxel"
     )

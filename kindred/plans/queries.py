@@ -221,7 +221,7 @@ def stored_distances(spark, sf):
 
 
 def run_lengths(spark, sf):
-    return R.run_lengths(D.trials(spark, sf), chunk=1000).select("voxel", "run", "stim", "n")
+    return _round(_round(R.run_lengths(D.trials(spark, sf)), 9, "mean"), 6, "ss")
 
 
 def stim_repetitions(spark, sf):

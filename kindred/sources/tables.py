@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from kindred.operators.gram import gram_from_features
+from kindred.operators.gram import gram_from_features, layer_pairs
 from kindred.operators.gram_compare import compare_gram
 from kindred.operators.layer_compare import compare_layers
 from kindred.plans.registry import per_measure
@@ -68,11 +68,7 @@ def all_pairs(source: Layers | DataFrame) -> DataFrame:
         rows = spark.range(len(names)).select(F.get(F.array(*[F.lit(n) for n in names]), F.col("id").cast("int")).alias("a"), "id")
         later = F.slice(F.array(*[F.lit(n) for n in names]), F.col("id").cast("int") + 2, len(names))
         return rows.select("a", F.explode(later).alias("b"))
-    names = source.select("layer").distinct()
-    everyone = names.agg(F.collect_list("layer").alias("all"))
-    return names.join(F.broadcast(everyone)).select(
-        F.col("layer").alias("a"), F.explode(F.filter("all", lambda o: o > F.col("layer"))).alias("b")
-    )
+    return layer_pairs(source)
 
 
 def pending(stored: DataFrame | None, pairs: DataFrame, run: str, measures: list[str]) -> DataFrame:
