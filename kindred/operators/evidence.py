@@ -23,6 +23,8 @@ from kindred.operators.ranks import quantiles
 from kindred.session import BROADCAST_LIMIT
 
 _LOG_2PI = float(np.log(2 * np.pi))
+#: responses per block of channels: 4 MB
+_BLOCK_CELLS = 500_000
 
 
 def channel_profiles(stats: DataFrame, index: DataFrame, dim: int, standardize: bool = True) -> DataFrame:
@@ -86,15 +88,16 @@ def _eigen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             root = np.sqrt(w)
             k = np.asarray(row.m).reshape(row.dim, row.dim) * np.outer(root, root)
             lam, q = np.linalg.eigh(k)
-            out.append((row.model, row.dim, lam, (root[:, None] * q).ravel(), float(np.log(w).sum()), row.m))
-        yield pd.DataFrame(out, columns=["model", "dim", "lam", "q", "logw", "m"])
+            out.append((row.model, row.dim, lam, (root[:, None] * q).ravel(), w))
+        yield pd.DataFrame(out, columns=["model", "dim", "lam", "q", "shared"])
 
 
 def decompose(models: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """``(model, dim, lam, q, logw, m)``: one eigendecomposition per model.
+    """``(model, dim, lam, q, shared)``: one eigendecomposition per model.
 
     ``models`` is a Gram table of trace-normalised matrices, ``weights (i, w)``
-    the presentation counts shared by all channels.
+    the presentation counts shared by all channels, kept in ``shared``.  lam and
+    the columns of W^-½ q belong to W½ K W½.
     """
     packed = pack(models).withColumnRenamed("layer", "model")
     if weights is None:
@@ -103,27 +106,28 @@ def decompose(models: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         w = F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda s: s["w"].cast("double"))
         packed = packed.join(F.broadcast(weights.agg(w.alias("w"))))
     return packed.mapInPandas(
-        _eigen, "model string, dim int, lam array<double>, q array<double>, logw double, m array<double>"
+        _eigen, "model string, dim int, lam array<double>, q array<double>, shared array<double>"
     )
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per Arrow batch: its columns as lists (nested lists flattened)."""
+    """Rows of up to ``_BLOCK_CELLS`` responses: columns as lists, nested lists flattened."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        arrays = []
-        for column in batch.columns:
-            flat = column.flatten() if pa.types.is_list(column.type) else column
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
-        yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+        width = len(batch.column("y").flatten()) // batch.num_rows
+        step = max(1, _BLOCK_CELLS // max(width, 1))
+        for lo in range(0, batch.num_rows, step):
+            arrays = []
+            for column in batch.slice(lo, step).columns:
+                flat = column.flatten() if pa.types.is_list(column.type) else column
+                arrays.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
 
 def _general(k, y, w, s, nu):
     """Log-evidence by one factorisation per channel: own weights or unseen stimuli."""
     seen = np.isfinite(y)
-    if w is None:
-        w = np.ones_like(y)
     out = np.full(len(y), np.nan)
     step = max(1, 8_000_000 // k.size)
     for lo in range(0, len(y), step):
@@ -155,7 +159,8 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for g in row.grid
                 ]
             slow = np.ones(len(voxels), bool) if w is not None else ~np.isfinite(y).all(axis=1)
-            shared = None if row.shared is None else np.asarray(row.shared, float)
+            shared = np.asarray(row.shared, float)
+            logw = float(np.log(shared).sum())
             square = np.where(slow[:, None], 0.0, y) @ q
             square *= square
             for noise_id, nu, s in noises:
@@ -163,12 +168,11 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 # an estimated signal variance may be negative; the score then
                 # takes the absolute determinant
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    ll = -0.5 * ((np.log(np.abs(spread)) + square / spread).sum(axis=1) - row.logw + n * _LOG_2PI)
+                    ll = -0.5 * ((np.log(np.abs(spread)) + square / spread).sum(axis=1) - logw + n * _LOG_2PI)
                 if slow.any():
-                    own = w[slow] if w is not None else (
-                        None if shared is None else np.broadcast_to(shared, (int(slow.sum()), n))
-                    )
-                    k = np.asarray(row.m).reshape(n, n)
+                    own = np.broadcast_to(shared, y.shape)[slow] if w is None else w[slow]
+                    plain = q / shared[:, None]
+                    k = (plain * lam) @ plain.T
                     ll[slow] = _general(k, y[slow], own, s[slow], nu[slow])
                 yield pd.DataFrame({"voxel": voxels, "model": row.model, "noise_id": noise_id, "ll": ll})
 
@@ -188,9 +192,10 @@ def loglik(
     of ``grid (noise_id, noise_var)`` for all, or the columns ``noise_var`` and
     ``signal_var`` of ``channels``.  A missing signal variance is one minus the
     noise.  ``weights (i, w)`` are presentation counts shared by all channels;
-    a ``w`` column of ``channels`` gives them per channel instead.
+    a ``w`` column of ``channels`` gives them per channel instead.  A ``mu``
+    column of ``channels`` is a mean response to subtract from y first.
 
-    ``model_bytes`` bounds the decomposed models (models x stimuli² x 16); with
+    ``model_bytes`` bounds the decomposed models (models x stimuli² x 8); with
     it and below the limit they are broadcast, else joined on a salted key.
     """
     has_own = "w" in channels.columns
@@ -205,7 +210,8 @@ def loglik(
     else:
         nu = F.lit(float(noise_var)) if grid is None else null
         sv = null if grid is not None else (1 - nu if signal_var is None else F.lit(float(signal_var)))
-    columns = [F.col("voxel"), nu.cast("double").alias("noise_var"), sv.cast("double").alias("signal_var"), "y"]
+    y = F.col("y") if "mu" not in channels.columns else F.zip_with("y", "mu", lambda a, b: a - b)
+    columns = [F.col("voxel"), nu.cast("double").alias("noise_var"), sv.cast("double").alias("signal_var"), y.alias("y")]
     columns += ["w"] if has_own else []
     voxel_type = channels.schema["voxel"].dataType.simpleString()
     lists = "voxel array<%s>, noise_var array<double>, signal_var array<double>, y array<double>" % voxel_type
@@ -214,11 +220,6 @@ def loglik(
         blocks = blocks.withColumn("w", F.lit(None).cast("array<double>"))
 
     parts = decompose(models, weights)
-    if weights is None:
-        parts = parts.withColumn("shared", F.lit(None).cast("array<double>"))
-    else:
-        w = F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda s: s["w"].cast("double"))
-        parts = parts.join(F.broadcast(weights.agg(w.alias("shared"))))
     if grid is None:
         kind = "array<struct<noise_id:int,noise_var:double,signal_var:double>>"
         parts = parts.withColumn("grid", F.lit(None).cast(kind))

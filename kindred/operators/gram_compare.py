@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kindred.functions import linalg as la
 from kindred.functions.pair_measures import Conditioned
 from kindred.functions.scalars import clamp_cosine
-from kindred.operators.gram import condition, cosine_similarity, double_center, layer_pairs, pack, squared_distances
+from kindred.operators.gram import condition, cosine_similarity, double_center, layer_pairs, pack, require_comparable, squared_distances
 from kindred.operators.ranks import average_ranks
 from kindred.plans.registry import Measure, Params, evaluate, resolve_all
 from kindred.schema import DIST
@@ -107,6 +107,8 @@ def _neighbour(measure: Measure, gram: DataFrame, k: int) -> DataFrame:
 def _matrix_kernel(measures: list[Measure], params: Params, centring: bool):
     def one(row) -> Iterator[tuple[str, float | None]]:
         k1, k2 = (np.asarray(m).reshape(row.dim, row.dim) for m in (row.m1, row.m2))
+        if not (np.allclose(k1, k1.T) and np.allclose(k2, k2.T)):
+            raise ValueError(f"matrices must be symmetric: {row.a} or {row.b} is not")
         delta = None
         if row.mu1 is not None or row.mu2 is not None:
             zero = np.zeros(row.dim)
@@ -147,16 +149,25 @@ def matrix_pairs(gram: DataFrame, means: DataFrame | None = None, todo: DataFram
 
 
 def compare_gram(
-    gram: DataFrame, measures, means: DataFrame | None = None, todo: DataFrame | None = None, **options
+    gram: DataFrame,
+    measures,
+    means: DataFrame | None = None,
+    todo: DataFrame | None = None,
+    check: bool = False,
+    **options,
 ) -> DataFrame:
     """``(measure, a, b, value)`` for every pair a < b of layers and every measure.
 
     ``means (layer, mu)`` are optional mean vectors for the distribution
     measures; a layer without one has mean zero.  ``todo (a, b)`` restricts the
-    work.  Options are those of :class:`kindred.plans.registry.Params`.
+    work.  ``check`` inspects every matrix first, at the price of a job of its
+    own; without it, only measures on whole matrices notice asymmetry.  Options
+    are those of :class:`kindred.plans.registry.Params`.
     """
     wanted, params = resolve_all(measures), Params(**options)
     params.check(wanted)
+    if check:
+        require_comparable(gram)
     ready = condition(gram, params.noise_var, params.b, params.normalize)
     parts = []
     dense = [m for m in wanted if m.family in ("spectral", "gaussian", "sampled")]

@@ -1,9 +1,9 @@
 """Measures that need every pair of stimuli: neighbour overlap and rank RSA.
 
 Stimuli are hashed into blocks; an equi-join on (block, block) brings each pair
-of blocks together once and a matrix product works through it.  A task only
-ever holds two blocks, and it emits k neighbours per stimulus rather than the
-pairs themselves (for ranks the distances are the result of the step).
+of blocks together and a matrix product works through it.  A task only ever
+holds two blocks, and it emits k neighbours per stimulus rather than the pairs
+themselves (for ranks the distances are the result of the step).
 """
 
 from __future__ import annotations
@@ -24,43 +24,56 @@ from kindred.sources.activations import Layers
 
 #: stimuli per block: two blocks of 64 features and one product take ~40 MB
 BLOCK_ROWS = 2048
+#: blocks a task works through for one block before it hands on its candidates
+BLOCK_RUN = 256
 #: decimals kept when two similarities or distances are compared
 TIE_DECIMALS = 12
 
 
-def _block_pairs(layers: Layers, block_rows: int) -> tuple[DataFrame, int]:
+def _block_pairs(layers: Layers, block_rows: int, ordered: bool, run: int) -> tuple[DataFrame, int]:
+    """``(g1, g2, ids1, x1, ids2, x2)`` for every pair of blocks, and the number of stimuli.
+
+    Unless ``ordered``, each unordered pair comes once (g1 <= g2).  A block
+    meets ``run`` others in one task; longer rows of blocks are split up.
+    """
     wide = layers.wide()
+    if wide.schema["stim"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("pairs of stimuli need integer stimulus ids")
     n = wide.count()
     # wide layers get smaller blocks: a block stays below 16 MB
     block_rows = max(64, min(block_rows, 2_000_000 // sum(layers.widths.values())))
     cores = wide.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, ceil(n / block_rows), min(ceil(sqrt(2 * cores)), ceil(n / 64)))
+    wanted = 2 * cores if ordered else ceil(sqrt(2 * cores))
+    blocks = max(1, ceil(n / block_rows), min(wanted, ceil(n / 64)))
     packed = (
         wide.groupBy(F.pmod(F.xxhash64("stim"), F.lit(blocks)).cast("int").alias("g"))
-        .agg(F.sort_array(F.collect_list(F.struct("stim", "x"))).alias("rows"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("stim").cast("long").alias("stim"), "x"))).alias("rows"))
         .select("g", F.col("rows.stim").alias("ids"), F.flatten("rows.x").alias("x"))
     )
+    runs = ceil(blocks / run)
+    first = F.lit(0) if ordered else F.floor(F.col("g") / run).cast("int")
     left = packed.select(F.col("g").alias("g1"), F.col("ids").alias("ids1"), F.col("x").alias("x1"),
-                         F.explode(F.sequence("g", F.lit(blocks - 1))).alias("g2"))
+                         F.explode(F.sequence(first, F.lit(runs - 1))).alias("run"))
+    partners = F.sequence(F.lit(0), F.lit(blocks - 1) if ordered else F.col("g"))
     right = packed.select(F.col("g").alias("g2"), F.col("ids").alias("ids2"), F.col("x").alias("x2"),
-                          F.explode(F.sequence(F.lit(0), "g")).alias("g1"))
+                          F.floor(F.col("g") / run).cast("int").alias("run"), F.explode(partners).alias("g1"))
     # an explicit partition count, because block pairs are few and heavy to
     # compute: coalescing them by size would put them all into one task
-    parts = max(cores, min(blocks * (blocks + 1) // 2, 16 * cores))
-    joined = left.repartition(parts, "g1", "g2").join(right.repartition(parts, "g1", "g2"), ["g1", "g2"])
+    parts = max(cores, min(blocks * runs, 16 * cores))
+    joined = left.repartition(parts, "g1", "run").join(right.repartition(parts, "g1", "run"), ["g1", "run"])
     return joined.select("g1", "g2", "ids1", "x1", "ids2", "x2"), n
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], width: int):
     for batch in batches:
         for r in range(batch.num_rows):
-            same = batch.column(0)[r].as_py() == batch.column(1)[r].as_py()
+            g1, g2 = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
             sides = []
             for c in (2, 4):
                 ids = batch.column(c)[r].values.to_numpy(zero_copy_only=False)
                 x = batch.column(c + 1)[r].values.to_numpy(zero_copy_only=False)
                 sides.append((ids, x.reshape(len(ids), width)))
-            yield same, sides[0], sides[1]
+            yield g1, g2, sides[0], sides[1]
 
 
 def _slices(layers: Layers) -> list[slice]:
@@ -81,15 +94,22 @@ def _top(similarity: np.ndarray, k: int) -> np.ndarray:
     return best
 
 
-def nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(layer, stim, neighbours)``: the k stimuli with the highest cosine.
+def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the k best (similarity, id), by similarity and then by smaller id."""
+    order = np.lexsort((ids, -sim), axis=1)[:, :k]
+    return np.take_along_axis(sim, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS, run: int = BLOCK_RUN) -> DataFrame:
+    """``(layer, ord, stim, neighbours)``: the k stimuli with the highest cosine.
 
     The cosine is that of the conditioned matrix, whose noise shrinks it the
     more the shorter a vector is.  A stimulus is never its own neighbour; ties
-    go to the smaller stimulus id.
+    go to the smaller stimulus id.  A task carries the best k of one block
+    through up to ``run`` other blocks before it emits them.
     """
     names, cuts, width, k = layers.names, _slices(layers), sum(layers.widths.values()), params.k
-    pairs, n = _block_pairs(layers, block_rows)
+    pairs, n = _block_pairs(layers, block_rows, ordered=True, run=run)
     nu = noise_level(n, params.noise_var, params.b)
     signal = 1 - nu if (params.b or params.noise_var is not None) else 1.0
     starts = np.array([c.start for c in cuts])
@@ -110,32 +130,39 @@ def nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS) -> Dat
         part = x[:, cuts[layer]] * np.sqrt(signal / mean_norm[layer])
         return part / np.sqrt((part * part).sum(axis=1, keepdims=True) + nu)
 
+    def improve(found: tuple | None, u: np.ndarray, w: np.ndarray, there: np.ndarray, same: bool) -> tuple:
+        sims, others = [], []
+        for lo in range(0, len(u), 512):
+            sim = np.round(u[lo : lo + 512] @ w.T, TIE_DECIMALS)
+            if same:
+                sim[np.arange(len(sim)), lo + np.arange(len(sim))] = -np.inf
+            columns = _top(sim, k)
+            sims.append(np.take_along_axis(sim, columns, axis=1))
+            others.append(there[columns])
+        new = np.vstack(sims), np.vstack(others)
+        if found is not None:
+            new = np.hstack([found[0], new[0]]), np.hstack([found[1], new[1]])
+        return _best(*new, k)
+
     schema = pa.schema([("layer", pa.int32()), ("stim", pa.int64()), ("other", pa.int64()), ("sim", pa.float64())])
 
-    def run(batches):
-        for same, (ids1, x1), (ids2, x2) in _blocks(batches, width):
+    def search(batches):
+        best: dict = {}
+        for g1, g2, (ids1, x1), (ids2, x2) in _blocks(batches, width):
             for layer in range(len(names)):
-                u1, u2 = unit(x1, layer), unit(x2, layer)
-                for here, there, u, w in [(ids1, ids2, u1, u2)] + ([] if same else [(ids2, ids1, u2, u1)]):
-                    for lo in range(0, len(u), 512):
-                        sim = np.round(u[lo : lo + 512] @ w.T, TIE_DECIMALS)
-                        ids = here[lo : lo + 512]
-                        if same:
-                            sim[np.arange(len(ids)), lo + np.arange(len(ids))] = -np.inf
-                        best = _top(sim, k)
-                        value = np.take_along_axis(sim, best, axis=1).ravel()
-                        keep = value > -np.inf
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(keep.sum(), layer, np.int32)),
-                                pa.array(np.repeat(ids, best.shape[1])[keep]),
-                                pa.array(there[best.ravel()][keep]),
-                                pa.array(value[keep]),
-                            ],
-                            schema=schema,
-                        )
-
-    found = pairs.mapInArrow(run, "layer int, stim long, other long, sim double")
+                _, found = best.get((g1, layer), (None, None))
+                best[(g1, layer)] = ids1, improve(found, unit(x1, layer), unit(x2, layer), ids2, g1 == g2)
+        for (_, layer), (ids, (sim, other)) in best.items():
+            keep = sim.ravel() > -np.inf
+            columns = [
+                pa.array(np.full(keep.sum(), layer, np.int32)),
+                pa.array(np.repeat(ids, sim.shape[1])[keep]),
+                pa.array(other.ravel()[keep]),
+                pa.array(sim.ravel()[keep]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    found = pairs.mapInArrow(search, "layer int, stim long, other long, sim double")
     order = Window.partitionBy("layer", "stim").orderBy(F.desc("sim"), "other")
     top = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     name = F.get(F.array(*[F.lit(x) for x in names]), F.col("layer"))
@@ -174,10 +201,11 @@ def neighbour_similarity(layers: Layers, params: Params) -> DataFrame:
 def distances(layers: Layers, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(i, j, d)``: squared Euclidean distances of stimuli i < j, one per layer."""
     names, cuts, width = layers.names, _slices(layers), sum(layers.widths.values())
-    pairs, _ = _block_pairs(layers, block_rows)
+    pairs, _ = _block_pairs(layers, block_rows, ordered=False, run=1)
 
     def run(batches):
-        for same, (ids1, x1), (ids2, x2) in _blocks(batches, width):
+        for g1, g2, (ids1, x1), (ids2, x2) in _blocks(batches, width):
+            same = g1 == g2
             for lo in range(0, len(ids1), 256):
                 left, ids = x1[lo : lo + 256], ids1[lo : lo + 256]
                 grid = np.empty((len(ids), len(ids2), len(names)))

@@ -433,6 +433,11 @@ def all_sql() -> dict[str, str]:
         UNION ALL SELECT 'length', doc_id, n_chars::DOUBLE FROM documents"""
     found["stored_activations"] = f"""SELECT 'vowels' AS layer, count(*) AS n_stim, round(sum(list_sum({_chars('aeiou')})), 3) AS total FROM documents
         UNION ALL SELECT 'size', count(*), round(sum(length(text) + len(string_split(text, ' '))), 3)::DOUBLE FROM documents"""
+    found["activation_coverage"] = """SELECT layer, n AS n_rows, n AS n_stim, n = (SELECT count(*) FROM documents) AS complete FROM (
+        SELECT layer, count(*) AS n FROM documents, (VALUES ('vowels'), ('size'), ('length')) t(layer) GROUP BY layer
+        UNION ALL SELECT 'labels', count(*) FROM labels)"""
+    found["turns_between"] = """SELECT conv_id, turn FROM (SELECT *, lag(role) OVER w AS p, lead(role) OVER w AS q FROM conversations
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE contains(role, 'assist') AND contains(p, 'user') AND contains(q, 'user')"""
     found["gram_sales"] = _cells("g", "v")
     found["gram_centroids"] = _with(
         _EMB[0],

@@ -88,6 +88,20 @@ def stored_activations(spark, sf):
     )
 
 
+def activation_coverage(spark, sf):
+    """Do the layers cover the documents, and do the labels?"""
+    docs = D.document_layers(spark, sf)
+    labels = D.table(spark, sf, "labels").select(F.lit("labels").alias("layer"), F.col("doc_id").alias("stim"))
+    acts = docs.long().select("layer", "stim").unionByName(labels)
+    return A.coverage(acts, D.table(spark, sf, "documents").select(F.col("doc_id").alias("stim")))
+
+
+def turns_between(spark, sf):
+    """Answers between two questions, the way layers are picked by their neighbours."""
+    turns = D.table(spark, sf, "conversations")
+    return A.between(turns, ["conv_id"], "turn", "role", "assist", "user", "user").select("conv_id", "turn")
+
+
 def gram_sales(spark, sf):
     return _round(D.sales_gram(spark, sf))
 
@@ -282,10 +296,10 @@ def grouped_trials(spark, sf):
 
 
 def _event_scores(spark, sf, channels: DataFrame | None = None, **noise) -> DataFrame:
-    # decomposed models: 3 x stimuli² x 16 bytes, known before the join
+    # decomposed models: 3 x stimuli² x 8 bytes, known before the join
     n = D.event_index(spark, sf).count()
     channels = D.event_channels(spark, sf).drop("w") if channels is None else channels
-    scores = E.loglik(channels, D.event_models(spark, sf), model_bytes=3 * n * n * 16, **noise)
+    scores = E.loglik(channels, D.event_models(spark, sf), model_bytes=3 * n * n * 8, **noise)
     return _round(scores.select("voxel", "model", "ll"))
 
 
@@ -312,7 +326,7 @@ def loglik_signal(spark, sf):
 def _discount_scores(spark, sf, **noise) -> DataFrame:
     n = D.discount_index(spark, sf).count()
     channels = D.discount_channels(spark, sf).drop("w")
-    return E.loglik(channels, D.discount_models(spark, sf), model_bytes=3 * n * n * 16, **noise)
+    return E.loglik(channels, D.discount_models(spark, sf), model_bytes=3 * n * n * 8, **noise)
 
 
 def discount_loglik(spark, sf):
@@ -351,7 +365,7 @@ def posterior_sum_check(spark, sf):
 def _event_posterior(spark, sf) -> DataFrame:
     n = D.event_index(spark, sf).count()
     channels = D.event_channels(spark, sf).drop("w")
-    scores = E.loglik(channels, D.event_models(spark, sf), noise_var=NOISE, model_bytes=3 * n * n * 16)
+    scores = E.loglik(channels, D.event_models(spark, sf), noise_var=NOISE, model_bytes=3 * n * n * 8)
     return E.log_posterior(scores)
 
 
@@ -443,7 +457,7 @@ def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         f.__name__: f
         for f in (
-            acts_long, layer_catalog, document_catalog, activation_rows, stored_activations, gram_sales,
+            acts_long, layer_catalog, document_catalog, activation_rows, stored_activations, activation_coverage, turns_between, gram_sales,
             gram_centroids, gram_stored, gram_validate, gram_agreement, add_noise_weighted, sim_to_dist,
             dist_matrix, matrix_products, mean_cell_product, two_families, kl_to_ideal, measure_names,
             scalar_rules, pairs_remaining, stored_distances, run_lengths, stim_repetitions, mean_response,

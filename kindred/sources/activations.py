@@ -130,6 +130,33 @@ def catalog(layers: Layers) -> DataFrame:
     )
 
 
+def coverage(acts: DataFrame, stimuli: DataFrame) -> DataFrame:
+    """``(layer, n_rows, n_stim, complete)``: does a layer hold every stimulus exactly once?
+
+    ``acts (layer, stim, ...)`` is compared with the wanted ``stimuli (stim)``.
+    """
+    wanted = stimuli.select("stim", F.lit(1).alias("known"))
+    total = wanted.agg(F.count("known").alias("total"))
+    per_stim = acts.join(wanted, "stim", "left").groupBy("layer", "stim").agg(F.count(F.lit(1)).alias("c"), F.max("known").alias("known"))
+    per_layer = per_stim.groupBy("layer").agg(
+        F.sum("c").alias("n_rows"), F.count("known").alias("n_stim"), F.max("c").alias("most"), F.count_if(F.col("known").isNull()).alias("strange")
+    )
+    complete = (F.col("n_stim") == F.col("total")) & (F.col("most") == 1) & (F.col("strange") == 0)
+    return per_layer.join(F.broadcast(total)).select("layer", "n_rows", "n_stim", complete.alias("complete"))
+
+
+def between(df: DataFrame, keys: list[str], order: str, name: str, contains: str, before: str, after: str) -> DataFrame:
+    """Entries of a numbered list whose name, predecessor's and successor's names contain given texts.
+
+    The neighbours are found by their number (``order`` counts without gaps
+    within ``keys``), so a long list is spread over tasks like any other join.
+    """
+    entry = df.select(*keys, order, name).where(F.contains(F.col(name), F.lit(contains)))
+    last = df.where(F.contains(F.col(name), F.lit(before))).select(*keys, (F.col(order) + 1).alias(order))
+    following = df.where(F.contains(F.col(name), F.lit(after))).select(*keys, (F.col(order) - 1).alias(order))
+    return entry.join(last, [*keys, order], "left_semi").join(following, [*keys, order], "left_semi")
+
+
 def mock_inputs(spark: SparkSession, n: int, shape: tuple[int, ...], seed: int = 42) -> DataFrame:
     """``(stim, x)`` with normal random vectors of the given shape, flattened."""
     width = 1

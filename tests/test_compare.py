@@ -162,6 +162,12 @@ def test_mean_shift_in_sampling_has_the_right_size():
     assert at_q.mean() == pytest.approx(-0.5 * (1 / lam - 1 + np.log(lam) + shift**2 / lam).sum(), abs=0.02)
 
 
+def test_neighbours_need_integer_ids(spark):
+    df = spark.createDataFrame([("x", [1.0]), ("y", [2.0])], "id string, x array<double>")
+    with pytest.raises(TypeError, match="integer"):
+        compare_layers(extract(df, "id", {"a": F.col("x"), "b": F.col("x")}), "jaccard", k=1)
+
+
 def test_missing_parameters_are_reported(spark):
     layers, _ = stimuli(spark)
     with pytest.raises(ValueError, match="lmbd"):
@@ -174,10 +180,11 @@ def test_missing_parameters_are_reported(spark):
 
 def test_blocks_do_not_change_neighbours_or_distances(spark):
     layers, x = stimuli(spark, n=150, copies=50)
-    small, big = (
-        {(r.layer, r.stim): tuple(r.neighbours) for r in nearest(layers, Params(k=4), rows).collect()} for rows in (64, 4096)
+    small, big, cut = (
+        {(r.layer, r.stim): tuple(r.neighbours) for r in nearest(layers, Params(k=4), rows, run).collect()}
+        for rows, run in ((64, 256), (4096, 256), (64, 1))
     )
-    assert small == big and len(small) == 3 * 150
+    assert small == big == cut and len(small) == 3 * 150
     assert all(stim not in found and len(found) == 4 for (_, stim), found in small.items())
     # among 49 exact copies the smallest ids win
     assert small[("one", 1)] == (8, 15, 22, 29)
@@ -273,6 +280,16 @@ def test_validation_finds_every_defect(spark):
             G.require_comparable(bad)
 
 
+def test_asymmetric_matrices_are_refused(spark):
+    skew = random_cov(4, 1)
+    skew[0, 1] += 0.1
+    frame = gram_frame(spark, {"a": random_cov(4, 2), "b": skew})
+    with pytest.raises(Exception, match="symmetric"):
+        compare_gram(frame, "kldiv").collect()
+    with pytest.raises(ValueError, match="symmetric"):
+        compare_gram(frame, "cka", check=True)
+
+
 def test_pack_and_unpack(spark):
     covs = {n: random_cov(4, s) for n, s in (("a", 1), ("b", 2))}
     packed = G.pack(gram_frame(spark, covs).repartition(5))

@@ -44,6 +44,19 @@ def test_catalog_and_uneven_layers(spark):
         A.catalog(A.extract(ragged, "stim", {"x": F.col("x")})).collect()
 
 
+def test_coverage_finds_missing_double_and_strange_stimuli(spark):
+    acts = [("full", 1), ("full", 2), ("twice", 1), ("twice", 2), ("twice", 2), ("short", 1), ("odd", 1), ("odd", 2), ("odd", 3)]
+    found = A.coverage(spark.createDataFrame(acts, "layer string, stim long"), spark.createDataFrame([(1,), (2,)], "stim long"))
+    assert {r.layer: r.complete for r in found.collect()} == {"full": True, "twice": False, "short": False, "odd": False}
+
+
+def test_layers_picked_by_their_neighbours(spark):
+    names = ["conv", "add_1", "relu_1", "conv_2", "relu_2", "add_2", "relu_3", "pool"]
+    frame = spark.createDataFrame([("m", i, n) for i, n in enumerate(names)], "model string, ord int, layer string")
+    assert sorted(r.layer for r in A.between(frame, ["model"], "ord", "layer", "relu", "add", "").collect()) == ["relu_1", "relu_3"]
+    assert [r.layer for r in A.between(frame, ["model"], "ord", "layer", "relu", "add", "conv").collect()] == ["relu_1"]
+
+
 def test_wrong_width_is_an_error_not_a_wrong_result(spark):
     from kindred.operators.layer_compare import compare_layers
 

@@ -215,6 +215,14 @@ def test_evidence_with_weights_per_voxel(spark):
         E.loglik(channels, gram, weights=spark.createDataFrame([(0, 1.0)], "i int, w double"))
 
 
+def test_evidence_with_a_mean(spark):
+    covs, gram, channels, y, *_ = scoring_inputs(spark)
+    mu = np.arange(6.0)
+    shifted = channels.withColumn("mu", F.array(*[F.lit(float(x)) for x in mu]))
+    for (v, m), ll in scores(E.loglik(shifted, gram, noise_var=0.5)).items():
+        assert ll == pytest.approx(log_density(y[v] - mu, 0.5 * covs[m] + 0.5 * np.eye(6)))
+
+
 def test_evidence_needs_some_noise(spark):
     _, gram, channels, *_ = scoring_inputs(spark)
     with pytest.raises(ValueError, match="no noise"):
