@@ -5,6 +5,7 @@ from kindred.operators.gram import add_noise, condition, gram_from_features, tra
 from kindred.operators.gram_compare import compare_gram, symmetrize
 from kindred.operators.layer_compare import compare_layers
 from kindred.operators.reliability import cell_stats, noise_estimation, noise_grid, voxel_reliability
+from kindred.session import ship_package
 from kindred.sources.activations import Layers, extract, slices
 from kindred.sources.tables import compare_to_table
 
@@ -23,6 +24,7 @@ __all__ = [
     "marginal",
     "noise_estimation",
     "noise_grid",
+    "ship_package",
     "slices",
     "symmetrize",
     "trace_norm",

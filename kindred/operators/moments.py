@@ -22,7 +22,7 @@ def _dense(batch: pa.RecordBatch, width: int) -> np.ndarray:
     flat = batch.column(batch.num_columns - 1).flatten()
     if len(flat) != batch.num_rows * width or flat.null_count:
         raise ValueError(f"every vector must hold {width} non-null numbers")
-    return flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+    return flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, width).astype(np.float64, copy=False)
 
 
 def _scattered(batch: pa.RecordBatch, width: int) -> np.ndarray:

@@ -43,8 +43,8 @@ def _block_pairs(layers: Layers, block_rows: int, ordered: bool, run: int) -> tu
     # wide layers get smaller blocks: a block stays below 16 MB
     block_rows = max(64, min(block_rows, 2_000_000 // sum(layers.widths.values())))
     cores = wide.sparkSession.sparkContext.defaultParallelism
-    wanted = 2 * cores if ordered else ceil(sqrt(2 * cores))
-    blocks = max(1, ceil(n / block_rows), min(wanted, ceil(n / 64)))
+    wanted = 4 * cores if ordered else ceil(sqrt(2 * cores))
+    blocks = max(1, ceil(n / block_rows), min(wanted, ceil(n / 256)))
     packed = (
         wide.groupBy(F.pmod(F.xxhash64("stim"), F.lit(blocks)).cast("int").alias("g"))
         .agg(F.sort_array(F.collect_list(F.struct(F.col("stim").cast("long").alias("stim"), "x"))).alias("rows"))
@@ -72,7 +72,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int):
             for c in (2, 4):
                 ids = batch.column(c)[r].values.to_numpy(zero_copy_only=False)
                 x = batch.column(c + 1)[r].values.to_numpy(zero_copy_only=False)
-                sides.append((ids, x.reshape(len(ids), width)))
+                sides.append((ids, x.reshape(len(ids), width).astype(np.float64, copy=False)))
             yield g1, g2, sides[0], sides[1]
 
 
@@ -81,23 +81,41 @@ def _slices(layers: Layers) -> list[slice]:
     return [slice(int(lo), int(hi)) for lo, hi in zip(ends, ends[1:])]
 
 
+#: similarities closer than this may round to the same value
+_SLACK = 10.0**-TIE_DECIMALS
+
+
 def _top(similarity: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest entries per row; ties go to the earlier column."""
+    """Columns of the k largest rounded entries per row; ties go to the earlier column."""
     rows, cols = similarity.shape
     if cols <= k:
-        return np.argsort(-similarity, axis=1, kind="stable")
+        return np.tile(np.arange(cols), (rows, 1))
     best = np.argpartition(-similarity, k - 1, axis=1)[:, :k]
     cut = np.take_along_axis(similarity, best, axis=1).min(axis=1)
-    tied = np.flatnonzero((similarity >= cut[:, None]).sum(axis=1) > k)
+    tied = np.flatnonzero((similarity >= cut[:, None] - _SLACK).sum(axis=1) > k)
     if len(tied):
-        best[tied] = np.argsort(-similarity[tied], axis=1, kind="stable")[:, :k]
+        rounded = np.round(similarity[tied], TIE_DECIMALS)
+        best[tied] = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
     return best
 
 
-def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the k best (similarity, id), by similarity and then by smaller id."""
-    order = np.lexsort((ids, -sim), axis=1)[:, :k]
-    return np.take_along_axis(sim, order, axis=1), np.take_along_axis(ids, order, axis=1)
+def _merge(found: tuple[np.ndarray, np.ndarray], similarity: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best k per row of ``found (similarity, id)`` and of a further block.
+
+    Only entries that reach a row's present k-th similarity are looked at, which
+    are few once some blocks have passed.
+    """
+    count, k = found[0].shape
+    # np.nonzero of a matrix is several times slower than of its flat form
+    row, col = np.divmod(np.flatnonzero(similarity >= found[0][:, -1:] - _SLACK), max(similarity.shape[1], 1))
+    rows = np.concatenate([np.repeat(np.arange(count), k), row])
+    sims = np.concatenate([found[0].ravel(), np.round(similarity[row, col], TIE_DECIMALS)])
+    others = np.concatenate([found[1].ravel(), ids[col]])
+    order = np.lexsort((others, -sims, rows))
+    rows = rows[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(count))[rows]
+    order = order[place < k]
+    return sims[order].reshape(count, k), others[order].reshape(count, k)
 
 
 def nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS, run: int = BLOCK_RUN) -> DataFrame:
@@ -130,19 +148,22 @@ def nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS, run: i
         part = x[:, cuts[layer]] * np.sqrt(signal / mean_norm[layer])
         return part / np.sqrt((part * part).sum(axis=1, keepdims=True) + nu)
 
-    def improve(found: tuple | None, u: np.ndarray, w: np.ndarray, there: np.ndarray, same: bool) -> tuple:
-        sims, others = [], []
+    def improve(found: tuple, u: np.ndarray, w: np.ndarray, there: np.ndarray, same: bool) -> tuple:
+        parts = []
         for lo in range(0, len(u), 512):
-            sim = np.round(u[lo : lo + 512] @ w.T, TIE_DECIMALS)
+            sim = u[lo : lo + 512] @ w.T
             if same:
                 sim[np.arange(len(sim)), lo + np.arange(len(sim))] = -np.inf
-            columns = _top(sim, k)
-            sims.append(np.take_along_axis(sim, columns, axis=1))
-            others.append(there[columns])
-        new = np.vstack(sims), np.vstack(others)
-        if found is not None:
-            new = np.hstack([found[0], new[0]]), np.hstack([found[1], new[1]])
-        return _best(*new, k)
+            before = found[0][lo : lo + 512], found[1][lo : lo + 512]
+            if np.isneginf(before[0]).all():
+                columns = _top(sim, k)
+                got, ids = before[0].copy(), before[1].copy()
+                got[:, : columns.shape[1]] = np.round(np.take_along_axis(sim, columns, axis=1), TIE_DECIMALS)
+                ids[:, : columns.shape[1]] = there[columns]
+                parts.append(_merge((got, ids), sim[:, :0], there[:0]))  # sorts them
+            else:
+                parts.append(_merge(before, sim, there))
+        return np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
 
     schema = pa.schema([("layer", pa.int32()), ("stim", pa.int64()), ("other", pa.int64()), ("sim", pa.float64())])
 
@@ -150,7 +171,8 @@ def nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS, run: i
         best: dict = {}
         for g1, g2, (ids1, x1), (ids2, x2) in _blocks(batches, width):
             for layer in range(len(names)):
-                _, found = best.get((g1, layer), (None, None))
+                none = np.full((len(ids1), k), -np.inf), np.zeros((len(ids1), k), np.int64)
+                _, found = best.get((g1, layer), (None, none))
                 best[(g1, layer)] = ids1, improve(found, unit(x1, layer), unit(x2, layer), ids2, g1 == g2)
         for (_, layer), (ids, (sim, other)) in best.items():
             keep = sim.ravel() > -np.inf

@@ -15,7 +15,7 @@ from kindred.operators import reliability as R
 from kindred.operators import sampling
 from kindred.operators.layer_compare import compare_layers
 from kindred.plans import datasets as D
-from kindred.session import scratch_path
+from kindred.session import scratch_path, ship_package
 from kindred.sources import activations as A
 from kindred.sources import tables as T
 from kindred.streaming import incremental as I
@@ -493,4 +493,12 @@ def all_queries() -> dict[str, Query]:
         found[f"sales_{m}"] = _sales(m, **sales)
     for m in ALGEBRAIC:
         found[f"coordinates_{m}"] = _coords(m, **OPTIONS.get(m, {}))
-    return found
+    return {name: _shipped(query) for name, query in found.items()}
+
+
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run

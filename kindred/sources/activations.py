@@ -21,6 +21,8 @@ class Layers:
     stim: str
     columns: Mapping[str, Column]
     widths: Mapping[str, int]
+    #: all features in layer order, if the table has them as one column
+    vector: Column | None = None
 
     @property
     def names(self) -> list[str]:
@@ -53,7 +55,12 @@ class Layers:
         )
 
     def wide(self) -> DataFrame:
-        """``(stim, x)`` with x the layers' features one after the other."""
+        """``(stim, x)`` with x the layers' features one after the other.
+
+        x may hold single precision numbers; whoever computes with it widens them.
+        """
+        if self.vector is not None:
+            return self.df.select(F.col(self.stim).alias("stim"), self.vector.alias("x"))
         parts = [c.cast("array<double>") for c in self.columns.values()]
         return self.df.select(F.col(self.stim).alias("stim"), F.concat(*parts).alias("x"))
 
@@ -111,7 +118,8 @@ def slices(df: DataFrame, stim: str, vector: str, width: int, total: int, prefix
     """Cut one vector column into consecutive layers of ``width`` features."""
     names = [f"{prefix}_{i:02d}" for i in range(total // width)]
     columns = {n: F.slice(F.col(vector), i * width + 1, width) for i, n in enumerate(names)}
-    return extract(df, stim, columns, widths={n: width for n in names})
+    whole = F.col(vector) if total % width == 0 else None
+    return Layers(df, stim, columns, {n: width for n in names}, whole)
 
 
 def features_long(layers: Layers) -> DataFrame:
