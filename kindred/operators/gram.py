@@ -22,10 +22,14 @@ MAX_DIM = 4096
 def stimulus_index(df: DataFrame, stim: str = "stim") -> DataFrame:
     """``(stim, i)``: the distinct stimuli in their natural order.
 
-    The list is as long as a side of the matrix, hence small.
+    The list is as long as a side of the matrix; more than ``MAX_DIM`` fail.
     """
     distinct = df.select(F.col(stim).alias("stim")).distinct()
-    return distinct.withColumn("i", F.row_number().over(Window.orderBy("stim")) - 1)
+    number = F.row_number().over(Window.orderBy("stim"))
+    too_many = F.raise_error(F.lit(f"more than {MAX_DIM} stimuli: use compare_layers")).cast("int")
+    return distinct.withColumn("n", number).select(
+        "stim", F.when(F.col("n") <= MAX_DIM, F.col("n") - 1).otherwise(too_many).alias("i")
+    )
 
 
 def gram_from_features(acts: DataFrame, index: DataFrame | None = None, dim: int | None = None) -> DataFrame:

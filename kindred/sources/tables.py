@@ -16,14 +16,18 @@ from kindred.plans.registry import per_measure
 from kindred.sources.activations import Layers
 
 
-def write_activations(layers: Layers, path: str, first: bool = True) -> None:
+def write_activations(layers: Layers, path: str, first: bool = True, compact: bool = False) -> None:
     """Store ``(layer, stim, features)`` partitioned by layer.
 
     The first batch creates the table and fails if there is one; later batches
-    are appended.
+    are appended.  Every task writes a file per layer; with many layers or
+    small tasks, ``compact`` spends a shuffle on evenly sized files instead.
     """
-    mode = "errorifexists" if first else "append"
-    layers.long().write.mode(mode).partitionBy("layer").parquet(path)
+    rows = layers.long()
+    if compact:
+        # splits a large layer over several tasks, unlike a repartition by layer
+        rows = rows.hint("rebalance", F.col("layer"))
+    rows.write.mode("errorifexists" if first else "append").partitionBy("layer").parquet(path)
 
 
 def read_activations(spark: SparkSession, path: str, layers: str | list[str] | None = None) -> DataFrame:

@@ -243,6 +243,13 @@ def test_hand_computed_grams(spark):
     assert got["t"][:2, :2].tolist() == [[30, 70], [70, 174]] and not got["t"][2].any()
 
 
+def test_too_many_stimuli_for_one_matrix_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(G, "MAX_DIM", 3)
+    with pytest.raises(Exception, match="more than 3 stimuli"):
+        G.stimulus_index(spark.range(4), "id").collect()
+    assert [r.i for r in G.stimulus_index(spark.range(3), "id").orderBy("stim").collect()] == [0, 1, 2]
+
+
 def test_one_hot_gram_marks_equal_classes(spark):
     classes = spark.createDataFrame([(10, "x"), (20, "y"), (30, "x")], "stim long, label string")
     assert matrices_of(G.same_class(classes))["ideal"].tolist() == [[1, 0, 1], [0, 1, 0], [1, 0, 1]]

@@ -85,7 +85,7 @@ def test_activation_table_is_created_once_then_appended(spark, tmp_path):
     T.write_activations(small_layers(spark, 0, 5), path)
     with pytest.raises(Exception, match="(?i)exist"):
         T.write_activations(small_layers(spark, 0, 5), path)
-    T.write_activations(small_layers(spark, 5, 10), path, first=False)
+    T.write_activations(small_layers(spark, 5, 10), path, first=False, compact=True)
     back = T.read_activations(spark, path)
     assert back.count() == 20 and T.read_activations(spark, path, "last").select("stim").distinct().count() == 10
     plan = T.read_activations(spark, path, "last")._jdf.queryExecution().executedPlan().toString()
