@@ -54,8 +54,3 @@ def noise_level(dim, noise_var: float | None, b: float):
 def log_add_exp(a: Column, b: Column) -> Column:
     """ln(e^a + e^b) without overflow."""
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
-
-
-def similarity_to_distance(a: Column, b: Column, value: Column) -> Column:
-    """1 - similarity, 0 on the diagonal."""
-    return F.when(a == b, F.lit(0.0)).otherwise(1 - value)

@@ -23,7 +23,7 @@ from kindred.streaming import incremental as I
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: parameters shared with the SQL of the same queries
-LMBD, K, GULP_DIGITS = 0.1, 10, 6
+LMBD, K = 0.1, 10
 NOISE, GRID = 0.4, 10
 
 

@@ -32,10 +32,10 @@ def stimuli(spark, n=30, copies=0, seed=3):
     return layers, {k: x[:, s - 1 : s - 1 + w] for k, (s, w) in cut.items()}
 
 
-@pytest.mark.parametrize("copies", [0, 12])
+@pytest.mark.parametrize("n, copies", [(30, 0), (30, 12), (5, 0)])
 @pytest.mark.parametrize("options", [{}, {"noise_var": 0.3}, {"b": 0.2, "normalize": False}])
-def test_layers_agree_with_full_matrices(spark, copies, options):
-    layers, x = stimuli(spark, copies=copies)
+def test_layers_agree_with_full_matrices(spark, n, copies, options):
+    layers, x = stimuli(spark, n, copies)
     got = values(compare_layers(layers, EXACT, lmbd=0.1, k=3, **options))
     assert len(got) == 3 * len(EXACT)
     for (name, a, b), value in got.items():
