@@ -47,3 +47,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [op1_quality_rules, op3_quality_classifier, op5_language_id]
     return {f.__name__: f for f in named}
+
+
+def all_sql() -> dict[str, str]:
+    return {}
