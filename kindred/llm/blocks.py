@@ -17,9 +17,10 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+_INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
+_BASE = _BASES[0]
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,12 +31,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        step = np.full(max(n, BLOCK_BYTES + 1), _BASE if kind == "up" else _INVERSE)
-        step[0] = 1
-        _powers[kind] = np.cumprod(step)
-    return _powers[kind][:n]
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo 2 ** 64; kept up to the usual block size."""
+    if len(_powers.get(int(base), ())) >= n:
+        return _powers[int(base)][:n]
+    step = np.full(max(n, 2 * BLOCK_BYTES), base)
+    step[0] = 1
+    powers = np.cumprod(step)
+    if n <= 2 * BLOCK_BYTES:
+        _powers[int(base)] = powers
+    return powers[:n]
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -68,7 +73,7 @@ class Block:
         own = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + self.n + 1] if self.n else np.zeros(1, np.int64)
         self.data = np.frombuffer(data or b"", np.uint8)[own[0] : own[-1]]
         self.offsets = own - own[0]
-        self._prefix: np.ndarray | None = None
+        self._prefix: dict[int, np.ndarray] = {}
         self._chars: np.ndarray | None = None
 
     def docs_of(self, positions: np.ndarray) -> np.ndarray:
@@ -82,14 +87,23 @@ class Block:
             np.cumsum((self.data & 0xC0) != 0x80, out=self._chars[1:])
         return self._chars
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans; they depend on the bytes alone."""
-        if self._prefix is None:
-            self._prefix = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power("up", len(self.data)), out=self._prefix[1:])
-        span = (self._prefix[end] - self._prefix[start]) * _power("down", len(self.data) + 1)[start]
+    def hashes(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+        """64-bit hashes of byte spans, which depend on the bytes alone; there are two independent ones."""
+        if which not in self._prefix:
+            sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_BASES[which], len(self.data)), out=sums[1:])
+            self._prefix[which] = sums
+        sums = self._prefix[which]
+        span = (sums[end] - sums[start]) * _power(_INVERSES[which], len(self.data) + 1)[start]
         return mix(span + (end - start).astype(np.uint64) * np.uint64(_ODD))
 
+    def lowered(self) -> "Block":
+        """The same block with A-Z as a-z."""
+        other = object.__new__(Block)
+        other.__dict__ = self.__dict__ | {"_prefix": {}}
+        other.data = np.where((self.data >= 65) & (self.data <= 90), self.data | 32, self.data).astype(np.uint8)
+        return other
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maximal runs of bytes other than 0x20 and 0x09-0x0D: start, end, text."""
         space = (self.data == 0x20) | ((self.data >= 0x09) & (self.data <= 0x0D))

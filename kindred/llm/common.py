@@ -33,3 +33,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def fold(doc_id: Column, k: int) -> Column:
     """The documented split: crc32 of the id's text, modulo k."""
     return F.crc32(doc_id.cast("string").cast("binary")) % k
+
+
+def columns_ddl(df: DataFrame) -> str:
+    """The columns of a table as a schema string."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The table without columns that have one of the names (in any case): room for an operator's own."""
+    taken = {n.lower() for n in names}
+    return df.select(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns if c.lower() not in taken])

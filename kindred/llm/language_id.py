@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.blocks import Block, char_grams, row_blocks
-from kindred.llm.common import Batches, in_arrow
+from kindred.llm.common import Batches, columns_ddl, in_arrow, without
 
 BITS, GRAMS, ALPHA, UNKNOWN = 15, (1, 2, 3), 0.5, "und"
 #: languages a model may have; more would not fit the matrix that every task holds
@@ -108,8 +108,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A text that is null or without letters is ``und`` with score 0, as is everything under a model
     without languages. Ties go to the first language in alphabetical order.
+    Columns of the input with these two names are replaced.
     """
     languages, logs, prior = model.languages, model.table, model.prior
+    docs = without(docs, "_lang_pred", "_lang_score")
 
     def rows(batches: Batches) -> Batches:
         for batch, block in row_blocks(batches, text):
@@ -126,5 +128,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*batch.columns, pa.array(names, pa.string()), pa.array(share)], [*batch.schema.names, "_lang_pred", "_lang_score"]
             )
 
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_arrow(docs, rows, f"{plain}, _lang_pred string, _lang_score double")
+    return in_arrow(docs, rows, f"{columns_ddl(docs)}, _lang_pred string, _lang_score double")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.blocks import Block, char_grams, mix, repeated, row_blocks
-from kindred.llm.common import Batches, in_arrow
+from kindred.llm.common import Batches, columns_ddl, in_arrow, without
 
 #: hashed n-gram buckets, as a power of two
 BITS = 16
@@ -117,6 +117,7 @@ def score_rules(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> Data
     The log ratio of a text shorter than an n-gram is null.
     """
     bits = int(len(ratios)).bit_length() - 1
+    docs = without(docs, "_rules", "_base_failed", "_kept")
 
     def score(batches: Batches) -> Batches:
         for batch, block in row_blocks(batches, text):
@@ -131,8 +132,7 @@ def score_rules(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, rules], [*batch.schema.names, "_rules"])
 
     fields = ", ".join(f.replace(" ", ": ") for f in RULES.split(", "))
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_arrow(docs, score, f"{plain}, _rules struct<{fields}>")
+    return in_arrow(docs, score, f"{columns_ddl(docs)}, _rules struct<{fields}>")
 
 
 def quality_rules(
@@ -142,7 +142,8 @@ def quality_rules(
 
     Every input row gives one row, all its columns unchanged (repeated rows included). A null text
     counts as empty; a text without words fails the base rules. Without trusted documents every ratio
-    is 0, so only the base rules decide. Empty tables give empty results.
+    is 0, so only the base rules decide. Empty tables give empty results. Columns of
+    the input with these three names are replaced.
     """
     ratios = log_ratios(bucket_counts(docs, trusted, bits, text, doc_id), bits)
     r = F.col("_rules")

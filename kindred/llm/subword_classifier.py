@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.blocks import Block, char_grams, row_blocks
-from kindred.llm.common import Batches, in_arrow
+from kindred.llm.common import Batches, columns_ddl, in_arrow, without
 
 #: buckets, as a power of two: the lower half for words, the upper for character n-grams
 BITS = 16
@@ -63,8 +63,7 @@ def sparse_features(docs: DataFrame, text: str = "text") -> DataFrame:
                 [*kept, "_bucket", "_share"],
             )
 
-    plain = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return in_arrow(docs, rows, f"{plain}, _bucket binary, _share binary")
+    return in_arrow(docs, rows, f"{columns_ddl(docs.drop(text))}, _bucket binary, _share binary")
 
 
 @dataclass
@@ -139,8 +138,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows and columns of the documents, and ``_score``, the probability of label 1.
 
     A null or empty text has no features and gets the probability the bias alone gives.
+    A column ``_score`` of the input is replaced.
     """
     weight, bias = model.weight, model
+    docs = without(docs, "_score")
 
     def rows(batches: Batches) -> Batches:
         for batch, block in row_blocks(batches, text):
@@ -148,5 +149,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             mean = block.per_doc(of, weight[bucket]) / np.maximum(block.per_doc(of), 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bias.probability(mean))], [*batch.schema.names, "_score"])
 
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return in_arrow(docs, rows, f"{plain}, _score double")
+    return in_arrow(docs, rows, f"{columns_ddl(docs)}, _score double")
