@@ -11,9 +11,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kindred.llm.blocks import mix
-from kindred.llm.common import Batches, in_arrow
+from kindred.llm.common import Batches, columns_ddl, in_arrow
 
 #: bits set per row, and bits of a filter per expected row
 HASHES, BITS_PER_ROW = 4, 16
@@ -92,8 +93,6 @@ def _row(chunk: int, once: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
 
 def passing(rows: DataFrame, column: str, filter_: np.ndarray, flag: str) -> DataFrame:
     """All rows with a boolean column: whether the filter may contain the row's hash (null: false)."""
-    from kindred.llm.common import columns_ddl
-
     shared = rows.sparkSession.sparkContext.broadcast(filter_)
     at = rows.columns.index(column)
 
@@ -104,3 +103,15 @@ def passing(rows: DataFrame, column: str, filter_: np.ndarray, flag: str) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, flag])
 
     return in_arrow(rows, mark, f"{columns_ddl(rows)}, `{flag}` boolean")
+
+
+def rows_with_ids(rows: DataFrame, column: str, ids: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows whose (non-null) id occurs in ``ids``, a one-column table that may be large.
+
+    Wide rows are not exchanged unless a filter of the ids lets them pass; the join decides.
+    """
+    ids = ids.toDF("_wanted").where("_wanted is not null").distinct()
+    hashed = ids.select(F.xxhash64("_wanted").alias("_hash"))
+    once, _ = build(hashed, "_hash", size_for(ids.count(), max_bits))
+    near = passing(rows.withColumn("_hash", F.xxhash64(column)), "_hash", once, "_near").where("_near").drop("_near", "_hash")
+    return near.hint("merge").join(ids, F.col(column) == F.col("_wanted"), "left_semi")

@@ -44,3 +44,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """The table without columns that have one of the names (in any case): room for an operator's own."""
     taken = {n.lower() for n in names}
     return df.select(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns if c.lower() not in taken])
+
+
+def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Each row with the columns of its group; ``groups`` has unique keys and the group's number of rows.
+
+    Groups of more than a 200th of the ``total`` rows are fewer than 200 and are sent to all tasks, so
+    their rows stay where they are; the rest meet by an ordinary join.
+    """
+    hot = F.broadcast(groups.where(F.col(size) > max(total // 200, 1000)).withColumn("_hot", F.lit(True)))
+    met = rows.join(hot, keys, "left")
+    rest = met.where("_hot is null").select(*rows.columns).join(groups, keys)
+    return met.where("_hot").drop("_hot").unionByName(rest)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import exact_dedup, language_id, line_dedup, quality_rules, subword_classifier
+from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, quality_rules, subword_classifier
 from kindred.llm.common import fold, table
 
 
@@ -43,6 +43,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 3) == 1
@@ -57,7 +61,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op5_language_id, op8_exact_dedup]
+    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op8_exact_dedup]
     return {f.__name__: f for f in named}
 
 
@@ -78,6 +82,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE
+    WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+    ELSE list_transform(generate_series(1, len(w) - 4), i -> list_aggregate(w[i:i + 4], 'string_agg', ' ')) END)) AS s FROM words),
+classes AS (SELECT s, max(doc_id) AS class_id, count(*) AS class_size FROM sets GROUP BY s),
+entries AS (SELECT class_id, len(s) AS n, unnest(s) AS x FROM classes),
+links AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM entries a JOIN entries b ON a.x = b.x AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id HAVING 9 * count(*) >= 4 * (any_value(a.n) + any_value(b.n))),
+reach AS (SELECT class_id AS a, class_id AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+tops AS (SELECT a, max(b) AS group_id FROM reach GROUP BY a),
+degrees AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT sets.doc_id, c.class_id, c.class_size, coalesce(d.n_links, 0) AS n_links, t.group_id
+FROM sets JOIN classes c ON sets.s = c.s JOIN tops t ON t.a = c.class_id LEFT JOIN degrees d ON d.a = c.class_id
+"""
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -86,4 +109,4 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op8_exact_dedup": OP8_SQL}
