@@ -23,10 +23,10 @@ def in_arrow(df: DataFrame, function: Callable[[Batches], Batches], schema: str)
     return df.mapInArrow(function, schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The table written below ``spark.checkpoint.dir`` and read back; later jobs do not recompute it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, quality_rules, subword_classifier
-from kindred.llm.common import fold, table
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+
+from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, quality_rules, subword_classifier
+from kindred.llm.common import Batches, fold, in_arrow, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +62,34 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _id_crc(batches: Batches, dtype: str, column: str = "ids") -> Batches:
+    """The batches with the ids replaced by the crc32 of their unsigned 32-bit little-endian form."""
+    for batch in batches:
+        at = batch.schema.names.index(column)
+        crc = [zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in batch.column(at).to_pylist()]
+        yield batch.set_column(at, f"{column}_crc32", pa.array(crc, pa.int64()))
+
+
+def packed_pieces(packed: packing.Packing) -> DataFrame:
+    """Where each piece lies, with a digest of its ids instead of the ids."""
+    dtype = packed.dtype
+    kind = packed.pieces.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    digests = in_arrow(packed.pieces, lambda batches: _id_crc(batches, dtype), schema)
+    return digests.join(packed.places, "row").drop("row")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packed_pieces(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op8_exact_dedup]
+    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op6_packing, op8_exact_dedup]
     return {f.__name__: f for f in named}
 
 
@@ -84,11 +112,11 @@ FROM marked GROUP BY doc_id
 
 OP4_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sets AS (
   SELECT doc_id, list_sort(list_distinct(CASE
     WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
-    ELSE list_transform(generate_series(1, len(w) - 4), i -> list_aggregate(w[i:i + 4], 'string_agg', ' ')) END)) AS s FROM words),
+    ELSE list_transform(generate_series(1, len(w) - 4), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) END)) AS s FROM words),
 classes AS (SELECT s, max(doc_id) AS class_id, count(*) AS class_size FROM sets GROUP BY s),
 entries AS (SELECT class_id, len(s) AS n, unnest(s) AS x FROM classes),
 links AS (
