@@ -7,9 +7,10 @@ reaches a fixed threshold. Nothing is sampled: equal texts always get equal verd
 open class, so with a growing corpus every bucket of words fills with rare ones and the ratios
 fade; short character sequences are nearly closed, and the same threshold separates at any size.
 
-Plan: one scan, with the trusted ids attached by a join, leaves at most one count per bucket and
-task, which are summed by a grouping; the finished table of log ratios has ``2 ** bits`` entries
-whatever the corpus holds, so it goes to the tasks of a second scan with the function.
+Plan: one scan of all texts and one of the trusted ones leave at most one count per bucket and task,
+which are summed by a grouping. Which texts are trusted is settled by a join on the id, behind a
+Bloom filter of the trusted ids, so that other texts are not exchanged. The finished table of log ratios
+has ``2 ** bits`` entries whatever the corpus holds; it goes to the tasks of the last scan with the function.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.blocks import Block, char_grams, mix, repeated, row_blocks
+from kindred.llm.bloom import rows_with_ids
 from kindred.llm.common import Batches, columns_ddl, in_arrow, without
 
 #: hashed n-gram buckets, as a power of two
@@ -77,27 +79,24 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, bits: int = BITS, text: s
 
     ``trusted`` holds ids; repeated ones count once, unknown and null ones not at all.
     """
-    ids = trusted.select(F.col(doc_id).alias("_trusted_id")).where("_trusted_id is not null").distinct()
-    flagged = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(
-        ids, F.col("_id") == F.col("_trusted_id"), "left"
-    )
+    ids = trusted.select(F.col(doc_id))
+    source = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
 
     def count(batches: Batches) -> Batches:
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        for batch, block in row_blocks(batches, "_text"):
-            bucket, of = char_grams(*block.code_points(), GRAM, bits)
-            good = batch.column("_target").to_numpy(zero_copy_only=False).astype(bool)
-            raw += np.bincount(bucket, minlength=1 << bits)
-            target += np.bincount(bucket[good[of]], minlength=1 << bits)
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"]
-        )
-
-    parts = in_arrow(
-        flagged.select("_text", F.col("_trusted_id").isNotNull().alias("_target")), count, "bucket int, raw long, target long"
-    )
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        total = np.zeros(1 << bits, np.int64)
+        for _, block in row_blocks(batches, "_text"):
+            bucket, _ = char_grams(*block.code_points(), GRAM, bits)
+            total += np.bincount(bucket, minlength=1 << bits)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return in_arrow(rows.select("_text"), count, "bucket int, n long")
+
+    none = F.lit(0).cast("long")
+    raw = counted(source).select("bucket", F.col("n").alias("raw"), none.alias("target"))
+    target = counted(rows_with_ids(source, "_id", ids)).select("bucket", none.alias("raw"), F.col("n").alias("target"))
+    return raw.unionByName(target).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(counts: DataFrame, bits: int = BITS, prior: float = PRIOR) -> np.ndarray:
