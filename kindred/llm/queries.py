@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, quality_rules, subword_classifier
+from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, page_diff, quality_rules, subword_classifier
 from kindred.llm.common import Batches, fold, in_arrow, table
 
 
@@ -88,8 +88,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op6_packing, op8_exact_dedup]
+    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op6_packing, op8_exact_dedup, op9_page_diff]
     return {f.__name__: f for f in named}
 
 
