@@ -105,13 +105,28 @@ def passing(rows: DataFrame, column: str, filter_: np.ndarray, flag: str) -> Dat
     return in_arrow(rows, mark, f"{columns_ddl(rows)}, `{flag}` boolean")
 
 
+def _near(rows: DataFrame, column: str, ids: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with a flag whether a filter of the distinct ids lets them pass, and those ids."""
+    ids = ids.toDF("_wanted").where("_wanted is not null").distinct()
+    hashed = ids.select(F.xxhash64("_wanted").alias("_hash"))
+    once, _ = build(hashed, "_hash", size_for(ids.count(), max_bits))
+    key = F.when(F.col(column).isNotNull(), F.xxhash64(column))
+    return passing(rows.withColumn("_hash", key), "_hash", once, "_near").drop("_hash"), ids
+
+
 def rows_with_ids(rows: DataFrame, column: str, ids: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows whose (non-null) id occurs in ``ids``, a one-column table that may be large.
 
     Wide rows are not exchanged unless a filter of the ids lets them pass; the join decides.
     """
-    ids = ids.toDF("_wanted").where("_wanted is not null").distinct()
-    hashed = ids.select(F.xxhash64("_wanted").alias("_hash"))
-    once, _ = build(hashed, "_hash", size_for(ids.count(), max_bits))
-    near = passing(rows.withColumn("_hash", F.xxhash64(column)), "_hash", once, "_near").where("_near").drop("_near", "_hash")
+    flagged, ids = _near(rows, column, ids, max_bits)
+    near = flagged.where("_near").drop("_near")
     return near.hint("merge").join(ids, F.col(column) == F.col("_wanted"), "left_semi")
+
+
+def rows_without_ids(rows: DataFrame, column: str, ids: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The other rows; those that the filter stops pass straight through."""
+    flagged, ids = _near(rows, column, ids, max_bits)
+    near = flagged.where("_near").drop("_near")
+    rest = near.hint("merge").join(ids, F.col(column) == F.col("_wanted"), "left_anti")
+    return flagged.where("not _near").drop("_near").unionByName(rest)
