@@ -13,8 +13,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, page_diff, quality_rules, subword_classifier
+from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, page_diff, quality_rules, records, subword_classifier
 from kindred.llm.common import Batches, fold, in_arrow, table
+from kindred.session import scratch_path
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +93,17 @@ def op9_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    written = records.write_records(docs, scratch_path(spark, "records"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    dtype = written.dtype
+    return in_arrow(
+        records.read_records(written), lambda batches: _id_crc(batches, dtype), "doc_id long, start long, n_tokens long, ids_crc32 long"
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op6_packing, op8_exact_dedup, op9_page_diff]
+    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op6_packing, op8_exact_dedup, op9_page_diff, op10_token_records]
     return {f.__name__: f for f in named}
 
 
