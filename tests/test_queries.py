@@ -4,6 +4,8 @@ import pytest
 from oracle_check import connect, difference
 
 import __spark_entry__ as entry
+from kindred.plans.oracles import all_sql
+from kindred.plans.queries import all_queries
 from kindred.plans.registry import MEASURES
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +22,7 @@ SAMPLE = [
 
 
 def test_every_query_has_sql_except_the_sampled_measures():
-    queries, sql = entry.queries(), entry.oracle_sql()
+    queries, sql = all_queries(), all_sql()
     assert set(queries) - set(sql) == {"layers_tvd", "layers_jsd", "sales_tvd", "sales_jsd"}
     assert not set(sql) - set(queries)
     assert all(f"{side}_{m}" in queries for side in ("layers", "sales") for m in MEASURES)
