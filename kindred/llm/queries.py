@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, page_diff, quality_rules, records, subword_classifier
+from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, page_diff, quality_rules, records, sampled_pieces, subword_classifier
 from kindred.llm.common import Batches, fold, in_arrow, table
 from kindred.session import scratch_path
 
@@ -85,6 +85,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = sampled_pieces.decode(sampled_pieces.encode(docs, model), model)
+    return decoded.select(
+        "doc_id", F.size("_ids").alias("n_pieces"), F.col("_ids").alias("ids"),
+        F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -103,7 +114,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op6_packing, op8_exact_dedup, op9_page_diff, op10_token_records]
+    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op6_packing, op7_sampled_pieces, op8_exact_dedup, op9_page_diff, op10_token_records]
     return {f.__name__: f for f in named}
 
 
