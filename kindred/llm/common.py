@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,49 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: counts in one row of a table of count vectors
+CHUNK = 1024
+
+
+def count_chunks(counts: np.ndarray) -> Iterable[tuple[int, bytes]]:
+    """A vector of counts as (chunk, bytes), without empty chunks."""
+    for at in range(0, len(counts), CHUNK):
+        part = counts[at : at + CHUNK]
+        if part.any():
+            yield at // CHUNK, part.astype(np.int64).tobytes()
+
+
+def added(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of the count vectors (column ``counts``) of equal keys.
+
+    Vectors arrive in key order and are added in a stream, so a task holds one of them, not one per
+    task before it.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.select(*keys, "counts").schema)
+    kinds = [parts.schema[k].dataType.simpleString() for k in keys]
+    types = [{"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[k] for k in kinds]
+
+    def merge(batches: Batches) -> Batches:
+        def row(key: tuple, total: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array([k], t) for k, t in zip(key, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([total.tobytes()], pa.binary())], [*keys, "counts"])
+
+        at, total = None, None
+        for batch in batches:
+            for *key, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = np.frombuffer(counts, np.int64)
+                if key == at:
+                    total = total + counts
+                    continue
+                if at is not None:
+                    yield row(at, total)
+                at, total = key, counts
+        if at is not None:
+            yield row(at, total)
+
+    return in_arrow(parts.select(*keys, "counts").repartition(*keys).sortWithinPartitions(*keys), merge, schema)
+
+
 def fold(doc_id: Column, k: int) -> Column:
     """The documented split: crc32 of the id's text, modulo k."""
     return F.crc32(doc_id.cast("string").cast("binary")) % k

@@ -7,8 +7,8 @@ reaches a fixed threshold. Nothing is sampled: equal texts always get equal verd
 open class, so with a growing corpus every bucket of words fills with rare ones and the ratios
 fade; short character sequences are nearly closed, and the same threshold separates at any size.
 
-Plan: one scan of all texts and one of the trusted ones leave at most one count per bucket and task,
-which are summed by a grouping. Which texts are trusted is settled by a join on the id, behind a
+Plan: one scan of all texts and one of the trusted ones leave one vector of counts per task, which are
+added up chunk by chunk. Which texts are trusted is settled by a join on the id, behind a
 Bloom filter of the trusted ids, so that other texts are not exchanged. The finished table of log ratios
 has ``2 ** bits`` entries whatever the corpus holds; it goes to the tasks of the last scan with the function.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.blocks import Block, char_grams, mix, repeated, row_blocks
 from kindred.llm.bloom import rows_with_ids
-from kindred.llm.common import Batches, columns_ddl, in_arrow, without
+from kindred.llm.common import CHUNK, Batches, added, columns_ddl, count_chunks, in_arrow, without
 
 #: hashed n-gram buckets, as a power of two
 BITS = 16
@@ -75,7 +75,7 @@ def base_counts(block: Block, words: tuple[np.ndarray, np.ndarray, np.ndarray],
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, bits: int = BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Corpus counts (bucket, raw, target) over all documents and all trusted ones.
+    """Corpus counts (target, chunk, counts) over all documents and, with ``target`` true, over all trusted ones.
 
     ``trusted`` holds ids; repeated ones count once, unknown and null ones not at all.
     """
@@ -87,23 +87,23 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, bits: int = BITS, text: s
         for _, block in row_blocks(batches, "_text"):
             bucket, _ = char_grams(*block.code_points(), GRAM, bits)
             total += np.bincount(bucket, minlength=1 << bits)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
+        chunks = list(count_chunks(total))
+        if chunks:
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in chunks], pa.int32()), "counts": [x for _, x in chunks]})
 
-    def counted(rows: DataFrame) -> DataFrame:
-        return in_arrow(rows.select("_text"), count, "bucket int, n long")
+    def counted(rows: DataFrame, target: bool) -> DataFrame:
+        return in_arrow(rows.select("_text"), count, "chunk int, counts binary").withColumn("target", F.lit(target))
 
-    none = F.lit(0).cast("long")
-    raw = counted(source).select("bucket", F.col("n").alias("raw"), none.alias("target"))
-    target = counted(rows_with_ids(source, "_id", ids)).select("bucket", none.alias("raw"), F.col("n").alias("target"))
-    return raw.unionByName(target).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    both = counted(source, False).unionByName(counted(rows_with_ids(source, "_id", ids), True))
+    return added(both, ["target", "chunk"])
 
 
 def log_ratios(counts: DataFrame, bits: int = BITS, prior: float = PRIOR) -> np.ndarray:
     """The table ln(target / raw) of all ``2 ** bits`` buckets; zero everywhere without trusted text."""
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    rows = counts.toPandas()
-    raw[rows.bucket], target[rows.bucket] = rows.raw, rows.target
+    sums = np.zeros((2, 1 << bits))
+    for target, chunk, part in counts.select("target", "chunk", "counts").toPandas().itertuples(index=False):
+        sums[int(target), chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part, np.int64)
+    raw, target = sums
     if not target.sum():
         return np.zeros(1 << bits)
     expected = raw * (target.sum() / raw.sum())
