@@ -1,8 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased and everything but letters becomes a blank; n-grams without a letter are skipped.
-Counts by language and bucket are made by every task for itself (one row per non-empty cell) and summed
-by a grouping. The matrix of log probabilities has languages x ``2 ** BITS`` entries, a size that
+Counts by language and bucket are made by every task for itself and added up chunk by chunk. The matrix of log probabilities has languages x ``2 ** BITS`` entries, a size that
 does not follow the corpus; it travels with the scoring function. A block of texts is
 scored by adding up one matrix column per n-gram.
 """
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.blocks import Block, char_grams, row_blocks
-from kindred.llm.common import Batches, columns_ddl, in_arrow, without
+from kindred.llm.common import CHUNK, Batches, added, columns_ddl, count_chunks, in_arrow, stored, without
 
 BITS, GRAMS, ALPHA, UNKNOWN = 15, (1, 2, 3), 0.5, "und"
 #: languages a model may have; more would not fit the matrix that every task holds
@@ -54,25 +53,27 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, bucket, n) over the rows with a language; bucket -1 counts the documents."""
+    """(lang, chunk, counts) over the rows with a language; chunk -1 counts the documents with a letter."""
 
     def count(batches: Batches) -> Batches:
-        cells: dict[str, np.ndarray] = {}
+        cells: dict[str, tuple[np.ndarray, int]] = {}
         for batch, block in row_blocks(batches, "_text"):
             bucket, of, has = features(block)
             langs = batch.column("_lang").to_numpy(zero_copy_only=False)
             for name in set(langs.tolist()):
                 mine = langs == name
-                n = np.bincount(bucket[mine[of]] + 1, minlength=(1 << BITS) + 1)
-                n[0] = (mine & has).sum()
-                cells[name] = cells.get(name, 0) + n
-        for name, n in cells.items():
-            seen = np.flatnonzero(n)
-            names = pa.array([name]).take(pa.array(np.zeros(len(seen), np.int64)))
-            yield pa.RecordBatch.from_arrays([names, pa.array((seen - 1).astype(np.int32)), pa.array(n[seen])], ["lang", "bucket", "n"])
+                n = np.bincount(bucket[mine[of]], minlength=1 << BITS)
+                total, documents = cells.get(name, (0, 0))
+                cells[name] = (total + n, documents + int((mine & has).sum()))
+        for name, (total, documents) in cells.items():
+            chunks = [*count_chunks(total), (-1, np.array([documents], np.int64).tobytes())]
+            names = pa.array([name] * len(chunks), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [names, pa.array([c for c, _ in chunks], pa.int32()), pa.array([x for _, x in chunks], pa.binary())], ["lang", "chunk", "counts"]
+            )
 
     rows = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).where("_lang is not null")
-    return in_arrow(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return added(in_arrow(rows, count, "lang string, chunk int, counts binary"), ["lang", "chunk"])
 
 
 @dataclass
@@ -85,21 +86,23 @@ class Model:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Count over all rows given; rows without language or letters teach nothing."""
-    rows = language_counts(docs, text, lang)
-    n_languages = rows.where("bucket = -1 and n > 0").select("lang").distinct().limit(MAX_LANGUAGES + 1).toPandas()
-    if len(n_languages) > MAX_LANGUAGES:
+    rows = stored(language_counts(docs, text, lang), "languages")
+    taught = rows.where("chunk = -1").limit(MAX_LANGUAGES + 1).toPandas()
+    if len(taught) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    cells = rows.toPandas()
-    languages = sorted(n_languages["lang"])
+    documents = {name: int(np.frombuffer(n, np.int64)[0]) for name, n in zip(taught["lang"], taught["counts"], strict=True)}
+    languages = sorted(name for name, n in documents.items() if n)
     place = {name: i for i, name in enumerate(languages)}
-    counts = np.zeros((len(languages), (1 << BITS) + 1))
-    cells = cells[cells["lang"].isin(languages)]
-    counts[cells["lang"].map(place), cells["bucket"] + 1] = cells["n"]
-    grams = counts[:, 1:] + ALPHA
+    counts = np.zeros((len(languages), 1 << BITS))
+    for name, chunk, part in rows.where("chunk >= 0").select("lang", "chunk", "counts").toPandas().itertuples(index=False):
+        if name in place:
+            counts[place[name], chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part, np.int64)
+    prior = np.array([documents[name] + 1 for name in languages], float)
+    grams = counts + ALPHA
     return Model(
         languages,
         np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32),
-        np.log((counts[:, 0] + 1) / (counts[:, 0] + 1).sum()) if languages else np.zeros(0),
+        np.log(prior / prior.sum()) if languages else prior,
     )
 
 
