@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.blocks import mix
-from kindred.llm.common import Batches, columns_ddl, in_arrow
+from kindred.llm.common import Batches, columns_ddl, in_arrow, stored
 
 #: bits set per row, and bits of a filter per expected row
 HASHES, BITS_PER_ROW = 4, 16
@@ -107,7 +107,7 @@ def passing(rows: DataFrame, column: str, filter_: np.ndarray, flag: str) -> Dat
 
 def _near(rows: DataFrame, column: str, ids: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """The rows with a flag whether a filter of the distinct ids lets them pass, and those ids."""
-    ids = ids.toDF("_wanted").where("_wanted is not null").distinct()
+    ids = stored(ids.toDF("_wanted").where("_wanted is not null").distinct(), "ids")
     hashed = ids.select(F.xxhash64("_wanted").alias("_hash"))
     once, _ = build(hashed, "_hash", size_for(ids.count(), max_bits))
     key = F.when(F.col(column).isNotNull(), F.xxhash64(column))
