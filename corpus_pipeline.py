@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,24 +21,43 @@ from kindred.llm.common import stored, table
 from kindred.llm.queries import packed_pieces, quality_labels
 
 
+#: columns that stages read or change
+OWN = ["doc_id", "text", "n_chars"]
+
+
+def beside_own(stage):
+    """The stage with all other columns carried along under plain names, so that none can clash with its own."""
+
+    @wraps(stage)
+    def guarded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in OWN else f"column_{i}" for i, c in enumerate(docs.columns)}
+        inner = docs.toDF(*names.values())
+        return stage(spark, inner, sf_dir).select(*names.values()).toDF(*names)
+
+    return guarded
+
+
+@beside_own
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels outside the held-out fifth; empty texts are scored like any other."""
-    model = subword_classifier.fit(docs.select("doc_id", "text"), quality_labels(spark, sf_dir))
-    return subword_classifier.score(docs, model).where("_score >= 0.3").select(*docs.columns)
+    model = subword_classifier.fit(docs, quality_labels(spark, sf_dir))
+    return subword_classifier.score(docs, model).where("_score >= 0.3")
 
 
+@beside_own
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"))
-    return quality_rules.quality_rules(docs, trusted).where("_kept").select(*docs.columns)
+    return quality_rules.quality_rules(docs, trusted).where("_kept")
 
 
+@beside_own
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``n_chars`` follows the shortened text."""
     out = line_dedup.drop_lines(docs)
-    changed = F.col("_n_dropped") > 0
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
+@beside_own
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact copies and documents linked over any number of steps are one group."""
     found = jaccard_join.jaccard_join(docs)

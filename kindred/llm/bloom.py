@@ -107,11 +107,11 @@ def passing(rows: DataFrame, column: str, filter_: np.ndarray, flag: str) -> Dat
 
 def _near(rows: DataFrame, column: str, ids: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """The rows with a flag whether a filter of the distinct ids lets them pass, and those ids."""
-    ids = stored(ids.toDF("_wanted").where("_wanted is not null").distinct(), "ids")
-    hashed = ids.select(F.xxhash64("_wanted").alias("_hash"))
-    once, _ = build(hashed, "_hash", size_for(ids.count(), max_bits))
+    ids = stored(ids.toDF("_bloom_id").where("_bloom_id is not null").distinct(), "ids")
+    hashed = ids.select(F.xxhash64("_bloom_id").alias("_bloom_hash"))
+    once, _ = build(hashed, "_bloom_hash", size_for(ids.count(), max_bits))
     key = F.when(F.col(column).isNotNull(), F.xxhash64(column))
-    return passing(rows.withColumn("_hash", key), "_hash", once, "_near").drop("_hash"), ids
+    return passing(rows.withColumn("_bloom_hash", key), "_bloom_hash", once, "_bloom_near").drop("_bloom_hash"), ids
 
 
 def rows_with_ids(rows: DataFrame, column: str, ids: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -120,13 +120,13 @@ def rows_with_ids(rows: DataFrame, column: str, ids: DataFrame, max_bits: int =
     Wide rows are not exchanged unless a filter of the ids lets them pass; the join decides.
     """
     flagged, ids = _near(rows, column, ids, max_bits)
-    near = flagged.where("_near").drop("_near")
-    return near.hint("merge").join(ids, F.col(column) == F.col("_wanted"), "left_semi")
+    near = flagged.where("_bloom_near").drop("_bloom_near")
+    return near.hint("merge").join(ids, F.col(column) == F.col("_bloom_id"), "left_semi")
 
 
 def rows_without_ids(rows: DataFrame, column: str, ids: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The other rows; those that the filter stops pass straight through."""
     flagged, ids = _near(rows, column, ids, max_bits)
-    near = flagged.where("_near").drop("_near")
-    rest = near.hint("merge").join(ids, F.col(column) == F.col("_wanted"), "left_anti")
-    return flagged.where("not _near").drop("_near").unionByName(rest)
+    near = flagged.where("_bloom_near").drop("_bloom_near")
+    rest = near.hint("merge").join(ids, F.col(column) == F.col("_bloom_id"), "left_anti")
+    return flagged.where("not _bloom_near").drop("_bloom_near").unionByName(rest)
