@@ -22,13 +22,24 @@ from pyspark.sql import functions as F
 
 from kindred.llm.blocks import row_blocks
 from kindred.llm.common import Batches, columns_ddl, in_arrow, stored
-from kindred.llm.tokens import encoder
+from kindred.llm.tokens import BLOCK_BYTES, encoder
 
 CAPACITY = 2048
+#: most room that an exchange may leave, one plan each
+ROOMS = (0, 4, 32, 256, 1 << 30)
 
 
 def plan_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Bins as (lengths, repetitions) that use up ``counts`` (pieces by length, index 0 to capacity)."""
+    """Bins as (lengths, repetitions) that use up ``counts`` (pieces by length, index 0 to capacity).
+
+    An exchange spends short pieces that later bins may need, so several plans are made, in which it must leave
+    at most so much room; the one with the fewest bins is taken.
+    """
+    plans = [_plan(counts, capacity, room) for room in ROOMS]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(counts: np.ndarray, capacity: int, most_room: int) -> list[tuple[list[int], int]]:
     left = counts.astype(np.int64).copy()
     plan = []
     while left.any():
@@ -48,7 +59,7 @@ def plan_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[i
         while room and bin_:
             smallest = bin_[-1]
             pair = _best_pair(left, room + smallest)
-            if pair is None or sum(pair) <= smallest:
+            if pair is None or sum(pair) <= smallest or room + smallest - sum(pair) > most_room:
                 break
             bin_.pop()
             left[smallest] += 1
@@ -110,8 +121,8 @@ def tokenized(docs: DataFrame, tokenizer: str, glue: bool, end_id: int, capacity
     def rows(batches: Batches) -> Batches:
         part, seen, row = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), 0
         enc = encoder(tokenizer, glue)
-        for batch, block in row_blocks(batches, "text"):
-            ids, offsets = enc.encode(block.texts.to_pylist(), end_id)
+        for batch, block in row_blocks(batches, "text", BLOCK_BYTES):
+            ids, offsets = enc.encode(block.texts, end_id)
             n = np.diff(offsets)
             per = -(-n // capacity)
             of = np.repeat(np.arange(len(n)), per)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.blocks import row_blocks
 from kindred.llm.common import Batches, in_arrow
-from kindred.llm.tokens import encoder
+from kindred.llm.tokens import BLOCK_BYTES, encoder
 
 #: a file is closed when it has reached this size; bytes read at a time
 FILE_BYTES, READ_BYTES = 256 << 20, 4 << 20
@@ -142,12 +142,12 @@ def write_records(
         store, at = fs.FileSystem.from_uri(folder)
         out, name, position, before = None, "", 0, 0
         try:
-            for batch, block in row_blocks(batches, "text"):
+            for batch, block in row_blocks(batches, "text", BLOCK_BYTES):
                 if out is None:
                     name, position = f"part-{part:05d}-{uuid.uuid4().hex}.rec", 0
                     store.create_dir(at, recursive=True)
                     out = store.open_output_stream(f"{at}/{name}")
-                ids, offsets = enc.encode(block.texts.to_pylist(), end_id)
+                ids, offsets = enc.encode(block.texts, end_id)
                 n = np.diff(offsets)
                 keys = batch.column("doc_id").to_numpy()
                 data = ids.astype(enc.dtype)

@@ -1,20 +1,31 @@
 """Token ids by the tokenizers library, with a bounded cache of what it said.
 
-Texts are cut where the tokenizer cuts them anyway, each distinct piece is encoded by the library once,
-and the ids are put together with array operations. The cuts are exact for the two kinds of
-pre-tokenizer handled here; ``test_tokens.py`` holds them against whole-text encoding.
+Texts are cut at blanks where the tokenizer cuts them anyway, each distinct piece is encoded by the library
+once, and the ids are put together with array operations. The cuts are exact for the two kinds of
+pre-tokenizer handled here; the tests hold them against whole-text encoding.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: characters of distinct pieces to remember; when more come, the cache starts anew
-CACHE_CHARS = 4_000_000
-_UNEVEN = re.compile(r"\s | \s")
+CACHE_CHARS = 12_000_000
+#: bytes of text at a time
+BLOCK_BYTES = 4 << 20
+#: pieces handed to the library at a time
+_TOGETHER = 1000
+# a blank between white space, or at the end behind white space: the pre-tokenizer joins such runs
+_UNEVEN = r"[\s\x0B\x1C-\x1F\x{85}\pZ] (?:[\s\x0B\x1C-\x1F\x{85}\pZ]|$)"
+# ASCII marks: a run of them behind a letter or digit is a pre-token of its own
+_MARKS = string.punctuation
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -30,48 +41,106 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.splitter = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.glue = glue
+        # what holds pieces apart when many are encoded in one call, and its id
+        if glue:
+            special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and len(t.content) > 2]
+            self.mark, self.mark_id = special[0] if special else (None, -1)
+            self.taboo = self.mark[:2] if special else None
+        else:
+            ids = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+            self.mark, self.mark_id = (" \x01 ", ids[0]) if len(ids) == 1 else (None, -1)
+            self.taboo = "\x01"
         self._clear()
 
     def _clear(self) -> None:
-        self._place: dict[str, int] = {}
+        # places of pieces by what they spell, and by what follows their leading blank
+        self._whole: dict[str, int] = {}
+        self._behind_blank: dict[str, int] = {}
         self._pool, self._ends, self._chars = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
 
-    def _pieces(self, text: str) -> list[str]:
+    def _library(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece. Many pieces go in one call, held apart by a mark that they do not hold themselves."""
+        alone = [p for p in pieces if self.mark is None or self.taboo in p]
+        out = {p: e.ids for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+        rest = [p for p in pieces if p not in out]
+        library = self.splitter if self.glue else self.tokenizer
+        for k in range(0, len(rest), _TOGETHER):
+            some = rest[k : k + _TOGETHER]
+            ids = library.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids
+            cut = np.flatnonzero(np.array(ids) == self.mark_id).tolist()
+            out.update((p, ids[a:b]) for p, a, b in zip(some, [0, *(c + 1 for c in cut)], [*cut, len(ids)], strict=True))
+        return [out[p] for p in pieces]
+
+    def _places(self, pieces: list[str], known: dict[str, int], blank: str) -> list[int]:
+        """Where the ids of the pieces lie in the pool; new pieces are learnt."""
+        new = [p for p in set(pieces) if p not in known]
+        if new:
+            ids = self._library([blank + p for p in new])
+            n = len(self._ends) - 1
+            known.update(zip(new, range(n, n + len(new)), strict=True))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+            self._pool = np.concatenate([self._pool, flat])
+            self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum([len(i) for i in ids])])
+            self._chars += sum(map(len, new))
+        return [known[p] for p in pieces]
+
+    def _parted(self, pieces: list[str], known: dict[str, int], blank: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of distinct pieces, one after the other, and how many each has: marks at the end stand alone."""
+        stems, tails, two = [], [], np.ones(len(pieces), np.int64)
+        for i, p in enumerate(pieces):
+            stem = p.rstrip(_MARKS)
+            if stem and stem[-1].isalnum() and len(stem) < len(p):
+                stems.append(stem)
+                tails.append(p[len(stem) :])
+                two[i] = 2
+            else:
+                stems.append(p)
+        at = np.empty(int(two.sum()), np.int64)
+        first = np.cumsum(two) - two
+        at[first] = self._places(stems, known, blank)
+        at[first[two == 2] + 1] = self._places(tails, self._whole, "")
+        return at, two
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pieces of all texts, and the number of pieces of each text."""
+        lists = pc.split_pattern(texts if self.glue else pc.replace_substring(texts, "\n", " "), " ")
+        count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if not self.glue:
-            return [p for p in text.replace("\n", " ").split(" ") if p]
-        if _UNEVEN.search(text):
-            return _SAFE_CUT.split(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [f" {p}" for p in rest]
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self._place]
-        if not new:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        n = len(self._ends) - 1
-        self._place.update(zip(new, range(n, n + len(new)), strict=True))
-        self._pool = np.concatenate([self._pool, *(np.array(i, np.uint32) for i in ids)])
-        self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum([len(i) for i in ids])])
-        self._chars += sum(map(len, new))
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+            return _expanded(*self._parted(pieces, self._whole, ""), index, count)
+        # the first piece of a text has no blank before it
+        first = np.cumsum(count) - count
+        opening, which = np.unique(index[first], return_inverse=True)
+        inner, n_inner = self._parted(pieces, self._behind_blank, " ")
+        outer, n_outer = self._parted([pieces[i] for i in opening], self._whole, "")
+        index = index.astype(np.int64)
+        index[first] = len(pieces) + which
+        at, count = _expanded(np.concatenate([inner, outer]), np.concatenate([n_inner, n_outer]), index, count)
+        uneven = np.flatnonzero(pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False))
+        if not len(uneven):
+            return at, count
+        parts = np.split(at, np.cumsum(count)[:-1])
+        for i in uneven:
+            parts[i] = np.array(self._places(_SAFE_CUT.split(texts[i].as_py()), self._whole, ""), np.int64)
+            count[i] = len(parts[i])
+        return np.concatenate(parts), count
+
+    def encode(self, texts: list[str] | pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the offsets of the texts."""
         if self._chars > CACHE_CHARS:
             self._clear()
-        cut = [self._pieces(t) for t in texts]
-        flat = [p for pieces in cut for p in pieces]
-        self._learn(set(flat))
-        at = np.fromiter(map(self._place.__getitem__, flat), np.int64, len(flat))
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        at, count = self._cut(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
         start, n = self._ends[at], self._ends[at + 1] - self._ends[at]
         done = np.concatenate([[0], np.cumsum(n)])
         own = self._pool[np.repeat(start - done[:-1], n) + np.arange(done[-1])]
-        inner = done[np.concatenate([[0], np.cumsum([len(p) for p in cut])]).astype(np.int64)]
-        offsets = inner + np.arange(len(inner))
+        offsets = done[np.concatenate([[0], np.cumsum(count)])] + np.arange(len(texts) + 1)
         ids = np.full(offsets[-1], end_id, np.uint32)
         keep = np.ones(len(ids), bool)
         keep[offsets[1:] - 1] = False
@@ -79,6 +148,16 @@ class Encoder:
         return ids, offsets
 
 
+def _expanded(places: np.ndarray, many: np.ndarray, index: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all occurrences (``index``: which distinct piece), and their number per text."""
+    first = np.cumsum(many) - many
+    n = many[index]
+    ends = np.cumsum(n)
+    at = places[np.repeat(first[index] - (ends - n), n) + np.arange(ends[-1])]
+    done = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
+    return at, np.diff(done)
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
