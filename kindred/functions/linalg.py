@@ -18,13 +18,31 @@ def pair_rng(seed: int, a: str, b: str) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(digest, "big"))
 
 
+def _range_basis(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nonzero eigenvalues of X'X and V with X V orthonormal; nonzero is relative to the largest one."""
+    w, v = np.linalg.eigh((gram + gram.T) / 2)
+    keep = w > max(w[-1], 0.0) * 1e-13 if len(w) else np.zeros(0, bool)
+    return w[keep], v[:, keep] / np.sqrt(w[keep])
+
+
 def common_core(aa: np.ndarray, bb: np.ndarray, ab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Core form of XX' and YY' out of X'X, Y'Y and X'Y."""
-    p = len(aa)
-    w, v = np.linalg.eigh(np.block([[aa, ab], [ab.T, bb]]))
-    keep = w > max(w[-1], 0.0) * 1e-13
-    root = (v[:, keep] * np.sqrt(w[keep])).T
-    return root[:, :p] @ root[:, :p].T, root[:, p:] @ root[:, p:].T
+    """Core form of XX' and YY' out of X'X, Y'Y and X'Y.
+
+    The basis is that of the range of X and of what the range of Y has beside it. Both ranges are found from
+    their own matrix alone, so a common or separate scale of X and Y cancels.
+    """
+    (wa, va), (wb, vb) = _range_basis(aa), _range_basis(bb)
+    cosines = va.T @ ab @ vb
+    # Y's basis is X's basis times the cosines, plus what is left over: its Gram matrix is 1 - C'C
+    u, sigma, vt = np.linalg.svd(cosines, full_matrices=True)
+    rest = np.ones(len(wb))
+    rest[: len(sigma)] = 1 - np.minimum(sigma, 1) ** 2
+    beside = rest > 1e-13
+    left = np.sqrt(rest[beside])[:, None] * vt[beside]
+    full = np.vstack([cosines, left])
+    core = np.zeros((len(full), len(full)))
+    core[: len(wa), : len(wa)] = np.diag(wa)
+    return core, (full * wb) @ full.T
 
 
 def center(k: np.ndarray) -> np.ndarray:

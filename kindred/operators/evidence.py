@@ -174,6 +174,8 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     plain = q / shared[:, None]
                     k = (plain * lam) @ plain.T
                     ll[slow] = _general(k, y[slow], own, s[slow], nu[slow])
+                # a channel without a single response holds no evidence for any model
+                ll = np.where(np.isfinite(y).any(axis=1), ll, np.nan)
                 yield pd.DataFrame({"voxel": voxels, "model": row.model, "noise_id": noise_id, "ll": ll})
 
 
@@ -269,14 +271,19 @@ def posterior(log_posts: DataFrame) -> DataFrame:
 
 
 def winner_counts(log_posts: DataFrame, order: str = "model") -> DataFrame:
-    """``(model, n_voxels)`` for the models that win somewhere; the first of equals wins."""
-    best = log_posts.groupBy("voxel").agg(F.max("log_post").alias("_best"))
-    ties = log_posts.join(best, "voxel").where(F.col("log_post") == F.col("_best"))
-    winners = ties.groupBy("voxel").agg(F.min_by("model", order).alias("model"))
+    """``(model, n_voxels)`` for the models that win somewhere; the first of equals wins.
+
+    Channels without evidence (NULL throughout) have no winner.
+    """
+    known = log_posts.where("log_post is not null")
+    winners = known.groupBy("voxel").agg(F.min_by("model", F.struct(-F.col("log_post"), F.col(order))).alias("model"))
     return winners.groupBy("model").agg(F.count(F.lit(1)).alias("n_voxels"))
 
 
 def boxplot(log_posts: DataFrame, models: int | None = None) -> DataFrame:
-    """``(model, n, whisker_lo, q1, median, q3, whisker_hi)`` with whiskers at the extremes."""
+    """``(model, n, whisker_lo, q1, median, q3, whisker_hi)`` with whiskers at the extremes.
+
+    Rows without evidence are left out.
+    """
     probs = {"whisker_lo": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "whisker_hi": 1.0}
-    return quantiles(log_posts.select("model", "log_post"), ["model"], "log_post", probs, groups=models)
+    return quantiles(log_posts.select("model", "log_post").where("log_post is not null"), ["model"], "log_post", probs, groups=models)

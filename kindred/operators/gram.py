@@ -12,46 +12,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.scalars import noise_level
-from kindred.operators.moments import outer_sums
+from kindred.operators.moments import complete, outer_sums
 from kindred.session import scratch_path
 
-#: largest matrix a single task is asked to hold: 4096² doubles are 128 MB
-MAX_DIM = 4096
-
 
 def stimulus_index(df: DataFrame, stim: str = "stim") -> DataFrame:
     """``(stim, i)``: the distinct stimuli in their natural order.
 
-    The list is as long as a side of the matrix; more than ``MAX_DIM`` fail.
+    The list is one side of a matrix whose cells are rows, so numbering it in one task is the lesser part
+    of any work with that matrix.
     """
-    distinct = df.select(F.col(stim).alias("stim")).distinct()
-    number = F.row_number().over(Window.orderBy("stim"))
-    too_many = F.raise_error(F.lit(f"more than {MAX_DIM} stimuli: use compare_layers")).cast("int")
-    return distinct.withColumn("n", number).select(
-        "stim", F.when(F.col("n") <= MAX_DIM, F.col("n") - 1).otherwise(too_many).alias("i")
-    )
+    number = F.row_number().over(Window.orderBy("stim")) - 1
+    return df.select(F.col(stim).alias("stim")).distinct().withColumn("i", number)
 
 
-def gram_from_features(acts: DataFrame, index: DataFrame | None = None, dim: int | None = None) -> DataFrame:
-    """Uncentred second moments of ``acts (layer, stim, feat, v)``.
+def gram_cells(acts: DataFrame, index: DataFrame, dim: int) -> DataFrame:
+    """``(layer, i, j, v)`` of the upper triangle; without zero cells if the matrix is large.
 
     Rows are brought together by (layer, feature), which spreads evenly and
     grows with the features; each task adds up its features' outer products and
-    only these sums are exchanged.  Absent cells count as zero.
+    only these sums are exchanged. An activation given twice is an error.
     """
-    index = stimulus_index(acts) if index is None else index
-    if dim is None:
-        dim = index.count()
-    if dim > MAX_DIM:
-        raise ValueError(f"{dim} stimuli: compare the layers in feature space instead (compare_layers)")
-    # at most MAX_DIM rows; without the hint the activations would be shuffled
-    # by stimulus, of which there are few
     vectors = (
-        acts.join(F.broadcast(index), "stim")
+        acts.join(index, "stim")
         .groupBy("layer", "feat")
         .agg(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v"))).alias("x"))
     )
-    return mirror(outer_sums(vectors, "x", dim, key="layer", sparse=True).withColumnsRenamed({"key": "layer", "s": "v"}))
+    return outer_sums(vectors, "x", dim, key="layer", sparse=True).withColumnsRenamed({"key": "layer", "s": "v"})
+
+
+def gram_from_features(acts: DataFrame, index: DataFrame | None = None, dim: int | None = None) -> DataFrame:
+    """Uncentred second moments of ``acts (layer, stim, feat, v)``, for any number of stimuli.
+
+    Absent activations count as zero; a stimulus that the index lacks is left out. The result has every cell.
+    """
+    index = stimulus_index(acts) if index is None else index
+    if dim is None:
+        dim = index.count()
+    cells = gram_cells(acts, index, dim)
+    if not complete(dim):
+        rows = acts.select("layer").distinct().join(index.select("i"))
+        zeros = rows.select("layer", "i", F.explode(F.sequence(F.col("i"), F.lit(dim - 1))).alias("j"), F.lit(0.0).alias("v"))
+        cells = cells.unionByName(zeros).groupBy("layer", "i", "j").agg(F.sum("v").alias("v"))
+    return mirror(cells)
 
 
 def mirror(upper: DataFrame) -> DataFrame:
@@ -154,6 +157,19 @@ def require_comparable(gram: DataFrame) -> DataFrame:
     return gram
 
 
+def one_size(gram: DataFrame) -> DataFrame:
+    """The same cells; reading them fails unless all matrices are square and of one size.
+
+    One row with the sizes meets every cell, so no job of its own is needed.
+    """
+    facts = gram.groupBy("layer").agg(F.count(F.lit(1)).alias("cells"), F.greatest(F.max("i"), F.max("j")).alias("last"))
+    side = F.col("last").cast("long") + 1
+    sizes = facts.agg((F.min("last") == F.max("last")).alias("equal"), F.bool_and(F.col("cells") == side * side).alias("square"))
+    wrong = F.raise_error(F.lit("matrices must be square and of one size")).cast("double")
+    checked = F.when(F.col("equal") & F.col("square"), F.col("v")).otherwise(wrong)
+    return gram.join(F.broadcast(sizes)).select("layer", "i", "j", checked.alias("v"))
+
+
 def condition(
     gram: DataFrame, noise_var: float | None = None, b: float = 0.01, normalize: bool = True
 ) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kindred.functions import linalg as la
 from kindred.functions.pair_measures import Conditioned
 from kindred.functions.scalars import clamp_cosine
-from kindred.operators.gram import condition, cosine_similarity, double_center, layer_pairs, pack, require_comparable, squared_distances
+from kindred.operators.gram import condition, cosine_similarity, double_center, layer_pairs, one_size, pack, require_comparable, squared_distances
 from kindred.operators.ranks import average_ranks
 from kindred.plans.registry import Measure, Params, evaluate, resolve_all
 from kindred.schema import DIST
@@ -160,15 +160,15 @@ def compare_gram(
 
     ``means (layer, mu)`` are optional mean vectors for the distribution
     measures; a layer without one has mean zero.  ``todo (a, b)`` restricts the
-    work.  ``check`` inspects every matrix first, at the price of a job of its
-    own; without it, only measures on whole matrices notice asymmetry.  Options
+    work.  Matrices of unequal size always fail.  ``check`` inspects symmetry first, at
+    the price of a job of its own; without it, only measures on whole matrices notice it.  Options
     are those of :class:`kindred.plans.registry.Params`.
     """
     wanted, params = resolve_all(measures), Params(**options)
     params.check(wanted)
     if check:
         require_comparable(gram)
-    ready = condition(gram, params.noise_var, params.b, params.normalize)
+    ready = condition(one_size(gram), params.noise_var, params.b, params.normalize)
     parts = []
     dense = [m for m in wanted if m.family in ("spectral", "gaussian", "sampled")]
     if dense:

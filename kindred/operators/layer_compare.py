@@ -23,7 +23,6 @@ from kindred.operators import stimulus_pairs
 from kindred.operators.moments import outer_sums
 from kindred.plans.registry import MEASURES, Measure, Params, evaluate, resolve_all
 from kindred.schema import DIST
-from kindred.session import BROADCAST_LIMIT
 from kindred.sources.activations import Layers
 
 
@@ -33,26 +32,38 @@ def _layout(layers: Layers) -> list[np.ndarray]:
     return [np.append(np.arange(lo, hi), ends[-1] + i) for i, (lo, hi) in enumerate(zip(ends, ends[1:]))]
 
 
-def layer_moments(layers: Layers) -> DataFrame:
-    """``(i, j, s)``: second moments of (1, all features, squared norm per layer)."""
+#: rows from which the pilot means are taken
+PILOT_ROWS = 64
+
+
+def pilot_means(layers: Layers) -> np.ndarray:
+    """A rough mean of every feature, from a few rows.
+
+    Moments are taken about it: their sums then stay as small as the spread of the features, and sums of squared
+    distances do not lose their digits to a common offset. Any value is right, a near one is accurate.
+    """
+    total = sum(layers.widths[n] for n in layers.names)
+    rows = [np.asarray(r["x"], float) for r in layers.wide().select("x").limit(PILOT_ROWS).collect()]
+    return np.mean(rows, axis=0) if rows else np.zeros(total)
+
+
+def layer_moments(layers: Layers, pilot: np.ndarray | None = None) -> DataFrame:
+    """``(i, j, s)``: second moments of (1, all features less the pilot, squared norm per layer)."""
     widths = [layers.widths[n] for n in layers.names]
     total = sum(widths)
-    if (total + len(widths) + 1) ** 2 * 8 > BROADCAST_LIMIT:
-        raise ValueError(
-            f"{total} features in all exceed what one task may accumulate; "
-            "use gram_from_features, which is linear in the features"
-        )
     starts = np.cumsum([0] + widths[:-1])
+    shift = np.zeros(total) if pilot is None else pilot
 
     def augment(block: np.ndarray) -> np.ndarray:
+        block = block - shift
         norms = np.add.reduceat(block * block, starts, axis=1)
         return np.hstack([np.ones((len(block), 1)), block, norms])
 
     return outer_sums(layers.wide(), "x", total, augment=augment)
 
 
-def pair_moments(layers: Layers) -> DataFrame:
-    """``(a, b, cells)``: for every layer pair, the moments that concern it.
+def pair_moments(layers: Layers, pilot: np.ndarray | None = None) -> DataFrame:
+    """``(a, b, i, j, s)``: for every layer pair, the moments that concern it, as three arrays.
 
     Each cell is sent to the pairs that need it, so one exchange of the (tiny)
     moment table replaces a five-way self-join of it.
@@ -64,7 +75,7 @@ def pair_moments(layers: Layers) -> DataFrame:
         for position in ix:
             owner[position] = layer
     owners = F.array(*[F.lit(o) for o in owner])
-    m = layer_moments(layers).select(
+    m = layer_moments(layers, pilot).select(
         "i", "j", "s", F.get(owners, F.col("i")).alias("la"), F.get(owners, F.col("j")).alias("lb")
     )
     everyone = F.sequence(F.lit(0), F.lit(count - 1))
@@ -83,7 +94,8 @@ def pair_moments(layers: Layers) -> DataFrame:
     return (
         m.withColumn("pair", F.explode(F.when(crossing, own).otherwise(partners)))
         .groupBy("pair.a", "pair.b")
-        .agg(F.collect_list(F.struct("i", "j", "s")).alias("cells"))
+        .agg(F.collect_list(F.struct("i", "j", "s")).alias("c"))
+        .select("a", "b", F.col("c.i").alias("i"), F.col("c.j").alias("j"), F.col("c.s").alias("s"))
     )
 
 
@@ -124,23 +136,28 @@ def _rsa(measure: str, n: int, sums, scale1: float, scale2: float, nu: float) ->
     return float(np.arccos(c)) if measure == "rsaarccos" else float(c)
 
 
-def _pair_kernel(names: list[str], layout: list[np.ndarray], measures: list[Measure], params: Params):
-    def one(a: int, b: int, cells) -> Iterator[tuple[str, float | None]]:
+def _pair_kernel(names: list[str], layout: list[np.ndarray], pilot: np.ndarray, measures: list[Measure], params: Params):
+    def one(a: int, b: int, i, j, values) -> Iterator[tuple[str, float | None]]:
         ix, iy = layout[a], layout[b]
         index = np.concatenate([[0], ix, iy])
         order = np.sort(index)
         rank = np.searchsorted(order, index)
         t = np.zeros((len(index), len(index)))
-        i = np.searchsorted(order, [c["i"] for c in cells])
-        j = np.searchsorted(order, [c["j"] for c in cells])
-        t[i, j] = t[j, i] = [c["s"] for c in cells]
+        i, j = np.searchsorted(order, i), np.searchsorted(order, j)
+        t[i, j] = t[j, i] = values
         t = t[np.ix_(rank, rank)]
         p = len(ix) - 1
         x, nx = slice(1, 1 + p), 1 + p
         y, ny = slice(2 + p, len(index) - 1), len(index) - 1
         n = int(round(t[0, 0]))
         aa, bb, ab, sx, sy = t[x, x], t[y, y], t[x, y], t[0, x], t[0, y]
-        tr1, tr2 = t[0, nx], t[0, ny]
+        # moments about zero from those about the pilot
+        c, d = pilot[ix[:-1] - 1], pilot[iy[:-1] - 1]
+        whole = [
+            m + np.outer(s1, c2) + np.outer(c1, s2) + n * np.outer(c1, c2)
+            for m, s1, s2, c1, c2 in ((aa, sx, sx, c, c), (bb, sy, sy, d, d), (ab, sx, sy, c, d))
+        ]
+        tr1, tr2 = float(np.trace(whole[0])), float(np.trace(whole[1]))
         nu = noise_level(n, params.noise_var, params.b)
         signal = 1 - nu if (params.b or params.noise_var is not None) else 1.0
         scale1 = signal * (n / tr1 if params.normalize else 1.0)
@@ -157,7 +174,7 @@ def _pair_kernel(names: list[str], layout: list[np.ndarray], measures: list[Meas
                 if m.name in ("rsacorr", "rsacos", "rsaarccos"):
                     if sums is None:
                         sums = _squared_distance_sums(
-                            n, aa, bb, ab, sx, sy, tr1, tr2, t[nx, nx], t[ny, ny], t[nx, ny],
+                            n, aa, bb, ab, sx, sy, t[0, nx], t[0, ny], t[nx, nx], t[ny, ny], t[nx, ny],
                             t[nx, x], t[nx, y], t[ny, x], t[ny, y],
                         )
                     value = _rsa(m.name, n, sums, scale1, scale2, nu)
@@ -169,7 +186,7 @@ def _pair_kernel(names: list[str], layout: list[np.ndarray], measures: list[Meas
                     value = evaluate(m, centred, params, None)
                 else:
                     if plain is None:
-                        plain = conditioned(aa, bb, ab, n)
+                        plain = conditioned(*whole, n)
                     if m.family in ("gaussian", "sampled") and plain.extra and not nu:
                         raise np.linalg.LinAlgError("singular without noise")
                     rng = la.pair_rng(params.seed, names[a], names[b]) if m.family == "sampled" else None
@@ -182,8 +199,8 @@ def _pair_kernel(names: list[str], layout: list[np.ndarray], measures: list[Meas
         for batch in batches:
             rows = [
                 (name, names[a], names[b], value)
-                for a, b, cells in zip(batch["a"], batch["b"], batch["cells"])
-                for name, value in one(a, b, cells)
+                for a, b, *cells in zip(batch["a"], batch["b"], batch["i"], batch["j"], batch["s"])
+                for name, value in one(a, b, *cells)
             ]
             yield pd.DataFrame(rows, columns=["measure", "a", "b", "value"]).astype({"value": "float64"})
 
@@ -206,13 +223,16 @@ def compare_layers(layers: Layers, measures, todo: DataFrame | None = None, **op
     algebraic = [m for m in wanted if m.family not in ("rank", "neighbour")]
     if algebraic:
         names = layers.names
-        pairs = pair_moments(layers)
+        pilot = pilot_means(layers)
+        pairs = pair_moments(layers, pilot)
         if todo is not None:
             lookup = F.array(*[F.lit(n) for n in names])
             keys = todo.select(F.col("a").alias("ta"), F.col("b").alias("tb")).distinct()
             same = (F.get(lookup, F.col("a")) == F.col("ta")) & (F.get(lookup, F.col("b")) == F.col("tb"))
             pairs = pairs.join(keys, same, "left_semi")
-        parts.append(pairs.mapInPandas(_pair_kernel(names, _layout(layers), algebraic, params), DIST))
+        # a few rows, each with a decomposition to compute: spread them whatever their size
+        pairs = pairs.repartition(min(len(names) * (len(names) - 1) // 2, 4 * layers.df.sparkSession.sparkContext.defaultParallelism), "a", "b")
+        parts.append(pairs.mapInPandas(_pair_kernel(names, _layout(layers), pilot, algebraic, params), DIST))
     if MEASURES["rsarank"] in wanted:
         parts.append(_restrict(stimulus_pairs.rank_similarity(layers), todo))
     if MEASURES["jaccard"] in wanted:

@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: accumulated cells a task may hold before it emits partial sums early
+#: cells of numbers a task holds: of its buffered rows, and of its sums
 _MAX_CELLS = 16_000_000
+#: side of the tiles in which larger matrices are formed
+_TILE = 2048
 
 
 def _dense(batch: pa.RecordBatch, width: int) -> np.ndarray:
@@ -25,42 +27,108 @@ def _dense(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(batch.num_rows, width).astype(np.float64, copy=False)
 
 
-def _scattered(batch: pa.RecordBatch, width: int) -> np.ndarray:
+def _entries(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and value of sparse rows, in this order; a position given twice is an error."""
     entries = batch.column(batch.num_columns - 1)
     rows = np.repeat(np.arange(batch.num_rows), entries.value_lengths().to_numpy(zero_copy_only=False))
     flat = entries.flatten()
-    block = np.zeros((batch.num_rows, width))
-    block[rows, flat.field(0).to_numpy(zero_copy_only=False)] = flat.field(1).to_numpy(zero_copy_only=False)
-    return block
+    at = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    value = flat.field(1).to_numpy(zero_copy_only=False)
+    order = np.lexsort((at, rows))
+    rows, at, value = rows[order], at[order], value[order]
+    if ((rows[1:] == rows[:-1]) & (at[1:] == at[:-1])).any():
+        raise ValueError("an activation is given more than once for a layer, stimulus and feature")
+    return rows, at, value
+
+
+def _sparse_products(rows: np.ndarray, at: np.ndarray, value: np.ndarray, width: int):
+    """``(i, j, s)`` of the products inside rows, i <= j, some millions of products at a time."""
+    ends = np.searchsorted(rows, rows, side="right")
+    count = ends - np.arange(len(rows))
+    total = np.cumsum(count)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _MAX_CELLS // 4, side="right")))
+        n = count[lo:hi]
+        first = np.repeat(np.arange(lo, hi), n)
+        second = first + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        key, which = np.unique(at[first] * width + at[second], return_inverse=True)
+        yield key // width, key % width, np.bincount(which, value[first] * value[second])
+        lo = hi
+
+
+def _tiles(z: np.ndarray):
+    """``(i, j, s)`` of the upper triangle of z'z, tile by tile, without its zeros."""
+    for r in range(0, z.shape[1], _TILE):
+        for c in range(r, z.shape[1], _TILE):
+            part = z[:, r : r + _TILE].T @ z[:, c : c + _TILE]
+            if r == c:
+                part = np.triu(part)
+            i, j = np.nonzero(part)
+            yield i + r, j + c, part[i, j]
 
 
 def _outer_sums(width: int, augment: Callable | None, keyed: bool, sparse: bool = False):
+    """Partial sums of one task.
+
+    Rows are buffered up to a fixed number of cells. As long as the sums fit, they are kept to the end of
+    the task; else they leave with each full buffer, so their number follows the data, not the number of
+    Arrow batches. Matrices that alone exceed the limit leave in tiles, without zeros.
+    """
     rows_at_once = max(1, _MAX_CELLS // width)
 
+    def batch_of(key, i, j, s) -> pa.RecordBatch:
+        columns, names = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(s, pa.float64())], ["i", "j", "s"]
+        if keyed:
+            columns.insert(0, pa.array([key] * len(i), pa.string()))
+            names.insert(0, "key")
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(lo, rows_at_once)
+                if held and rows + part.num_rows > rows_at_once:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, rows = [], 0
+                held.append(part)
+                rows += part.num_rows
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
 
         def emit():
             for key, total in sums.items():
                 rows, cols = np.triu_indices(len(total))
-                columns = [pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), pa.array(total[rows, cols])]
-                names = ["i", "j", "s"]
-                if keyed:
-                    columns.insert(0, pa.array([key] * len(rows), pa.string()))
-                    names.insert(0, "key")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield batch_of(key, rows, cols, total[rows, cols])
             sums.clear()
 
-        pieces = (b.slice(lo, rows_at_once) for b in batches for lo in range(0, b.num_rows, rows_at_once))
-        for batch in pieces:
-            block = _scattered(batch, width) if sparse else _dense(batch, width)
-            groups = [(None, block)]
+        for batch in buffers(batches):
+            groups = [(None, batch)]
             if keyed:
                 codes = batch.column(0).dictionary_encode()
                 index = codes.indices.to_numpy(zero_copy_only=False)
-                groups = [(key.as_py(), block[index == c]) for c, key in enumerate(codes.dictionary)]
+                groups = [(key.as_py(), batch.take(pa.array(np.flatnonzero(index == c)))) for c, key in enumerate(codes.dictionary)]
             for key, part in groups:
-                z = part if augment is None else augment(part)
+                large = width * width > _MAX_CELLS
+                if sparse:
+                    rows, at, value = _entries(part, width)
+                    per_row = np.bincount(rows, minlength=1).astype(float)
+                    # a product of entries costs about as much as a few hundred of a dense matrix product
+                    if large and 300 * (per_row**2).sum() < part.num_rows * float(width) ** 2:
+                        yield from (batch_of(key, *cells) for cells in _sparse_products(rows, at, value, width))
+                        continue
+                    z = np.zeros((part.num_rows, width))
+                    z[rows, at] = value
+                else:
+                    z = _dense(part, width)
+                    z = z if augment is None else augment(z)
+                if large:
+                    yield from (batch_of(key, *cells) for cells in _tiles(z))
+                    continue
                 partial = z.T @ z
                 sums[key] = sums[key] + partial if key in sums else partial
             if sum(t.size for t in sums.values()) > _MAX_CELLS:
@@ -70,6 +138,11 @@ def _outer_sums(width: int, augment: Callable | None, keyed: bool, sparse: bool
     return run
 
 
+def complete(width: int) -> bool:
+    """Whether all cells of a matrix of this side leave a task, zeros included."""
+    return width * width <= _MAX_CELLS
+
+
 def outer_sums(
     df: DataFrame, vector: str, width: int, key: str | None = None, augment=None, sparse: bool = False
 ) -> DataFrame:
@@ -77,7 +150,8 @@ def outer_sums(
 
     ``vector`` is an array of ``width`` numbers or, if ``sparse``, an array of
     (position, value) structs.  ``augment`` maps a (rows x width) block to the
-    block actually multiplied.
+    block actually multiplied.  Cells that no row contributes to are missing
+    unless :func:`complete`.
     """
     columns = ([F.col(key).cast("string").alias("key")] if key else []) + [F.col(vector).alias("v")]
     names = (["key"] if key else []) + ["i", "j"]

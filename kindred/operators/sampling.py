@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Modulus, multiplier and increment of the generator behind the order.
-_MODULUS = 2147483648
-_MULTIPLIER = 1103515245
-_INCREMENT = 12345
+_MODULUS = 1 << 31
 
 
 def seeded_key(id_column: Column, seed: int = 0) -> Column:
-    """A number in [0, 2^31) that shuffles integer ids; the same on any engine."""
-    mixed = F.pmod(id_column.cast("long") + seed, F.lit(_MODULUS)) * _MULTIPLIER + _INCREMENT
-    return F.pmod(mixed, F.lit(_MODULUS))
+    """A number in [0, 2^31) that shuffles ids; the same on any engine, and unrelated for other seeds."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), id_column.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % _MODULUS
 
 
 def seeded_sample(df: DataFrame, id_column: str, n: int, seed: int = 0) -> DataFrame:

@@ -30,6 +30,50 @@ def embedding_layers(spark: SparkSession, sf_dir: str) -> Layers:
     return slices(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", width=8, total=64)
 
 
+#: factors and offset of the layers that test the independence of scale and origin
+SLICE_SCALES = {2: 1e4, 5: 1e-3}
+OFFSET = 1e5
+
+
+def scaled_layers(spark: SparkSession, sf_dir: str) -> Layers:
+    """The embedding layers in units of their own: some slices in much larger or smaller numbers."""
+    factor = F.lit(1.0)
+    for layer, scale in SLICE_SCALES.items():
+        factor = F.when(F.floor(F.col("i") / 8) == layer, F.lit(scale)).otherwise(factor)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    cells = F.sort_array(F.collect_list(F.struct("i", (F.col("x") * factor).alias("x"))))
+    return slices(rows.groupBy("vec_id").agg(cells.alias("c")).select("vec_id", F.col("c.x").alias("embedding")), "vec_id", "embedding", width=8, total=64)
+
+
+def offset_layers(spark: SparkSession, sf_dir: str) -> Layers:
+    """The embedding layers far away from the origin."""
+    moved = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + OFFSET)
+    return slices(table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("embedding")), "vec_id", "embedding", width=8, total=64)
+
+
+def product_layers(spark: SparkSession, sf_dir: str) -> Layers:
+    """A layer of 3,025 features, the products of 55 coordinates, beside one of the other nine coordinates."""
+    one = F.slice(F.col("embedding").cast("array<double>"), 1, 55)
+    products = F.flatten(F.transform(one, lambda x: F.transform(one, lambda y: x * y)))
+    rest = F.slice(F.col("embedding").cast("array<double>"), 56, 9)
+    return extract(table(spark, sf_dir, "embeddings"), "vec_id", {"products": products, "rest": rest}, widths={"products": 3025, "rest": 9})
+
+
+def order_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(layer, stim, feat, v)``: orders as stimuli, parts as features, return flags as layers."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_returnflag").alias("layer"), F.col("l_orderkey").alias("stim"), F.col("l_partkey").alias("feat")).agg(
+        F.sum("l_quantity").alias("v")
+    )
+
+
+def sales_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(layer, mu)``: a mean response per nation, from the average quantity per part."""
+    acts = sales_activations(spark, sf_dir).join(nation_index(spark, sf_dir), "stim")
+    per = acts.groupBy("layer", "i").agg((F.avg("v") / 100).alias("m"))
+    return per.groupBy("layer").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c")).select("layer", F.col("c.m").alias("mu"))
+
+
 def coordinate_layers(spark: SparkSession, sf_dir: str) -> Layers:
     return slices(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", width=1, total=64, prefix="coord")
 

@@ -7,6 +7,7 @@ iteration) rather than the route the Spark queries take.
 
 from __future__ import annotations
 
+from kindred.plans.datasets import OFFSET, SLICE_SCALES
 from kindred.plans.queries import ALGEBRAIC, ENTRYWISE, GRID, K, LMBD, NOISE
 
 
@@ -391,7 +392,7 @@ _MARGINAL = ("marg", "SELECT voxel, model, m + ln(sum(exp(ll - m))) AS ll FROM (
 
 
 def _key(column: str, seed: int) -> str:
-    return f"(((({column} + {seed}) % 2147483648) * 1103515245 + 12345) % 2147483648)"
+    return f"(('0x' || substr(md5('{seed}:' || {column}), 1, 8))::BIGINT % 2147483648)"
 
 
 def _split(table: str, column: str, label: str, seed: int) -> str:
@@ -417,6 +418,45 @@ def all_sql() -> dict[str, str]:
     for m in ENTRYWISE:
         found[f"layers_{m}"] = _entrywise(m, _EMB_CELLS, K)
         found[f"sales_{m}"] = _entrywise(m, [*_SALES, _COND], 3)
+    factor = "CASE pos // 8 " + " ".join(f"WHEN {k} THEN {v!r}" for k, v in SLICE_SCALES.items()) + " ELSE 1 END"
+    for m in ("kldiv", "wasserstein"):
+        found[f"scaled_{m}"] = _algebraic_layers(m).replace("(pos % 8)::INTEGER AS feat, v FROM e", f"(pos % 8)::INTEGER AS feat, v * {factor} AS v FROM e")
+    scaled = f"list_transform(embedding[(l * 8 + 1):(l * 8 + 8)]::DOUBLE[], lambda z: z * {factor.replace('pos // 8', 'l')}) AS x"
+    found["scaled_cka"] = _entrywise("cka", _EMB_CELLS, K).replace("embedding[(l * 8 + 1):(l * 8 + 8)]::DOUBLE[] AS x", scaled)
+    # distances straight from the differences of features
+    correlated = "SELECT x.layer AS a, y.layer AS b, corr(x.d, y.d) AS r FROM d x JOIN d y USING (i, j) WHERE x.layer < y.layer GROUP BY ALL"
+    final = f"SELECT 'rsacorr' AS measure, a, b, {_r('r', 'value')} FROM res"
+    apart = "SELECT x.layer, x.stim AS i, y.stim AS j, list_distance(x.x, y.x) ** 2 AS d FROM vec x JOIN vec y ON x.layer = y.layer AND x.stim < y.stim"
+    moved = _EMB_CELLS[2][1].replace("::DOUBLE[] AS x", f"::DOUBLE[].list_transform(lambda z: z + {OFFSET!r}) AS x")
+    found["offset_rsacorr"] = _with(_EMB_CELLS[1], ("vec", moved), ("d", apart), ("res", correlated), final=final)
+    # the squared distance of two outer products from inner products
+    products = "list_dot_product(x.p, x.p) ** 2 + list_dot_product(y.p, y.p) ** 2 - 2 * list_dot_product(x.p, y.p) ** 2"
+    found["wide_rsacorr"] = _with(
+        ("vec", "SELECT vec_id AS stim, embedding[1:55]::DOUBLE[] AS p, embedding[56:64]::DOUBLE[] AS r FROM embeddings"),
+        ("d", f"""SELECT 'products' AS layer, x.stim AS i, y.stim AS j, {products} AS d FROM vec x JOIN vec y ON x.stim < y.stim
+            UNION ALL SELECT 'rest', x.stim, y.stim, list_distance(x.r, y.r) ** 2 FROM vec x JOIN vec y ON x.stim < y.stim"""),
+        ("res", correlated), final=final,
+    )
+    found["gram_orders"] = f"""WITH a AS (SELECT l_returnflag AS layer, l_orderkey AS stim, l_partkey AS feat, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
+        idx AS (SELECT stim, row_number() OVER (ORDER BY stim) - 1 AS i FROM (SELECT DISTINCT stim FROM a)),
+        t AS (SELECT layer, feat, i, v FROM a JOIN idx USING (stim)),
+        g AS (SELECT x.layer, x.i, y.i AS j, sum(x.v * y.v) AS v FROM t x JOIN t y ON x.layer = y.layer AND x.feat = y.feat AND x.i <= y.i GROUP BY ALL)
+        SELECT layer, (i // 1024)::INTEGER AS tile_i, (j // 1024)::INTEGER AS tile_j, count(*) AS n, {_r('sum(v)', 'total', 3)},
+          {_r('sum(v * v)', 'squares', 3)} FROM g WHERE v <> 0 GROUP BY ALL"""
+    means = ("mu", "SELECT layer, i, avg(v) / 100 AS m FROM sa GROUP BY ALL")
+    delta = ("de", "SELECT x.layer AS a, y.layer AS b, i, x.m - y.m AS d FROM mu x JOIN mu y USING (i) WHERE x.layer < y.layer")
+    quad = "SELECT p.a, p.b, sum(p.d * w.v * q.d) AS q FROM de p JOIN de q ON p.a = q.a AND p.b = q.b JOIN w ON {} AND w.i = p.i AND w.j = q.i GROUP BY ALL"
+    found["sales_kldiv_means"] = _with(
+        *_SALES, _COND, means, delta, *_kl_sql("x.layer <> w.layer"), ("q1", quad.format("w.layer = p.a")), ("q2", quad.format("w.layer = p.b")),
+        final=f"""SELECT 'kldiv' AS measure, x.a, x.b, {_r('0.25 * (x.t + y.t + q1.q + q2.q) - (SELECT max(n) FROM fact) / 2', 'value')}
+            FROM t x JOIN t y ON y.a = x.b AND y.b = x.a JOIN q1 ON q1.a = x.a AND q1.b = x.b JOIN q2 ON q2.a = x.a AND q2.b = x.b WHERE x.a < x.b""",
+    )
+    found["sales_mahalanobis_means"] = _with(
+        *_SALES, _COND, means, delta,
+        ("mid", "SELECT x.layer AS a, y.layer AS b, i, j, (x.v + y.v) / 2 AS v FROM k x JOIN k y USING (i, j) WHERE x.layer < y.layer"),
+        *_sweep("mid", "a, b", 25, "w"), ("q", quad.format("w.a = p.a AND w.b = p.b")),
+        final=f"SELECT 'mahalanobis' AS measure, a, b, {_r('sqrt(q)', 'value')} FROM q",
+    )
     found["layers_mahalanobis"] = _with(
         *_EMB, ("l", "SELECT DISTINCT layer FROM acts"),
         final="SELECT 'mahalanobis' AS measure, x.layer AS a, y.layer AS b, 0.0::DOUBLE AS value FROM l x JOIN l y ON x.layer < y.layer",

@@ -106,6 +106,17 @@ def gram_sales(spark, sf):
     return _round(D.sales_gram(spark, sf))
 
 
+def gram_orders(spark, sf):
+    """Orders against orders: a matrix of many thousand stimuli, summed up by tiles of 1,024."""
+    acts = D.order_activations(spark, sf)
+    index = G.stimulus_index(acts)
+    cells = G.gram_cells(acts, index, index.count()).where("v <> 0")
+    tile = [F.floor(F.col(c) / 1024).cast("int").alias(f"tile_{c}") for c in "ij"]
+    return _round(
+        cells.groupBy("layer", *tile).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares")), 3
+    )
+
+
 def gram_centroids(spark, sf):
     """Gram of the classes' mean embeddings, per slice of eight coordinates."""
     rows = D.table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
@@ -457,7 +468,7 @@ def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         f.__name__: f
         for f in (
-            acts_long, layer_catalog, document_catalog, activation_rows, stored_activations, activation_coverage, turns_between, gram_sales,
+            acts_long, layer_catalog, document_catalog, activation_rows, stored_activations, activation_coverage, turns_between, gram_sales, gram_orders,
             gram_centroids, gram_stored, gram_validate, gram_agreement, add_noise_weighted, sim_to_dist,
             dist_matrix, matrix_products, mean_cell_product, two_families, kl_to_ideal, measure_names,
             scalar_rules, pairs_remaining, stored_distances, run_lengths, stim_repetitions, mean_response,
@@ -491,6 +502,12 @@ def all_queries() -> dict[str, Query]:
         found[f"layers_{m}"] = _layers(m, **OPTIONS.get(m, {}))
         sales = {"k": 3} if m == "jaccard" else OPTIONS.get(m, {})
         found[f"sales_{m}"] = _sales(m, **sales)
+    for m in ("kldiv", "cka", "wasserstein"):
+        found[f"scaled_{m}"] = lambda spark, sf, m=m: _round(compare_layers(D.scaled_layers(spark, sf), m))
+    found["offset_rsacorr"] = lambda spark, sf: _round(compare_layers(D.offset_layers(spark, sf), "rsacorr"))
+    found["wide_rsacorr"] = lambda spark, sf: _round(compare_layers(D.product_layers(spark, sf), "rsacorr"))
+    for m in ("kldiv", "mahalanobis"):
+        found[f"sales_{m}_means"] = lambda spark, sf, m=m: _round(GC.compare_gram(D.sales_gram(spark, sf), m, means=D.sales_means(spark, sf)))
     for m in ALGEBRAIC:
         found[f"coordinates_{m}"] = _coords(m, **OPTIONS.get(m, {}))
     return {name: _shipped(query) for name, query in found.items()}

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import condition, measure
 from conftest import gram_frame, matrices_of, random_cov
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import linalg as la
 from kindred.operators import gram as G
+from kindred.operators import moments as M
 from kindred.operators.gram_compare import compare_gram, distance_form, symmetrize
 from kindred.operators.layer_compare import compare_layers
 from kindred.operators.stimulus_pairs import distances, nearest
@@ -243,11 +245,85 @@ def test_hand_computed_grams(spark):
     assert got["t"][:2, :2].tolist() == [[30, 70], [70, 174]] and not got["t"][2].any()
 
 
-def test_too_many_stimuli_for_one_matrix_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(G, "MAX_DIM", 3)
-    with pytest.raises(Exception, match="more than 3 stimuli"):
-        G.stimulus_index(spark.range(4), "id").collect()
-    assert [r.i for r in G.stimulus_index(spark.range(3), "id").orderBy("stim").collect()] == [0, 1, 2]
+def test_stimuli_are_numbered_in_order(spark):
+    assert [(r.stim, r.i) for r in G.stimulus_index(spark.range(3, 6), "id").orderBy("stim").collect()] == [(3, 0), (4, 1), (5, 2)]
+
+
+def outer_batches(rows, width, sizes):
+    entry = pa.struct([("i", pa.int32()), ("v", pa.float64())])
+    at = 0
+    for size in sizes:
+        part = rows[at : at + size]
+        at += size
+        lists = [[{"i": i, "v": v} for i, v in enumerate(r) if v] for r in part]
+        yield pa.RecordBatch.from_arrays([pa.array(["k"] * len(part)), pa.array(lists, pa.list_(entry))], ["key", "v"])
+
+
+@pytest.mark.parametrize("cells, tile", [(16_000_000, 2048), (60, 2048), (60, 3), (700, 4)])
+@pytest.mark.parametrize("density", [0.05, 0.9])
+def test_sums_of_any_width_and_partial_rows_follow_the_data(monkeypatch, cells, tile, density):
+    monkeypatch.setattr(M, "_MAX_CELLS", cells)
+    monkeypatch.setattr(M, "_TILE", tile)
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random((40, 13)) < density, rng.standard_normal((40, 13)), 0)
+    counts = set()
+    for sizes in ([40], [10] * 4, [1] * 40):
+        total, n = np.zeros((13, 13)), 0
+        for out in M._outer_sums(13, None, True, True)(outer_batches(x, 13, sizes)):
+            i, j, v = (out.column(c).to_numpy() for c in ("i", "j", "s"))
+            assert (i <= j).all()
+            np.add.at(total, (i, j), v)
+            n += out.num_rows
+        assert np.allclose(total, np.triu(x.T @ x))
+        counts.add(n)
+    # buffers, not Arrow batches, decide what leaves a task
+    assert len(counts) == 1 or cells == 60 and max(counts) < 2.5 * min(counts)
+
+
+def test_an_activation_given_twice_is_an_error(spark):
+    acts = spark.createDataFrame([("a", 1, 0, 1.0), ("a", 1, 0, 5.0), ("a", 2, 0, 2.0)], "layer string, stim long, feat int, v double")
+    with pytest.raises(Exception, match="more than once"):
+        G.gram_from_features(acts).collect()
+
+
+def test_matrices_of_unequal_size_are_not_compared(spark):
+    frame = gram_frame(spark, {"a": random_cov(3, 1), "b": random_cov(5, 2)})
+    for name in ("cka", "rsacorr", "kldiv"):
+        with pytest.raises(Exception, match="square and of one size"):
+            compare_gram(frame, name).collect()
+    with pytest.raises(Exception, match="square and of one size"):
+        compare_gram(gram_frame(spark, {"a": random_cov(3, 1), "b": random_cov(3, 2)}).where("not (layer = 'a' and i = 0 and j = 1)"), "cka").collect()
+
+
+@pytest.mark.parametrize("scale", [(1e6, 1.0), (1e-6, 1.0), (1e4, 1e-3), (1e6, 1e6)])
+def test_scale_does_not_matter(spark, scale):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 8)) + 0.3
+    names = [m for m in EXACT if m not in ("jaccard",)] + ["tvd", "jsd"]
+
+    def compared(f, g):
+        rows = [(i, (x[i] * np.repeat([f, g], 4)).tolist()) for i in range(60)]
+        layers = extract(spark.createDataFrame(rows, "id long, x array<double>"), "id", {"a": F.slice("x", 1, 4), "b": F.slice("x", 5, 4)})
+        return values(compare_layers(layers, names, lmbd=0.1, k=3, noise_var=0.4, samples=200))
+
+    plain, scaled = compared(1.0, 1.0), compared(*scale)
+    for key, value in plain.items():
+        assert scaled[key] == pytest.approx(value, rel=1e-9, abs=1e-12), key
+
+
+def test_offsets_do_not_cost_digits(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((80, 6))
+
+    def compared(offset, names):
+        rows = [(i, (x[i] + offset).tolist()) for i in range(80)]
+        layers = extract(spark.createDataFrame(rows, "id long, x array<double>"), "id", {"a": F.slice("x", 1, 3), "b": F.slice("x", 4, 3)})
+        return values(compare_layers(layers, names, b=0, normalize=False))
+
+    names = ["rsacorr", "rsacos", "rsaarccos", "cka", "distcorr", "procrustes", "nbs"]
+    plain, moved = compared(0.0, names), compared(1e6, names)
+    for key, value in plain.items():
+        assert moved[key] == pytest.approx(value, rel=1e-6), key
 
 
 def test_one_hot_gram_marks_equal_classes(spark):

@@ -307,3 +307,15 @@ def test_models_are_trace_normalised_first(spark):
     k = random_cov(4, 2, 7.0)
     facts = trace_norm(gram_frame(spark, {"a": k})).where("i = j").agg(F.sum("v")).first()[0]
     assert facts == pytest.approx(4.0)
+
+
+
+def test_a_channel_without_responses_has_no_evidence(spark):
+    _, gram, channels, *_ = scoring_inputs(spark)
+    empty = F.when(F.col("voxel") == 1, F.transform("y", lambda x: F.lit(None).cast("double"))).otherwise(F.col("y"))
+    found = E.log_posterior(E.loglik(channels.withColumn("y", empty), gram, noise_var=0.8))
+    rows = found.collect()
+    assert {(r.ll is None, r.log_post is None) for r in rows if r.voxel == 1} == {(True, True)}
+    assert all(r.ll is not None and r.log_post is not None for r in rows if r.voxel != 1)
+    assert sum(r.n_voxels for r in E.winner_counts(found).collect()) == 4
+    assert {r.n for r in E.boxplot(found).collect()} == {4}
