@@ -4,7 +4,8 @@ from kindred.operators.evidence import log_posterior, loglik, marginal, winner_c
 from kindred.operators.gram import add_noise, condition, gram_from_features, trace_norm
 from kindred.operators.gram_compare import compare_gram, symmetrize
 from kindred.operators.layer_compare import compare_layers
-from kindred.operators.reliability import cell_stats, noise_estimation, noise_grid, voxel_reliability
+from kindred.operators.reliability import beta_noise_grid, cell_stats, fitted_noise_grid, noise_estimation, voxel_reliability
+from kindred.plans.registry import register_measure
 from kindred.session import ship_package
 from kindred.sources.activations import Layers, extract, slices
 from kindred.sources.tables import compare_to_table
@@ -12,6 +13,7 @@ from kindred.sources.tables import compare_to_table
 __all__ = [
     "Layers",
     "add_noise",
+    "beta_noise_grid",
     "cell_stats",
     "compare_gram",
     "compare_layers",
@@ -23,7 +25,8 @@ __all__ = [
     "loglik",
     "marginal",
     "noise_estimation",
-    "noise_grid",
+    "fitted_noise_grid",
+    "register_measure",
     "ship_package",
     "slices",
     "symmetrize",

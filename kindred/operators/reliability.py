@@ -8,7 +8,7 @@ all trials costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.linalg import inverse_beta
@@ -159,32 +159,24 @@ def beta_loglik(voxels: DataFrame, a: float) -> DataFrame:
     return voxels.agg((-(F.count(F.lit(1)) * F.ln(F.lit(float(a))) + (a - 1) * logs)).alias("neg_loglik"))
 
 
-def noise_grid(
-    voxels: DataFrame,
-    n_vals: int = 10,
-    method: str = "mle",
-    a: float | None = None,
-    b: float | None = None,
-) -> DataFrame:
-    """``(noise_id, noise_var)``: quantiles of the noise-ratio distribution at bin centres."""
-    if method == "mle":
-        params = fit_noise(voxels).select("a", "b")
-    elif method == "fixed":
-        if a is None or b is None:
-            raise ValueError("method 'fixed' needs a and b")
-        params = voxels.sparkSession.range(1).select(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"))
-    else:
-        raise NotImplementedError(f"invalid method {method!r}")
-    points = params.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(n_vals - 1))).alias("noise_id"))
-    q = (2 * F.col("noise_id") + 1) / (2.0 * n_vals)
-    if method == "mle" or b == 1.0:
-        return points.select("noise_id", F.pow(q, 1 / F.col("a")).alias("noise_var"))
-
-    @F.udf("double")
-    def quantile(p, x, y):
-        return inverse_beta(p, x, y)
-
-    return points.select("noise_id", quantile(q, "a", "b").alias("noise_var"))
+def _centres(n_vals: int) -> list[float]:
+    if n_vals < 1:
+        raise ValueError("a grid has at least one value")
+    return [(2 * k + 1) / (2 * n_vals) for k in range(n_vals)]
+
+
+def fitted_noise_grid(voxels: DataFrame, n_vals: int = 10) -> DataFrame:
+    """``(noise_id, noise_var)``: quantiles, at bin centres, of the Beta(a, 1) fitted to the noise ratios."""
+    points = F.posexplode(F.array(*[F.lit(q) for q in _centres(n_vals)])).alias("noise_id", "q")
+    return fit_noise(voxels).select("a", points).select("noise_id", F.pow("q", 1 / F.col("a")).alias("noise_var"))
+
+
+def beta_noise_grid(spark: SparkSession, a: float, b: float, n_vals: int = 10) -> DataFrame:
+    """The same quantiles of a given Beta(a, b); they are constants of the plan."""
+    if a <= 0 or b <= 0:
+        raise ValueError("a Beta distribution needs positive parameters")
+    values = [(k, float(inverse_beta(q, a, b))) for k, q in enumerate(_centres(n_vals))]
+    return spark.createDataFrame(values, "noise_id int, noise_var double")
 
 
 def group_by_first_appearance(trials: DataFrame, chunk: int = RUN_CHUNK) -> DataFrame:

@@ -26,6 +26,8 @@ from kindred.sources.activations import Layers
 BLOCK_ROWS = 2048
 #: blocks a task works through for one block before it hands on its candidates
 BLOCK_RUN = 256
+#: stimuli from which bin limits are taken; pairs handled together; pairs of a bin, about, and bins of a layer at most
+PILOT, CHUNK_PAIRS, BIN_PAIRS, MAX_BINS = 1024, 1 << 19, 1 << 18, 1 << 16
 #: decimals kept when two similarities or distances are compared
 TIE_DECIMALS = 12
 
@@ -248,44 +250,151 @@ def distances(layers: Layers, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return pairs.mapInArrow(run, "i long, j long, d array<double>")
 
 
+def _splitters(layers: Layers, bins: int) -> list[np.ndarray]:
+    """Distances of each layer at even steps of their distribution among a bounded sample of stimuli.
+
+    They only balance the work; any values give the same ranks.
+    """
+    rows = layers.wide().orderBy(F.xxhash64("stim"), "stim").limit(PILOT).select("x").collect()
+    x = np.array([r["x"] for r in rows], float).reshape(len(rows), -1)
+    out = []
+    for cut in _slices(layers):
+        d = _distance(x[:, cut], x[:, cut])[np.triu_indices(len(x), 1)]
+        out.append(np.unique(np.quantile(d, np.linspace(0, 1, bins + 1), method="nearest")) if len(d) else np.zeros(0))
+    return out
+
+
+def _distance(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    d = (u * u).sum(1)[:, None] + (w * w).sum(1) - 2 * (u @ w.T)
+    # equal vectors must give equal distances whatever the rounding
+    scale = np.maximum((u * u).sum(1)[:, None], (w * w).sum(1))
+    return np.where(d < 1e-13 * scale, 0.0, d)
+
+
+def _binned_distances(layers: Layers, splitters: list[np.ndarray]) -> DataFrame:
+    """``(chunk, layer, bin, n, at, d)``: distances of a chunk of pairs by layer and bin.
+
+    ``at`` says which pairs of the chunk. Bin 2k lies below splitter k, bin 2k + 1 is the splitter itself: its
+    distances are all equal and need no sorting, so only where they stand is kept.
+    """
+    cuts, width = _slices(layers), sum(layers.widths.values())
+    pairs, _ = _block_pairs(layers, BLOCK_ROWS, ordered=False, run=1)
+
+    def run(batches):
+        for g1, g2, (ids1, x1), (_, x2) in _blocks(batches, width):
+            step = max(1, CHUNK_PAIRS // max(len(x2), 1))
+            for lo in range(0, len(ids1), step):
+                left = x1[lo : lo + step]
+                keep = np.ones((len(left), len(x2)), bool)
+                if g1 == g2:
+                    keep = np.triu(keep, lo + 1)
+                if not keep.any():
+                    continue
+                rows = []
+                for c, cut in enumerate(cuts):
+                    d = _distance(left[:, cut], x2[:, cut])[keep]
+                    low = np.searchsorted(splitters[c], d, side="left")
+                    bins = 2 * low + (np.append(splitters[c], np.nan)[low] == d)
+                    order = np.argsort(bins, kind="stable")
+                    edges = np.flatnonzero(np.diff(bins[order], prepend=-1))
+                    for a, b in zip(edges, np.append(edges[1:], len(order))):
+                        at = order[a:b].astype(np.int32)
+                        bin_ = int(bins[at[0]])
+                        rows.append((f"{g1}:{g2}:{lo}", c, bin_, len(at), at.tobytes(), b"" if bin_ % 2 else d[at].tobytes()))
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["chunk", "layer", "bin", "n", "at", "d"])
+
+    return pairs.mapInArrow(run, "chunk string, layer int, bin int, n long, at binary, d binary")
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean ranks inside each (layer, bin); its parts arrive one after the other."""
+
+    def finish(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        if rows[0]["bin"] % 2:
+            ranks = [np.full(r["n"], r["before"] + (r["total"] + 1) / 2) for r in rows]
+        else:
+            d = np.concatenate([np.frombuffer(r["d"], np.float64) for r in rows])
+            order = np.argsort(d, kind="stable")
+            value = d[order]
+            first = np.searchsorted(value, value, side="left")
+            last = np.searchsorted(value, value, side="right")
+            rank = np.empty(len(d))
+            rank[order] = rows[0]["before"] + (first + last + 1) / 2
+            ranks = np.split(rank, np.cumsum([r["n"] for r in rows])[:-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r["chunk"] for r in rows]), pa.array([r["layer"] for r in rows], pa.int32()), pa.array([r["at"] for r in rows], pa.binary()),
+             pa.array([x.tobytes() for x in ranks], pa.binary())],
+            ["chunk", "layer", "at", "rank"],
+        )
+
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            # parts of a one-valued bin need not wait for each other
+            if held and ((row["layer"], row["bin"]) != (held[0]["layer"], held[0]["bin"]) or row["bin"] % 2):
+                yield from finish(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from finish(held)
+
+
 def rank_similarity(layers: Layers) -> DataFrame:
     """Spearman correlation of the distances, without tie correction.
 
-    Neither trace normalisation nor added noise changes the order of the
-    distances, so the raw vectors are used.
+    Neither trace normalisation nor added noise changes the order of the distances, so the raw vectors are used.
+
+    Distances are computed block by block and travel as packed arrays: once to their bin, where
+    they are sorted, and once back to their chunk of pairs, where the ranks of all layers meet and
+    only sums of products go on. Bins follow the distribution of the distances, so an outlier does not crowd
+    the rest into one, and their number grows with the pairs.
     """
     names = layers.names
-    long = distances(layers).select("i", "j", F.posexplode("d").alias("layer", "d"))
-    widest = layers.long().groupBy("layer").agg(
-        (4 * F.max(F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x * x))).alias("_hi")
-    )
-    position = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
-    span = widest.select(position[F.col("layer")].alias("layer"), F.lit(0.0).alias("_lo"), "_hi")
-    ranked = average_ranks(long, ["layer"], "d", groups=len(names), span=span).select("i", "j", "layer", "rank")
-    # one fixed-width row per pair of stimuli: hashed, where collected lists would be sorted
-    per_pair = ranked.groupBy("i", "j").agg(
-        *[F.max(F.when(F.col("layer") == c, F.col("rank"))).alias(f"r{c}") for c in range(len(names))]
-    )
-    sums = outer_sums(
-        per_pair.select(F.array(*[F.col(f"r{c}") for c in range(len(names))]).alias("r")),
-        "r",
-        len(names),
-        augment=lambda z: np.hstack([np.ones((len(z), 1)), z]),
-    )
-    # ranks of n values always sum to n (n + 1) / 2, so only n is needed to
-    # centre; the cells are one per layer pair, like the result
-    name = F.array(*[F.lit(x) for x in names])
-    n = F.col("n")
-    return (
-        sums.agg(
-            F.max(F.when(F.col("j") == 0, F.col("s"))).alias("n"),
-            F.collect_list(F.when((F.col("i") > 0) & (F.col("i") < F.col("j")), F.struct("i", "j", "s"))).alias("cells"),
-        )
-        .select("n", F.inline("cells"))
-        .select(
-            F.lit("rsarank").alias("measure"),
-            F.get(name, F.col("i") - 1).alias("a"),
-            F.get(name, F.col("j") - 1).alias("b"),
-            (12 * (F.col("s") - n * (n + 1) * (n + 1) / 4) / (n * n * n - n)).alias("value"),
-        )
+    n_stimuli = layers.wide().count()
+    bins = int(min(MAX_BINS, max(64, n_stimuli * n_stimuli / 2 // BIN_PAIRS)))
+    cores = layers.df.sparkSession.sparkContext.defaultParallelism
+    parts = _binned_distances(layers, _splitters(layers, bins))
+    totals = parts.groupBy("layer", "bin").agg(F.sum("n").alias("total"))
+    before = Window.partitionBy("layer").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    spread = F.when(F.col("bin") % 2 == 1, F.xxhash64("chunk")).otherwise(0)
+    located = parts.join(totals, ["layer", "bin"]).repartition(4 * cores, "layer", "bin", spread).sortWithinPartitions("layer", "bin")
+    columns = ["chunk", "layer", "bin", "n", "total", "before", "at", "d"]
+    ranked = located.select(*columns).mapInArrow(_ranked, "chunk string, layer int, at binary, rank binary")
+    count = len(names)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros((count, count)), 0
+
+        def add(rows: list[dict]) -> None:
+            nonlocal n
+            m = sum(len(r["at"]) // 4 for r in rows if r["layer"] == 0)
+            z = np.zeros((count, m))
+            for r in rows:
+                z[r["layer"], np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["rank"], np.float64)
+            sums[:] += z @ z.T
+            n += m
+
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["chunk"] != held[0]["chunk"]:
+                    add(held)
+                    held = []
+                held.append(row)
+        if held:
+            add(held)
+        i, j = np.triu_indices(count, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[i, j]), pa.array(np.full(len(i), n))], ["i", "j", "s", "n"])
+
+    met = ranked.repartition(4 * cores, "chunk").sortWithinPartitions("chunk")
+    sums = met.mapInArrow(products, "i int, j int, s double, n long").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").cast("double").alias("n"))
+    # ranks of n values always sum to n (n + 1) / 2, so only n is needed to centre
+    name, n = F.array(*[F.lit(x) for x in names]), F.col("n")
+    return sums.select(
+        F.lit("rsarank").alias("measure"),
+        F.get(name, F.col("i")).alias("a"),
+        F.get(name, F.col("j")).alias("b"),
+        (12 * (F.col("s") - n * (n + 1) * (n + 1) / 4) / (n * n * n - n)).alias("value"),
     )

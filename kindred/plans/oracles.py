@@ -645,6 +645,23 @@ def all_sql() -> dict[str, str]:
     qs = ", ".join(_r(f"quantile_cont(lp, {q})", n) for n, q in (("whisker_lo", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("whisker_hi", 1)))
     found["logpost_boxplot"] = _with(*_ONE, final=f"SELECT model, count(*) AS n, {qs} FROM ({_post('voxel')}) GROUP BY model")
 
+    # quantiles of Beta(a, 1) in closed form; of Beta(2, 3) by bisection of its distribution function 6x^2 - 8x^3 + 3x^4
+    steps = [("b1", f"SELECT g::INTEGER AS noise_id, (2 * g + 1) / {2 * GRID}.0::DOUBLE AS q, 0.5::DOUBLE AS x FROM (SELECT unnest(range({GRID})) AS g)")]
+    for k in range(2, 46):
+        move = f"CASE WHEN 6 * x ** 2 - 8 * x ** 3 + 3 * x ** 4 < q THEN 1 ELSE -1 END * {0.5**k!r}"
+        steps.append((f"b{k}", f"SELECT noise_id, q, x + {move} AS x FROM b{k - 1}"))
+    found["noise_grid_fixed"] = _with(
+        *_DISCOUNT, *steps, ("nv", "SELECT '2.5,1' AS beta, noise_id, q ** (1 / 2.5) AS v FROM b1 UNION ALL SELECT '2,3', noise_id, x FROM b45"),
+        final=f"SELECT voxel, beta, noise_id, {_r('total_var * v', 'noise', 2)} FROM rel, nv",
+    )
+    shifted = [(n, b.replace("AS y, st.n AS w", "- i / 5.0 AS y, st.n AS w") if n == "z" else b) for n, b in _ONE]
+    found["loglik_with_mean"] = _with(*shifted, final=ll)
+    found["registered_measure"] = _with(
+        *_EMB_CELLS, ("nm", "SELECT layer, sum(v * v) AS q FROM k GROUP BY layer"),
+        final=f"""SELECT 'uncentredalignment' AS measure, x.layer AS a, y.layer AS b, {_r('sum(x.v * y.v) / sqrt(any_value(p.q) * any_value(q.q))', 'value')}
+            FROM k x JOIN k y USING (i, j) JOIN nm p ON p.layer = x.layer JOIN nm q ON q.layer = y.layer WHERE x.layer < y.layer GROUP BY ALL""",
+    )
+    found["layers_nbs_unit"] = found["layers_nbs"].replace("n * rt / sqrt(t1 * t2)", "rt / sqrt(t1 * t2)")
     found["seeded_sample"] = f"SELECT vec_id, label FROM embeddings ORDER BY {_key('vec_id', 42)}, vec_id LIMIT 200"
     found["stratified_split"] = _split("embeddings", "vec_id", "label", 42)
     found["document_split"] = _split("documents", "doc_id", "lang", 7)

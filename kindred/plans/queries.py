@@ -15,6 +15,7 @@ from kindred.operators import reliability as R
 from kindred.operators import sampling
 from kindred.operators.layer_compare import compare_layers
 from kindred.plans import datasets as D
+from kindred.plans.registry import MEASURES, register_measure
 from kindred.session import scratch_path, ship_package
 from kindred.sources import activations as A
 from kindred.sources import tables as T
@@ -25,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: parameters shared with the SQL of the same queries
 LMBD, K = 0.1, 10
 NOISE, GRID = 0.4, 10
+BETAS = ((2.5, 1.0), (2.0, 3.0))
 
 
 def _round(df: DataFrame, digits: int = 6, *columns: str) -> DataFrame:
@@ -299,7 +301,7 @@ def beta_neg_loglik(spark, sf):
 
 
 def noise_grid(spark, sf):
-    return _round(R.noise_grid(D.discount_channels(spark, sf), GRID))
+    return _round(R.fitted_noise_grid(D.discount_channels(spark, sf), GRID))
 
 
 def grouped_trials(spark, sf):
@@ -345,7 +347,37 @@ def discount_loglik(spark, sf):
 
 
 def _on_grid(spark, sf) -> DataFrame:
-    return _discount_scores(spark, sf, grid=R.noise_grid(D.discount_channels(spark, sf), GRID))
+    return _discount_scores(spark, sf, grid=R.fitted_noise_grid(D.discount_channels(spark, sf), GRID))
+
+
+def noise_grid_fixed(spark, sf):
+    """Noise levels of every supplier: its total variance times the quantiles of two given distributions."""
+    response = F.col("l_extendedprice") * F.col("l_discount")
+    totals = D.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("voxel")).agg(F.var_samp(response).alias("total_var"))
+    grids = [R.beta_noise_grid(spark, a, b, GRID).select(F.lit(f"{a:g},{b:g}").alias("beta"), "noise_id", "noise_var") for a, b in BETAS]
+    return _round(totals.join(F.broadcast(grids[0].unionByName(grids[1]))).select("voxel", "beta", "noise_id", (F.col("total_var") * F.col("noise_var")).alias("noise")), 2)
+
+
+def loglik_with_mean(spark, sf):
+    """Evidence of the event models after a mean response, a fifth of the position, is taken off."""
+    n = D.event_index(spark, sf).count()
+    channels = D.event_channels(spark, sf).drop("w")
+    channels = channels.withColumn("mu", F.transform("y", lambda _, i: (i / 5).cast("double")))
+    scores = E.loglik(channels, D.event_models(spark, sf), noise_var=NOISE, model_bytes=3 * n * n * 8)
+    return _round(scores.select("voxel", "model", "ll"))
+
+
+def _uncentred_alignment(pair, params) -> float:
+    rest = pair.extra * pair.floor**2
+    dots = [float((x * y).sum()) + rest for x, y in ((pair.s1, pair.s2), (pair.s1, pair.s1), (pair.s2, pair.s2))]
+    return dots[0] / (dots[1] * dots[2]) ** 0.5
+
+
+def registered_measure(spark, sf):
+    """A measure that is not built in: alignment without centring."""
+    if "uncentredalignment" not in MEASURES:
+        register_measure("uncentred alignment", _uncentred_alignment, similarity=True)
+    return _round(compare_layers(D.embedding_layers(spark, sf), "Uncentred-Alignment"))
 
 
 def loglik_noise_grid(spark, sf):
@@ -473,7 +505,7 @@ def all_queries() -> dict[str, Query]:
             dist_matrix, matrix_products, mean_cell_product, two_families, kl_to_ideal, measure_names,
             scalar_rules, pairs_remaining, stored_distances, run_lengths, stim_repetitions, mean_response,
             noise_estimation, noise_by_run, voxel_reliability, supplier_reliability, zscore_voxel,
-            zscore_response, beta_noise_fit, beta_neg_loglik, noise_grid, grouped_trials, loglik_single_noise,
+            zscore_response, beta_noise_fit, beta_neg_loglik, noise_grid, noise_grid_fixed, loglik_with_mean, registered_measure, grouped_trials, loglik_single_noise,
             loglik_voxel_noise, loglik_weighted, loglik_voxel_weights, loglik_signal, discount_loglik, discount_winners, loglik_noise_grid,
             loglik_noise_marginal, log_posterior, log_posterior_joint, log_posterior_per_noise,
             posterior_sum_check, winner_counts, logpost_boxplot, seeded_sample, stratified_split,
@@ -504,6 +536,7 @@ def all_queries() -> dict[str, Query]:
         found[f"sales_{m}"] = _sales(m, **sales)
     for m in ("kldiv", "cka", "wasserstein"):
         found[f"scaled_{m}"] = lambda spark, sf, m=m: _round(compare_layers(D.scaled_layers(spark, sf), m))
+    found["layers_nbs_unit"] = _layers("nbs", nbs_unit=True)
     found["offset_rsacorr"] = lambda spark, sf: _round(compare_layers(D.offset_layers(spark, sf), "rsacorr"))
     found["wide_rsacorr"] = lambda spark, sf: _round(compare_layers(D.product_layers(spark, sf), "rsacorr"))
     for m in ("kldiv", "mahalanobis"):

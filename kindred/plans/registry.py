@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from kindred.functions import pair_measures as pm
@@ -15,6 +16,8 @@ class Measure:
     #: "sampled" and "gaussian" need positive definite matrices
     family: str
     centred: bool = False
+    #: of a measure added by :func:`register_measure`
+    function: Callable[[pm.Conditioned, "Params"], float] | None = None
 
     @property
     def diagonal(self) -> float:
@@ -59,6 +62,29 @@ ALIASES: dict[str, str] = {
 }
 
 
+def register_measure(
+    name: str,
+    function: Callable[[pm.Conditioned, "Params"], float],
+    similarity: bool = False,
+    centred: bool = False,
+    aliases: tuple[str, ...] = (),
+) -> Measure:
+    """Add a measure of one's own, to be named like the others in every comparison.
+
+    ``function`` gets a conditioned (and, if ``centred``, centred) pair of matrices and the parameters of the
+    comparison, and returns a number; it travels to the tasks with the comparison. A ``LinAlgError`` counts
+    as "undefined". Names of existing measures are refused.
+    """
+    keys = [simplify_name(n) for n in (name, *aliases)]
+    taken = [k for k in keys if k in MEASURES or k in ALIASES]
+    if taken:
+        raise ValueError(f"already a measure: {taken}")
+    measure = Measure(keys[0], similarity, "spectral", centred, function)
+    MEASURES[keys[0]] = measure
+    ALIASES.update(dict.fromkeys(keys[1:], keys[0]))
+    return measure
+
+
 def resolve(name: str) -> Measure:
     """Look a measure up by any spelling of its name."""
     key = simplify_name(name)
@@ -84,6 +110,10 @@ class Params:
     samples: int = 10_000
     seed: int = 0
     root_mean_term: bool = False
+    #: the square root of the Jensen-Shannon divergence, a metric
+    jsd_sqrt: bool = False
+    #: Bures similarity divided by n, so that equal matrices give 1
+    nbs_unit: bool = False
 
     def check(self, measures: list[Measure]) -> None:
         names = {m.name for m in measures}
@@ -117,6 +147,8 @@ def per_measure(measures, b=0.01, noise_var=None, normalize=True) -> list[tuple[
 
 def evaluate(measure: Measure, pair: pm.Conditioned, params: Params, rng) -> float:
     """Value of a matrix measure on a conditioned (and, if required, centred) pair."""
+    if measure.function is not None:
+        return float(measure.function(pair, params))
     match measure.name:
         case "wasserstein":
             return pm.wasserstein(pair)
@@ -131,7 +163,8 @@ def evaluate(measure: Measure, pair: pm.Conditioned, params: Params, rng) -> flo
         case "tvd":
             return pm.total_variation(pair, params.samples, rng)
         case "jsd":
-            return pm.jensen_shannon(pair, params.samples, rng)
+            value = pm.jensen_shannon(pair, params.samples, rng)
+            return value**0.5 if params.jsd_sqrt else value
         case "gulp":
             return pm.gulp(pair, params.lmbd)
         case "cka":
@@ -141,5 +174,5 @@ def evaluate(measure: Measure, pair: pm.Conditioned, params: Params, rng) -> flo
         case "procrustes":
             return pm.procrustes(pair)
         case "nbs":
-            return pm.bures_similarity(pair)
+            return pm.bures_similarity(pair) / (pair.n if params.nbs_unit else 1)
     raise NotImplementedError(measure.name)

@@ -11,7 +11,8 @@ from kindred.operators import moments as M
 from kindred.operators.gram_compare import compare_gram, distance_form, symmetrize
 from kindred.operators.layer_compare import compare_layers
 from kindred.operators.stimulus_pairs import distances, nearest
-from kindred.plans.registry import MEASURES, Params
+from kindred.operators import stimulus_pairs as SP
+from kindred.plans.registry import ALIASES, MEASURES, Params, register_measure
 from kindred.sources.activations import extract
 
 EXACT = [m for m in MEASURES if m not in ("tvd", "jsd")]
@@ -379,3 +380,38 @@ def test_pack_and_unpack(spark):
     assert all(np.array_equal(np.reshape(r.m, (r.dim, r.dim)), covs[r.layer]) for r in packed.collect())
     again = matrices_of(G.unpack(packed))
     assert all(np.array_equal(again[n], covs[n]) for n in covs)
+
+
+def test_measures_of_ones_own_and_variants(spark):
+    def overlap(pair, params):
+        return float((pair.s1 * pair.s2).sum()) + pair.extra * pair.floor**2
+
+    if "overlapsum" not in MEASURES:
+        register_measure("overlap sum", overlap, similarity=True, aliases=("common part",))
+    for taken in ("cka", "Common-Part", "KL divergence"):
+        with pytest.raises(ValueError, match="already"):
+            register_measure(taken, overlap)
+    covs = {"a": random_cov(6, 1), "b": random_cov(6, 2)}
+    got = values(compare_gram(gram_frame(spark, covs), ["common_part", "jsd", "nbs"], samples=500))
+    assert got["overlapsum", "a", "b"] == pytest.approx((condition(covs["a"]) * condition(covs["b"])).sum())
+    varied = values(compare_gram(gram_frame(spark, covs), ["jsd", "nbs"], samples=500, jsd_sqrt=True, nbs_unit=True))
+    assert varied["jsd", "a", "b"] == pytest.approx(got["jsd", "a", "b"] ** 0.5)
+    assert varied["nbs", "a", "b"] == pytest.approx(got["nbs", "a", "b"] / 6)
+    MEASURES.pop("overlapsum")
+    ALIASES.pop("commonpart")
+
+
+def test_rank_similarity_with_an_outlier_and_ties(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((90, 6))
+    x[0] *= 100
+    x[1:40] = np.round(x[1:40])
+    x[50:70] = x[50]
+    rows = [(i, x[i].tolist()) for i in range(90)]
+    layers = extract(spark.createDataFrame(rows, "id long, x array<double>").repartition(3), "id", {"a": F.slice("x", 1, 2), "b": F.slice("x", 3, 4)})
+    want = measure("rsarank", x[:, :2] @ x[:, :2].T, x[:, 2:] @ x[:, 2:].T)
+    assert values(compare_layers(layers, "rsarank"))["rsarank", "a", "b"] == pytest.approx(want, abs=1e-9)
+    # no bin but the one-valued ones holds much more than its share
+    monkeypatch.setattr(SP, "BLOCK_ROWS", 16)
+    bins = SP._binned_distances(layers, SP._splitters(layers, 64)).where("bin % 2 = 0").groupBy("layer", "bin").agg(F.sum("n").alias("n"))
+    assert bins.agg(F.max("n")).first()[0] < 4 * 90 * 89 / 2 / 64

@@ -134,14 +134,13 @@ def test_noise_values_by_maximum_likelihood(spark):
     best = R.beta_loglik(frame, fit.a).first()[0]
     assert all(R.beta_loglik(frame, fit.a * f).first()[0] > best for f in (0.9, 1.1))
     assert R.beta_loglik(frame, 0).first()[0] == R.beta_loglik(frame, -1).first()[0] == float("inf")
-    grid = [r.noise_var for r in R.noise_grid(frame, 10).orderBy("noise_id").collect()]
+    grid = [r.noise_var for r in R.fitted_noise_grid(frame, 10).orderBy("noise_id").collect()]
     assert np.allclose(np.array(grid) ** fit.a, (2 * np.arange(10) + 1) / 20)
 
 
 @pytest.mark.parametrize("a, b, n", [(2, 3, 3), (1.5, 1, 5), (2.5, 1.5, 7)])
 def test_noise_values_of_a_given_distribution(spark, a, b, n):
-    frame, _ = ratios(spark, 3)
-    grid = [r.noise_var for r in R.noise_grid(frame, n, "fixed", a, b).orderBy("noise_id").collect()]
+    grid = [r.noise_var for r in R.beta_noise_grid(spark, a, b, n).orderBy("noise_id").collect()]
     t = (np.arange(400_000) + 0.5) / 400_000
     density = t ** (a - 1) * (1 - t) ** (b - 1)
     cdf = np.cumsum(density) / density.sum()
@@ -149,11 +148,9 @@ def test_noise_values_of_a_given_distribution(spark, a, b, n):
 
 
 def test_noise_value_options_are_checked(spark):
-    frame, _ = ratios(spark, 3)
-    with pytest.raises(ValueError):
-        R.noise_grid(frame, method="fixed", a=1.0)
-    with pytest.raises(NotImplementedError):
-        R.noise_grid(frame, method="other")
+    for a, b, n in ((0.0, 1.0, 3), (1.0, -1.0, 3), (1.0, 1.0, 0)):
+        with pytest.raises(ValueError):
+            R.beta_noise_grid(spark, a, b, n)
 
 
 def test_beta_quantiles_in_closed_form():
