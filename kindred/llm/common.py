@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -18,12 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: bytes of an Arrow batch between Spark and the workers, at most
+BATCH_BYTES = 8 << 20
+
+
 def in_arrow(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package importable in the workers."""
-    ship_package(df.sparkSession)
+    """``df.mapInArrow`` with this package importable in the workers.
+
+    A batch is held several times over, on both sides, so the session's limit for batches is lowered to
+    ``BATCH_BYTES``; a lower limit stays.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.conf.get(setting, None)
+    if limit is None or _bytes(limit) > BATCH_BYTES:
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
     return df.mapInArrow(function, schema)
 
 
+def _bytes(size: str) -> float:
+    """A size as Spark writes it, in bytes; no limit is infinite."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", size.strip().lower()).groups()
+    return float(number) * 1024 ** " kmgtp".index(unit or " ") if int(number) > 0 else float("inf")
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The table written below ``spark.checkpoint.dir`` and read back; later jobs do not recompute it."""
     path = scratch_path(df.sparkSession, name)

@@ -25,15 +25,15 @@ from kindred.llm.common import Batches, columns_ddl, in_arrow, without
 
 BLANK, _OWN_BLANK = 0x2581, 0x110001
 #: bytes of text in a block: larger ones share more segments
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: exponent of a piece's weight; smaller values draw more evenly
 SHARPNESS = 0.5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_BITS = 20
+_TABLE_BITS = 22
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
-    return (mix(key) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+    return ((key ^ (key >> np.uint64(32))) * _STEP >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
 def _extend(key: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -42,13 +42,17 @@ def _extend(key: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Pieces of a model by the hash of their characters, their log weights, and the bytes of every id."""
+    """Pieces of a model by the hash of their characters, their log weights, and the bytes of every id.
+
+    ``known`` and ``begun`` are tables of the hashes of pieces and of their beginnings.
+    """
 
     longest: int
     keys: np.ndarray
     ids: np.ndarray
     weights: np.ndarray
     known: np.ndarray
+    begun: np.ndarray
     side_by_side: np.ndarray
     byte_ids: np.ndarray
     byte_weight: float
@@ -89,11 +93,12 @@ def load_vocabulary(path: str, sharpness: float = SHARPNESS) -> Vocabulary:
         scores = -np.log(2 - scores)
     pieces = [np.array([ord(c) for c in model.id_to_piece(i)], np.uint32) for i in normal]
     keys = []
-    side_by_side = np.zeros(1 << _TABLE_BITS, bool)
+    side_by_side, begun = np.zeros(1 << _TABLE_BITS, bool), np.zeros(1 << _TABLE_BITS, bool)
     for p in pieces:
         key = np.zeros(1, np.uint64)
         for c in p:
             key = _extend(key, np.array([c]))
+            begun[_slot(key)] = True
         keys.append(key[0])
         side_by_side[_slot((p[:-1].astype(np.uint64) << np.uint64(32)) | p[1:])] = True
     keys = np.array(keys, np.uint64)
@@ -102,7 +107,7 @@ def load_vocabulary(path: str, sharpness: float = SHARPNESS) -> Vocabulary:
     known[_slot(keys)] = True
     weights = (scores * sharpness).astype(np.float64)
     return Vocabulary(
-        max(map(len, pieces)), keys[order], np.array(normal)[order], weights[order], known, side_by_side, byte_ids, float(weights.min()), spelled
+        max(map(len, pieces)), keys[order], np.array(normal)[order], weights[order], known, begun, side_by_side, byte_ids, float(weights.min()), spelled
     )
 
 
@@ -140,17 +145,21 @@ def _lattice(points: np.ndarray, length: np.ndarray, vocabulary: Vocabulary) ->
     """
     n, width = len(points), vocabulary.longest
     offset = np.arange(n) - np.repeat(np.cumsum(length) - length, length)
-    weight = np.full((n, width), -np.inf)
+    weight = np.full((n, width), -np.inf, np.float32)
     ids = np.full((n, width), -1, np.int32)
-    key = np.zeros(n, np.uint64)
+    # starts that some piece begins with so far, and the characters left behind them in their segment
+    room = np.repeat(length, length) - offset
+    start, key = np.arange(n), np.zeros(n, np.uint64)
     for size in range(1, width + 1):
-        places = n - size + 1
-        if places < 1:
+        fits = room[start] >= size
+        start, key = start[fits], key[fits]
+        key = _extend(key, points[start + size - 1])
+        going = vocabulary.begun[_slot(key)]
+        start, key = start[going], key[going]
+        if not len(start):
             break
-        key = _extend(key[:places], points[size - 1 :])
-        inside = np.flatnonzero(offset[size - 1 :] >= size - 1)
-        hit, at = vocabulary.find(key[inside])
-        end = inside[hit] + size - 1
+        hit, at = vocabulary.find(key)
+        end = start[hit] + size - 1
         weight[end, size - 1] = vocabulary.weights[at]
         ids[end, size - 1] = vocabulary.ids[at]
     bare = ids[:, 0] < 0
@@ -162,7 +171,7 @@ def _lattice(points: np.ndarray, length: np.ndarray, vocabulary: Vocabulary) ->
     for k in range(len(cuts) - 1):
         at = order[cuts[k] : cuts[k + 1]]
         span = min(k + 1, width)
-        into = weight[at, :span]
+        into = weight[at, :span].astype(np.float64)
         for size in range(1, span + 1):
             if size <= k:
                 into[:, size - 1] += total[at - size]
@@ -172,7 +181,7 @@ def _lattice(points: np.ndarray, length: np.ndarray, vocabulary: Vocabulary) ->
         total[at] = top + np.log(limits[:, -1])
         weight[at, :span] = limits / limits[:, -1:]
         weight[at, span:] = 1.0
-    return weight.astype(np.float32), ids
+    return weight, ids
 
 
 def _utf8_length(points: np.ndarray) -> np.ndarray:
