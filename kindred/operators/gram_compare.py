@@ -168,6 +168,10 @@ def compare_gram(
     params.check(wanted)
     if check:
         require_comparable(gram)
+    if todo is not None:
+        # everything below works on the matrices of the wanted pairs only
+        used = todo.select(F.explode(F.array("a", "b")).alias("layer")).distinct()
+        gram = gram.join(used, "layer", "left_semi")
     ready = condition(one_size(gram), params.noise_var, params.b, params.normalize)
     parts = []
     dense = [m for m in wanted if m.family in ("spectral", "gaussian", "sampled")]

@@ -43,7 +43,9 @@ def pilot_means(layers: Layers) -> np.ndarray:
     distances do not lose their digits to a common offset. Any value is right, a near one is accurate.
     """
     total = sum(layers.widths[n] for n in layers.names)
-    rows = [np.asarray(r["x"], float) for r in layers.wide().select("x").limit(PILOT_ROWS).collect()]
+    found = [r["x"] for r in layers.wide().select("x").limit(PILOT_ROWS).collect()]
+    # rows of a wrong width fail where all rows are read
+    rows = [np.asarray(x, float) for x in found if x is not None and len(x) == total and None not in x]
     return np.mean(rows, axis=0) if rows else np.zeros(total)
 
 

@@ -271,38 +271,60 @@ def _distance(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.where(d < 1e-13 * scale, 0.0, d)
 
 
-def _binned_distances(layers: Layers, splitters: list[np.ndarray]) -> DataFrame:
+def _chunks(batches: Iterator[pa.RecordBatch], cuts: list[slice], width: int, splitters: list[np.ndarray]):
+    """``(chunk, layer, d, bins)``: distances of some pairs of stimuli and the bins they fall in.
+
+    Bin 2k lies below splitter k, bin 2k + 1 is the splitter itself.
+    """
+    for g1, g2, (_, x1), (_, x2) in _blocks(batches, width):
+        step = max(1, CHUNK_PAIRS // max(len(x2), 1))
+        for lo in range(0, len(x1), step):
+            left = x1[lo : lo + step]
+            keep = np.ones((len(left), len(x2)), bool)
+            if g1 == g2:
+                keep = np.triu(keep, lo + 1)
+            if not keep.any():
+                continue
+            for c, cut in enumerate(cuts):
+                d = _distance(left[:, cut], x2[:, cut])[keep]
+                low = np.searchsorted(splitters[c], d, side="left")
+                yield f"{g1}:{g2}:{lo}", c, d, 2 * low + (np.append(splitters[c], np.nan)[low] == d)
+
+
+def _bin_counts(pairs: DataFrame, layers: Layers, splitters: list[np.ndarray]) -> DataFrame:
+    """``(layer, bin, total)``; a task leaves one row per bin it has met."""
+    cuts, width = _slices(layers), sum(layers.widths.values())
+
+    def run(batches):
+        counts = [np.zeros(2 * len(s) + 2, np.int64) for s in splitters]
+        for _, c, _, bins in _chunks(batches, cuts, width, splitters):
+            counts[c] += np.bincount(bins, minlength=len(counts[c]))
+        for c, n in enumerate(counts):
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["layer", "bin", "n"])
+
+    return pairs.mapInArrow(run, "layer int, bin int, n long").groupBy("layer", "bin").agg(F.sum("n").alias("total"))
+
+
+def _binned_distances(pairs: DataFrame, layers: Layers, splitters: list[np.ndarray]) -> DataFrame:
     """``(chunk, layer, bin, n, at, d)``: distances of a chunk of pairs by layer and bin.
 
-    ``at`` says which pairs of the chunk. Bin 2k lies below splitter k, bin 2k + 1 is the splitter itself: its
-    distances are all equal and need no sorting, so only where they stand is kept.
+    ``at`` says which pairs of the chunk. The distances of a splitter's own bin are all equal and need no
+    sorting, so only where they stand is kept.
     """
     cuts, width = _slices(layers), sum(layers.widths.values())
-    pairs, _ = _block_pairs(layers, BLOCK_ROWS, ordered=False, run=1)
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
-        for g1, g2, (ids1, x1), (_, x2) in _blocks(batches, width):
-            step = max(1, CHUNK_PAIRS // max(len(x2), 1))
-            for lo in range(0, len(ids1), step):
-                left = x1[lo : lo + step]
-                keep = np.ones((len(left), len(x2)), bool)
-                if g1 == g2:
-                    keep = np.triu(keep, lo + 1)
-                if not keep.any():
-                    continue
-                rows = []
-                for c, cut in enumerate(cuts):
-                    d = _distance(left[:, cut], x2[:, cut])[keep]
-                    low = np.searchsorted(splitters[c], d, side="left")
-                    bins = 2 * low + (np.append(splitters[c], np.nan)[low] == d)
-                    order = np.argsort(bins, kind="stable")
-                    edges = np.flatnonzero(np.diff(bins[order], prepend=-1))
-                    for a, b in zip(edges, np.append(edges[1:], len(order))):
-                        at = order[a:b].astype(np.int32)
-                        bin_ = int(bins[at[0]])
-                        rows.append((f"{g1}:{g2}:{lo}", c, bin_, len(at), at.tobytes(), b"" if bin_ % 2 else d[at].tobytes()))
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["chunk", "layer", "bin", "n", "at", "d"])
+        for chunk, c, d, bins in _chunks(batches, cuts, width, splitters):
+            order = np.argsort(bins, kind="stable").astype(np.int32)
+            edges = np.flatnonzero(np.diff(bins[order], prepend=-1))
+            rows = []
+            for a, b in zip(edges, np.append(edges[1:], len(order))):
+                at = order[a:b]
+                bin_ = int(bins[at[0]])
+                rows.append((chunk, c, bin_, len(at), at.tobytes(), b"" if bin_ % 2 else d[at].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["chunk", "layer", "bin", "n", "at", "d"])
 
     return pairs.mapInArrow(run, "chunk string, layer int, bin int, n long, at binary, d binary")
 
@@ -351,11 +373,12 @@ def rank_similarity(layers: Layers) -> DataFrame:
     the rest into one, and their number grows with the pairs.
     """
     names = layers.names
-    n_stimuli = layers.wide().count()
+    pairs, n_stimuli = _block_pairs(layers, BLOCK_ROWS, ordered=False, run=1)
     bins = int(min(MAX_BINS, max(64, n_stimuli * n_stimuli / 2 // BIN_PAIRS)))
     cores = layers.df.sparkSession.sparkContext.defaultParallelism
-    parts = _binned_distances(layers, _splitters(layers, bins))
-    totals = parts.groupBy("layer", "bin").agg(F.sum("n").alias("total"))
+    splitters = _splitters(layers, bins)
+    # the distances are computed twice: cheaper than keeping all pairs until they are counted
+    parts, totals = _binned_distances(pairs, layers, splitters), _bin_counts(pairs, layers, splitters)
     before = Window.partitionBy("layer").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0)))
     spread = F.when(F.col("bin") % 2 == 1, F.xxhash64("chunk")).otherwise(0)

@@ -58,7 +58,9 @@ def read_distances(spark: SparkSession, path: str) -> DataFrame | None:
     """The result table, or None if nothing has been stored yet."""
     try:
         stored = spark.read.schema("a string, b string, value double, run string, measure string").parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     # NULL values (undefined measures) are results as well: they are not queued again
     return stored.dropDuplicates(["run", "measure", "a", "b"])
@@ -97,24 +99,36 @@ def compare_to_table(
 
     ``measures`` may be one name or several; ``b``, ``noise_var`` and
     ``normalize`` apply to all of them or are lists with one entry each.
-    Measures with equal conditioning share one job.  Results are partitioned
-    by run and measure; an interrupted job commits nothing and is simply rerun.
+    Measures with equal conditioning that lack the same pairs share one job, which reads the
+    layers of these pairs only.  Results are partitioned by run and measure; an interrupted job
+    commits nothing and is simply rerun, jobs before it stay.
     """
     groups: dict[str, tuple[dict, list[str]]] = {}
     for measure, conditioning in per_measure(measures, b, noise_var, normalize):
         run = run_key(source_name, conditioning, options)
         groups.setdefault(run, (conditioning, []))[1].append(measure.name)
-    spark = (source.df if isinstance(source, Layers) else source).sparkSession
+    layers = source if isinstance(source, Layers) else None
+    spark = (layers.df if layers else source).sparkSession
     for run, (conditioning, names) in groups.items():
         todo = pending(read_distances(spark, path), all_pairs(source), run, names)
-        if todo.isEmpty():
-            continue
-        compare = compare_layers if isinstance(source, Layers) else compare_gram
-        found = compare(source, names, todo=todo.select("a", "b").distinct(), **conditioning, **options)
-        (
-            found.join(todo, ["measure", "a", "b"], "left_semi")
-            .select("a", "b", "value", F.lit(run).alias("run"), "measure")
-            .write.mode("append")
-            .partitionBy("run", "measure")
-            .parquet(path)
-        )
+        # names only, as many as the layer catalogue has pairs: measures that lack the same pairs go together
+        missing: dict[str, list[tuple[str, str]]] = {}
+        for row in todo.sort("measure", "a", "b").collect():
+            missing.setdefault(row["measure"], []).append((row["a"], row["b"]))
+        together: dict[tuple, list[str]] = {}
+        for measure, pairs in missing.items():
+            together.setdefault(tuple(pairs), []).append(measure)
+        for pairs, measures_ in together.items():
+            used = {name for pair in pairs for name in pair}
+            wanted = spark.createDataFrame(list(pairs), "a string, b string")
+            if layers:
+                found = compare_layers(layers.select([n for n in layers.names if n in used]), measures_, todo=wanted, **conditioning, **options)
+            else:
+                found = compare_gram(source, measures_, todo=wanted, **conditioning, **options)
+            (
+                found.join(F.broadcast(wanted), ["a", "b"], "left_semi")
+                .select("a", "b", "value", F.lit(run).alias("run"), "measure")
+                .write.mode("append")
+                .partitionBy("run", "measure")
+                .parquet(path)
+            )

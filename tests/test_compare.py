@@ -413,5 +413,5 @@ def test_rank_similarity_with_an_outlier_and_ties(spark, monkeypatch):
     assert values(compare_layers(layers, "rsarank"))["rsarank", "a", "b"] == pytest.approx(want, abs=1e-9)
     # no bin but the one-valued ones holds much more than its share
     monkeypatch.setattr(SP, "BLOCK_ROWS", 16)
-    bins = SP._binned_distances(layers, SP._splitters(layers, 64)).where("bin % 2 = 0").groupBy("layer", "bin").agg(F.sum("n").alias("n"))
+    bins = SP._binned_distances(SP._block_pairs(layers, 16, False, 1)[0], layers, SP._splitters(layers, 64)).where("bin % 2 = 0").groupBy("layer", "bin").agg(F.sum("n").alias("n"))
     assert bins.agg(F.max("n")).first()[0] < 4 * 90 * 89 / 2 / 64

@@ -11,6 +11,7 @@ from kindred.operators import gram as G
 from kindred.operators import sampling
 from kindred.operators.gram_compare import compare_gram
 from kindred.operators.reliability import cell_stats
+from kindred.plans.registry import MEASURES, register_measure
 from kindred.session import scratch_path
 from kindred.sources import activations as A
 from kindred.sources import tables as T
@@ -150,6 +151,36 @@ def test_results_are_resumed_and_keyed_by_their_parameters(spark, tmp_path):
     assert sorted(r["count"] for r in runs) == [6, 12]
 
 
+@pytest.mark.parametrize("route", ["layers", "gram"])
+def test_a_second_run_evaluates_missing_pairs_only(spark, tmp_path, route):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(pair, params):
+        calls.add(1)
+        return float(pair.s1.trace())
+
+    register_measure(f"counted {route}", counted)
+    try:
+        rng = np.random.default_rng(1)
+        rows = [(i, rng.standard_normal(8).tolist()) for i in range(20)]
+        layers = A.slices(spark.createDataFrame(rows, "id long, x array<double>"), "id", "x", width=2, total=8)
+        gram = G.gram_from_features(A.features_long(layers))
+        first = layers.select(layers.names[:3])
+        part = first if route == "layers" else gram.where(F.col("layer") < layers.names[3])
+        whole = layers if route == "layers" else gram
+        path, name = str(tmp_path / "dist"), f"counted{route}"
+        T.compare_to_table(part, "s", path, [name, "cka"])
+        assert calls.value == 3
+        T.compare_to_table(whole, "s", path, [name, "rsarank"])
+        assert calls.value == 6
+        T.compare_to_table(whole, "s", path, [name, "rsarank", "cka"])
+        assert calls.value == 6
+        stored = T.read_distances(spark, path)
+        assert {r.measure: r["count"] for r in stored.groupBy("measure").count().collect()} == {name: 6, "rsarank": 6, "cka": 6}
+    finally:
+        MEASURES.pop(f"counted{route}")
+
+
 def test_undefined_values_are_not_queued_again(spark, tmp_path):
     path = str(tmp_path / "dist")
     singular = {"a": np.ones((3, 3)), "b": np.diag([1.0, 2.0, 3.0])}
