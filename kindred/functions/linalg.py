@@ -12,12 +12,33 @@ import hashlib
 import numpy as np
 
 
-def pair_rng(seed: int, a: str, b: str) -> np.random.Generator:
+def pair_rng(seed: int, a: str, b: str, portable: bool = False):
     """A generator that depends on the seed and the pair only, not on task order."""
+    if portable:
+        return PortableNormal(seed, a, b)
     digest = hashlib.blake2b(f"{seed}\x1f{a}\x1f{b}".encode(), digest_size=16).digest()
     return np.random.default_rng(int.from_bytes(digest, "big"))
 
 
+class PortableNormal:
+    """Normal numbers that any engine with MD5 can repeat.
+
+    Number (row, axis) of call k comes from the digest of "seed:a:b:k:row:axis": its first two groups of eight
+    hexadecimal digits are two uniform numbers, which the Box-Muller transform turns into one normal number.
+    """
+
+    def __init__(self, seed: int, a: str, b: str):
+        self.key, self.call = f"{seed}:{a}:{b}", 0
+
+    def standard_normal(self, shape: tuple[int, int]) -> np.ndarray:
+        rows, axes = shape
+        texts = (f"{self.key}:{self.call}:{row}:{axis}".encode() for row in range(rows) for axis in range(axes))
+        digits = b"".join(hashlib.md5(t, usedforsecurity=False).digest()[:8] for t in texts)
+        u = (np.frombuffer(digits, ">u4").reshape(rows, axes, 2) + 0.5) / 2.0**32
+        self.call += 1
+        return np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1])
+
+
 def _range_basis(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nonzero eigenvalues of X'X and V with X V orthonormal; nonzero is relative to the largest one."""
     w, v = np.linalg.eigh((gram + gram.T) / 2)

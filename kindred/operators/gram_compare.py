@@ -118,7 +118,7 @@ def _matrix_kernel(measures: list[Measure], params: Params, centring: bool):
         plain = Conditioned(k1, k2, row.dim, delta=delta)
         centred = Conditioned(la.center(k1), la.center(k2), row.dim) if centring else None
         for m in measures:
-            rng = la.pair_rng(params.seed, row.a, row.b) if m.family == "sampled" else None
+            rng = la.pair_rng(params.seed, row.a, row.b, params.portable) if m.family == "sampled" else None
             try:
                 yield m.name, evaluate(m, centred if m.centred else plain, params, rng)
             except np.linalg.LinAlgError:

@@ -191,7 +191,7 @@ def _pair_kernel(names: list[str], layout: list[np.ndarray], pilot: np.ndarray,
                         plain = conditioned(*whole, n)
                     if m.family in ("gaussian", "sampled") and plain.extra and not nu:
                         raise np.linalg.LinAlgError("singular without noise")
-                    rng = la.pair_rng(params.seed, names[a], names[b]) if m.family == "sampled" else None
+                    rng = la.pair_rng(params.seed, names[a], names[b], params.portable) if m.family == "sampled" else None
                     value = evaluate(m, plain, params, rng)
             except np.linalg.LinAlgError:
                 value = None

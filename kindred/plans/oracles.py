@@ -8,7 +8,7 @@ iteration) rather than the route the Spark queries take.
 from __future__ import annotations
 
 from kindred.plans.datasets import OFFSET, SLICE_SCALES
-from kindred.plans.queries import ALGEBRAIC, ENTRYWISE, GRID, K, LMBD, NOISE
+from kindred.plans.queries import ALGEBRAIC, ENTRYWISE, GRID, K, LMBD, NOISE, PORTABLE_SAMPLES, SAMPLED
 
 
 def _with(*ctes: tuple[str, str], final: str) -> str:
@@ -179,6 +179,30 @@ def _coordinates(measure: str) -> str:
     return _with(*ctes, final=f"SELECT '{measure}' AS measure, a, b, {_r(value, 'value')} FROM r")
 
 
+def _sampled_coordinates(measure: str) -> str:
+    """Two relative eigenvalues differ from one, l and 1 / l; the draws repeat those of the portable generator."""
+    head = _coordinates("kldiv")
+    inner = head[: head.rindex("SELECT 'kldiv'")]
+
+    def uniform(start: int) -> str:
+        return f"(('0x' || substr(h, {start}, 8))::BIGINT + 0.5) / 4294967296.0"
+
+    ctes = [
+        ("k", "SELECT a, b, t * t * (1 - c2) / (nu * (nu + t)) AS k FROM r"),
+        ("l", "SELECT a, b, 1 + k / 2 - sqrt(k + k * k / 4) AS lo, 1 + k / 2 + sqrt(k + k * k / 4) AS hi FROM k"),
+        ("h", f"""SELECT a, b, lo, hi, c, d, x, md5('11:' || a || ':' || b || ':' || c || ':' || d || ':' || x) AS h FROM l,
+            (SELECT unnest(range(2)) AS c), (SELECT unnest(range({PORTABLE_SAMPLES})) AS d), (SELECT unnest(range(2)) AS x)"""),
+        ("z", f"""SELECT a, b, c, d, CASE WHEN x = 0 THEN lo ELSE hi END AS l, (-2 * ln({uniform(1)})) * cos(2 * pi() * {uniform(9)}) ** 2 AS zz FROM h"""),
+        ("lr", "SELECT a, b, c, d, 0.5 * sum(zz * CASE WHEN c = 0 THEN l - 1 ELSE 1 - 1 / l END) AS lr FROM z GROUP BY ALL"),
+    ]
+    value = {
+        "tvd": "0.5 * sum(greatest(1 - exp(CASE WHEN c = 0 THEN -lr ELSE lr END), 0)) / {n}",
+        "jsd": "greatest(1 - sum(ln(1 + exp(CASE WHEN c = 0 THEN -lr ELSE lr END))) / {n} / (2 * ln(2)), 0)",
+    }[measure].format(n=PORTABLE_SAMPLES)
+    rest = ",\n".join(f"{name} AS MATERIALIZED ({body})" for name, body in ctes)
+    return f"{inner.rstrip()},\n{rest}\nSELECT '{measure}' AS measure, a, b, {_r(value, 'value')} FROM lr GROUP BY a, b"
+
+
 _EMB_CELLS = [
     ("num", _PAR[0][1]),
     ("lay", "SELECT unnest(range(8)) AS l"),
@@ -661,6 +685,8 @@ def all_sql() -> dict[str, str]:
         final=f"""SELECT 'uncentredalignment' AS measure, x.layer AS a, y.layer AS b, {_r('sum(x.v * y.v) / sqrt(any_value(p.q) * any_value(q.q))', 'value')}
             FROM k x JOIN k y USING (i, j) JOIN nm p ON p.layer = x.layer JOIN nm q ON q.layer = y.layer WHERE x.layer < y.layer GROUP BY ALL""",
     )
+    for m in SAMPLED:
+        found[f"coordinates_{m}"] = _sampled_coordinates(m)
     found["layers_nbs_unit"] = found["layers_nbs"].replace("n * rt / sqrt(t1 * t2)", "rt / sqrt(t1 * t2)")
     found["seeded_sample"] = f"SELECT vec_id, label FROM embeddings ORDER BY {_key('vec_id', 42)}, vec_id LIMIT 200"
     found["stratified_split"] = _split("embeddings", "vec_id", "label", 42)

@@ -26,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: parameters shared with the SQL of the same queries
 LMBD, K = 0.1, 10
 NOISE, GRID = 0.4, 10
+PORTABLE_SAMPLES = 150
 BETAS = ((2.5, 1.0), (2.0, 3.0))
 
 
@@ -536,6 +537,8 @@ def all_queries() -> dict[str, Query]:
         found[f"sales_{m}"] = _sales(m, **sales)
     for m in ("kldiv", "cka", "wasserstein"):
         found[f"scaled_{m}"] = lambda spark, sf, m=m: _round(compare_layers(D.scaled_layers(spark, sf), m))
+    for m in SAMPLED:
+        found[f"coordinates_{m}"] = _coords(m, portable=True, samples=PORTABLE_SAMPLES, seed=11)
     found["layers_nbs_unit"] = _layers("nbs", nbs_unit=True)
     found["offset_rsacorr"] = lambda spark, sf: _round(compare_layers(D.offset_layers(spark, sf), "rsacorr"))
     found["wide_rsacorr"] = lambda spark, sf: _round(compare_layers(D.product_layers(spark, sf), "rsacorr"))

@@ -110,6 +110,8 @@ class Params:
     samples: int = 10_000
     seed: int = 0
     root_mean_term: bool = False
+    #: draw samples from digests, slowly but the same in any engine
+    portable: bool = False
     #: the square root of the Jensen-Shannon divergence, a metric
     jsd_sqrt: bool = False
     #: Bures similarity divided by n, so that equal matrices give 1
