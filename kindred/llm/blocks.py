@@ -35,10 +35,10 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0, base ** 1, ... modulo 2 ** 64; kept up to the usual block size."""
     if len(_powers.get(int(base), ())) >= n:
         return _powers[int(base)][:n]
-    step = np.full(max(n, 2 * BLOCK_BYTES), base)
+    step = np.full(max(n, BLOCK_BYTES + 2), base)
     step[0] = 1
     powers = np.cumprod(step)
-    if n <= 2 * BLOCK_BYTES:
+    if n <= BLOCK_BYTES + 2:
         _powers[int(base)] = powers
     return powers[:n]
 
@@ -91,7 +91,10 @@ class Block:
         """64-bit hashes of byte spans, which depend on the bytes alone; there are two independent ones."""
         if which not in self._prefix:
             sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_BASES[which], len(self.data)), out=sums[1:])
+            terms = self.data.astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= _power(_BASES[which], len(self.data))
+            np.cumsum(terms, out=sums[1:])
             self._prefix[which] = sums
         sums = self._prefix[which]
         span = (sums[end] - sums[start]) * _power(_INVERSES[which], len(self.data) + 1)[start]

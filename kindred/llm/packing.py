@@ -122,7 +122,7 @@ def tokenized(docs: DataFrame, tokenizer: str, glue: bool, end_id: int, capacity
         part, seen, row = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), 0
         enc = encoder(tokenizer, glue)
         for batch, block in row_blocks(batches, "text", BLOCK_BYTES):
-            ids, offsets = enc.encode(block.texts, end_id)
+            ids, offsets = enc.encode(block, end_id)
             n = np.diff(offsets)
             per = -(-n // capacity)
             of = np.repeat(np.arange(len(n)), per)

@@ -76,7 +76,8 @@ def crc32c(parts: list[bytes]) -> np.ndarray:
     begin = first[1:] * _STRIDE - size
     flat = np.frombuffer(b"".join(parts), np.uint8)
     source = np.concatenate([[0], np.cumsum(size)])
-    data[np.repeat(begin - source[:-1], size) + np.arange(len(flat))] = flat
+    for a, b, n in zip(begin.tolist(), source[:-1].tolist(), size.tolist(), strict=True):
+        data[a : a + n] = flat[b : b + n]
     for k in range(4):
         data[begin + k] ^= 255
     columns = np.ascontiguousarray(data.reshape(-1, _STRIDE).T)
@@ -147,7 +148,7 @@ def write_records(
                     name, position = f"part-{part:05d}-{uuid.uuid4().hex}.rec", 0
                     store.create_dir(at, recursive=True)
                     out = store.open_output_stream(f"{at}/{name}")
-                ids, offsets = enc.encode(block.texts, end_id)
+                ids, offsets = enc.encode(block, end_id)
                 n = np.diff(offsets)
                 keys = batch.column("doc_id").to_numpy()
                 data = ids.astype(enc.dtype)

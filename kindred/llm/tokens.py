@@ -1,36 +1,121 @@
-"""Token ids by the tokenizers library, with a bounded cache of what it said.
+"""Token ids by the tokenizers library, with a compact cache of what it said.
 
-Texts are cut at blanks where the tokenizer cuts them anyway, each distinct piece is encoded by the library
-once, and the ids are put together with array operations. The cuts are exact for the two kinds of
-pre-tokenizer handled here; the tests hold them against whole-text encoding.
+Texts are cut at places where the tokenizer's pre-tokens end anyway. Each distinct piece is encoded by the library
+once per worker, and the ids are put together with array operations. The cuts depend on neighbouring
+ASCII characters and Latin letters only and are exact for the two kinds of pre-tokenizer handled here; the tests hold them
+against whole-text encoding.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import string
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-#: characters of distinct pieces to remember; when more come, the cache starts anew
-CACHE_CHARS = 12_000_000
+from kindred.llm.blocks import Block
+
+#: distinct pieces to remember, about 40 bytes each; when more come, the cache starts anew
+CACHE_PIECES = 2_000_000
 #: bytes of text at a time
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: pieces handed to the library at a time
 _TOGETHER = 1000
-# a blank between white space, or at the end behind white space: the pre-tokenizer joins such runs
-_UNEVEN = r"[\s\x0B\x1C-\x1F\x{85}\pZ] (?:[\s\x0B\x1C-\x1F\x{85}\pZ]|$)"
-# ASCII marks: a run of them behind a letter or digit is a pre-token of its own
-_MARKS = string.punctuation
-_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+
+_LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+# byte-level vocabularies spell bytes without a visible Latin-1 sign as the characters from 256 on
+_UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(_UNSEEN)}
+
+_OTHER, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _SPACE, _BREAK = range(7)
+
+
+def _classes() -> np.ndarray:
+    """The class of every ASCII byte; those of other characters than printable ones, blank and line break are not told apart."""
+    kind = np.full(256, _OTHER, np.uint8)
+    kind[33:127] = _MARK
+    for low, high in (("A", "Z"), ("a", "z")):
+        kind[ord(low) : ord(high) + 1] = _LETTER
+    kind[ord("0") : ord("9") + 1] = _DIGIT
+    kind[ord("'")], kind[ord(" ")], kind[ord("\n")] = _APOSTROPHE, _SPACE, _BREAK
+    return kind
+
+
+_KIND = _classes()
+# letters, digits and marks end each other's pre-tokens; an apostrophe may begin one of several characters
+_APART = np.zeros((7, 7), bool)
+for _a in (_LETTER, _DIGIT, _MARK):
+    for _b in (_LETTER, _DIGIT, _MARK):
+        _APART[_a, _b] = _a != _b
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The class of every byte; both bytes of the Latin letters U+00C0 to U+023F are letters."""
+    kind = _KIND[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8))
+    sign = (data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))
+    lead = lead[~sign]
+    kind[lead] = kind[lead + 1] = _LETTER
+    return kind
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the pieces: of every text, and wherever a pre-token surely begins.
+
+    A blank between two printable characters begins one; a line break between two is one.
+    """
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[offsets[:-1]] = True
+    if n > 2:
+        kind = _kinds(data)
+        first[1:n] |= _APART.ravel()[kind[:-1] * 7 + kind[1:]]
+        printable = (kind >= _LETTER) & (kind <= _APOSTROPHE)
+        inside = printable[:-2] & printable[2:]
+        # neighbours in other texts must not count
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        inside &= ~(edge[1 : n - 1] | edge[2:n])
+        blank, line = inside & (kind[1:-1] == _SPACE), inside & (kind[1:-1] == _BREAK)
+        first[1 : n - 1] |= blank | line
+        first[2:n] |= line
+    return np.flatnonzero(first[:n])
+
+
+class _Memory:
+    """Places of pieces by two 64-bit hashes: a large sorted table and a small one that is merged into it."""
+
+    def __init__(self):
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The place of each piece, or -1."""
+        place = np.full(len(one), -1, np.int64)
+        for h1, h2, at in self.tables:
+            if len(h1):
+                k = np.minimum(np.searchsorted(h1, one), len(h1) - 1)
+                hit = (h1[k] == one) & (h2[k] == two)
+                place[hit] = at[k[hit]]
+        return place
+
+    def add(self, one: np.ndarray, two: np.ndarray, place: np.ndarray) -> None:
+        large, small = self.tables
+        small = tuple(np.concatenate(p) for p in zip(small, (one, two, place), strict=True))
+        if len(small[0]) > max(20_000, len(large[0]) // 8):
+            large, small = tuple(np.concatenate(p) for p in zip(large, small, strict=True)), tuple(x[:0] for x in small)
+            large = tuple(x[np.argsort(large[0], kind="stable")] for x in large)
+        else:
+            small = tuple(x[np.argsort(small[0], kind="stable")] for x in small)
+        self.tables = [large, small]
 
 
 class Encoder:
-    """Encodes lists of texts to one flat id array with offsets, without special tokens.
+    """Encodes texts to one flat id array with offsets, without special tokens.
 
     ``glue`` tells whether a blank belongs to the piece after it (byte-level vocabularies) or is dropped
     (vocabularies whose pre-tokenizer removes white space). Texts that spell a special token get
@@ -41,7 +126,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.splitter = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.glue = glue
@@ -57,90 +142,70 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        # places of pieces by what they spell, and by what follows their leading blank
-        self._whole: dict[str, int] = {}
-        self._behind_blank: dict[str, int] = {}
-        self._pool, self._ends, self._chars = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
+        self._memory = _Memory()
+        self._pool, self._ends = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+
+    def _letters(self, piece: str) -> str | None:
+        """What the model sees of a piece of Latin letters, which is a single pre-token; None for other pieces."""
+        if not _LATIN.fullmatch(piece):
+            return None
+        if not self.glue:
+            piece = piece.lower() if piece.isascii() else self.tokenizer.normalizer.normalize_str(piece)
+            piece = piece.lstrip(" ")
+            if not _LATIN.fullmatch(piece):
+                return None
+        return piece.encode().decode("latin-1").translate(_BYTE_SIGNS)
 
     def _library(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each piece. Many pieces go in one call, held apart by a mark that they do not hold themselves."""
-        alone = [p for p in pieces if self.mark is None or self.taboo in p]
-        out = {p: e.ids for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+        out = {p: [t.id for t in self.tokenizer.model.tokenize(w)] for p in pieces if (w := self._letters(p))}
+        alone = [p for p in pieces if p not in out and (self.mark is None or self.taboo in p)]
+        out.update((p, e.ids) for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True))
         rest = [p for p in pieces if p not in out]
-        library = self.splitter if self.glue else self.tokenizer
+        # a mark that is a special token has to be seen as one; pieces that could be taken for it are encoded above
+        self.tokenizer.encode_special_tokens = not self.glue
         for k in range(0, len(rest), _TOGETHER):
             some = rest[k : k + _TOGETHER]
-            ids = library.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids
+            ids = self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids
             cut = np.flatnonzero(np.array(ids) == self.mark_id).tolist()
             out.update((p, ids[a:b]) for p, a, b in zip(some, [0, *(c + 1 for c in cut)], [*cut, len(ids)], strict=True))
+        self.tokenizer.encode_special_tokens = True
         return [out[p] for p in pieces]
 
-    def _places(self, pieces: list[str], known: dict[str, int], blank: str) -> list[int]:
+    def _places(self, block: Block, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Where the ids of the pieces lie in the pool; new pieces are learnt."""
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            ids = self._library([blank + p for p in new])
-            n = len(self._ends) - 1
-            known.update(zip(new, range(n, n + len(new)), strict=True))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+        hashes = block.hashes(start, end)
+        distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        second = block.hashes(start[example], end[example], 1)
+        place = self._memory.find(distinct, second)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            data = bytes(block.data)
+            spans = zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)
+            ids = self._library([data[a:b].decode() for a, b in spans])
+            place[new] = np.arange(len(self._ends) - 1, len(self._ends) - 1 + len(new))
+            flat = np.fromiter(chain.from_iterable(ids), self.dtype, sum(map(len, ids)))
             self._pool = np.concatenate([self._pool, flat])
             self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum([len(i) for i in ids])])
-            self._chars += sum(map(len, new))
-        return [known[p] for p in pieces]
-
-    def _parted(self, pieces: list[str], known: dict[str, int], blank: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places of distinct pieces, one after the other, and how many each has: marks at the end stand alone."""
-        stems, tails, two = [], [], np.ones(len(pieces), np.int64)
-        for i, p in enumerate(pieces):
-            stem = p.rstrip(_MARKS)
-            if stem and stem[-1].isalnum() and len(stem) < len(p):
-                stems.append(stem)
-                tails.append(p[len(stem) :])
-                two[i] = 2
-            else:
-                stems.append(p)
-        at = np.empty(int(two.sum()), np.int64)
-        first = np.cumsum(two) - two
-        at[first] = self._places(stems, known, blank)
-        at[first[two == 2] + 1] = self._places(tails, self._whole, "")
-        return at, two
-
-    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the pieces of all texts, and the number of pieces of each text."""
-        lists = pc.split_pattern(texts if self.glue else pc.replace_substring(texts, "\n", " "), " ")
-        count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if not self.glue:
-            return _expanded(*self._parted(pieces, self._whole, ""), index, count)
-        # the first piece of a text has no blank before it
-        first = np.cumsum(count) - count
-        opening, which = np.unique(index[first], return_inverse=True)
-        inner, n_inner = self._parted(pieces, self._behind_blank, " ")
-        outer, n_outer = self._parted([pieces[i] for i in opening], self._whole, "")
-        index = index.astype(np.int64)
-        index[first] = len(pieces) + which
-        at, count = _expanded(np.concatenate([inner, outer]), np.concatenate([n_inner, n_outer]), index, count)
-        uneven = np.flatnonzero(pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False))
-        if not len(uneven):
-            return at, count
-        parts = np.split(at, np.cumsum(count)[:-1])
-        for i in uneven:
-            parts[i] = np.array(self._places(_SAFE_CUT.split(texts[i].as_py()), self._whole, ""), np.int64)
-            count[i] = len(parts[i])
-        return np.concatenate(parts), count
-
-    def encode(self, texts: list[str] | pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+            self._memory.add(distinct[new], second[new], place[new])
+        return place[which]
+
+    def encode(self, texts: list[str] | pa.Array | Block, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the offsets of the texts."""
-        if self._chars > CACHE_CHARS:
+        if len(self._memory) > CACHE_PIECES:
             self._clear()
-        if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        at, count = self._cut(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
-        start, n = self._ends[at], self._ends[at + 1] - self._ends[at]
+        block = texts if isinstance(texts, Block) else Block(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        start = cuts(block.data, block.offsets)
+        end = np.append(start[1:], len(block.data))
+        count = np.diff(np.searchsorted(start, block.offsets))
+        if not self.glue and len(start):
+            # a blank in front says nothing, and so does a line break alone
+            start = start + ((block.data[start] == 32) & (end - start > 1))
+        at = self._places(block, start, end) if len(start) else np.zeros(0, np.int64)
+        first, n = self._ends[at], self._ends[at + 1] - self._ends[at]
         done = np.concatenate([[0], np.cumsum(n)])
-        own = self._pool[np.repeat(start - done[:-1], n) + np.arange(done[-1])]
-        offsets = done[np.concatenate([[0], np.cumsum(count)])] + np.arange(len(texts) + 1)
+        own = self._pool[np.repeat(first - done[:-1], n) + np.arange(done[-1])]
+        offsets = done[np.concatenate([[0], np.cumsum(count)])] + np.arange(block.n + 1)
         ids = np.full(offsets[-1], end_id, np.uint32)
         keep = np.ones(len(ids), bool)
         keep[offsets[1:] - 1] = False
@@ -148,16 +213,6 @@ class Encoder:
         return ids, offsets
 
 
-def _expanded(places: np.ndarray, many: np.ndarray, index: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all occurrences (``index``: which distinct piece), and their number per text."""
-    first = np.cumsum(many) - many
-    n = many[index]
-    ends = np.cumsum(n)
-    at = places[np.repeat(first[index] - (ends - n), n) + np.arange(ends[-1])]
-    done = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
-    return at, np.diff(done)
-
-
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 

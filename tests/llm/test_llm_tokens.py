@@ -33,7 +33,7 @@ def test_cut_and_cached_encoding_equals_the_library(texts):
 
 
 def test_a_full_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr("kindred.llm.tokens.CACHE_CHARS", 20)
+    monkeypatch.setattr("kindred.llm.tokens.CACHE_PIECES", 3)
     enc = encoder(BYTE_BPE, True)
     for t in ("one two three four five six", "seven eight nine ten", "one two"):
         assert enc.encode([t], 0)[0].tolist() == library(BYTE_BPE, [t])[0] + [0]
