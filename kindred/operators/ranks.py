@@ -1,10 +1,11 @@
 """Exact ranks and quantiles of groups far larger than one task.
 
-Values are cut into equal-width bins per group.  Counting the bins takes only
-map-side partial sums; the counts give each bin's first rank, so that sorting
-is needed inside a bin only and the bins are spread over all tasks.  A group's
-minimum and maximum have bins of their own, and a bin that holds one value only
-is ranked from its count: copies of one value never have to meet in one task.
+Values are cut into bins per group: between knots, which are approximate quantiles, into
+equal widths, and every knot is a bin of its own. So bins follow the distribution, whatever outliers there
+are. Counting the bins takes only map-side partial sums; the counts give each bin's first rank, so that
+sorting is needed inside a bin only and the bins are spread over all tasks. A bin that holds one value only
+is ranked from its count: copies of one value never have to meet in one task. The knots only
+balance the work; the ranks are exact with any.
 """
 
 from __future__ import annotations
@@ -15,34 +16,33 @@ from pyspark.sql import functions as F
 from kindred.session import BROADCAST_LIMIT
 
 BINS = 4096
+#: knots of a group
+KNOTS = 64
 
 
-def _bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
-    inner = F.floor((value - lo) / (hi - lo) * bins).cast("int")
-    return (
-        F.when(value == lo, F.lit(-1))
-        .when(value == hi, F.lit(bins))
-        .otherwise(F.least(F.greatest(inner, F.lit(0)), F.lit(bins - 1)))
-    )
+def _bin(value: Column, knots: Column, width: int) -> Column:
+    at = F.size(F.filter(knots, lambda x: x <= value))
+    low, high = F.get(knots, at - 1), F.get(knots, at)
+    part = F.least(F.floor((value - low) / (high - low) * width), F.lit(width - 1))
+    inner = 1 + F.coalesce(F.greatest(part, F.lit(0)), F.lit(0))
+    return (at * (width + 1) + F.when(value == low, 0).otherwise(inner)).cast("int")
 
 
-def _binned(
-    df: DataFrame, keys: list[str], value: str, bins: int, groups: int | None, span: DataFrame | None
-) -> tuple[DataFrame, DataFrame]:
+def _binned(df: DataFrame, keys: list[str], value: str, bins: int, groups: int | None) -> tuple[DataFrame, DataFrame]:
     """The rows with their bin, and per bin its count, first rank and extremes.
 
-    The bin table has at most ``groups * (bins + 2)`` rows.  It is broadcast if
+    The bin table has about ``groups * (bins + KNOTS)`` rows.  It is broadcast if
     the caller states the number of groups and that product is small, else
     Spark chooses the join from the measured size.
     """
-    small = groups is not None and groups * (bins + 2) * 64 <= BROADCAST_LIMIT
+    small = groups is not None and groups * (bins + 2 * KNOTS) * 64 <= BROADCAST_LIMIT
     hint = F.broadcast if small else (lambda d: d)
-    if span is None:
-        span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    steps = F.array(*[F.lit(k / KNOTS) for k in range(KNOTS + 1)])
+    knots = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps, F.lit(2000))).alias("_knots"))
     rows = (
-        df.join(hint(span), keys)
-        .withColumn("_bin", _bin(F.col(value), F.col("_lo"), F.col("_hi"), bins))
-        .drop("_lo", "_hi")
+        df.join(hint(knots), keys)
+        .withColumn("_bin", _bin(F.col(value), F.col("_knots"), max(1, bins // KNOTS)))
+        .drop("_knots")
     )
     stats = rows.groupBy(*keys, "_bin").agg(
         F.count(F.lit(1)).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max")
@@ -58,13 +58,9 @@ def average_ranks(
     out: str = "rank",
     bins: int = BINS,
     groups: int | None = None,
-    span: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the 1-based rank of ``value`` within ``keys``; ties get their mean rank.
-
-    ``span`` may give known bounds ``(*keys, _lo, _hi)`` and saves one pass.
-    """
-    rows, stats = _binned(df, keys, value, bins, groups, span)
+    """Add the 1-based rank of ``value`` within ``keys``; ties get their mean rank."""
+    rows, stats = _binned(df, keys, value, bins, groups)
     single = F.col("_min") == F.col("_max")
     # rows of a one-valued bin stay spread out: their rank needs no sorting
     joined = (
@@ -85,7 +81,7 @@ def quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = BINS, groups: int | None = None
 ) -> DataFrame:
     """One row per group: linearly interpolated quantiles named by ``probs``, and ``n``."""
-    rows, stats = _binned(df, keys, value, bins, groups, None)
+    rows, stats = _binned(df, keys, value, bins, groups)
     total = stats.groupBy(*keys).agg(F.sum("_n").alias("n"))
     names = list(probs)
     wanted = (

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from kindred.functions.scalars import noise_level
 from kindred.operators.moments import outer_sums
-from kindred.operators.ranks import average_ranks
 from kindred.plans.registry import Params
 from kindred.sources.activations import Layers
 
