@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,10 +17,15 @@ WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.
 TEXT = st.text(alphabet="ab'stlE 12!?\n\t\r\x1ćé漢🙂\xa0<|>▁", max_size=40)
 
 
-def library(path, texts):
+@lru_cache
+def tokenizer(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return t
+
+
+def library(path, texts):
+    return [e.ids for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=300, deadline=None)
