@@ -15,7 +15,7 @@ from kindred.operators import reliability as R
 from kindred.operators import sampling
 from kindred.operators.layer_compare import compare_layers
 from kindred.plans import datasets as D
-from kindred.plans.registry import MEASURES, register_measure
+from kindred.plans.registry import forget_measure, register_measure
 from kindred.session import scratch_path, ship_package
 from kindred.sources import activations as A
 from kindred.sources import tables as T
@@ -376,9 +376,11 @@ def _uncentred_alignment(pair, params) -> float:
 
 def registered_measure(spark, sf):
     """A measure that is not built in: alignment without centring."""
-    if "uncentredalignment" not in MEASURES:
-        register_measure("uncentred alignment", _uncentred_alignment, similarity=True)
-    return _round(compare_layers(D.embedding_layers(spark, sf), "Uncentred-Alignment"))
+    own = register_measure("uncentred alignment", _uncentred_alignment, similarity=True)
+    try:
+        return _round(compare_layers(D.embedding_layers(spark, sf), "Uncentred-Alignment"))
+    finally:
+        forget_measure(own)
 
 
 def loglik_noise_grid(spark, sf):

@@ -85,6 +85,15 @@ def register_measure(
     return measure
 
 
+def forget_measure(measure: Measure) -> None:
+    """Remove a registered measure and its aliases; comparisons that were built with it still work."""
+    if measure.function is None:
+        raise ValueError(f"{measure.name} is built in")
+    MEASURES.pop(measure.name, None)
+    for alias in [a for a, name in ALIASES.items() if name == measure.name]:
+        del ALIASES[alias]
+
+
 def resolve(name: str) -> Measure:
     """Look a measure up by any spelling of its name."""
     key = simplify_name(name)

@@ -12,7 +12,7 @@ from kindred.operators.gram_compare import compare_gram, distance_form, symmetri
 from kindred.operators.layer_compare import compare_layers
 from kindred.operators.stimulus_pairs import distances, nearest
 from kindred.operators import stimulus_pairs as SP
-from kindred.plans.registry import ALIASES, MEASURES, Params, register_measure
+from kindred.plans.registry import ALIASES, MEASURES, Params, forget_measure, register_measure
 from kindred.sources.activations import extract
 
 EXACT = [m for m in MEASURES if m not in ("tvd", "jsd")]
@@ -386,8 +386,7 @@ def test_measures_of_ones_own_and_variants(spark):
     def overlap(pair, params):
         return float((pair.s1 * pair.s2).sum()) + pair.extra * pair.floor**2
 
-    if "overlapsum" not in MEASURES:
-        register_measure("overlap sum", overlap, similarity=True, aliases=("common part",))
+    own = register_measure("overlap sum", overlap, similarity=True, aliases=("common part",))
     for taken in ("cka", "Common-Part", "KL divergence"):
         with pytest.raises(ValueError, match="already"):
             register_measure(taken, overlap)
@@ -397,8 +396,8 @@ def test_measures_of_ones_own_and_variants(spark):
     varied = values(compare_gram(gram_frame(spark, covs), ["jsd", "nbs"], samples=500, jsd_sqrt=True, nbs_unit=True))
     assert varied["jsd", "a", "b"] == pytest.approx(got["jsd", "a", "b"] ** 0.5)
     assert varied["nbs", "a", "b"] == pytest.approx(got["nbs", "a", "b"] / 6)
-    MEASURES.pop("overlapsum")
-    ALIASES.pop("commonpart")
+    forget_measure(own)
+    assert "overlapsum" not in MEASURES and "commonpart" not in ALIASES
 
 
 def test_rank_similarity_with_an_outlier_and_ties(spark, monkeypatch):

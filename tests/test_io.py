@@ -11,7 +11,7 @@ from kindred.operators import gram as G
 from kindred.operators import sampling
 from kindred.operators.gram_compare import compare_gram
 from kindred.operators.reliability import cell_stats
-from kindred.plans.registry import MEASURES, register_measure
+from kindred.plans.registry import forget_measure, register_measure
 from kindred.session import scratch_path
 from kindred.sources import activations as A
 from kindred.sources import tables as T
@@ -159,7 +159,7 @@ def test_a_second_run_evaluates_missing_pairs_only(spark, tmp_path, route):
         calls.add(1)
         return float(pair.s1.trace())
 
-    register_measure(f"counted {route}", counted)
+    own = register_measure(f"counted {route}", counted)
     try:
         rng = np.random.default_rng(1)
         rows = [(i, rng.standard_normal(8).tolist()) for i in range(20)]
@@ -178,7 +178,7 @@ def test_a_second_run_evaluates_missing_pairs_only(spark, tmp_path, route):
         stored = T.read_distances(spark, path)
         assert {r.measure: r["count"] for r in stored.groupBy("measure").count().collect()} == {name: 6, "rsarank": 6, "cka": 6}
     finally:
-        MEASURES.pop(f"counted{route}")
+        forget_measure(own)
 
 
 def test_undefined_values_are_not_queued_again(spark, tmp_path):
