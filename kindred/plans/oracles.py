@@ -700,5 +700,6 @@ def all_sql() -> dict[str, str]:
     )
     found["epoch_metrics"] = f"""SELECT lang, {_r('sum((quality - (1 - toxic)) ** 2 * n_chars) / sum(n_chars)', 'mean_loss')},
         {_r('avg((quality = 1 - toxic)::INT)', 'accuracy')} FROM documents JOIN labels USING (doc_id) GROUP BY lang"""
+    found["streamed_comparisons"] = f"SELECT * FROM ({found['sales_cka']}) UNION ALL SELECT * FROM ({found['sales_gulp']})"
     found["streamed_activations"] = _with(*_EMB, final=f"SELECT layer, count(DISTINCT stim) AS n_stim, {_r('sum(v * v)', 'trace')} FROM acts GROUP BY layer")
     return found

@@ -492,6 +492,17 @@ def streamed_activations(spark, sf):
     return _round(stored.groupBy("layer").agg(F.count(F.lit(1)).alias("n_stim"), F.sum(norm).alias("trace")))
 
 
+def streamed_comparisons(spark, sf):
+    """Matrices that arrive in two batches; each batch fills in the comparisons it makes possible."""
+    source, grams, out = (scratch_path(spark, name) for name in ("arriving", "grams", "dist"))
+    gram = D.sales_gram(spark, sf)
+    for state in ("layer < 'N'", "layer >= 'N'"):
+        gram.where(state).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("layer string, i int, j int, v double").parquet(source)
+        I.run_to_end(lambda: I.compare_arrivals(stream, grams, out, f"{out}-offsets", "sales", ["cka", "gulp"], lmbd=LMBD))
+    return _round(T.read_distances(spark, out).select("measure", "a", "b", "value"))
+
+
 #: measures and the options their queries use
 OPTIONS = {"gulp": {"lmbd": LMBD}, "jaccard": {"k": K}}
 ALGEBRAIC = ("kldiv", "bhattacharyya", "hellinger", "wasserstein", "gulp", "procrustes", "nbs")
@@ -513,7 +524,7 @@ def all_queries() -> dict[str, Query]:
             loglik_noise_marginal, log_posterior, log_posterior_joint, log_posterior_per_noise,
             posterior_sum_check, winner_counts, logpost_boxplot, seeded_sample, stratified_split,
             document_split, region_trials, scatter_volume, epoch_metrics, streamed_statistics,
-            streamed_activations,
+            streamed_activations, streamed_comparisons,
         )
     }
     found |= {

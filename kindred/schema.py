@@ -12,23 +12,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype) for name, dtype in fields])
 
 
-ARRAY = T.ArrayType(T.DoubleType())
-
-#: one row per (layer, stimulus): the flattened feature vector
-ACTS = _struct(("layer", T.StringType()), ("stim", T.LongType()), ("features", ARRAY))
-#: one row per matrix cell, both triangles present
-GRAM = _struct(
-    ("layer", T.StringType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("v", T.DoubleType())
-)
-#: one row per matrix, row-major
-PACKED = _struct(("layer", T.StringType()), ("dim", T.IntegerType()), ("m", ARRAY))
 #: one row per unordered layer pair, a < b
 DIST = _struct(
     ("measure", T.StringType()), ("a", T.StringType()), ("b", T.StringType()), ("value", T.DoubleType())
 )
-#: one row per single presentation of a stimulus to a channel
-TRIALS = _struct(
-    ("voxel", T.LongType()), ("stim", T.StringType()), ("trial", T.LongType()), ("v", T.DoubleType())
-)
-#: one row per (channel, model)
-LOGLIK = _struct(("voxel", T.LongType()), ("model", T.StringType()), ("ll", T.DoubleType()))

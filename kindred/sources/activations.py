@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from math import prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,9 +170,14 @@ def between(df: DataFrame, keys: list[str], order: str, name: str, contains: str
 
 def mock_inputs(spark: SparkSession, n: int, shape: tuple[int, ...], seed: int = 42) -> DataFrame:
     """``(stim, x)`` with normal random vectors of the given shape, flattened."""
-    width = 1
-    for d in shape:
-        width *= d
-    return spark.range(n).select(
-        F.col("id").alias("stim"), F.array(*[F.randn(seed + i) for i in range(width)]).alias("x")
-    )
+    width = prod(shape)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stims = batch.column(0)
+            rows = [np.random.default_rng((seed, k)).standard_normal(width) for k in stims.to_pylist()]
+            ends = pa.array(np.arange(len(rows) + 1) * width, pa.int32())
+            values = pa.array(np.concatenate(rows) if rows else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([stims, pa.ListArray.from_arrays(ends, values)], ["stim", "x"])
+
+    return spark.range(n).select(F.col("id").alias("stim")).mapInArrow(draw, "stim long, x array<double>")

@@ -17,7 +17,7 @@ SAMPLE = [
     "pairs_remaining", "stored_distances", "run_lengths", "noise_by_run", "voxel_reliability", "zscore_voxel",
     "noise_grid", "grouped_trials", "loglik_voxel_weights", "log_posterior", "discount_winners",
     "logpost_boxplot", "document_split", "scatter_volume", "streamed_statistics", "layers_wasserstein",
-    "gram_orders", "coordinates_tvd", "coordinates_jsd", "scaled_kldiv", "scaled_cka", "scaled_wasserstein", "offset_rsacorr", "wide_rsacorr", "sales_kldiv_means",
+    "gram_orders", "coordinates_tvd", "coordinates_jsd", "streamed_comparisons", "scaled_kldiv", "scaled_cka", "scaled_wasserstein", "offset_rsacorr", "wide_rsacorr", "sales_kldiv_means",
     "sales_mahalanobis_means", "noise_grid_fixed", "loglik_with_mean", "registered_measure", "layers_nbs_unit", "layers_rsarank", "layers_jaccard", "sales_procrustes", "sales_rsacorr", "coordinates_nbs",
 ]
 
