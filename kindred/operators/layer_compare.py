@@ -233,7 +233,7 @@ def compare_layers(layers: Layers, measures, todo: DataFrame | None = None, **op
             same = (F.get(lookup, F.col("a")) == F.col("ta")) & (F.get(lookup, F.col("b")) == F.col("tb"))
             pairs = pairs.join(keys, same, "left_semi")
         # a few rows, each with a decomposition to compute: spread them whatever their size
-        pairs = pairs.repartition(min(len(names) * (len(names) - 1) // 2, 4 * layers.df.sparkSession.sparkContext.defaultParallelism), "a", "b")
+        pairs = pairs.repartition(min(len(names) * (len(names) - 1) // 2, layers.df.sparkSession.sparkContext.defaultParallelism), "a", "b")
         parts.append(pairs.mapInPandas(_pair_kernel(names, _layout(layers), pilot, algebraic, params), DIST))
     if MEASURES["rsarank"] in wanted:
         parts.append(_restrict(stimulus_pairs.rank_similarity(layers), todo))
