@@ -59,9 +59,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @beside_own
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact copies and documents linked over any number of steps are one group."""
-    found = jaccard_join.jaccard_join(docs)
-    return rows_without_ids(docs, "doc_id", found.where("doc_id <> group_id").select("doc_id"))
+    """Exact copies and documents linked over any number of steps are one group, of which one row stays whatever the ids."""
+    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-documents", compression="zstd")
+    found = jaccard_join.similar_rows(docs, "row")
+    return rows_without_ids(docs, "row", found.where("row <> group_row").select("row")).drop("row")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

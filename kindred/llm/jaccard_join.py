@@ -12,7 +12,8 @@ Documents are sets of word shingles. Equal sets form a class, and classes are wh
 4. A task reports for each class the number of its links and one representative it is connected with;
    no pair leaves a task, so a group of n similar texts gives rows in proportion to n per block.
 
-Only texts of candidate classes are exchanged, found with a Bloom filter of their ids.
+Only texts of candidate classes are exchanged, found with a Bloom filter of their ids. A class is known by the number
+of one of its rows, given in the one scan and stored with the signatures, so null and repeated ids are no matter.
 """
 
 from __future__ import annotations
@@ -74,22 +75,29 @@ def minhashes(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum.reduceat(keys * a, starts) for a in _FACTORS], axis=1)
 
 
+def class_keys(keys: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """Two hashes of every shingle set."""
+    n = np.diff(offsets)
+    some = n > 0
+    starts = offsets[:-1][some]
+    out = []
+    for salt in (1, 2):
+        sums = np.zeros(len(n), np.uint64)
+        if len(starts):
+            sums[some] = np.add.reduceat(mix(keys + np.uint64(salt)), starts)
+        out.append(pa.array(mix(sums + n.astype(np.uint64)).view(np.int64)))
+    return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc, c1, c2, n, bands, sig) for (doc, text): class key, set size, 40 band keys, 200 bytes."""
+    """(doc, row, c1, c2, n, bands, sig) for (doc, row, text): class key, set size, 40 band keys, 200 bytes."""
 
     def rows(batches: Batches) -> Batches:
         for batch, block in row_blocks(batches, "text"):
             keys, offsets = shingles(block)
             n = np.diff(offsets)
             some = n > 0
-            starts = offsets[:-1][some]
             values = minhashes(keys, offsets)
-            class_ = []
-            for salt in (1, 2):
-                sums = np.zeros(block.n, np.uint64)
-                if len(starts):
-                    sums[some] = np.add.reduceat(mix(keys + np.uint64(salt)), starts)
-                class_.append(pa.array(mix(sums + n.astype(np.uint64)).view(np.int64)))
             bands = np.zeros((len(values), BANDS), np.uint64)
             for k in range(ROWS):
                 bands = mix(bands + values[:, k::ROWS])
@@ -98,15 +106,15 @@ def signatures(docs: DataFrame) -> DataFrame:
             at = np.cumsum(some) - 1
             packed = [[x[i].tobytes() if ok else b"" for i, ok in zip(at, some, strict=True)] for x in (bands, sig)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), *class_, pa.array(n.astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)],
-                ["doc", "c1", "c2", "n", "bands", "sig"],
+                [batch.column("doc"), batch.column("row"), *class_keys(keys, offsets), pa.array(n.astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)],
+                ["doc", "row", "c1", "c2", "n", "bands", "sig"],
             )
 
-    return in_arrow(docs, rows, "doc long, c1 long, c2 long, n int, bands binary, sig binary")
+    return in_arrow(docs, rows, "doc long, row long, c1 long, c2 long, n int, bands binary, sig binary")
 
 
 def bucket_edges(reps: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all classes of a bucket; reps: (doc, bands).
+    """Edges (u, v) that connect all classes of a bucket; reps: (row, bands).
 
     Band keys are sorted over all tasks together with the class, so a large bucket is cut. Inside a
     task every class is tied to the first of its bucket there; the first and last buckets of the tasks,
@@ -116,7 +124,7 @@ def bucket_edges(reps: DataFrame) -> DataFrame:
     def explode(batches: Batches) -> Batches:
         for batch in batches:
             bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
-            docs = np.repeat(batch.column("doc").to_numpy(), BANDS)
+            docs = np.repeat(batch.column("row").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(docs)], ["key", "doc"])
 
     def tie(batches: Batches) -> Batches:
@@ -141,7 +149,7 @@ def bucket_edges(reps: DataFrame) -> DataFrame:
         if key is not None:
             yield _edges([True], [key], [top])
 
-    rows = in_arrow(reps.where(F.length("bands") > 0).select("doc", "bands"), explode, "key long, doc long")
+    rows = in_arrow(reps.where(F.length("bands") > 0).select("row", "bands"), explode, "key long, doc long")
     found = in_arrow(rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc"), tie, "border boolean, u long, v long")
     found = stored(found, "ties")
     along = Window.partitionBy("u")
@@ -280,34 +288,44 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     similarity reaches the threshold (a fraction of at least 4/5), ``group_id`` the largest id that
     is connected through such links. Null and empty texts and texts without words have the empty set: they are
     one class without links. A text of fewer words than a shingle is equal to its like only. Rows that
-    repeat an id are compared as one document with the first text by hash; null ids stand for the smallest id.
+    repeat an id, or have none, are compared each with its own text; a null id is the smallest.
     """
+    found = similar_rows(docs.withColumn("_row", F.monotonically_increasing_id()), "_row", text, doc_id, threshold, block)
+    return found.select("doc_id", "class_id", "class_size", "n_links", "group_id")
+
+
+def similar_rows(docs: DataFrame, row: str, text: str = "text", doc_id: str = "doc_id", threshold: tuple[int, int] = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """The columns of the join with ``row`` and ``group_row``, the row that stands for the group: the last of its largest id."""
     if 5 * threshold[0] < 4 * threshold[1]:
         raise ValueError("the bands find similarities of 0.8 and more")
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
-    source = docs.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = docs.select(doc.alias("doc"), F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = stored(signatures(source), "signatures")
     total = rows.count()
-    classes = rows.groupBy("c1", "c2").agg(F.max("doc").alias("rep"), F.count("*").alias("class_size"))
+    classes = rows.groupBy("c1", "c2").agg(F.max(F.struct("doc", "row")).alias("rep"), F.count("*").alias("class_size"))
     reps = stored(
-        rows.join(classes.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "rep"), (F.col("doc") == F.col("rep")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")))
-        .dropDuplicates(["doc"]).select("doc", "n", "bands", "sig"),
+        rows.join(classes.select(F.col("rep.row").alias("rep_row")), F.col("row") == F.col("rep_row")).select("doc", "row", "c1", "c2", "n", "bands", "sig"),
         "classes",
-    )
+    )
     parts = components(bucket_edges(reps))
     links = stored(_links(source, reps, parts, threshold, block), "links")
     found = links.groupBy("doc").agg(F.sum("n_links").alias("n_links"))
     groups = components(links.where("doc <> root").select(F.col("doc").alias("u"), F.col("root").alias("v")))
-    top = groups.groupBy("label").agg(F.max("node").alias("group_id"))
-    groups = groups.join(top, "label").select(F.col("node").alias("g_doc"), "group_id")
+    groups = groups.join(reps.select("row", F.struct("doc", "row").alias("rep")), F.col("node") == F.col("row")).select("node", "label", "rep")
+    top = groups.groupBy("label").agg(F.max("rep").alias("top"))
+    groups = groups.join(top, "label").select(F.col("node").alias("g_row"), "top")
+    last = F.coalesce("top", "rep")
     known = (
-        classes.join(found.select(F.col("doc").alias("l_doc"), "n_links"), F.col("rep") == F.col("l_doc"), "left")
-        .join(groups, F.col("rep") == F.col("g_doc"), "left")
-        .select("c1", "c2", F.col("rep").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_id", "rep").alias("group_id"))
+        classes.join(found.select(F.col("doc").alias("l_row"), "n_links"), F.col("rep.row") == F.col("l_row"), "left")
+        .join(groups, F.col("rep.row") == F.col("g_row"), "left")
+        .select(
+            "c1", "c2", F.col("rep.doc").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            last["doc"].alias("group_id"), last["row"].alias("group_row"),
+        )
     )
-    out = attach_groups(rows.select("doc", "c1", "c2"), stored(known, "known"), ["c1", "c2"], "class_size", total)
+    out = attach_groups(rows.select("doc", "row", "c1", "c2"), stored(known, "known"), ["c1", "c2"], "class_size", total)
     null = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
-    return out.select(null("doc").alias("doc_id"), null("class_id").alias("class_id"), "class_size", "n_links", null("group_id").alias("group_id"))
+    return out.select(null("doc").alias("doc_id"), null("class_id").alias("class_id"), "class_size", "n_links", null("group_id").alias("group_id"), "row", "group_row")
 
 
 def _links(source: DataFrame, reps: DataFrame, parts: DataFrame, threshold: tuple[int, int], block: int) -> DataFrame:
@@ -316,20 +334,22 @@ def _links(source: DataFrame, reps: DataFrame, parts: DataFrame, threshold: tupl
     members = (
         parts.join(sizes, F.col("label") == F.col("part"))
         .withColumn("blocks", n_blocks)
-        .select(F.col("node").alias("doc"), "part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"), "blocks")
+        .select(F.col("node").alias("row"), "part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"), "blocks")
     )
-    candidates = stored(reps.drop("bands").join(members, "doc"), "candidates")
-    texts = rows_with_ids(source, "doc", candidates.select("doc")).dropDuplicates(["doc"])
+    candidates = stored(reps.drop("bands").join(members, "row"), "candidates")
+    texts = rows_with_ids(source.select("doc", "text"), "doc", candidates.select("doc"))
+
+    key = ["c1", "c2"]
 
     def to_sets(batches: Batches) -> Batches:
         for batch, whole in row_blocks(batches, "text"):
             keys, offsets = shingles(whole)
             sets = [keys[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary())], ["doc", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *class_keys(keys, offsets), pa.array(sets, pa.binary())], ["doc", *key, "set"])
 
-    sets = in_arrow(texts.select("doc", "text"), to_sets, "doc long, set binary")
-    full = candidates.join(sets, "doc")
+    sets = in_arrow(texts.select("doc", "text"), to_sets, "doc long, c1 long, c2 long, set binary").dropDuplicates(["doc", *key])
+    full = candidates.join(sets, ["doc", *key])
     paired = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "part", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "doc", "sig", "set"
+        "part", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", F.col("row").alias("doc"), "sig", "set"
     )
     return linked(paired.repartition("part", "a", "b").sortWithinPartitions("part", "a", "b"), threshold)

@@ -75,6 +75,22 @@ def test_links_and_groups_match_brute_force(spark, block):
     assert rows_of(J.jaccard_join(documents(spark, rows), block=block)) == brute(rows)
 
 
+def repeated_ids():
+    """Ids that are null or stand for several texts, near copies of other rows among them, and whole rows twice."""
+    rng = random.Random(4)
+    a, b, c, d = (sentence(rng, 80) for _ in range(4))
+    return [(None, a), (None, b), (None, b + " tail"), (3, a + " tail"), (7, b + " end"), (7, c), (7, d), (8, d + " tail"), (9, c + " tail"), (9, c + " tail"), (9, "x y z"), (None, "x y")]
+
+
+def test_ids_that_are_null_or_repeated_lose_no_links(spark):
+    rows = repeated_ids()
+    # the same rows with ids of their own in the same order, and back
+    ids = {k: 1000 * (d or 0) + k for k, (d, _) in enumerate(rows)}
+    old = {i: rows[k][0] for k, i in ids.items()}
+    want = [(old[i], old[c], n, m, old[g]) for i, c, n, m, g in brute([(ids[k], t) for k, (_, t) in enumerate(rows)])]
+    assert rows_of(J.jaccard_join(documents(spark, rows))) == sorted(want, key=str)
+
+
 def test_empty_table_and_only_blanks(spark):
     assert J.jaccard_join(documents(spark).where("false")).count() == 0
     assert rows_of(J.jaccard_join(documents(spark, [(1, None), (2, " "), (3, "")]))) == [(1, 3, 3, 0, 3), (2, 3, 3, 0, 3), (3, 3, 3, 0, 3)]

@@ -3,7 +3,7 @@ import os
 import pytest
 from llm_cases import CLASHES, documents
 from test_llm_jaccard_join import brute as similar
-from test_llm_jaccard_join import similar_rows
+from test_llm_jaccard_join import repeated_ids, similar_rows
 from test_llm_line_dedup import brute as dropped
 from test_llm_line_dedup import lined_rows
 from test_llm_quality_rules import base
@@ -58,6 +58,13 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert {p.doc_id for p in places} == {r.doc_id for r in got}
 
 
+def test_near_duplicates_go_row_by_row_whatever_their_ids(spark, tmp_path):
+    docs = documents(spark, repeated_ids())
+    got = [(r.doc_id, r.text) for r in dict(P.STAGES)["near duplicates"](spark, docs, str(tmp_path)).collect()]
+    rows = repeated_ids()
+    assert sorted(got, key=str) == sorted([rows[k] for k in (3, 4, 7, 8, 10, 11)], key=str)
+
+
 def test_no_documents(spark, tmp_path):
     docs = documents(spark).where("false")
     sf_dir = folder(spark, tmp_path, [])
