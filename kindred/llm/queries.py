@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, packing, page_diff, quality_rules, records, sampled_pieces, subword_classifier
+from kindred.llm import exact_dedup, jaccard_join, language_id, line_dedup, manifest, packing, page_diff, quality_rules, records, sampled_pieces, subword_classifier, toxicity, whitening
 from kindred.llm.common import Batches, fold, in_arrow, table
 from kindred.session import scratch_path
 
@@ -113,8 +113,45 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    explained = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues])
+    return whitening.whiten(vectors, model).select("vec_id", "_deviation", F.posexplode("_whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.col("_deviation").alias("deviation"),
+        "whitened", F.get(explained.cast("array<double>"), F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    rows = manifest.document_manifest(docs, altered={"text": tampered})
+    found = manifest.folded_root(F.col("altered_leaf"), F.col("path"))
+    out = rows.withColumn("found", found)
+    return out.select(
+        "doc_id", *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")], manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+        F.lower(F.hex("found")).alias("folded_root"), (F.col("found") == F.col("root")).alias("verified"),
+    )
+
+
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that may be learned from: those outside the held-out fifth."""
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    return labels.select("doc_id", F.col("toxic").alias("label"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxic_labels(spark, sf_dir))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op6_packing, op7_sampled_pieces, op8_exact_dedup, op9_page_diff, op10_token_records]
+    named = [op1_quality_rules, op2_line_dedup, op3_quality_classifier, op4_jaccard_join, op5_language_id, op6_packing, op7_sampled_pieces, op8_exact_dedup, op9_page_diff, op10_token_records, op11_whitening, op12_manifest, op13_toxicity]
     return {f.__name__: f for f in named}
 
 
