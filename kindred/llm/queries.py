@@ -198,5 +198,53 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS d, lang, CAST(n_chars AS VARCHAR) AS c, text,
+    -- the lowest bit of crc32, which a final complement turns round
+    1 - (list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384)))) & 1) AS odd
+  FROM documents),
+texts AS (SELECT *, CASE WHEN odd = 0 THEN replace(text, chr(10), '') ELSE text END AS altered FROM fields),
+parts AS (SELECT *, list_transform([d, source, lang, c, text, altered], lambda x: coalesce(strlen(x) || ':' || x, '-')) AS p FROM texts),
+digests AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS tree, sha256(p[1] || p[2] || p[3] || p[4] || p[5]) AS leaf,
+         sha256(p[1] || p[2] || p[3] || p[4] || p[6]) AS altered_leaf FROM parts),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS number, count(*) OVER (PARTITION BY tree) AS n,
+         row_number() OVER () AS id FROM digests),
+lower_nodes(lvl, tree, number, h, n) AS (
+  SELECT 0, tree, number, leaf, n FROM leaves UNION ALL
+  SELECT lvl + 1, tree, number // 3, sha256(string_agg(h, '' ORDER BY number)), (any_value(n) + 2) // 3
+  FROM lower_nodes WHERE n > 1 GROUP BY lvl, tree, number // 3),
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS number, count(*) OVER () AS n FROM lower_nodes WHERE n = 1),
+upper_nodes(lvl, number, h, n) AS (
+  SELECT 0, number, h, n FROM subroots UNION ALL
+  SELECT lvl + 1, number // 3, sha256(string_agg(h, '' ORDER BY number)), (any_value(n) + 2) // 3
+  FROM upper_nodes WHERE n > 1 GROUP BY lvl, number // 3),
+nodes AS (
+  SELECT 0 AS part, lvl, tree, number, h, n FROM lower_nodes UNION ALL SELECT 1, lvl, '', number, h, n FROM upper_nodes),
+siblings AS (
+  SELECT a.part, a.lvl, a.tree, a.number,
+         coalesce(string_agg(b.h, '' ORDER BY b.number) FILTER (b.number < a.number), '') AS lefts,
+         coalesce(string_agg(b.h, '' ORDER BY b.number) FILTER (b.number > a.number), '') AS rights
+  FROM nodes a JOIN nodes b ON a.part = b.part AND a.lvl = b.lvl AND a.tree = b.tree AND a.number // 3 = b.number // 3
+  WHERE a.n > 1 GROUP BY ALL),
+places AS (
+  SELECT l.id, 0 AS part, l.tree, l.number FROM leaves l UNION ALL
+  SELECT l.id, 1, '', s.number FROM leaves l JOIN subroots s ON l.tree = s.tree),
+steps AS (
+  SELECT p.id, row_number() OVER (PARTITION BY p.id ORDER BY s.part, s.lvl) AS k, s.lefts, s.rights
+  FROM places p JOIN siblings s ON p.part = s.part AND p.tree = s.tree AND s.number = p.number // CAST(pow(3, s.lvl) AS BIGINT)),
+proofs AS (SELECT id, sha256(string_agg(lefts || rights, '' ORDER BY k)) AS proof, count(*) AS n_steps FROM steps GROUP BY id),
+folds(id, k, h) AS (
+  SELECT id, CAST(0 AS BIGINT), altered_leaf FROM leaves UNION ALL
+  SELECT f.id, f.k + 1, sha256(s.lefts || f.h || s.rights) FROM folds f JOIN steps s ON f.id = s.id AND s.k = f.k + 1)
+SELECT l.doc_id, l.leaf, r.h AS subroot, (SELECT h FROM upper_nodes WHERE n = 1) AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+       f.h AS folded_root, f.h = (SELECT h FROM upper_nodes WHERE n = 1) AS verified
+FROM leaves l JOIN subroots r ON l.tree = r.tree LEFT JOIN proofs p ON l.id = p.id JOIN folds f ON f.id = l.id AND f.k = coalesce(p.n_steps, 0)
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op12_manifest": OP12_SQL}

@@ -8,8 +8,8 @@ classes by the likelihood-ratio statistic; a document counts for a word only if
 document before it has, so copies of one text count once.
 
 Half of the labelled sample makes the dictionaries, the other half calibrates: the window threshold is the gain in bytes
-that best separates the classes, and a logistic curve over the largest gain, the number of windows at the threshold and the number of windows
-gives the score. The sample has at most ``MAX_TRAIN`` documents (those with the smallest hashes of their id); that is
+that best separates the classes, and a logistic curve over the largest gain (up to a little above the threshold, where nothing is left to
+decide), the number of windows at the threshold and the number of windows gives the score. The sample has at most ``MAX_TRAIN`` documents (those with the smallest hashes of their id); that is
 the only sampling. Every document is scored by all of its windows in one scan without any exchange.
 """
 
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from kindred.llm.blocks import Block, row_blocks, texts_of
 from kindred.llm.common import Batches, columns_ddl, in_arrow, stored, without
 
-#: bytes of a window, and from one to the next
-WINDOW, STEP = 96, 32
+#: bytes of a window, from one to the next, and of the blanks in front of it: with them every window shrinks, so that
+#: none is stored as it is, and lengths change byte by byte
+WINDOW, STEP, BLANKS = 64, 32, 64
 #: bytes of the shared part of a dictionary, and at most of the own part
 SHARED_BYTES, OWN_BYTES = 16 << 10, 2 << 10
 #: labelled documents to learn from, at most; windows to train the shared part on, at most, and their bytes
@@ -38,6 +39,10 @@ MIN_RATIO, SHARE_OF_BEST, TIMES = 20.0, 0.2, 4.0
 WORD_BYTES, MAX_WORDS = 40, 256
 #: gains above this count as this
 MAX_GAIN = 16
+#: windows compressed in one call
+TOGETHER = 20_000
+#: gains this far above the threshold count alike
+BEYOND = 3
 SEED = 11
 
 
@@ -72,14 +77,21 @@ def _compressor(dictionary: bytes):
     return _compressors[dictionary]
 
 
-def compressed_lengths(data: bytes, start: np.ndarray, length: np.ndarray, dictionary: bytes) -> np.ndarray:
+def framed(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[bytes, bytes]:
+    """All windows end to end, blanks in front and up to equal length, and their places."""
+    size = BLANKS + WINDOW
+    cells = np.full((len(start), size), 32, np.uint8)
+    at = np.minimum(start[:, None] + np.arange(WINDOW), max(len(data) - 1, 0))
+    cells[:, BLANKS:] = np.where(np.arange(WINDOW) < length[:, None], data[at], 32)
+    places = np.stack([np.arange(len(start)) * size, np.full(len(start), size)], axis=1)
+    return cells.tobytes(), places.astype("<u8").tobytes()
+
+
+def compressed_lengths(cells: bytes, places: bytes, dictionary: bytes) -> np.ndarray:
     """Bytes of each window, compressed by itself with the dictionary."""
     import zstandard
 
-    if not len(start):
-        return np.zeros(0, np.int64)
-    spans = zstandard.BufferWithSegments(data, np.stack([start, length], axis=1).astype("<u8").tobytes())
-    out = _compressor(dictionary).multi_compress_to_buffer(spans, threads=1)
+    out = _compressor(dictionary).multi_compress_to_buffer(zstandard.BufferWithSegments(cells, places), threads=1)
     return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
 
 
@@ -87,10 +99,12 @@ def gain_counts(block: Block, toxic: bytes, ordinary: bytes) -> np.ndarray:
     """For every text, its windows by gain: bytes saved by the toxic dictionary, 0 (none) to ``MAX_GAIN``."""
     low = _lower(block)
     start, length, of = windows(low.offsets)
-    data = bytes(low.data)
-    gain = compressed_lengths(data, start, length, ordinary) - compressed_lengths(data, start, length, toxic)
-    gain = np.clip(gain, 0, MAX_GAIN)
-    return np.bincount(of * (MAX_GAIN + 1) + gain, minlength=block.n * (MAX_GAIN + 1)).reshape(block.n, MAX_GAIN + 1)
+    counts = np.zeros(block.n * (MAX_GAIN + 1), np.int64)
+    for k in range(0, len(start), TOGETHER):
+        cells, places = framed(low.data, start[k : k + TOGETHER], length[k : k + TOGETHER])
+        gain = compressed_lengths(cells, places, ordinary) - compressed_lengths(cells, places, toxic)
+        counts += np.bincount(of[k : k + TOGETHER] * (MAX_GAIN + 1) + np.clip(gain, 0, MAX_GAIN), minlength=len(counts))
+    return counts.reshape(block.n, MAX_GAIN + 1)
 
 
 @dataclass
@@ -104,6 +118,7 @@ class Model:
 
     def features(self, counts: np.ndarray) -> np.ndarray:
         peak = (MAX_GAIN - (counts[:, ::-1] > 0).argmax(axis=1)) * (counts.sum(axis=1) > 0)
+        peak = np.minimum(peak, self.threshold + BEYOND)
         return np.stack([np.ones(len(counts)), peak, np.log1p(counts[:, self.threshold :].sum(axis=1)), np.log1p(counts.sum(axis=1))], axis=1)
 
     def probability(self, counts: np.ndarray) -> np.ndarray:
