@@ -8,53 +8,104 @@ gathered by a window over a whole matrix.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.scalars import noise_level
-from kindred.operators.moments import complete, outer_sums
+from kindred.operators.moments import outer_parts, outer_sums
 from kindred.session import scratch_path
 
 
-def stimulus_index(df: DataFrame, stim: str = "stim") -> DataFrame:
-    """``(stim, i)``: the distinct stimuli in their natural order.
+#: distinct stimuli from which limits of number ranges are taken, and ranges at most
+_SAMPLE, _RANGES = 4096, 256
 
-    The list is one side of a matrix whose cells are rows, so numbering it in one task is the lesser part
-    of any work with that matrix.
-    """
-    number = F.row_number().over(Window.orderBy("stim")) - 1
-    return df.select(F.col(stim).alias("stim")).distinct().withColumn("i", number)
 
+def stimulus_index(df: DataFrame, stim: str = "stim") -> DataFrame:
+    """``(stim, i)``: the distinct stimuli in their natural order, counting from 0.
 
-def gram_cells(acts: DataFrame, index: DataFrame, dim: int) -> DataFrame:
-    """``(layer, i, j, v)`` of the upper triangle; without zero cells if the matrix is large.
-
-    Rows are brought together by (layer, feature), which spreads evenly and
-    grows with the features; each task adds up its features' outer products and
-    only these sums are exchanged. An activation given twice is an error.
+    Stimuli are numbered inside value ranges and shifted by the numbers of stimuli in earlier ranges. The limits are quantiles
+    of a random sample of the stimuli; they balance the work and don't change a number.
     """
-    vectors = (
+    stims = df.select(F.col(stim).alias("stim")).distinct()
+    sample = stims.orderBy(F.xxhash64("stim"), "stim").limit(_SAMPLE).sort("stim").collect()
+    step = max(64, -(-len(sample) // _RANGES))
+    limits = [F.lit(r["stim"]) for r in sample[step::step] if r["stim"] is not None]
+    within = F.size(F.filter(F.array(*limits), lambda limit: limit <= F.col("stim"))) if limits else F.lit(0)
+    placed = stims.select("stim", within.alias("range"))
+    sizes = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    # one row of at most _RANGES sizes
+    all_sizes = sizes.agg(F.sort_array(F.collect_list(F.struct("range", "n"))).alias("all"))
+    entry = F.explode(F.transform("all", lambda x, k: F.struct(x["range"].alias("range"), F.aggregate(F.slice("all", 1, k), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("before"))))
+    starts = all_sizes.select(entry.alias("e")).select("e.range", "e.before")
+    number = F.row_number().over(Window.partitionBy("range").orderBy("stim")) - 1
+    return placed.withColumn("k", number).join(F.broadcast(starts), "range").select("stim", (F.col("k") + F.col("before")).cast("int").alias("i"))
+
+
+def _by_feature(acts: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows are brought together by (layer, feature), which spreads evenly and grows with the features."""
+    return (
         acts.join(index, "stim")
         .groupBy("layer", "feat")
         .agg(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v"))).alias("x"))
     )
-    return outer_sums(vectors, "x", dim, key="layer", sparse=True).withColumnsRenamed({"key": "layer", "s": "v"})
+
+
+def gram_cells(acts: DataFrame, index: DataFrame, dim: int) -> DataFrame:
+    """``(layer, i, j, v)`` of the upper triangle, without zero cells.
+
+    Each task adds up its features' outer products and only these sums are exchanged. An activation given twice is an error.
+    """
+    return outer_sums(_by_feature(acts, index), "x", dim, key="layer", sparse=True).withColumnsRenamed({"key": "layer", "s": "v"})
+
+
+def _filled(dim: int):
+    """Sums of equal cells, which arrive row by row, with the zeros between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, row = None, None
+
+        def flush() -> pa.RecordBatch:
+            layer, i = at
+            n = dim - i
+            return pa.RecordBatch.from_arrays(
+                [pa.array([layer] * n, pa.string()), pa.array(np.full(n, i, np.int32)), pa.array(np.arange(i, dim, dtype=np.int32)), pa.array(row[i:])],
+                ["layer", "i", "j", "v"],
+            )
+
+        for batch in batches:
+            layers = batch.column(0).to_numpy(zero_copy_only=False)
+            i, j, s = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            starts = np.flatnonzero(np.append(True, (layers[1:] != layers[:-1]) | (i[1:] != i[:-1]))) if len(i) else []
+            for lo, hi in zip(starts, [*starts[1:], len(i)]):
+                if (layers[lo], i[lo]) != at:
+                    if at is not None:
+                        yield flush()
+                    at, row = (layers[lo], int(i[lo])), np.zeros(dim)
+                np.add.at(row, j[lo:hi], s[lo:hi])
+        if at is not None:
+            yield flush()
+
+    return run
 
 
 def gram_from_features(acts: DataFrame, index: DataFrame | None = None, dim: int | None = None) -> DataFrame:
     """Uncentred second moments of ``acts (layer, stim, feat, v)``, for any number of stimuli.
 
-    Absent activations count as zero; a stimulus that the index lacks is left out. The result has every cell.
+    Absent activations count as zero; a stimulus that the index lacks is left out. The result has every cell: partial sums
+    meet by (layer, row), where the zeros of the row are filled in, so zeros are never exchanged.
     """
     index = stimulus_index(acts) if index is None else index
     if dim is None:
         dim = index.count()
-    cells = gram_cells(acts, index, dim)
-    if not complete(dim):
-        rows = acts.select("layer").distinct().join(index.select("i"))
-        zeros = rows.select("layer", "i", F.explode(F.sequence(F.col("i"), F.lit(dim - 1))).alias("j"), F.lit(0.0).alias("v"))
-        cells = cells.unionByName(zeros).groupBy("layer", "i", "j").agg(F.sum("v").alias("v"))
-    return mirror(cells)
+    parts, _ = outer_parts(_by_feature(acts, index), "x", dim, key="layer", sparse=True)
+    # a zero for every row, so that none is missing
+    anchors = acts.select(F.col("layer").cast("string").alias("key")).distinct().join(index.select("i")).select("key", "i", F.col("i").alias("j"), F.lit(0.0).alias("s"))
+    rows = parts.unionByName(anchors).repartition("key", "i").sortWithinPartitions("key", "i", "j")
+    return mirror(rows.mapInArrow(_filled(dim), "layer string, i int, j int, v double"))
 
 
 def mirror(upper: DataFrame) -> DataFrame:

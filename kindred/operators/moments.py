@@ -1,8 +1,12 @@
-"""One-pass second moments of wide rows.
+"""Second moments of wide rows.
 
-A row carries a fixed-length vector; the operator sums v v' over all rows.
-Each task keeps one small matrix and ships only that, so the input is never
-shuffled: the exchange holds (tasks x cells) partial sums, spread by cell.
+A row carries a fixed-length vector; the operator sums v v' over all rows. While the matrix fits a task, each
+task keeps one and ships only that, so the input is never shuffled: the exchange holds (tasks x cells) partial sums, spread by cell.
+
+A larger matrix is formed tile by tile: tasks cut their rows into strips of columns and send each pair of strips to its
+tile, dealt over as many salts as it takes to use all cores. A task holds one tile, adds up what arrives, and lets go of it when
+the next tile begins, so what it emits depends on tiles and salts only, not on rows or buffers. A second, light exchange adds up the salts.
+A row with few entries skips this and emits its products at once, since they are fewer than the cells of a tile.
 """
 
 from __future__ import annotations
@@ -11,13 +15,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: cells of numbers a task holds: of its buffered rows, and of its sums
 _MAX_CELLS = 16_000_000
-#: side of the tiles in which larger matrices are formed
-_TILE = 2048
+#: side of the tiles in which larger matrices are formed, and cells of the strips sent to them at a time
+_TILE, _STRIP_CELLS = 2048, 1 << 20
+#: a product of entries costs about as much as this many of a dense matrix product
+_SPARSE_COST = 300
 
 
 def _dense(batch: pa.RecordBatch, width: int) -> np.ndarray:
@@ -57,104 +64,199 @@ def _sparse_products(rows: np.ndarray, at: np.ndarray, value: np.ndarray, width:
         lo = hi
 
 
-def _tiles(z: np.ndarray):
-    """``(i, j, s)`` of the upper triangle of z'z, tile by tile, without its zeros."""
-    for r in range(0, z.shape[1], _TILE):
-        for c in range(r, z.shape[1], _TILE):
-            part = z[:, r : r + _TILE].T @ z[:, c : c + _TILE]
-            if r == c:
-                part = np.triu(part)
-            i, j = np.nonzero(part)
-            yield i + r, j + c, part[i, j]
+def _by_key(batch: pa.RecordBatch, keyed: bool):
+    """``(key, rows of it)``."""
+    if not keyed:
+        return [(None, batch)]
+    codes = batch.column(0).dictionary_encode()
+    index = codes.indices.to_numpy(zero_copy_only=False)
+    return [(key.as_py(), batch.take(pa.array(np.flatnonzero(index == c)))) for c, key in enumerate(codes.dictionary)]
 
 
-def _outer_sums(width: int, augment: Callable | None, keyed: bool, sparse: bool = False):
-    """Partial sums of one task.
+def _buffers(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows_at_once):
+            part = batch.slice(lo, rows_at_once)
+            if held and rows + part.num_rows > rows_at_once:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+            held.append(part)
+            rows += part.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    Rows are buffered up to a fixed number of cells. As long as the sums fit, they are kept to the end of
-    the task; else they leave with each full buffer, so their number follows the data, not the number of
-    Arrow batches. Matrices that alone exceed the limit leave in tiles, without zeros.
-    """
-    rows_at_once = max(1, _MAX_CELLS // width)
 
-    def batch_of(key, i, j, s) -> pa.RecordBatch:
-        columns, names = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(s, pa.float64())], ["i", "j", "s"]
-        if keyed:
-            columns.insert(0, pa.array([key] * len(i), pa.string()))
-            names.insert(0, "key")
-        return pa.RecordBatch.from_arrays(columns, names=names)
+def _block(part: pa.RecordBatch, width: int, augment: Callable | None, sparse: bool) -> np.ndarray:
+    if not sparse:
+        z = _dense(part, width)
+        return z if augment is None else augment(z)
+    rows, at, value = _entries(part, width)
+    z = np.zeros((part.num_rows, width))
+    z[rows, at] = value
+    return z
 
-    def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(lo, rows_at_once)
-                if held and rows + part.num_rows > rows_at_once:
-                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held, rows = [], 0
-                held.append(part)
-                rows += part.num_rows
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+def _cells(key, i, j, s, keyed: bool) -> pa.RecordBatch:
+    columns, names = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(s, pa.float64())], ["i", "j", "s"]
+    if keyed:
+        columns.insert(0, pa.array([key] * len(i), pa.string()))
+        names.insert(0, "key")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _whole_sums(width: int, augment: Callable | None, keyed: bool, sparse: bool):
+    """One task's sums, without zeros; they leave early only if keys are so many that their matrices exceed the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
 
         def emit():
             for key, total in sums.items():
-                rows, cols = np.triu_indices(len(total))
-                yield batch_of(key, rows, cols, total[rows, cols])
+                i, j = np.nonzero(np.triu(total))
+                yield _cells(key, i, j, total[i, j], keyed)
             sums.clear()
 
-        for batch in buffers(batches):
-            groups = [(None, batch)]
-            if keyed:
-                codes = batch.column(0).dictionary_encode()
-                index = codes.indices.to_numpy(zero_copy_only=False)
-                groups = [(key.as_py(), batch.take(pa.array(np.flatnonzero(index == c)))) for c, key in enumerate(codes.dictionary)]
-            for key, part in groups:
-                large = width * width > _MAX_CELLS
-                if sparse:
-                    rows, at, value = _entries(part, width)
-                    per_row = np.bincount(rows, minlength=1).astype(float)
-                    # a product of entries costs about as much as a few hundred of a dense matrix product
-                    if large and 300 * (per_row**2).sum() < part.num_rows * float(width) ** 2:
-                        yield from (batch_of(key, *cells) for cells in _sparse_products(rows, at, value, width))
-                        continue
-                    z = np.zeros((part.num_rows, width))
-                    z[rows, at] = value
-                else:
-                    z = _dense(part, width)
-                    z = z if augment is None else augment(z)
-                if large:
-                    yield from (batch_of(key, *cells) for cells in _tiles(z))
-                    continue
+        for batch in _buffers(batches, max(1, _MAX_CELLS // width)):
+            for key, part in _by_key(batch, keyed):
+                z = _block(part, width, augment, sparse)
                 partial = z.T @ z
                 sums[key] = sums[key] + partial if key in sums else partial
-            if sum(t.size for t in sums.values()) > _MAX_CELLS:
-                yield from emit()
+                if sum(t.size for t in sums.values()) > _MAX_CELLS:
+                    yield from emit()
         yield from emit()
 
     return run
 
 
-def complete(width: int) -> bool:
-    """Whether all cells of a matrix of this side leave a task, zeros included."""
-    return width * width <= _MAX_CELLS
+def _light_sums(width: int, keyed: bool):
+    """Products of rows with few entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _buffers(batches, max(1, _MAX_CELLS // width)):
+            for key, part in _by_key(batch, keyed):
+                yield from (_cells(key, *cells, keyed) for cells in _sparse_products(*_entries(part, width), width))
+
+    return run
+
+
+_STRIPS = "key string, r int, c int, salt int, n int, one binary, two binary"
+
+
+def _strips(width: int, augment: Callable | None, keyed: bool, sparse: bool, salts: int):
+    """Pairs of strips of columns, for the tile (r, c) with r <= c; a diagonal tile needs one strip."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        chunk = context.partitionId() if context else 0
+        for batch in _buffers(batches, max(1, _STRIP_CELLS // min(width, _TILE))):
+            for key, part in _by_key(batch, keyed):
+                z = _block(part, width, augment, sparse)
+                cut = [np.ascontiguousarray(z[:, lo : lo + _TILE]).tobytes() for lo in range(0, z.shape[1], _TILE)]
+                chunk += 1
+                for r in range(len(cut)):
+                    rows = [(key, r, c, chunk % salts, len(z), cut[r], cut[c] if c > r else b"") for c in range(r, len(cut))]
+                    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                    for row in rows:
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [f.split()[0] for f in _STRIPS.split(", ")])
+
+    return run
+
+
+_ROWS = "key string, i int, first int, cells binary"
+
+
+def _tile_rows(tile: int):
+    """The rows of one tile after the other; strips arrive by tile and salt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+
+        def flush():
+            key, r, c, _ = at
+            rows = np.flatnonzero(total.any(axis=1))
+            first = np.where(r == c, rows, 0)
+            cells = [total[i, j:].tobytes() for i, j in zip(rows, first)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * len(rows), pa.string()), pa.array(rows + r * tile, pa.int32()), pa.array(first + c * tile, pa.int32()), pa.array(cells, pa.binary())],
+                ["key", "i", "first", "cells"],
+            )
+
+        for batch in batches:
+            for key, r, c, salt, n, one, two in zip(*(x.to_pylist() for x in batch.columns)):
+                left = np.frombuffer(one).reshape(n, -1)
+                product = left.T @ (np.frombuffer(two).reshape(n, -1) if c > r else left)
+                if (key, r, c, salt) == at:
+                    total += product
+                    continue
+                if at is not None:
+                    yield from flush()
+                at, total = (key, r, c, salt), product
+        if at is not None:
+            yield from flush()
+
+    return run
+
+
+def _row_sums(keyed: bool):
+    """Cells of rows whose parts of all salts arrive one after the other; zeros are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+
+        def flush():
+            key, i, first = at
+            some = np.flatnonzero(total)
+            return _cells(key, np.full(len(some), i), some + first, total[some], keyed)
+
+        for batch in batches:
+            for key, i, first, cells in zip(*(x.to_pylist() for x in batch.columns)):
+                if (key, i, first) == at:
+                    total = total + np.frombuffer(cells)
+                    continue
+                if at is not None:
+                    yield flush()
+                at, total = (key, i, first), np.frombuffer(cells)
+        if at is not None:
+            yield flush()
+
+    return run
+
+
+def _tiled_sums(columns: DataFrame, width: int, augment: Callable | None, keyed: bool, sparse: bool, schema: str) -> DataFrame:
+    tiles = -(-width // _TILE)
+    cores = columns.sparkSession.sparkContext.defaultParallelism
+    salts = max(1, 2 * cores // (tiles * (tiles + 1) // 2))
+    tile, row = ["key", "r", "c", "salt"], ["key", "i", "first"]
+    strips = columns.mapInArrow(_strips(width, augment, keyed, sparse, salts), _STRIPS)
+    rows = strips.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_tile_rows(_TILE), _ROWS)
+    return rows.repartition(*row).sortWithinPartitions(*row).mapInArrow(_row_sums(keyed), schema)
+
+
+def outer_parts(
+    df: DataFrame, vector: str, width: int, key: str | None = None, augment=None, sparse: bool = False
+) -> tuple[DataFrame, bool]:
+    """``([key,] i, j, s)`` with i <= j, to be added up by cell, and whether every cell comes once already."""
+    keyed = key is not None
+    columns = df.select(*([F.col(key).cast("string").alias("key")] if keyed else []), F.col(vector).alias("v"))
+    schema = ("key string, " if keyed else "") + "i int, j int, s double"
+    if width * width <= _MAX_CELLS:
+        return columns.mapInArrow(_whole_sums(width, augment, keyed, sparse), schema), False
+    if not sparse:
+        return _tiled_sums(columns, width, augment, keyed, False, schema), True
+    heavy = _SPARSE_COST * F.size("v").cast("double") * F.size("v") > float(width) * width
+    light = columns.where(~heavy).mapInArrow(_light_sums(width, keyed), schema)
+    return light.unionByName(_tiled_sums(columns.where(heavy), width, augment, keyed, True, schema)), False
 
 
 def outer_sums(
     df: DataFrame, vector: str, width: int, key: str | None = None, augment=None, sparse: bool = False
 ) -> DataFrame:
-    """``([key,] i, j, s)`` with i <= j: the upper triangle of Σ v v'.
+    """``([key,] i, j, s)`` with i <= j: the upper triangle of Σ v v', without zeros.
 
     ``vector`` is an array of ``width`` numbers or, if ``sparse``, an array of
     (position, value) structs.  ``augment`` maps a (rows x width) block to the
-    block actually multiplied.  Cells that no row contributes to are missing
-    unless :func:`complete`.
+    block actually multiplied.
     """
-    columns = ([F.col(key).cast("string").alias("key")] if key else []) + [F.col(vector).alias("v")]
-    names = (["key"] if key else []) + ["i", "j"]
-    schema = ("key string, " if key else "") + "i int, j int, s double"
-    partial = df.select(*columns).mapInArrow(_outer_sums(width, augment, key is not None, sparse), schema)
-    return partial.groupBy(*names).agg(F.sum("s").alias("s"))
+    parts, once = outer_parts(df, vector, width, key, augment, sparse)
+    return parts if once else parts.groupBy(*(["key"] if key else []), "i", "j").agg(F.sum("s").alias("s")).where("s <> 0")

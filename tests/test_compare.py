@@ -250,35 +250,60 @@ def test_stimuli_are_numbered_in_order(spark):
     assert [(r.stim, r.i) for r in G.stimulus_index(spark.range(3, 6), "id").orderBy("stim").collect()] == [(3, 0), (4, 1), (5, 2)]
 
 
-def outer_batches(rows, width, sizes):
-    entry = pa.struct([("i", pa.int32()), ("v", pa.float64())])
-    at = 0
-    for size in sizes:
-        part = rows[at : at + size]
-        at += size
-        lists = [[{"i": i, "v": v} for i, v in enumerate(r) if v] for r in part]
-        yield pa.RecordBatch.from_arrays([pa.array(["k"] * len(part)), pa.array(lists, pa.list_(entry))], ["key", "v"])
+def moment_rows(spark, x, parts=3):
+    rows = [("k", [(i, float(v)) for i, v in enumerate(r) if v], [float(v) for v in r]) for r in x]
+    return spark.createDataFrame(rows, "key string, sparse array<struct<i:int,v:double>>, dense array<double>").repartition(parts)
 
 
-@pytest.mark.parametrize("cells, tile", [(16_000_000, 2048), (60, 2048), (60, 3), (700, 4)])
+@pytest.mark.parametrize("cells, tile, cost", [(16_000_000, 2048, 300), (60, 2048, 300), (60, 3, 300), (60, 4, 0), (100, 5, 1)])
 @pytest.mark.parametrize("density", [0.05, 0.9])
-def test_sums_of_any_width_and_partial_rows_follow_the_data(monkeypatch, cells, tile, density):
+def test_sums_of_any_width(spark, monkeypatch, cells, tile, cost, density):
     monkeypatch.setattr(M, "_MAX_CELLS", cells)
     monkeypatch.setattr(M, "_TILE", tile)
+    monkeypatch.setattr(M, "_SPARSE_COST", cost)
+    monkeypatch.setattr(M, "_STRIP_CELLS", 4 * tile)
     rng = np.random.default_rng(1)
     x = np.where(rng.random((40, 13)) < density, rng.standard_normal((40, 13)), 0)
-    counts = set()
-    for sizes in ([40], [10] * 4, [1] * 40):
-        total, n = np.zeros((13, 13)), 0
-        for out in M._outer_sums(13, None, True, True)(outer_batches(x, 13, sizes)):
-            i, j, v = (out.column(c).to_numpy() for c in ("i", "j", "s"))
-            assert (i <= j).all()
-            np.add.at(total, (i, j), v)
-            n += out.num_rows
+    frame = moment_rows(spark, x)
+    for column, sparse, key in (("sparse", True, "key"), ("dense", False, "key"), ("dense", False, None)):
+        total = np.zeros((13, 13))
+        for r in M.outer_sums(frame, column, 13, key=key, sparse=sparse).collect():
+            assert r.i <= r.j and total[r.i, r.j] == 0 != r.s
+            total[r.i, r.j] = r.s
         assert np.allclose(total, np.triu(x.T @ x))
-        counts.add(n)
-    # buffers, not Arrow batches, decide what leaves a task
-    assert len(counts) == 1 or cells == 60 and max(counts) < 2.5 * min(counts)
+
+
+def test_what_leaves_a_task_follows_tiles_and_not_rows(monkeypatch):
+    monkeypatch.setattr(M, "_TILE", 5)
+    rng = np.random.default_rng(2)
+    counts = set()
+    for n in (50, 500, 2000):
+        for strip in (5, 40, 5000):
+            monkeypatch.setattr(M, "_STRIP_CELLS", strip)
+            x = rng.standard_normal((n, 13))
+            batch = pa.RecordBatch.from_arrays([pa.array(x.tolist())], ["v"])
+            strips = [b.to_pylist()[0] for b in M._strips(13, None, False, False, 2)([batch])]
+            strips.sort(key=lambda r: (r["r"], r["c"], r["salt"]))
+            out = list(M._tile_rows(5)([pa.RecordBatch.from_pylist(strips)]))
+            counts.add(sum(b.num_rows for b in out))
+            total = np.zeros((13, 13))
+            for row in (r for b in out for r in b.to_pylist()):
+                cells = np.frombuffer(row["cells"])
+                total[row["i"], row["first"] : row["first"] + len(cells)] += cells
+            assert np.allclose(total, np.triu(x.T @ x))
+    # 13 rows, cut into 3 + 2 + 1 tiles' rows, each at most once per salt
+    assert max(counts) <= 2 * (5 * 3 + 5 * 2 + 3 * 1)
+
+
+def test_stimuli_are_numbered_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(G, "_RANGES", 5)
+    monkeypatch.setattr(G, "_SAMPLE", 400)
+    names = [f"stim {k * 7919 % 1000:04d}" for k in range(1000)] + [None, "", "ä"]
+    frame = spark.createDataFrame([(n,) for n in names * 2], "s string").repartition(4)
+    got = {r.stim: r.i for r in G.stimulus_index(frame, "s").collect()}
+    order = [None, ""] + sorted(set(names) - {None, "", "ä"}) + ["ä"]
+    assert got == {n: i for i, n in enumerate(order)}
+    assert G.stimulus_index(frame.where("false"), "s").count() == 0
 
 
 def test_an_activation_given_twice_is_an_error(spark):
