@@ -33,8 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0, base ** 1, ... modulo 2 ** 64; kept up to the usual block size."""
-    if len(_powers.get(int(base), ())) >= n:
-        return _powers[int(base)][:n]
+    held = _powers.get(int(base))
+    if held is not None and len(held) >= n:
+        return held[:n]
     step = np.full(max(n, BLOCK_BYTES + 2), base)
     step[0] = 1
     powers = np.cumprod(step)

@@ -110,6 +110,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns if c.lower() not in taken])
 
 
+def beside_plain_names(docs: DataFrame, own: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on the table whose columns other than ``own`` have plain names for the time, so that none can clash with names used inside.
+
+    ``work`` keeps all columns and may add some.
+    """
+    inner = [c if c in own else f"column_{i}" for i, c in enumerate(docs.columns)]
+    out = work(docs.toDF(*inner))
+    back = dict(zip(inner, docs.columns, strict=True))
+    return out.toDF(*[back.get(c, c) for c in out.columns])
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Each row with the columns of its group; ``groups`` has unique keys and the group's number of rows.
 

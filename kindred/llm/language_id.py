@@ -2,7 +2,7 @@
 
 Texts are lower-cased and everything but letters becomes a blank; n-grams without a letter are skipped.
 Counts by language and bucket are made by every task for itself and added up chunk by chunk. The matrix of log probabilities has languages x ``2 ** BITS`` entries, a size that
-does not follow the corpus; it travels with the scoring function. A block of texts is
+does not follow the corpus; it travels with the scoring function, which goes through more than ``TOGETHER`` languages block by block. A block of texts is
 scored by adding up one matrix column per n-gram.
 """
 
@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.blocks import Block, char_grams, row_blocks
-from kindred.llm.common import CHUNK, Batches, added, columns_ddl, count_chunks, in_arrow, stored, without
+from kindred.llm.common import CHUNK, Batches, added, beside_plain_names, columns_ddl, count_chunks, in_arrow, stored, without
 
 BITS, GRAMS, ALPHA, UNKNOWN = 15, (1, 2, 3), 0.5, "und"
-#: languages a model may have; more would not fit the matrix that every task holds
-MAX_LANGUAGES = 512
+#: languages whose log probabilities a worker holds together (64 MB); more are gone through in several passes
+TOGETHER = 512
 
 
 @lru_cache(1)
@@ -78,32 +78,36 @@ def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang") ->
 
 @dataclass
 class Model:
+    """Languages in alphabetical order; log probabilities with one row per language, in blocks of ``TOGETHER``; log priors."""
+
     languages: list[str]
-    #: log probabilities, one row per language, and the log priors
-    table: np.ndarray
+    tables: list[np.ndarray]
     prior: np.ndarray
 
+    @property
+    def table(self) -> np.ndarray:
+        return np.concatenate(self.tables) if self.tables else np.zeros((0, 1 << BITS), np.float32)
+
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Count over all rows given; rows without language or letters teach nothing."""
     rows = stored(language_counts(docs, text, lang), "languages")
-    taught = rows.where("chunk = -1").limit(MAX_LANGUAGES + 1).toPandas()
-    if len(taught) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    documents = {name: int(np.frombuffer(n, np.int64)[0]) for name, n in zip(taught["lang"], taught["counts"], strict=True)}
+    documents = {r["lang"]: int(np.frombuffer(r["counts"], np.int64)[0]) for r in rows.where("chunk = -1").select("lang", "counts").collect()}
     languages = sorted(name for name, n in documents.items() if n)
-    place = {name: i for i, name in enumerate(languages)}
-    counts = np.zeros((len(languages), 1 << BITS))
-    for name, chunk, part in rows.where("chunk >= 0").select("lang", "chunk", "counts").toPandas().itertuples(index=False):
-        if name in place:
-            counts[place[name], chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part, np.int64)
+    tables = []
+    for k in range(0, len(languages), TOGETHER):
+        some = languages[k : k + TOGETHER]
+        place = {name: i for i, name in enumerate(some)}
+        counts = np.zeros((len(some), 1 << BITS))
+        # languages are alphabetical, so a block of them is a range of names
+        found = rows.where((F.col("chunk") >= 0) & F.col("lang").between(some[0], some[-1])).select("lang", "chunk", "counts").toPandas()
+        for name, chunk, part in found.itertuples(index=False):
+            if name in place:
+                counts[place[name], chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part, np.int64)
+        grams = counts + ALPHA
+        tables.append(np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32))
     prior = np.array([documents[name] + 1 for name in languages], float)
-    grams = counts + ALPHA
-    return Model(
-        languages,
-        np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32),
-        np.log(prior / prior.sum()) if languages else prior,
-    )
+    return Model(languages, tables, np.log(prior / prior.sum()) if languages else prior)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -113,22 +117,42 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     without languages. Ties go to the first language in alphabetical order.
     Columns of the input with these two names are replaced.
     """
-    languages, logs, prior = model.languages, model.table, model.prior
-    docs = without(docs, "_lang_pred", "_lang_score")
-
-    def rows(batches: Batches) -> Batches:
-        for batch, block in row_blocks(batches, text):
-            bucket, of, has = features(block)
-            if languages:
-                total = np.stack([block.per_doc(of, row[bucket]) for row in logs]) + prior[:, None]
-                best = total.argmax(axis=0)
-                share = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
-                names = np.where(has, np.array(languages, object)[best], UNKNOWN)
-                share = np.where(has, share, 0.0)
-            else:
-                names, share = np.full(block.n, UNKNOWN, object), np.zeros(block.n)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(share)], [*batch.schema.names, "_lang_pred", "_lang_score"]
-            )
-
-    return in_arrow(docs, rows, f"{columns_ddl(docs)}, _lang_pred string, _lang_score double")
+    return beside_plain_names(without(docs, "_lang_pred", "_lang_score"), [text], lambda d: _identify(d, model, text))
+
+
+def _identify(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    def block_of(first: int, logs: np.ndarray, last: bool):
+        """Goes through one block of languages, with the best so far and the sum of likelihoods relative to it."""
+        names, prior = np.array(model.languages[first : first + len(logs)], object), model.prior[first : first + len(logs)]
+
+        def rows(batches: Batches) -> Batches:
+            for batch, block in row_blocks(batches, text):
+                bucket, of, has = features(block)
+                own = batch.columns if not first else batch.columns[:-3]
+                if first:
+                    found, top, likelihood = (batch.column(batch.num_columns - 3 + i).to_numpy(zero_copy_only=False) for i in range(3))
+                else:
+                    found, top, likelihood = np.full(block.n, UNKNOWN, object), np.full(block.n, -np.inf), np.zeros(block.n)
+                if len(names):
+                    total = np.stack([block.per_doc(of, row[bucket]) for row in logs]) + prior[:, None]
+                    here = total.max(axis=0)
+                    found = np.where(here > top, names[total.argmax(axis=0)], found)
+                    both = np.maximum(top, here)
+                    likelihood = likelihood * np.exp(top - both) + np.exp(total - both).sum(axis=0)
+                    top = both
+                out = [pa.array(found, pa.string()), pa.array(top), pa.array(likelihood)]
+                if last:
+                    share = np.where(has & (likelihood > 0), 1 / np.maximum(likelihood, 1.0), 0.0)
+                    out = [pa.array(np.where(has, found, UNKNOWN), pa.string()), pa.array(share)]
+                yield pa.RecordBatch.from_arrays([*own, *out], [*names_of, *(["_lang_pred", "_lang_score"] if last else ["_lang_pred", "_top", "_likelihood"])])
+
+        return rows
+
+    names_of, own = docs.columns, columns_ddl(docs)
+    tables = model.tables or [np.zeros((0, 1 << BITS), np.float32)]
+    first = 0
+    for k, logs in enumerate(tables):
+        last = k == len(tables) - 1
+        docs = in_arrow(docs, block_of(first, logs, last), f"{own}, _lang_pred string, " + ("_lang_score double" if last else "_top double, _likelihood double"))
+        first += len(logs)
+    return docs

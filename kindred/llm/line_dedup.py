@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.blocks import row_blocks
-from kindred.llm.common import Batches, columns_ddl, in_arrow, stored, without
+from kindred.llm.common import Batches, beside_plain_names, columns_ddl, in_arrow, stored, without
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _DROP, _OPEN, _EDGE = 0, 1, 2
@@ -199,7 +199,10 @@ def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     Rows that repeat an id are one document for counting, each with its own text. Columns of the
     input with the names of the two counts are replaced.
     """
-    docs = without(docs, "_n_lines", "_n_dropped", "_keep")
+    return beside_plain_names(without(docs, "_n_lines", "_n_dropped"), [text, doc_id], lambda d: _drop_lines(d, text, doc_id, min_chars, min_docs))
+
+
+def _drop_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int, min_docs: int) -> DataFrame:
     maps = keep_bitmaps(docs, text, doc_id, min_chars, min_docs)
     maps = maps.select(F.col("doc").alias("_map_doc"), F.col("text_hash").alias("_map_hash"), F.col("keep").alias("_keep"))
     met = docs.join(maps, (_doc_key(doc_id) == F.col("_map_doc")) & (_text_key(text) == F.col("_map_hash")), "left")

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import re
-from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -30,8 +29,6 @@ from kindred.llm.common import Batches, columns_ddl, in_arrow, stored
 from kindred.llm.markup import BESIDE, MAYBE, YES, lines_of
 
 _URL = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?")
-#: a line that stands so often in both pages that its pairs would exceed this is aligned occurrence by occurrence
-MAX_PAIRS = 1_000_000
 
 
 def host_and_path(url: str) -> tuple[str, str]:
@@ -45,40 +42,50 @@ def query_of(url: str) -> str:
     return _URL.match(url)[3] or ""
 
 
-def shared_lines(a: list[int], b: list[int]) -> np.ndarray:
-    """For each element of ``a`` whether it lies on a longest common subsequence of both lists."""
-    places = defaultdict(list)
+def _common_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` and each beginning of ``b``.
+
+    Bit-parallel: a whole row of the usual table is one integer, a bit for each place of ``b`` where the length does not grow.
+    """
+    places: dict[int, int] = defaultdict(int)
     for j, x in enumerate(b):
-        places[x].append(j)
-    seen: dict[int, int] = defaultdict(int)
-    often = {x: len(p) for x, p in places.items()}
-    count: dict[int, int] = defaultdict(int)
+        places[x] |= 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        count[x] += 1
-    tails: list[int] = []
-    last: list[tuple] = []
-    for i, x in enumerate(a):
-        if x not in places:
-            continue
-        spots = places[x]
-        if often[x] * count[x] > MAX_PAIRS:
-            spots = spots[seen[x] : seen[x] + 1]
-            seen[x] += 1
-        # longest rising chains of matches: later places first, so a line is used once
-        for j in reversed(spots):
-            k = bisect_left(tails, j)
-            node = (i, last[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                last.append(node)
-            else:
-                tails[k] = j
-                last[k] = node
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    grows = np.unpackbits(np.frombuffer((full - row).to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(grows, dtype=np.int64)])
+
+
+def shared_lines(a: list[int], b: list[int]) -> np.ndarray:
+    """For each element of ``a`` whether it lies on a longest common subsequence of both lists.
+
+    Divide and conquer (Hirschberg): the upper half of ``a`` takes a beginning of ``b`` and the lower half the rest, cut where both lengths add up to
+    most. Memory follows the lists' lengths, however often lines repeat.
+    """
     on = np.zeros(len(a), bool)
-    node = last[-1] if last else None
-    while node:
-        on[node[0]] = True
-        node = node[1]
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        low, high, first, last = todo.pop()
+        # equal lines at both ends belong to a longest subsequence
+        while low < high and first < last and a[low] == b[first]:
+            on[low] = True
+            low, first = low + 1, first + 1
+        while low < high and first < last and a[high - 1] == b[last - 1]:
+            on[high - 1] = True
+            high, last = high - 1, last - 1
+        if low == high or first == last:
+            continue
+        if high - low == 1:
+            on[low] = a[low] in b[first:last]
+            continue
+        middle, rest = (low + high) // 2, b[first:last]
+        upper = _common_lengths(a[low:middle], rest)
+        lower = _common_lengths(a[middle:high][::-1], rest[::-1])[::-1]
+        cut = first + int(np.argmax(upper + lower))
+        todo += [(low, middle, first, cut), (middle, high, cut, last)]
     return on
 
 

@@ -45,7 +45,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = subword_classifier.fit(docs, quality_labels(spark, sf_dir))
     return subword_classifier.score(docs, model).select(
-        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"),
+        "doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= 0.3).cast("int").alias("predicted"),
     )
 
@@ -56,7 +56,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = fold(F.col("doc_id"), 3) == 1
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     model = language_id.fit(docs.where(~held_out))
     return language_id.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.blocks import mix, row_blocks
-from kindred.llm.common import Batches, columns_ddl, in_arrow, without
+from kindred.llm.common import Batches, beside_plain_names, columns_ddl, in_arrow, without
 
 BLANK, _OWN_BLANK = 0x2581, 0x110001
 #: bytes of text in a block: larger ones share more segments
@@ -249,9 +249,13 @@ def encode(docs: DataFrame, model: str, seed: int = 0, sharpness: float = SHARPN
     """All rows and columns, and ``_ids``, one drawn segmentation of the text.
 
     A null or empty text has no pieces. Rows with equal key and text get equal pieces; a null key counts as the
-    smallest integer. A column ``_ids`` of the input is replaced.
+    smallest integer. A very long text is a block of its own and takes about eight bytes per character and possible piece length while
+    it is sampled. A column ``_ids`` of the input is replaced.
     """
-    docs = without(docs, "_ids", "_key")
+    return beside_plain_names(without(docs, "_ids"), [text, key], lambda d: _encode(d, model, seed, sharpness, text, key))
+
+
+def _encode(docs: DataFrame, model: str, seed: int, sharpness: float, text: str, key: str) -> DataFrame:
     keyed = docs.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))
 
     def rows(batches: Batches) -> Batches:

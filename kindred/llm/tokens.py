@@ -118,16 +118,21 @@ class Encoder:
     """Encodes texts to one flat id array with offsets, without special tokens.
 
     ``glue`` tells whether a blank belongs to the piece after it (byte-level vocabularies) or is dropped
-    (vocabularies whose pre-tokenizer removes white space). Texts that spell a special token get
-    the ids of ordinary text.
+    (vocabularies whose pre-tokenizer removes white space). Texts that spell an added token, such as ``<|endoftext|>``, get its id
+    like in the library's plain call; without ``spelled`` they get the ids of ordinary text.
     """
 
-    def __init__(self, path: str, glue: bool):
+    def __init__(self, path: str, glue: bool, spelled: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path) if spelled else None
+        added = list(self.tokenizer.get_added_tokens_decoder().values()) if spelled else []
+        self.added = [t.content.encode() for t in added]
+        # a token that is looked for after normalisation may be spelled otherwise
+        self.always_plain = any(t.normalized for t in added)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.glue = glue
         # what holds pieces apart when many are encoded in one call, and its id
@@ -210,14 +215,34 @@ class Encoder:
         keep = np.ones(len(ids), bool)
         keep[offsets[1:] - 1] = False
         ids[keep] = own
-        return ids, offsets
-
-
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, glue: bool) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    if (path, glue) not in _encoders:
-        _encoders[path, glue] = Encoder(path, glue)
-    return _encoders[path, glue]
+        return self._with_added(block, ids, offsets, end_id)
+
+    def _with_added(self, block: Block, ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the texts that spell an added token encoded whole by the library."""
+        data = bytes(block.data)
+        found = set(range(block.n)) if self.always_plain else set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                doc = int(block.docs_of(np.array([at]))[0])
+                if at + len(token) <= block.offsets[doc + 1]:
+                    found.add(doc)
+                    at = int(block.offsets[doc + 1]) - 1
+                at = data.find(token, at + 1)
+        if not found:
+            return ids, offsets
+        parts = np.split(ids, offsets[1:-1])
+        for doc in found:
+            text = data[block.offsets[doc] : block.offsets[doc + 1]].decode()
+            parts[doc] = np.array([*self.plain.encode(text, add_special_tokens=False).ids, end_id], np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+_encoders: dict[tuple[str, bool, bool], Encoder] = {}
+
+
+def encoder(path: str, glue: bool, spelled: bool = True) -> Encoder:
+    """One encoder per worker process, vocabulary and treatment of spelled added tokens."""
+    if (path, glue, spelled) not in _encoders:
+        _encoders[path, glue, spelled] = Encoder(path, glue, spelled)
+    return _encoders[path, glue, spelled]

@@ -4,7 +4,7 @@ import random
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 #: names that operators use inside, as columns of the input
-CLASHES = ["_rules", "_kept", "_score", "_ids", "_keep", "_n_lines", "_text", "_near", "doc", "row", "part", "sha", "set", "n", "text_hash", "h1"]
+CLASHES = ["_rules", "_kept", "_score", "_ids", "_keep", "_n_lines", "_text", "_near", "doc", "row", "part", "sha", "set", "n", "text_hash", "h1", "_map_doc", "_map_hash", "_key", "_top", "_x", "_digest1", "tree", "number", "label", "id"]
 
 
 def sentence(rng, n):

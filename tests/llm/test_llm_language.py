@@ -2,7 +2,9 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from llm_cases import documents, edge_rows
+from pyspark.sql import functions as F
 
 from kindred.llm import language_id as L
 
@@ -56,6 +58,17 @@ def test_edge_rows(spark):
         assert (r["_lang_pred"] == "und") == (not letters) and (r["_lang_score"] == 0) == (not letters)
 
 
+def test_more_languages_than_a_worker_holds(spark, monkeypatch):
+    rows = spoken(2)
+    whole = L.fit(frame(spark, rows))
+    want = sorted((r.doc_id, r["_lang_pred"], round(r["_lang_score"], 9)) for r in L.identify(frame(spark, rows), whole).collect())
+    monkeypatch.setattr(L, "TOGETHER", 1)
+    cut = L.fit(frame(spark, rows))
+    assert len(cut.tables) == 3 and np.array_equal(cut.table, whole.table)
+    got = L.identify(frame(spark, rows).withColumn("_top", F.lit("own")), cut).collect()
+    assert sorted((r.doc_id, r["_lang_pred"], round(r["_lang_score"], 9)) for r in got) == want and all(r["_top"] == "own" for r in got)
+
+
 def test_nothing_to_learn_from(spark):
     docs = documents(spark)
     model = L.fit(docs.where("lang is null"))

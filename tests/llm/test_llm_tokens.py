@@ -19,12 +19,11 @@ TEXT = st.text(alphabet="ab'stlE 12!?\n\t\r\x1ćé漢🙂\xa0<|>▁", max_size=
 
 @lru_cache
 def tokenizer(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def library(path, texts):
+    """The library's plain call."""
     return [e.ids for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
 
@@ -38,6 +37,19 @@ def test_cut_and_cached_encoding_equals_the_library(texts):
         assert got == [x + [7] for x in library(path, texts)]
 
 
+def test_added_tokens_spelled_in_texts():
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>x<|endoftext|><|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", "<|endof", "text|> plain", "", "last <|endoftext|>"]
+    for path, glue in ((WORD_BPE, False), (BYTE_BPE, True)):
+        ids, offsets = encoder(path, glue).encode(texts, 0)
+        got = [ids[a : b - 1].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert got == library(path, texts)
+        ordinary = Tokenizer.from_file(path)
+        ordinary.encode_special_tokens = True
+        ids, offsets = encoder(path, glue, spelled=False).encode(texts, 0)
+        got = [ids[a : b - 1].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert got == [e.ids for e in ordinary.encode_batch(texts, add_special_tokens=False)] != library(path, texts)
+
+
 def test_a_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr("kindred.llm.tokens.CACHE_PIECES", 3)
     enc = encoder(BYTE_BPE, True)
