@@ -107,6 +107,65 @@ def log_ratios(lam, shift, samples, rng):
     return at_p, at_q
 
 
+def affinity_log(lam: np.ndarray, shift: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """ln of the integral of p^u q^(1-u) with u = 1/2 + it, for p = N(shift, diag lam) and q = N(0, I).
+
+    As a function of t this is the characteristic function of ln p/q, a weighted sum of non-central chi-squares, under the
+    unnormalised density sqrt(p q). All factors have positive real parts, so principal logarithms are continuous.
+    """
+    away = (lam != 1) | (shift != 0)
+    lam, shift = lam[away], shift[away]
+    out = np.zeros(len(t), complex)
+    step = max(1, 1_000_000 // max(len(lam), 1))
+    for lo in range(0, len(t), step):
+        u = (0.5 + 1j * t[lo : lo + step])[:, None]
+        parts = u * np.log(lam) + np.log(u / lam + 1 - u) + u * (1 - u) * shift**2 / (u + (1 - u) * lam)
+        out[lo : lo + step] = -0.5 * parts.sum(axis=1)
+    return out
+
+
+def _one_minus_real(z: np.ndarray) -> np.ndarray:
+    """1 - Re exp(z) without cancellation near z = 0."""
+    return -np.expm1(z.real) * np.cos(z.imag) + 2 * np.sin(z.imag / 2) ** 2
+
+
+def _integrated(value, upper: float, tolerance: float = 1e-12) -> float:
+    """Trapezoidal rule from 0 for an even analytic function, whose error falls exponentially with the number of nodes."""
+    step = upper / 64
+    nodes = value(np.arange(65) * step)
+    total = (nodes.sum() - nodes[0] / 2) * step
+    for _ in range(16):
+        between = value((np.arange(round(upper / step)) + 0.5) * step)
+        finer = total / 2 + between.sum() * step / 2
+        done = abs(finer - total) <= tolerance
+        total, step = finer, step / 2
+        if done:
+            break
+    return float(total)
+
+
+def exact_total_variation(lam: np.ndarray, shift: np.ndarray) -> float:
+    """Half the integral of abs(p - q).
+
+    The smaller one of p and q is sqrt(p q) exp(-abs(ln p/q) / 2). Parseval turns its integral into that of the characteristic
+    function times 1 / (pi (t^2 + 1/4)), an even weight that integrates to 1; t = sinh(x) / 2 makes it decay exponentially.
+    """
+
+    def value(x: np.ndarray) -> np.ndarray:
+        return _one_minus_real(affinity_log(lam, shift, np.sinh(x) / 2)) / np.cosh(x)
+
+    return min(1.0, max(0.0, 2 / np.pi * _integrated(value, 40.0)))
+
+
+def exact_jensen_shannon(lam: np.ndarray, shift: np.ndarray) -> float:
+    """Jensen-Shannon divergence in bits; its kernel's transform is pi / (cosh(pi t) (t^2 + 1/4))."""
+
+    def value(t: np.ndarray) -> np.ndarray:
+        return _one_minus_real(affinity_log(lam, shift, t)) / (np.cosh(np.pi * t) * (t * t + 0.25))
+
+    return min(1.0, max(0.0, _integrated(value, 14.0) / (2 * np.log(2))))
+
+
 def inverse_beta(q: float, a: float, b: float) -> float:
     """Quantile of the Beta(a, b) distribution by bisection on its CDF."""
     if b == 1.0:

@@ -81,14 +81,19 @@ def kl_divergence(c: Conditioned) -> float:
     return _non_negative(0.25 * float(np.sum(lam + 1 / lam - 2)) + 0.25 * means)
 
 
-def total_variation(c: Conditioned, samples: int, rng) -> float:
+def total_variation(c: Conditioned, samples: int | None = None, rng=None) -> float:
+    """By numerical integration, or estimated from so many draws of each distribution."""
+    if samples is None:
+        return la.exact_total_variation(*c.spectrum)
     at_p, at_q = la.log_ratios(*c.spectrum, samples, rng)
     excess = np.maximum(-np.expm1(-at_p), 0).mean() + np.maximum(-np.expm1(at_q), 0).mean()
     return max(0.0, float(excess) / 2)
 
 
-def jensen_shannon(c: Conditioned, samples: int, rng) -> float:
-    """Divergence in bits (not its square root)."""
+def jensen_shannon(c: Conditioned, samples: int | None = None, rng=None) -> float:
+    """Divergence in bits (not its square root), by numerical integration or estimated from draws."""
+    if samples is None:
+        return la.exact_jensen_shannon(*c.spectrum)
     at_p, at_q = la.log_ratios(*c.spectrum, samples, rng)
     mixed = np.logaddexp(0, -at_p).mean() + np.logaddexp(0, at_q).mean()
     return max(0.0, float(1 - mixed / (2 * np.log(2))))

@@ -59,6 +59,13 @@ def product_layers(spark: SparkSession, sf_dir: str) -> Layers:
     return extract(table(spark, sf_dir, "embeddings"), "vec_id", {"products": products, "rest": rest}, widths={"products": 3025, "rest": 9})
 
 
+def product_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(vec_id, x)``: 5,120 products of the 64 coordinates with the coordinates and the squares of the first 16."""
+    whole = F.col("embedding").cast("array<double>")
+    factors = F.concat(whole, F.transform(F.slice(whole, 1, 16), lambda z: z * z))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.flatten(F.transform(factors, lambda u: F.transform(whole, lambda x: u * x))).alias("x"))
+
+
 def order_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(layer, stim, feat, v)``: orders as stimuli, parts as features, return flags as layers."""
     lines = table(spark, sf_dir, "lineitem")

@@ -203,6 +203,101 @@ def _sampled_coordinates(measure: str) -> str:
     return f"{inner.rstrip()},\n{rest}\nSELECT '{measure}' AS measure, a, b, {_r(value, 'value')} FROM lr GROUP BY a, b"
 
 
+#: step of the trapezoidal rule and number of steps; t is the frequency at node x, w the weight of the integrand
+_RULES = {
+    "tvd": (0.05, 760, "(exp(x) - exp(-x)) / 4", "2 / pi() * 2 / (exp(x) + exp(-x))"),
+    "jsd": (0.05, 260, "x", "1 / (2 * ln(2)) * 2 / (exp(pi() * x) + exp(-pi() * x)) / (x * x + 0.25)"),
+}
+
+
+def _nodes(measure: str) -> tuple[str, str]:
+    step, count, t, w = _RULES[measure]
+    return "node", f"SELECT k AS node, {t} AS t, {step} * ({w}) * CASE WHEN k = 0 THEN 0.5 ELSE 1 END AS w FROM (SELECT k, k * {step} AS x FROM range({count}) AS _(k))"
+
+
+def _complex_log_det(source: str, dim: int) -> str:
+    """(a, b, node, lr, li): logarithm of the determinant of complex matrices ``source (a, b, node, re, im)`` by elimination.
+
+    Their real parts are positive definite, so all pivots have positive real parts.
+    """
+    row, column = f"((x // {dim}) * {dim} + k + 1)", f"(k * {dim} + x % {dim} + 1)"
+    below = f"x // {dim} > k AND x % {dim} > k"
+    real = f"(re[{row}] * re[{column}] - im[{row}] * im[{column}])"
+    imag = f"(re[{row}] * im[{column}] + im[{row}] * re[{column}])"
+    return f"""SELECT a, b, node, lr, li FROM (
+        WITH RECURSIVE step(a, b, node, k, re, im, lr, li) AS (
+          SELECT a, b, node, 0, re, im, 0.0::DOUBLE, 0.0::DOUBLE FROM {source}
+          UNION ALL
+          SELECT a, b, node, k + 1,
+            list_transform(range({dim * dim}), lambda x: CASE WHEN {below} THEN re[x + 1] - ({real} * pr + {imag} * pi) / q ELSE 0 END),
+            list_transform(range({dim * dim}), lambda x: CASE WHEN {below} THEN im[x + 1] - ({imag} * pr - {real} * pi) / q ELSE 0 END),
+            lr + 0.5 * ln(q), li + atan2(pi, pr)
+          FROM (SELECT *, pr * pr + pi * pi AS q FROM (SELECT *, re[k * {dim + 1} + 1] AS pr, im[k * {dim + 1} + 1] AS pi FROM step WHERE k < {dim})))
+        SELECT * FROM step WHERE k = {dim})"""
+
+
+def _overlap_sql(measure: str, exponent: str = "zr", phase: str = "zi") -> str:
+    """The measure from ``z (a, b, zr, zi, w)``, the logarithm of the integral of p^u q^(1-u) at the nodes."""
+    return f"SELECT '{measure}' AS measure, a, b, {_r(f'sum(w * (1 - exp({exponent}) * cos({phase})))', 'value')} FROM z GROUP BY a, b"
+
+
+def _exact_layers(measure: str) -> str:
+    """With a factor 1 - u for one layer and u for the other, the determinant is that of noise / factor + Gram of all 16 features."""
+    ctes = [
+        *_EMB, *_PAR, *_CROSS, _nodes(measure),
+        ("core", "SELECT a AS layer, i, j, v + CASE WHEN i = j THEN nu / al ELSE 0 END AS v FROM g JOIN par ON layer = a WHERE a = b"),
+        *_sweep("core", "layer", 8, "d"),
+        ("one", "SELECT DISTINCT layer, 8 * ln(nu) + 8 * ln(al) + ld AS ld FROM d JOIN par USING (layer) WHERE i = 0 AND j = 0"),
+        ("st", _stacked("g")),
+        ("m", """SELECT a, b, any_value(nu) AS nu, list(sqrt((CASE WHEN i < 8 THEN a1 ELSE a2 END) * (CASE WHEN j < 8 THEN a1 ELSE a2 END)) * v ORDER BY i, j) AS g
+            FROM st GROUP BY a, b"""),
+        ("src", """SELECT a, b, node,
+            list_transform(range(256), lambda x: g[x + 1] + CASE WHEN x // 16 = x % 16 THEN nu * 0.5 / (0.25 + t * t) ELSE 0 END) AS re,
+            list_transform(range(256), lambda x: CASE WHEN x // 16 <> x % 16 THEN 0.0 WHEN x // 16 < 8 THEN nu * t / (0.25 + t * t) ELSE -nu * t / (0.25 + t * t) END) AS im
+            FROM m, node"""),
+        ("ld", _complex_log_det("src", 16)),
+        ("z", """SELECT ld.a, ld.b, w, 0.25 * (x.ld + y.ld) - 0.5 * (8 * ln(0.25 + t * t) + lr) AS zr, 0.5 * t * (y.ld - x.ld) - 0.5 * li AS zi
+            FROM ld JOIN node USING (node) JOIN one x ON x.layer = ld.a JOIN one y ON y.layer = ld.b"""),
+    ]
+    return _with(*ctes, final=_overlap_sql(measure))
+
+
+def _exact_sales(measure: str) -> str:
+    ctes = [
+        *_SALES, _COND, _nodes(measure),
+        *_sweep("k", "layer", 25, "s"),
+        ("one", "SELECT DISTINCT layer, ld FROM s WHERE i = 0 AND j = 0"),
+        ("m", "SELECT x.layer AS a, y.layer AS b, list(x.v ORDER BY i, j) AS p, list(y.v ORDER BY i, j) AS q FROM k x JOIN k y USING (i, j) WHERE x.layer < y.layer GROUP BY ALL"),
+        ("src", """SELECT a, b, node, list_transform(range(625), lambda x: (p[x + 1] + q[x + 1]) / 2) AS re,
+            list_transform(range(625), lambda x: t * (q[x + 1] - p[x + 1])) AS im FROM m, node"""),
+        ("ld", _complex_log_det("src", 25)),
+        ("z", """SELECT ld.a, ld.b, w, 0.25 * (x.ld + y.ld) - 0.5 * lr AS zr, 0.5 * t * (y.ld - x.ld) - 0.5 * li AS zi
+            FROM ld JOIN node USING (node) JOIN one x ON x.layer = ld.a JOIN one y ON y.layer = ld.b"""),
+    ]
+    return _with(*ctes, final=_overlap_sql(measure))
+
+
+def _exact_coordinates(measure: str) -> str:
+    """Two relative eigenvalues differ from one, l and 1 / l, so logarithms of determinants cancel."""
+    head = _coordinates("kldiv")
+    inner = head[: head.rindex("SELECT 'kldiv'")]
+    ctes = [
+        ("k", "SELECT a, b, t * t * (1 - c2) / (nu * (nu + t)) AS k FROM r"),
+        ("l", "SELECT a, b, 1 + k / 2 - sqrt(k + k * k / 4) AS l FROM k"),
+        _nodes(measure),
+        # the product of both factors ln(u / l + 1 - u) and ln(u l + 1 - u) has no imaginary part
+        ("z", "SELECT a, b, w, -0.5 * ln(((1 + l) / 2) ** 2 / l + (t * (1 - l)) ** 2 / l) AS zr, 0.0 AS zi FROM l, node"),
+    ]
+    rest = ",\n".join(f"{name} AS MATERIALIZED ({body})" for name, body in ctes)
+    return f"{inner.rstrip()},\n{rest}\n{_overlap_sql(measure)}"
+
+
+def _agreement(measure: str) -> str:
+    """Exact values; whether estimates lie near them is expected to be true."""
+    parts = [f"SELECT '{source}' AS source, measure, a, b, value, true AS agrees FROM ({sql})" for source, sql in (("layers", _exact_layers(measure)), ("sales", _exact_sales(measure)))]
+    return " UNION ALL ".join(parts)
+
+
 _EMB_CELLS = [
     ("num", _PAR[0][1]),
     ("lay", "SELECT unnest(range(8)) AS l"),
@@ -439,6 +534,19 @@ def all_sql() -> dict[str, str]:
         found[f"layers_{m}"] = _algebraic_layers(m)
         found[f"coordinates_{m}"] = _coordinates(m)
         found[f"sales_{m}"] = _algebraic_sales(m)
+    for m in SAMPLED:
+        found[f"layers_{m}"] = _exact_layers(m)
+        found[f"sales_{m}"] = _exact_sales(m)
+        found[f"exact_coordinates_{m}"] = _exact_coordinates(m)
+        found[f"sampled_{m}"] = _agreement(m)
+    # tiles of 16 x 64 products: a tile's inner product is that of 16 factors times that of all coordinates
+    found["wide_moments"] = f"""WITH v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x, list_concat(embedding::DOUBLE[], list_transform(embedding[1:16]::DOUBLE[], lambda z: z * z)) AS u FROM embeddings),
+        t AS (SELECT unnest(range(5)) AS t),
+        s AS MATERIALIZED (SELECT vec_id, t, list_sum(u[(t * 16 + 1):(t * 16 + 16)]) * list_sum(x) AS s FROM v, t),
+        d AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b, t, list_dot_product(p.x, q.x) * list_dot_product(p.u[(t * 16 + 1):(t * 16 + 16)], q.u[(t * 16 + 1):(t * 16 + 16)]) AS k FROM v p, v q, t),
+        totals AS (SELECT x.t AS tile_i, y.t AS tile_j, sum(x.s * y.s) AS total FROM s x JOIN s y ON x.vec_id = y.vec_id AND x.t <= y.t GROUP BY ALL),
+        squares AS (SELECT x.t AS tile_i, y.t AS tile_j, sum(x.k * y.k) AS squares FROM d x JOIN d y ON x.a = y.a AND x.b = y.b AND x.t <= y.t GROUP BY ALL)
+        SELECT tile_i::INTEGER AS tile_i, tile_j::INTEGER AS tile_j, {_r('total', 'total', 3)}, {_r('squares', 'squares', 3)} FROM totals JOIN squares USING (tile_i, tile_j)"""
     for m in ENTRYWISE:
         found[f"layers_{m}"] = _entrywise(m, _EMB_CELLS, K)
         found[f"sales_{m}"] = _entrywise(m, [*_SALES, _COND], 3)

@@ -14,6 +14,7 @@ from kindred.operators import gram_compare as GC
 from kindred.operators import reliability as R
 from kindred.operators import sampling
 from kindred.operators.layer_compare import compare_layers
+from kindred.operators.moments import outer_sums
 from kindred.plans import datasets as D
 from kindred.plans.registry import forget_measure, register_measure
 from kindred.session import scratch_path, ship_package
@@ -26,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: parameters shared with the SQL of the same queries
 LMBD, K = 0.1, 10
 NOISE, GRID = 0.4, 10
-PORTABLE_SAMPLES = 150
+PORTABLE_SAMPLES, DRAWS = 150, 10_000
 BETAS = ((2.5, 1.0), (2.0, 3.0))
 
 
@@ -120,6 +121,31 @@ def gram_orders(spark, sf):
     )
 
 
+def wide_moments(spark, sf):
+    """Second moments of 5,120 dense features, summed up by tiles of 1,024; cells beside the diagonal count for both triangles."""
+    cells = outer_sums(D.product_features(spark, sf), "x", 5120)
+    tile = [F.floor(F.col(c) / 1024).cast("int").alias(f"tile_{c}") for c in "ij"]
+    twice = F.when((F.col("i") != F.col("j")) & (F.floor(F.col("i") / 1024) == F.floor(F.col("j") / 1024)), 2).otherwise(1)
+    return _round(cells.groupBy(*tile).agg(F.sum(F.col("s") * twice).alias("total"), F.sum(F.col("s") * F.col("s") * twice).alias("squares")), 3)
+
+
+def _agreement(measure: str) -> Query:
+    """Values by integration, and whether estimates from 10,000 draws are within four standard deviations at most."""
+
+    def compared(found: Callable[..., DataFrame], source: str) -> DataFrame:
+        exact, estimate = found(measure), found(measure, samples=DRAWS, seed=5).withColumnRenamed("value", "estimate")
+        both = exact.join(estimate, ["measure", "a", "b"])
+        near = F.abs(F.col("estimate") - F.col("value")) <= 4 / DRAWS**0.5
+        return both.select(F.lit(source).alias("source"), "measure", "a", "b", "value", near.alias("agrees"))
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        layers, gram = D.embedding_layers(spark, sf), D.sales_gram(spark, sf)
+        one = compared(lambda m, **o: compare_layers(layers, m, **o), "layers")
+        return _round(one.unionByName(compared(lambda m, **o: GC.compare_gram(gram, m, **o), "sales")))
+
+    return query
+
+
 def gram_centroids(spark, sf):
     """Gram of the classes' mean embeddings, per slice of eight coordinates."""
     rows = D.table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
@@ -514,7 +540,7 @@ def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         f.__name__: f
         for f in (
-            acts_long, layer_catalog, document_catalog, activation_rows, stored_activations, activation_coverage, turns_between, gram_sales, gram_orders,
+            acts_long, layer_catalog, document_catalog, activation_rows, stored_activations, activation_coverage, turns_between, gram_sales, gram_orders, wide_moments,
             gram_centroids, gram_stored, gram_validate, gram_agreement, add_noise_weighted, sim_to_dist,
             dist_matrix, matrix_products, mean_cell_product, two_families, kl_to_ideal, measure_names,
             scalar_rules, pairs_remaining, stored_distances, run_lengths, stim_repetitions, mean_response,
@@ -552,6 +578,8 @@ def all_queries() -> dict[str, Query]:
         found[f"scaled_{m}"] = lambda spark, sf, m=m: _round(compare_layers(D.scaled_layers(spark, sf), m))
     for m in SAMPLED:
         found[f"coordinates_{m}"] = _coords(m, portable=True, samples=PORTABLE_SAMPLES, seed=11)
+        found[f"exact_coordinates_{m}"] = _coords(m)
+        found[f"sampled_{m}"] = _agreement(m)
     found["layers_nbs_unit"] = _layers("nbs", nbs_unit=True)
     found["offset_rsacorr"] = lambda spark, sf: _round(compare_layers(D.offset_layers(spark, sf), "rsacorr"))
     found["wide_rsacorr"] = lambda spark, sf: _round(compare_layers(D.product_layers(spark, sf), "rsacorr"))

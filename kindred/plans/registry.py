@@ -116,7 +116,8 @@ class Params:
     normalize: bool = True
     lmbd: float | None = None
     k: int | None = None
-    samples: int = 10_000
+    #: draws of each distribution from which total variation and Jensen-Shannon are estimated; None computes them
+    samples: int | None = None
     seed: int = 0
     root_mean_term: bool = False
     #: draw samples from digests, slowly but the same in any engine

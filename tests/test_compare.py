@@ -246,6 +246,37 @@ def test_hand_computed_grams(spark):
     assert got["t"][:2, :2].tolist() == [[30, 70], [70, 174]] and not got["t"][2].any()
 
 
+def on_a_grid(lam, shift):
+    """Total variation and Jensen-Shannon of N(shift, lam) and N(0, 1) by summing over a fine grid."""
+    x = np.linspace(-60, 60, 1_200_001) * max(1, np.sqrt(lam))
+    p, q = np.exp(-((x - shift) ** 2) / 2 / lam) / np.sqrt(2 * np.pi * lam), np.exp(-x * x / 2) / np.sqrt(2 * np.pi)
+    middle = np.maximum((p + q) / 2, 1e-300)
+    divergence = sum(np.where(d > 0, d * np.log2(np.maximum(d, 1e-300) / middle), 0).sum() for d in (p, q)) / 2
+    return np.abs(p - q).sum() / 2 * (x[1] - x[0]), divergence * (x[1] - x[0])
+
+
+@pytest.mark.parametrize("lam, shift", [(0.5, 0.0), (4.0, 0.0), (1.001, 0.0), (1e-3, 0.1), (50.0, 3.0), (1.0, 2.0), (1.0, 0.0), (2.0, -9.0)])
+def test_integrated_divergences_of_one_dimension(lam, shift):
+    tv, js = on_a_grid(lam, shift)
+    one = np.array([lam]), np.array([shift])
+    assert la.exact_total_variation(*one) == pytest.approx(tv, abs=1e-7)
+    assert la.exact_jensen_shannon(*one) == pytest.approx(js, abs=1e-7)
+    # dimensions in which both are equal change nothing
+    more = np.append(np.ones(5), lam), np.append(np.zeros(5), shift)
+    assert la.exact_total_variation(*more) == pytest.approx(la.exact_total_variation(*one), abs=1e-12)
+
+
+@pytest.mark.parametrize("dims", [2, 16, 300])
+def test_estimates_lie_near_the_integrals(dims):
+    rng = np.random.default_rng(dims)
+    lam, shift = np.exp(rng.normal(0, 3 / dims, dims)), rng.normal(0, 1 / dims, dims)
+    at_p, at_q = la.log_ratios(lam, shift, 100_000, rng)
+    tv = (np.maximum(-np.expm1(-at_p), 0).mean() + np.maximum(-np.expm1(at_q), 0).mean()) / 2
+    js = 1 - (np.logaddexp(0, -at_p).mean() + np.logaddexp(0, at_q).mean()) / (2 * np.log(2))
+    assert la.exact_total_variation(lam, shift) == pytest.approx(tv, abs=4 / np.sqrt(100_000))
+    assert la.exact_jensen_shannon(lam, shift) == pytest.approx(js, abs=4 / np.sqrt(100_000))
+
+
 def test_stimuli_are_numbered_in_order(spark):
     assert [(r.stim, r.i) for r in G.stimulus_index(spark.range(3, 6), "id").orderBy("stim").collect()] == [(3, 0), (4, 1), (5, 2)]
 
