@@ -74,6 +74,13 @@ def order_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(layer, stim, feat, v)``: customers as stimuli, years and priorities of their orders as features, order states as layers."""
+    return table(spark, sf_dir, "orders").groupBy(
+        F.col("o_orderstatus").alias("layer"), F.col("o_custkey").alias("stim"), F.concat(F.year("o_orderdate").cast("string"), "o_orderpriority").alias("feat")
+    ).agg(F.count(F.lit(1)).cast("double").alias("v"))
+
+
 def sales_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(layer, mu)``: a mean response per nation, from the average quantity per part."""
     acts = sales_activations(spark, sf_dir).join(nation_index(spark, sf_dir), "stim")

@@ -90,18 +90,18 @@ _CROSS = [
 ]
 
 
-def _stacked(source: str) -> str:
-    """The 16 x 16 Gram of the features of both layers of each pair."""
-    return f"""SELECT p.a, p.b, i + CASE WHEN s.a = p.b THEN 8 ELSE 0 END AS i, j + CASE WHEN s.b = p.b THEN 8 ELSE 0 END AS j,
+def _stacked(source: str, dim: int = 8) -> str:
+    """The Gram, of twice the features' number, of the features of both layers of each pair."""
+    return f"""SELECT p.a, p.b, i + CASE WHEN s.a = p.b THEN {dim} ELSE 0 END AS i, j + CASE WHEN s.b = p.b THEN {dim} ELSE 0 END AS j,
         v, a1, a2, nu, n FROM pairs p JOIN {source} s ON s.a IN (p.a, p.b) AND s.b IN (p.a, p.b)"""
 
 
-def _algebraic_layers(measure: str) -> str:
-    head = [*_EMB, *_PAR, *_CROSS]
+def _algebraic_layers(measure: str, head: list | None = None, dim: int = 8) -> str:
+    head = head or [*_EMB, *_PAR, *_CROSS]
     if measure == "kldiv":
         inv = [
             ("core", "SELECT a AS layer, i, j, v + CASE WHEN i = j THEN nu / al ELSE 0 END AS v FROM g JOIN par ON layer = a WHERE a = b"),
-            *_sweep("core", "layer", 8, "w"),
+            *_sweep("core", "layer", dim, "w"),
             ("cc", "SELECT x.a, x.b, x.j AS i, y.j AS j, sum(x.v * y.v) AS v FROM g x JOIN g y USING (a, b, i) WHERE a <> b GROUP BY ALL"),
             ("wb", "SELECT layer, sum(w.v * g.v) AS v FROM w JOIN g ON g.a = layer AND g.b = layer AND g.i = w.i AND g.j = w.j GROUP BY layer"),
             ("t", """SELECT cc.a, cc.b, any_value(((1 - nu) * n + nu * n - nu * wb.v) / nu) - any_value(al) / any_value(nu) * sum(cc.v * w.v) AS t
@@ -113,10 +113,10 @@ def _algebraic_layers(measure: str) -> str:
     if measure in ("bhattacharyya", "hellinger"):
         dets = [
             ("one", "SELECT a AS layer, i, j, (i = j)::INT + al / nu * v AS v FROM g JOIN par ON layer = a WHERE a = b"),
-            *_sweep("one", "layer", 8, "d"),
-            ("z", _stacked("g")),
-            ("two", "SELECT a, b, i, j, (i = j)::INT + sqrt((CASE WHEN i < 8 THEN a1 ELSE a2 END) * (CASE WHEN j < 8 THEN a1 ELSE a2 END)) / (2 * nu) * v AS v FROM z"),
-            *_sweep("two", "a, b", 16, "m"),
+            *_sweep("one", "layer", dim, "d"),
+            ("z", _stacked("g", dim)),
+            ("two", f"SELECT a, b, i, j, (i = j)::INT + sqrt((CASE WHEN i < {dim} THEN a1 ELSE a2 END) * (CASE WHEN j < {dim} THEN a1 ELSE a2 END)) / (2 * nu) * v AS v FROM z"),
+            *_sweep("two", "a, b", 2 * dim, "m"),
             ("l1", "SELECT DISTINCT layer, ld FROM d WHERE i = 0 AND j = 0"),
             ("db", "SELECT m.a, m.b, 0.5 * (m.ld - 0.5 * (x.ld + y.ld)) AS db FROM m JOIN l1 x ON x.layer = m.a JOIN l1 y ON y.layer = m.b WHERE i = 0 AND j = 0"),
         ]
@@ -149,6 +149,20 @@ def _algebraic_layers(measure: str) -> str:
     return _with(*head, *root, final=f"SELECT '{measure}' AS measure, a, b, {_r(value, 'value')} FROM res")
 
 
+#: customers as stimuli, 35 years and priorities as features: matrices of many stimuli and low rank
+_CUSTOMERS = [
+    ("raw", "SELECT o_orderstatus AS layer, o_custkey AS stim, year(o_orderdate) || o_orderpriority AS f, count(*)::DOUBLE AS v FROM orders GROUP BY ALL"),
+    ("feats", "SELECT f, (row_number() OVER (ORDER BY f) - 1)::INTEGER AS feat FROM (SELECT DISTINCT f FROM raw)"),
+    ("acts", "SELECT layer, stim, feat, v FROM raw JOIN feats USING (f)"),
+    ("num", "SELECT count(DISTINCT stim)::DOUBLE AS n, count(DISTINCT stim) * 0.01 / (1 + count(DISTINCT stim) * 0.01) AS nu FROM acts"),
+    ("par", "SELECT layer, sum(v * v) AS tr, any_value(n) AS n, any_value(nu) AS nu, (1 - any_value(nu)) * any_value(n) / sum(v * v) AS al FROM acts, num GROUP BY layer"),
+    ("met", "SELECT x.layer AS a, y.layer AS b, x.feat AS i, y.feat AS j, sum(x.v * y.v) AS v FROM acts x JOIN acts y ON x.stim = y.stim GROUP BY ALL"),
+    ("g", """SELECT p.layer AS a, q.layer AS b, x.feat AS i, y.feat AS j, coalesce(met.v, 0) AS v FROM par p, par q, feats x, feats y
+        LEFT JOIN met ON met.a = p.layer AND met.b = q.layer AND met.i = x.feat AND met.j = y.feat"""),
+    ("pairs", "SELECT x.layer AS a, y.layer AS b, x.al AS a1, y.al AS a2, x.n, x.nu FROM par x JOIN par y ON x.layer < y.layer"),
+]
+
+
 def _coordinates(measure: str) -> str:
     """Rank-one matrices have closed forms in n, the noise and the angle between the coordinates."""
     ctes = [
@@ -534,6 +548,8 @@ def all_sql() -> dict[str, str]:
         found[f"layers_{m}"] = _algebraic_layers(m)
         found[f"coordinates_{m}"] = _coordinates(m)
         found[f"sales_{m}"] = _algebraic_sales(m)
+    for m in ("kldiv", "bhattacharyya", "hellinger"):
+        found[f"tiled_{m}"] = _algebraic_layers(m, _CUSTOMERS, 35)
     for m in SAMPLED:
         found[f"layers_{m}"] = _exact_layers(m)
         found[f"sales_{m}"] = _exact_sales(m)

@@ -13,6 +13,7 @@ from kindred.operators import gram as G
 from kindred.operators import gram_compare as GC
 from kindred.operators import reliability as R
 from kindred.operators import sampling
+from kindred.operators import tiled as TG
 from kindred.operators.layer_compare import compare_layers
 from kindred.operators.moments import outer_sums
 from kindred.plans import datasets as D
@@ -529,6 +530,18 @@ def streamed_comparisons(spark, sf):
     return _round(T.read_distances(spark, out).select("measure", "a", "b", "value"))
 
 
+def _tiled(measure: str) -> Query:
+    """Customers against customers by their orders: matrices of all customers as tiles of 512."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        acts = D.customer_activations(spark, sf)
+        index = G.stimulus_index(acts)
+        dim = index.count()
+        return _round(TG.compare_tiles(TG.tiles_from_features(acts, index, dim, 512), dim, measure, 512))
+
+    return query
+
+
 #: measures and the options their queries use
 OPTIONS = {"gulp": {"lmbd": LMBD}, "jaccard": {"k": K}}
 ALGEBRAIC = ("kldiv", "bhattacharyya", "hellinger", "wasserstein", "gulp", "procrustes", "nbs")
@@ -580,6 +593,8 @@ def all_queries() -> dict[str, Query]:
         found[f"coordinates_{m}"] = _coords(m, portable=True, samples=PORTABLE_SAMPLES, seed=11)
         found[f"exact_coordinates_{m}"] = _coords(m)
         found[f"sampled_{m}"] = _agreement(m)
+    for m in ("kldiv", "bhattacharyya", "hellinger"):
+        found[f"tiled_{m}"] = _tiled(m)
     found["layers_nbs_unit"] = _layers("nbs", nbs_unit=True)
     found["offset_rsacorr"] = lambda spark, sf: _round(compare_layers(D.offset_layers(spark, sf), "rsacorr"))
     found["wide_rsacorr"] = lambda spark, sf: _round(compare_layers(D.product_layers(spark, sf), "rsacorr"))
