@@ -117,6 +117,48 @@ def centred_alignment(c: Conditioned) -> float:
     return dot[0] / np.sqrt(dot[1]) / np.sqrt(dot[2])
 
 
+def _distances(s: np.ndarray) -> np.ndarray:
+    """Squared distances of the stimuli i < j, of a whole matrix."""
+    d = np.diag(s)
+    return (d[:, None] + d - 2 * s)[np.triu_indices(len(s), 1)]
+
+
+def distance_similarity(c: Conditioned, kind: str) -> float:
+    """Pearson correlation ("rsacorr"), cosine ("rsacos") or its angle ("rsaarccos") of the distances; whole matrices only."""
+    one, two = _distances(c.s1), _distances(c.s2)
+    if kind == "rsacorr":
+        one, two = one - one.mean(), two - two.mean()
+    cosine = float(one @ two / np.sqrt(one @ one) / np.sqrt(two @ two))
+    if 0 < abs(cosine) - 1 <= 1e-7:
+        cosine = float(np.sign(cosine))
+    return float(np.arccos(cosine)) if kind == "rsaarccos" else cosine
+
+
+def rank_similarity(c: Conditioned) -> float:
+    """Spearman correlation of the distances from mean ranks, without tie correction; whole matrices only."""
+
+    def ranks(s: np.ndarray) -> np.ndarray:
+        _, which, count = np.unique(np.round(_distances(s), 12), return_inverse=True, return_counts=True)
+        return (np.cumsum(count) - (count - 1) / 2)[which]
+
+    one, two = ranks(c.s1), ranks(c.s2)
+    n = float(len(one))
+    return float(12 * (one @ two - n * (n + 1) * (n + 1) / 4) / (n * n * n - n))
+
+
+def neighbour_overlap(c: Conditioned, k: int) -> float:
+    """Mean Jaccard overlap of the k nearest other stimuli by cosine, ties to the smaller index; whole matrices only."""
+
+    def nearest(s: np.ndarray) -> np.ndarray:
+        root = np.sqrt(np.diag(s))
+        cosine = np.round(s / np.outer(root, root), 12)
+        np.fill_diagonal(cosine, -np.inf)
+        # the stimulus itself comes last
+        return np.argsort(-cosine, axis=1, kind="stable")[:, : min(k, len(s) - 1)]
+
+    return float(np.mean([len(set(x) & set(y)) / len(set(x) | set(y)) for x, y in zip(nearest(c.s1).tolist(), nearest(c.s2).tolist())]))
+
+
 def procrustes(c: Conditioned) -> float:
     """On a centred pair."""
     return float(np.sqrt(max(sum(c.traces) - 2 * c.root_trace(), 0.0)))

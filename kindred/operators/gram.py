@@ -208,17 +208,32 @@ def require_comparable(gram: DataFrame) -> DataFrame:
     return gram
 
 
-def one_size(gram: DataFrame) -> DataFrame:
-    """The same cells; reading them fails unless all matrices are square and of one size.
+def well_formed(gram: DataFrame, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
+    """The same cells; reading them fails unless all matrices are square, of one size and symmetric.
 
-    One row with the sizes meets every cell, so no job of its own is needed.
+    A cell meets its mirror image in one exchange, and one row with the sizes meets every cell, so no job of its own is needed.
     """
     facts = gram.groupBy("layer").agg(F.count(F.lit(1)).alias("cells"), F.greatest(F.max("i"), F.max("j")).alias("last"))
     side = F.col("last").cast("long") + 1
     sizes = facts.agg((F.min("last") == F.max("last")).alias("equal"), F.bool_and(F.col("cells") == side * side).alias("square"))
-    wrong = F.raise_error(F.lit("matrices must be square and of one size")).cast("double")
-    checked = F.when(F.col("equal") & F.col("square"), F.col("v")).otherwise(wrong)
-    return gram.join(F.broadcast(sizes)).select("layer", "i", "j", checked.alias("v"))
+    lo, hi = F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")
+    both = gram.groupBy("layer", lo, hi).agg(F.max(F.when(F.col("i") <= F.col("j"), F.col("v"))).alias("x"), F.max(F.when(F.col("i") >= F.col("j"), F.col("v"))).alias("y"))
+    near = F.abs(F.col("x") - F.col("y")) <= atol + rtol * F.least(F.abs("x"), F.abs("y"))
+
+    def failing(message: str) -> Column:
+        return F.raise_error(F.lit(message)).cast("double")
+
+    def checked(value: str) -> Column:
+        sized = F.when(F.col("equal") & F.col("square"), F.col(value)).otherwise(failing("matrices must be square and of one size"))
+        return F.when(F.coalesce(near, F.col("x").isNull() & F.col("y").isNull()), sized).otherwise(
+            F.when(F.col("equal") & F.col("square"), failing("matrices must be symmetric")).otherwise(failing("matrices must be square and of one size"))
+        )
+
+    cells = both.join(F.broadcast(sizes)).select("layer", "lo", "hi", checked("x").alias("x"), checked("y").alias("y"))
+    mirrored = F.when(F.col("lo") == F.col("hi"), F.array(F.struct(F.col("lo").alias("i"), F.col("hi").alias("j"), F.col("x").alias("v")))).otherwise(
+        F.array(F.struct(F.col("lo").alias("i"), F.col("hi").alias("j"), F.col("x").alias("v")), F.struct(F.col("hi").alias("i"), F.col("lo").alias("j"), F.col("y").alias("v")))
+    )
+    return cells.select("layer", F.inline(mirrored))
 
 
 def condition(

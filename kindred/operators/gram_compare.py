@@ -11,37 +11,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import linalg as la
 from kindred.functions.pair_measures import Conditioned
 from kindred.functions.scalars import clamp_cosine
-from kindred.operators.gram import condition, cosine_similarity, double_center, layer_pairs, one_size, pack, require_comparable, squared_distances
+from kindred.operators.gram import condition, cosine_similarity, double_center, layer_pairs, pack, require_comparable, squared_distances, well_formed
 from kindred.operators.ranks import average_ranks
 from kindred.plans.registry import Measure, Params, evaluate, resolve_all
 from kindred.schema import DIST
 
 
+_SUMS = ("n", "sxy", "sx", "sy", "sxx", "syy")
+
+
+def _outer_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's sums over its cells: a few small matrix products over (cells x layers), with a mask of what is there."""
+    names: dict[str, int] = {}
+    total = np.zeros((6, 0, 0))
+    for batch in batches:
+        lists = batch.column("ls")
+        rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        codes = lists.flatten().field(0).dictionary_encode()
+        for name in codes.dictionary.to_pylist():
+            names.setdefault(name, len(names))
+        layer = np.array([names[x] for x in codes.dictionary.to_pylist()], int)[codes.indices.to_numpy(zero_copy_only=False)]
+        grown = np.zeros((6, len(names), len(names)))
+        grown[:, : total.shape[1], : total.shape[2]] = total
+        total = grown
+        there, z = np.zeros((2, batch.num_rows, len(names)))
+        there[rows, layer] = 1
+        z[rows, layer] = lists.flatten().field(1).to_numpy(zero_copy_only=False)
+        square = z * z
+        total += np.stack([there.T @ there, z.T @ z, z.T @ there, there.T @ z, square.T @ there, there.T @ square])
+    order = sorted(names)
+    at = np.array([names[x] for x in order], int)
+    i, j = np.triu_indices(len(order), 1)
+    columns = [pa.array([order[k] for k in i], pa.string()), pa.array([order[k] for k in j], pa.string())]
+    yield pa.RecordBatch.from_arrays(columns + [pa.array(total[k][at[i], at[j]]) for k in range(6)], ["a", "b", *_SUMS])
+
+
 def cell_products(cells: DataFrame, value: str = "v") -> DataFrame:
     """Sums over matching cells for every layer pair a < b.
 
     ``(a, b, n, sxy, sx, sy, sxx, syy)``.  The layers of one cell meet in one
-    group; the products are summed up before they are exchanged.
+    row, and a task adds up its rows as small matrix products over the layers.
     """
-    per_cell = cells.groupBy("i", "j").agg(F.sort_array(F.collect_list(F.struct("layer", F.col(value).alias("v")))).alias("ls"))
-    pairs = per_cell.select("ls", F.posexplode("ls").alias("p", "x")).select(
-        "x", F.explode(F.slice("ls", F.col("p") + 2, F.size("ls"))).alias("y")
-    )
-    x, y = F.col("x.v"), F.col("y.v")
-    return pairs.groupBy(F.col("x.layer").alias("a"), F.col("y.layer").alias("b")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(x * y).alias("sxy"),
-        F.sum(x).alias("sx"),
-        F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"),
-        F.sum(y * y).alias("syy"),
-    )
+    per_cell = cells.groupBy("i", "j").agg(F.collect_list(F.struct(F.col("layer").cast("string").alias("layer"), F.col(value).cast("double").alias("v"))).alias("ls"))
+    sums = per_cell.select("ls").mapInArrow(_outer_products, "a string, b string, " + ", ".join(f"{x} double" for x in _SUMS))
+    return sums.groupBy("a", "b").agg(F.sum("n").cast("long").alias("n"), *[F.sum(x).alias(x) for x in _SUMS[1:]]).where("n > 0")
 
 
 def _cosine() -> Column:
@@ -106,6 +126,8 @@ def _neighbour(measure: Measure, gram: DataFrame, k: int) -> DataFrame:
 
 def _matrix_kernel(measures: list[Measure], params: Params, centring: bool):
     def one(row) -> Iterator[tuple[str, float | None]]:
+        if len(row.m1) != len(row.m2) or len(row.m1) != row.dim * row.dim:
+            raise ValueError("matrices must be square and of one size")
         k1, k2 = (np.asarray(m).reshape(row.dim, row.dim) for m in (row.m1, row.m2))
         if not (np.allclose(k1, k1.T) and np.allclose(k2, k2.T)):
             raise ValueError(f"matrices must be symmetric: {row.a} or {row.b} is not")
@@ -118,6 +140,8 @@ def _matrix_kernel(measures: list[Measure], params: Params, centring: bool):
         plain = Conditioned(k1, k2, row.dim, delta=delta)
         centred = Conditioned(la.center(k1), la.center(k2), row.dim) if centring else None
         for m in measures:
+            if row.lacking is not None and m.name not in row.lacking:
+                continue
             rng = la.pair_rng(params.seed, row.a, row.b, params.portable) if m.family == "sampled" else None
             try:
                 yield m.name, evaluate(m, centred if m.centred else plain, params, rng)
@@ -133,19 +157,22 @@ def _matrix_kernel(measures: list[Measure], params: Params, centring: bool):
 
 
 def matrix_pairs(gram: DataFrame, means: DataFrame | None = None, todo: DataFrame | None = None) -> DataFrame:
-    """``(a, b, dim, m1, m2, mu1, mu2)`` for a < b, or for the pairs of ``todo``."""
-    packed = pack(gram)
+    """``(a, b, lacking, dim, m1, m2, mu1, mu2)`` for a < b, or for the pairs of ``todo (a, b[, measures])``."""
+    return packed_pairs(pack(gram), layer_pairs(gram) if todo is None else todo, means)
+
+
+def packed_pairs(packed: DataFrame, todo: DataFrame, means: DataFrame | None = None) -> DataFrame:
+    """The same from packed matrices ``(layer, dim, m)``."""
     if means is None:
         packed = packed.withColumn("mu", F.lit(None).cast("array<double>"))
     else:
         packed = packed.join(means.select("layer", "mu"), "layer", "left")
     left = packed.select(F.col("layer").alias("a"), F.col("m").alias("m1"), F.col("mu").alias("mu1"))
     right = packed.select(F.col("layer").alias("b"), "dim", F.col("m").alias("m2"), F.col("mu").alias("mu2"))
-    if todo is None:
-        todo = layer_pairs(gram)
-    cores = gram.sparkSession.sparkContext.defaultParallelism
+    lacking = F.col("measures") if "measures" in todo.columns else F.lit(None).cast("array<string>")
+    cores = packed.sparkSession.sparkContext.defaultParallelism
     # few rows but heavy to compute: spread the pairs whatever their byte size
-    return todo.select("a", "b").join(left, "a").join(right, "b").repartition(4 * cores, "a", "b")
+    return todo.select("a", "b", lacking.alias("lacking")).join(left, "a").join(right, "b").repartition(4 * cores, "a", "b")
 
 
 def compare_gram(
@@ -160,8 +187,8 @@ def compare_gram(
 
     ``means (layer, mu)`` are optional mean vectors for the distribution
     measures; a layer without one has mean zero.  ``todo (a, b)`` restricts the
-    work.  Matrices of unequal size always fail.  ``check`` inspects symmetry first, at
-    the price of a job of its own; without it, only measures on whole matrices notice it.  Options
+    work, and its column ``measures``, if there is one, says which measures a pair lacks.  Matrices that are asymmetric or of unequal size always fail when the result is read; ``check`` fails
+    at once, at the price of a job of its own.  Options
     are those of :class:`kindred.plans.registry.Params`.
     """
     wanted, params = resolve_all(measures), Params(**options)
@@ -172,7 +199,7 @@ def compare_gram(
         # everything below works on the matrices of the wanted pairs only
         used = todo.select(F.explode(F.array("a", "b")).alias("layer")).distinct()
         gram = gram.join(used, "layer", "left_semi")
-    ready = condition(one_size(gram), params.noise_var, params.b, params.normalize)
+    ready = condition(well_formed(gram), params.noise_var, params.b, params.normalize)
     parts = []
     dense = [m for m in wanted if m.family in ("spectral", "gaussian", "sampled")]
     if dense:
@@ -187,13 +214,25 @@ def compare_gram(
             part = _neighbour(m, ready, params.k)
         else:
             continue
-        parts.append(part if todo is None else part.join(todo.select("a", "b").distinct(), ["a", "b"], "left_semi"))
+        parts.append(part if todo is None else wanted_only(part, todo))
     result = parts[0].select("measure", "a", "b", "value")
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
+def wanted_only(dist: DataFrame, todo: DataFrame) -> DataFrame:
+    """The results that ``todo (a, b[, measures])`` asks for."""
+    if "measures" in todo.columns:
+        return dist.join(todo.select(F.explode("measures").alias("measure"), "a", "b").distinct(), ["measure", "a", "b"], "left_semi")
+    return dist.join(todo.select("a", "b").distinct(), ["a", "b"], "left_semi")
+
+
+def compare_packed(packed: DataFrame, todo: DataFrame, measures: list[Measure], params: Params) -> DataFrame:
+    """``(measure, a, b, value)`` of conditioned packed matrices, all measures in one kernel, for what ``todo (a, b, measures)`` lacks."""
+    return packed_pairs(packed, todo).mapInPandas(_matrix_kernel(measures, params, any(m.centred for m in measures)), DIST)
+
+
 def symmetrize(dist: DataFrame) -> DataFrame:
     """The full matrix: both orders of each pair, and 0 (distance) or 1 (similarity) on the diagonal."""
     a, b = F.col("a"), F.col("b")

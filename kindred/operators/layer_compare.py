@@ -20,6 +20,7 @@ from kindred.functions import linalg as la
 from kindred.functions import pair_measures as pm
 from kindred.functions.scalars import noise_level
 from kindred.operators import stimulus_pairs
+from kindred.operators.gram_compare import wanted_only
 from kindred.operators.moments import outer_sums
 from kindred.plans.registry import MEASURES, Measure, Params, evaluate, resolve_all
 from kindred.schema import DIST
@@ -139,7 +140,7 @@ def _rsa(measure: str, n: int, sums, scale1: float, scale2: float, nu: float) ->
 
 
 def _pair_kernel(names: list[str], layout: list[np.ndarray], pilot: np.ndarray, measures: list[Measure], params: Params):
-    def one(a: int, b: int, i, j, values) -> Iterator[tuple[str, float | None]]:
+    def one(a: int, b: int, i, j, values, lacking) -> Iterator[tuple[str, float | None]]:
         ix, iy = layout[a], layout[b]
         index = np.concatenate([[0], ix, iy])
         order = np.sort(index)
@@ -172,6 +173,8 @@ def _pair_kernel(names: list[str], layout: list[np.ndarray], pilot: np.ndarray,
 
         plain = centred = sums = None
         for m in measures:
+            if lacking is not None and m.name not in lacking:
+                continue
             try:
                 if m.name in ("rsacorr", "rsacos", "rsaarccos"):
                     if sums is None:
@@ -201,7 +204,7 @@ def _pair_kernel(names: list[str], layout: list[np.ndarray], pilot: np.ndarray,
         for batch in batches:
             rows = [
                 (name, names[a], names[b], value)
-                for a, b, *cells in zip(batch["a"], batch["b"], batch["i"], batch["j"], batch["s"])
+                for a, b, *cells in zip(batch["a"], batch["b"], batch["i"], batch["j"], batch["s"], batch["lacking"])
                 for name, value in one(a, b, *cells)
             ]
             yield pd.DataFrame(rows, columns=["measure", "a", "b", "value"]).astype({"value": "float64"})
@@ -214,7 +217,7 @@ def compare_layers(layers: Layers, measures, todo: DataFrame | None = None, **op
 
     a precedes b in the layer catalogue.  A value is NULL where the measure is
     undefined (a Gaussian measure of singular matrices).  ``todo`` restricts
-    the work to the given ``(a, b)``.  Options are those of
+    the work to the given ``(a, b)`` or, with a column ``measures``, to what each pair lacks.  Options are those of
     :class:`kindred.plans.registry.Params`.
     """
     wanted, params = resolve_all(measures), Params(**options)
@@ -227,11 +230,15 @@ def compare_layers(layers: Layers, measures, todo: DataFrame | None = None, **op
         names = layers.names
         pilot = pilot_means(layers)
         pairs = pair_moments(layers, pilot)
-        if todo is not None:
+        everything = F.lit(None).cast("array<string>")
+        if todo is None:
+            pairs = pairs.withColumn("lacking", everything)
+        else:
             lookup = F.array(*[F.lit(n) for n in names])
-            keys = todo.select(F.col("a").alias("ta"), F.col("b").alias("tb")).distinct()
+            lacking = F.flatten(F.collect_set("measures")) if "measures" in todo.columns else F.first(everything)
+            keys = todo.groupBy(F.col("a").alias("ta"), F.col("b").alias("tb")).agg(lacking.alias("lacking"))
             same = (F.get(lookup, F.col("a")) == F.col("ta")) & (F.get(lookup, F.col("b")) == F.col("tb"))
-            pairs = pairs.join(keys, same, "left_semi")
+            pairs = pairs.join(keys, same).drop("ta", "tb")
         # a few rows, each with a decomposition to compute: spread them whatever their size
         pairs = pairs.repartition(min(len(names) * (len(names) - 1) // 2, layers.df.sparkSession.sparkContext.defaultParallelism), "a", "b")
         parts.append(pairs.mapInPandas(_pair_kernel(names, _layout(layers), pilot, algebraic, params), DIST))
@@ -246,4 +253,4 @@ def compare_layers(layers: Layers, measures, todo: DataFrame | None = None, **op
 
 
 def _restrict(dist: DataFrame, todo: DataFrame | None) -> DataFrame:
-    return dist if todo is None else dist.join(todo.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    return dist if todo is None else wanted_only(dist, todo)

@@ -183,6 +183,12 @@ def evaluate(measure: Measure, pair: pm.Conditioned, params: Params, rng) -> flo
             return pm.centred_alignment(pair)
         case "distcorr":
             return float(max(pm.centred_alignment(pair), 0.0) ** 0.5)
+        case "rsacorr" | "rsacos" | "rsaarccos":
+            return pm.distance_similarity(pair, measure.name)
+        case "rsarank":
+            return pm.rank_similarity(pair)
+        case "jaccard":
+            return pm.neighbour_overlap(pair, params.k)
         case "procrustes":
             return pm.procrustes(pair)
         case "nbs":

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from kindred.operators.gram import gram_from_features, layer_pairs
+from kindred.operators.gram import gram_from_features, layer_pairs, materialize
 from kindred.operators.gram_compare import compare_gram
 from kindred.operators.layer_compare import compare_layers
 from kindred.plans.registry import per_measure
@@ -99,9 +99,9 @@ def compare_to_table(
 
     ``measures`` may be one name or several; ``b``, ``noise_var`` and
     ``normalize`` apply to all of them or are lists with one entry each.
-    Measures with equal conditioning that lack the same pairs share one job, which reads the
-    layers of these pairs only.  Results are partitioned by run and measure; an interrupted job
-    commits nothing and is simply rerun, jobs before it stay.
+    Measures with equal conditioning share one job. What each pair lacks is a table, kept through the comparison, so
+    that a pair is only evaluated by the measures it lacks; only names of layers and measures reach the driver.
+    Results are partitioned by run and measure; an interrupted job commits nothing and is simply rerun, jobs before it stay.
     """
     groups: dict[str, tuple[dict, list[str]]] = {}
     for measure, conditioning in per_measure(measures, b, noise_var, normalize):
@@ -110,25 +110,27 @@ def compare_to_table(
     layers = source if isinstance(source, Layers) else None
     spark = (layers.df if layers else source).sparkSession
     for run, (conditioning, names) in groups.items():
-        todo = pending(read_distances(spark, path), all_pairs(source), run, names)
-        # names only, as many as the layer catalogue has pairs: measures that lack the same pairs go together
-        missing: dict[str, list[tuple[str, str]]] = {}
-        for row in todo.sort("measure", "a", "b").collect():
-            missing.setdefault(row["measure"], []).append((row["a"], row["b"]))
-        together: dict[tuple, list[str]] = {}
-        for measure, pairs in missing.items():
-            together.setdefault(tuple(pairs), []).append(measure)
-        for pairs, measures_ in together.items():
-            used = {name for pair in pairs for name in pair}
-            wanted = spark.createDataFrame(list(pairs), "a string, b string")
-            if layers:
-                found = compare_layers(layers.select([n for n in layers.names if n in used]), measures_, todo=wanted, **conditioning, **options)
-            else:
-                found = compare_gram(source, measures_, todo=wanted, **conditioning, **options)
-            (
-                found.join(F.broadcast(wanted), ["a", "b"], "left_semi")
-                .select("a", "b", "value", F.lit(run).alias("run"), "measure")
-                .write.mode("append")
-                .partitionBy("run", "measure")
-                .parquet(path)
-            )
+        todo = materialize(lacking(pending(read_distances(spark, path), all_pairs(source), run, names)), "pending")
+        due = _distinct(todo.select(F.explode("measures")))
+        if not due:
+            continue
+        if layers:
+            used = _distinct(todo.select(F.explode(F.array("a", "b"))))
+            found = compare_layers(layers.select([n for n in layers.names if n in used]), [n for n in names if n in due], todo=todo, **conditioning, **options)
+        else:
+            found = compare_gram(source, [n for n in names if n in due], todo=todo, **conditioning, **options)
+        append_distances(found, run, path)
+
+
+def lacking(todo: DataFrame) -> DataFrame:
+    """``(a, b, measures)`` of ``todo (measure, a, b)``."""
+    return todo.groupBy("a", "b").agg(F.sort_array(F.collect_set("measure")).alias("measures"))
+
+
+def append_distances(found: DataFrame, run: str, path: str) -> None:
+    found.select("a", "b", "value", F.lit(run).alias("run"), "measure").write.mode("append").partitionBy("run", "measure").parquet(path)
+
+
+def _distinct(names: DataFrame) -> set[str]:
+    """The distinct values of a column of names of layers or measures."""
+    return set(names.agg(F.collect_set(names.columns[0])).first()[0])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import linalg as la
 from kindred.operators import gram as G
+from kindred.operators import gram_compare as GC
 from kindred.operators import moments as M
 from kindred.operators.gram_compare import compare_gram, distance_form, symmetrize
 from kindred.operators.layer_compare import compare_layers
@@ -352,6 +353,28 @@ def test_matrices_of_unequal_size_are_not_compared(spark):
         compare_gram(gram_frame(spark, {"a": random_cov(3, 1), "b": random_cov(3, 2)}).where("not (layer = 'a' and i = 0 and j = 1)"), "cka").collect()
 
 
+@pytest.mark.parametrize("name", ["cka", "rsacorr", "rsarank", "jaccard", "kldiv"])
+def test_asymmetric_matrices_are_not_compared(spark, name):
+    bad = random_cov(4, 2)
+    bad[0, 3] += 0.5
+    frame = gram_frame(spark, {"a": random_cov(4, 1), "b": bad})
+    with pytest.raises(Exception, match="symmetric"):
+        compare_gram(frame, name, k=1).collect()
+
+
+def test_products_of_cells_where_layers_lack_some(spark):
+    rng = np.random.default_rng(6)
+    cells = {(layer, i, j): float(rng.standard_normal()) for layer in "dbca" for i in range(6) for j in range(6) if rng.random() < 0.7}
+    frame = spark.createDataFrame([(*k, v) for k, v in cells.items()], "layer string, i int, j int, v double").repartition(3)
+    got = {(r.a, r.b): r for r in GC.cell_products(frame).collect()}
+    assert set(got) == {(a, b) for a in "abcd" for b in "abcd" if a < b}
+    for (a, b), r in got.items():
+        both = [(cells[a, i, j], cells[b, i, j]) for i in range(6) for j in range(6) if (a, i, j) in cells and (b, i, j) in cells]
+        x, y = np.array(both).T
+        assert r.n == len(x) and np.allclose([r.sxy, r.sx, r.sy, r.sxx, r.syy], [x @ y, x.sum(), y.sum(), x @ x, y @ y])
+    assert GC.cell_products(frame.where("layer = 'a'")).count() == 0 == GC.cell_products(frame.where("false")).count()
+
+
 @pytest.mark.parametrize("scale", [(1e6, 1.0), (1e-6, 1.0), (1e4, 1e-3), (1e6, 1e6)])
 def test_scale_does_not_matter(spark, scale):
     rng = np.random.default_rng(9)

@@ -11,7 +11,7 @@ from kindred.operators import gram as G
 from kindred.operators import sampling
 from kindred.operators.gram_compare import compare_gram
 from kindred.operators.reliability import cell_stats
-from kindred.plans.registry import forget_measure, register_measure
+from kindred.plans.registry import MEASURES, forget_measure, register_measure
 from kindred.session import scratch_path
 from kindred.sources import activations as A
 from kindred.sources import tables as T
@@ -217,7 +217,9 @@ def test_streamed_trials_merge_to_the_batch_result(spark, tmp_path):
     trials.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(trials.schema).option("maxFilesPerTrigger", 1).parquet(source)
     I.run_to_end(lambda: I.trial_statistics(stream, str(tmp_path / "out"), str(tmp_path / "offsets")))
-    assert len(list((tmp_path / "out").glob("batch=*"))) >= 3
+    # at least three batches, but never more than two snapshots of one row per voxel and stimulus
+    assert len(list((tmp_path / "offsets" / "commits").glob("[0-9]*"))) >= 3 and len(list((tmp_path / "out").glob("turn=*"))) == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2 * len({r[:2] for r in rows})
     merged = {(r.voxel, r.stim): (r.n, r.mean, r.ss) for r in I.merged_statistics(spark, str(tmp_path / "out")).collect()}
     direct = {(r.voxel, r.stim): (r.n, r.mean, r.ss) for r in cell_stats(trials).collect()}
     assert merged.keys() == direct.keys() and all(np.allclose(merged[k], direct[k]) for k in direct)
@@ -239,6 +241,23 @@ def test_arriving_matrices_trigger_only_new_comparisons(spark, tmp_path):
     assert len(stored) == 6
     for r in compare_gram(gram_frame(spark, covs), ["cka", "kldiv"]).collect():
         assert stored[(r.measure, r.a, r.b)] == pytest.approx(r.value)
+    # the cells of earlier batches are not read again
+    (tmp_path / "grams" / "batch=0").rename(tmp_path / "away")
+    gram_frame(spark, {"d": random_cov(3, 9)}).coalesce(1).write.mode("append").parquet(source)
+    I.run_to_end(start)
+    assert T.read_distances(spark, dist).count() == 12
+
+
+def test_arrivals_take_every_measure(spark, tmp_path):
+    source, grams, dist = (str(tmp_path / n) for n in ("in", "grams", "dist"))
+    covs = {n: random_cov(7, s) for s, n in enumerate("abc")}
+    gram_frame(spark, covs).coalesce(1).write.parquet(source)
+    names = [m for m in MEASURES if m not in ("mahalanobis",)]
+    stream = spark.readStream.schema(gram_frame(spark, covs).schema).parquet(source)
+    I.run_to_end(lambda: I.compare_arrivals(stream, grams, dist, str(tmp_path / "offsets"), "s", names, lmbd=0.1, k=2))
+    stored = {(r.measure, r.a, r.b): r.value for r in T.read_distances(spark, dist).collect()}
+    want = {(r.measure, r.a, r.b): r.value for r in compare_gram(gram_frame(spark, covs), names, lmbd=0.1, k=2).collect()}
+    assert stored.keys() == want.keys() and all(stored[k] == pytest.approx(v, rel=1e-6, abs=1e-9) for k, v in want.items())
 
 
 def test_streamed_activations_equal_written_ones(spark, tmp_path):
