@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.scalars import noise_level
+from kindred.operators.gram import materialize, stimulus_index
 from kindred.operators.moments import outer_sums
 from kindred.plans.registry import Params
 from kindred.sources.activations import Layers
@@ -25,21 +26,30 @@ from kindred.sources.activations import Layers
 BLOCK_ROWS = 2048
 #: blocks a task works through for one block before it hands on its candidates
 BLOCK_RUN = 256
-#: stimuli from which bin limits are taken; pairs handled together; pairs of a bin, about, and bins of a layer at most
-PILOT, CHUNK_PAIRS, BIN_PAIRS, MAX_BINS = 1024, 1 << 19, 1 << 18, 1 << 16
+#: stimuli from which first bin limits are taken; pairs handled together; pairs of a bin, about
+PILOT, CHUNK_PAIRS, BIN_PAIRS = 1024, 1 << 19, 1 << 18
+#: a bin with more than so many times its pairs is cut further; values that a task keeps of a bin, to cut it by
+CROWDED, KEPT = 4, 64
 #: decimals kept when two similarities or distances are compared
 TIE_DECIMALS = 12
 
 
+def _numbered(layers: Layers) -> tuple[DataFrame, DataFrame | None]:
+    """``(stim, x)`` with integer stimuli; ids of another type are replaced by their numbers, given as ``(stim, i)``."""
+    wide = layers.wide()
+    if wide.schema["stim"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return wide, None
+    index = stimulus_index(wide)
+    return wide.join(index, "stim").select(F.col("i").cast("long").alias("stim"), "x"), index
+
+
 def _block_pairs(layers: Layers, block_rows: int, ordered: bool, run: int) -> tuple[DataFrame, int]:
     """``(g1, g2, ids1, x1, ids2, x2)`` for every pair of blocks, and the number of stimuli.
 
     Unless ``ordered``, each unordered pair comes once (g1 <= g2).  A block
     meets ``run`` others in one task; longer rows of blocks are split up.
     """
-    wide = layers.wide()
-    if wide.schema["stim"].dataType.typeName() not in ("byte", "short", "integer", "long"):
-        raise TypeError("pairs of stimuli need integer stimulus ids")
+    wide, _ = _numbered(layers)
     n = wide.count()
     # wide layers get smaller blocks: a block stays below 16 MB
     block_rows = max(64, min(block_rows, 2_000_000 // sum(layers.widths.values())))
@@ -120,12 +130,24 @@ def _merge(found: tuple[np.ndarray, np.ndarray], similarity: np.ndarray, ids: np
 
 
 def nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS, run: int = BLOCK_RUN) -> DataFrame:
-    """``(layer, ord, stim, neighbours)``: the k stimuli with the highest cosine.
+    """``(layer, ord, stim, neighbours)``: the k stimuli with the highest cosine, ids as they are in the layers' table."""
+    found = _nearest(layers, params, block_rows, run)
+    index = _numbered(layers)[1]
+    if index is None:
+        return found
+    entries = found.select("layer", "ord", F.col("stim").alias("me"), F.posexplode("neighbours").alias("r", "other"))
+    named = entries.join(index.select(F.col("i").cast("long").alias("other"), F.col("stim").alias("name")), "other")
+    lists = named.groupBy("layer", "ord", "me").agg(F.sort_array(F.collect_list(F.struct("r", "name"))).alias("s"))
+    return lists.join(index.select(F.col("i").cast("long").alias("me"), "stim"), "me").select("layer", "ord", "stim", F.col("s.name").alias("neighbours"))
+
+
+def _nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS, run: int = BLOCK_RUN) -> DataFrame:
+    """The same with numbers for ids that are no integers.
 
     The cosine is that of the conditioned matrix, whose noise shrinks it the
     more the shorter a vector is.  A stimulus is never its own neighbour; ties
     go to the smaller stimulus id.  A task carries the best k of one block
-    through up to ``run`` other blocks before it emits them.
+    through up to ``run`` other blocks and emits them when the next block comes, so it holds one block's.
     """
     names, cuts, width, k = layers.names, _slices(layers), sum(layers.widths.values()), params.k
     pairs, n = _block_pairs(layers, block_rows, ordered=True, run=run)
@@ -170,20 +192,27 @@ def nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS, run: i
 
     def search(batches):
         best: dict = {}
+
+        def leave():
+            for (_, layer), (ids, (sim, other)) in best.items():
+                keep = sim.ravel() > -np.inf
+                columns = [
+                    pa.array(np.full(keep.sum(), layer, np.int32)),
+                    pa.array(np.repeat(ids, sim.shape[1])[keep]),
+                    pa.array(other.ravel()[keep]),
+                    pa.array(sim.ravel()[keep]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            best.clear()
+
         for g1, g2, (ids1, x1), (ids2, x2) in _blocks(batches, width):
+            if best and (g1, 0) not in best:
+                yield from leave()
             for layer in range(len(names)):
                 none = np.full((len(ids1), k), -np.inf), np.zeros((len(ids1), k), np.int64)
                 _, found = best.get((g1, layer), (None, none))
                 best[(g1, layer)] = ids1, improve(found, unit(x1, layer), unit(x2, layer), ids2, g1 == g2)
-        for (_, layer), (ids, (sim, other)) in best.items():
-            keep = sim.ravel() > -np.inf
-            columns = [
-                pa.array(np.full(keep.sum(), layer, np.int32)),
-                pa.array(np.repeat(ids, sim.shape[1])[keep]),
-                pa.array(other.ravel()[keep]),
-                pa.array(sim.ravel()[keep]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        yield from leave()
 
     found = pairs.mapInArrow(search, "layer int, stim long, other long, sim double")
     order = Window.partitionBy("layer", "stim").orderBy(F.desc("sim"), "other")
@@ -199,7 +228,7 @@ def nearest(layers: Layers, params: Params, block_rows: int = BLOCK_ROWS, run: i
 
 def neighbour_similarity(layers: Layers, params: Params) -> DataFrame:
     """Mean Jaccard overlap of the neighbour sets of each stimulus."""
-    sets = nearest(layers, params).groupBy("stim").agg(
+    sets = _nearest(layers, params).groupBy("stim").agg(
         F.sort_array(F.collect_list(F.struct("ord", "layer", "neighbours"))).alias("ls")
     )
     # one entry per layer pair and stimulus, summed up before it is shuffled
@@ -305,6 +334,44 @@ def _bin_counts(pairs: DataFrame, layers: Layers, splitters: list[np.ndarray]) -
     return pairs.mapInArrow(run, "layer int, bin int, n long").groupBy("layer", "bin").agg(F.sum("n").alias("total"))
 
 
+def _bin_values(pairs: DataFrame, layers: Layers, splitters: list[np.ndarray], wanted: set[tuple[int, int]]) -> DataFrame:
+    """``(layer, bin, some)``: up to ``KEPT`` values a task of each wanted bin, in even steps through what it has met."""
+    cuts, width = _slices(layers), sum(layers.widths.values())
+
+    def run(batches):
+        some: dict[tuple[int, int], np.ndarray] = {}
+        for _, c, d, bins in _chunks(batches, cuts, width, splitters):
+            for layer, k in wanted:
+                if layer == c:
+                    found = np.concatenate([some.get((c, k), d[:0]), d[bins == k]])
+                    some[c, k] = np.sort(found)[:: max(1, -(-len(found) // KEPT))]
+        for (c, k), values in some.items():
+            if len(values):
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([k], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["layer", "bin", "some"])
+
+    return pairs.mapInArrow(run, "layer int, bin int, some binary")
+
+
+def _refined(pairs: DataFrame, layers: Layers, splitters: list[np.ndarray]) -> tuple[list[np.ndarray], DataFrame]:
+    """Splitters that leave no bin of several values with more than ``CROWDED * BIN_PAIRS`` pairs, and the bins' totals.
+
+    Crowded bins are cut by values that tasks have kept of them, in rounds; each round puts at least one splitter into every
+    crowded bin, and a value that occurs very often soon has a bin of its own.
+    """
+    while True:
+        totals = materialize(_bin_counts(pairs, layers, splitters), "bins")
+        crowded = {(r["layer"], r["bin"]): r["total"] for r in totals.where((F.col("bin") % 2 == 0) & (F.col("total") > CROWDED * BIN_PAIRS)).collect()}
+        if not crowded:
+            return splitters, totals
+        kept: dict[tuple[int, int], list[np.ndarray]] = {}
+        for r in _bin_values(pairs, layers, splitters, set(crowded)).collect():
+            kept.setdefault((r["layer"], r["bin"]), []).append(np.frombuffer(r["some"]))
+        splitters = list(splitters)
+        for key, parts in kept.items():
+            cuts = np.quantile(np.concatenate(parts), np.linspace(0, 1, int(crowded[key] // BIN_PAIRS) + 2)[1:-1], method="nearest")
+            splitters[key[0]] = np.union1d(splitters[key[0]], cuts)
+
+
 def _binned_distances(pairs: DataFrame, layers: Layers, splitters: list[np.ndarray]) -> DataFrame:
     """``(chunk, layer, bin, n, at, d)``: distances of a chunk of pairs by layer and bin.
 
@@ -368,20 +435,22 @@ def rank_similarity(layers: Layers) -> DataFrame:
 
     Distances are computed block by block and travel as packed arrays: once to their bin, where
     they are sorted, and once back to their chunk of pairs, where the ranks of all layers meet and
-    only sums of products go on. Bins follow the distribution of the distances, so an outlier does not crowd
-    the rest into one, and their number grows with the pairs.
+    only sums of products go on. Bins follow the distribution of the distances and are cut until none is crowded, so a task sorts
+    a bounded number of them; their number grows with the pairs.
     """
     names = layers.names
     pairs, n_stimuli = _block_pairs(layers, BLOCK_ROWS, ordered=False, run=1)
-    bins = int(min(MAX_BINS, max(64, n_stimuli * n_stimuli / 2 // BIN_PAIRS)))
+    bins = int(max(64, n_stimuli * n_stimuli / 2 // BIN_PAIRS))
     cores = layers.df.sparkSession.sparkContext.defaultParallelism
-    splitters = _splitters(layers, bins)
+    splitters, totals = _refined(pairs, layers, _splitters(layers, bins))
+    # 64 MB of distances a task, or all cores
+    tasks = int(max(4 * cores, n_stimuli * n_stimuli / 2 * len(names) * 12 // (64 << 20)))
     # the distances are computed twice: cheaper than keeping all pairs until they are counted
-    parts, totals = _binned_distances(pairs, layers, splitters), _bin_counts(pairs, layers, splitters)
+    parts = _binned_distances(pairs, layers, splitters)
     before = Window.partitionBy("layer").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0)))
     spread = F.when(F.col("bin") % 2 == 1, F.xxhash64("chunk")).otherwise(0)
-    located = parts.join(totals, ["layer", "bin"]).repartition(4 * cores, "layer", "bin", spread).sortWithinPartitions("layer", "bin")
+    located = parts.join(totals, ["layer", "bin"]).repartition(tasks, "layer", "bin", spread).sortWithinPartitions("layer", "bin")
     columns = ["chunk", "layer", "bin", "n", "total", "before", "at", "d"]
     ranked = located.select(*columns).mapInArrow(_ranked, "chunk string, layer int, at binary, rank binary")
     count = len(names)
@@ -410,7 +479,7 @@ def rank_similarity(layers: Layers) -> DataFrame:
         i, j = np.triu_indices(count, 1)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[i, j]), pa.array(np.full(len(i), n))], ["i", "j", "s", "n"])
 
-    met = ranked.repartition(4 * cores, "chunk").sortWithinPartitions("chunk")
+    met = ranked.repartition(tasks, "chunk").sortWithinPartitions("chunk")
     sums = met.mapInArrow(products, "i int, j int, s double, n long").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").cast("double").alias("n"))
     # ranks of n values always sum to n (n + 1) / 2, so only n is needed to centre
     name, n = F.array(*[F.lit(x) for x in names]), F.col("n")

@@ -166,12 +166,6 @@ def test_mean_shift_in_sampling_has_the_right_size():
     assert at_q.mean() == pytest.approx(-0.5 * (1 / lam - 1 + np.log(lam) + shift**2 / lam).sum(), abs=0.02)
 
 
-def test_neighbours_need_integer_ids(spark):
-    df = spark.createDataFrame([("x", [1.0]), ("y", [2.0])], "id string, x array<double>")
-    with pytest.raises(TypeError, match="integer"):
-        compare_layers(extract(df, "id", {"a": F.col("x"), "b": F.col("x")}), "jaccard", k=1)
-
-
 def test_missing_parameters_are_reported(spark):
     layers, _ = stimuli(spark)
     with pytest.raises(ValueError, match="lmbd"):
@@ -198,6 +192,43 @@ def test_blocks_do_not_change_neighbours_or_distances(spark):
     assert len(copies) == 50 * 49 // 2 and all(max(v) == 0 for v in copies.d)
 
 
+@pytest.mark.parametrize("pilot", [5, 40])
+def test_crowded_bins_are_cut(spark, monkeypatch, pilot):
+    """Nearly all distances lie close together, beside outliers that the first splitters may all come from."""
+    monkeypatch.setattr(SP, "PILOT", pilot)
+    monkeypatch.setattr(SP, "BIN_PAIRS", 50)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.standard_normal((120, 4)), 3)
+    x[:6] *= 10.0 ** np.arange(1, 7)[:, None]
+    x[20:40] = x[20]
+    rows = [(f"stim {i:03d}", v.tolist()) for i, v in enumerate(x)]
+    layers = extract(spark.createDataFrame(rows, "id string, x array<double>"), "id", {"a": F.slice("x", 1, 2), "b": F.slice("x", 3, 2)})
+    pairs, _ = SP._block_pairs(layers, 64, False, 1)
+    splitters, totals = SP._refined(pairs, layers, SP._splitters(layers, 4))
+    counts = totals.collect()
+    assert max(r.total for r in counts if r.bin % 2 == 0) <= SP.CROWDED * 50
+    assert sum(r.total for r in counts if r.layer == 0) == 120 * 119 // 2
+    got = compare_layers(layers, "rsarank").first().value
+
+    def ranks(y):
+        d = ((y[:, None] - y) ** 2).sum(-1)[np.triu_indices(120, 1)]
+        _, which, count = np.unique(np.round(d, 9), return_inverse=True, return_counts=True)
+        return (np.cumsum(count) - (count - 1) / 2)[which]
+
+    one, two = ranks(x[:, :2]), ranks(x[:, 2:])
+    n = len(one)
+    assert got == pytest.approx(12 * (one @ two - n * (n + 1) ** 2 / 4) / (n**3 - n), abs=1e-6)
+
+
+def test_names_as_ids(spark):
+    layers, x = stimuli(spark, n=40, copies=10)
+    named = extract(layers.df.withColumn("name", F.format_string("s%05d", layers.stim)), "name", dict(layers.columns), widths=dict(layers.widths))
+    plain = {(r.layer, f"s{r.stim:05d}"): [f"s{o:05d}" for o in r.neighbours] for r in nearest(layers, Params(k=3)).collect()}
+    assert {(r.layer, r.stim): r.neighbours for r in nearest(named, Params(k=3)).collect()} == plain
+    names = ["jaccard", "rsarank", "cka"]
+    assert values(compare_layers(named, names, k=3)) == pytest.approx(values(compare_layers(layers, names, k=3)))
+
+
 def test_symmetrize_and_distance_form(spark):
     covs = {n: random_cov(4, s) for n, s in (("a", 1), ("b", 2), ("c", 3))}
     full = symmetrize(compare_gram(gram_frame(spark, covs), ["cka", "kldiv"]))
