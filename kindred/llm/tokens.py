@@ -128,7 +128,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.plain = Tokenizer.from_file(path) if spelled else None
+        self.path, self._plain = path, None
         added = list(self.tokenizer.get_added_tokens_decoder().values()) if spelled else []
         self.added = [t.content.encode() for t in added]
         # a token that is looked for after normalisation may be spelled otherwise
@@ -219,7 +219,9 @@ class Encoder:
 
     def _with_added(self, block: Block, ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The same with the texts that spell an added token encoded whole by the library."""
-        data = bytes(block.data)
+        if not self.added:
+            return ids, offsets
+        data = block.data.tobytes() if len(block.data) else b""
         found = set(range(block.n)) if self.always_plain else set()
         for token in self.added:
             at = data.find(token)
@@ -232,9 +234,13 @@ class Encoder:
         if not found:
             return ids, offsets
         parts = np.split(ids, offsets[1:-1])
+        if self._plain is None:
+            from tokenizers import Tokenizer
+
+            self._plain = Tokenizer.from_file(self.path)
         for doc in found:
             text = data[block.offsets[doc] : block.offsets[doc + 1]].decode()
-            parts[doc] = np.array([*self.plain.encode(text, add_special_tokens=False).ids, end_id], np.uint32)
+            parts[doc] = np.array([*self._plain.encode(text, add_special_tokens=False).ids, end_id], np.uint32)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
