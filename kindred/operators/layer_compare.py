@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,23 +65,22 @@ def layer_moments(layers: Layers, pilot: np.ndarray | None = None) -> DataFrame:
     return outer_sums(layers.wide(), "x", total, augment=augment)
 
 
+def _owner(position, ends: list[int]):
+    """The layer a moment's position belongs to; -1 for the constant. ``ends`` are the last positions of the layers' features."""
+    within = F.size(F.filter(F.array(*[F.lit(int(e)) for e in ends]), lambda e: e < position))
+    return F.when(position == 0, -1).when(position <= int(ends[-1]), within).otherwise(position - int(ends[-1]) - 1)
+
+
 def pair_moments(layers: Layers, pilot: np.ndarray | None = None) -> DataFrame:
-    """``(a, b, i, j, s)``: for every layer pair, the moments that concern it, as three arrays.
+    """``(a, b, i, c)``: for every layer pair, the rows of moments that concern it, with c an array of (j, s).
 
-    Each cell is sent to the pairs that need it, so one exchange of the (tiny)
-    moment table replaces a five-way self-join of it.
+    Each row is sent to the pairs that need it, so one exchange of the moment table replaces a five-way self-join of it;
+    the rows of a pair arrive one after the other, and its kernel puts them together.
     """
-    layout = _layout(layers)
-    count = len(layout)
-    owner = [-1] * (1 + sum(len(ix) for ix in layout))
-    for layer, ix in enumerate(layout):
-        for position in ix:
-            owner[position] = layer
-    owners = F.array(*[F.lit(o) for o in owner])
-    m = layer_moments(layers, pilot).select(
-        "i", "j", "s", F.get(owners, F.col("i")).alias("la"), F.get(owners, F.col("j")).alias("lb")
-    )
-    everyone = F.sequence(F.lit(0), F.lit(count - 1))
+    ends = np.cumsum([layers.widths[n] for n in layers.names]).tolist()
+    moments = layer_moments(layers, pilot).withColumn("la", _owner(F.col("i"), ends)).withColumn("lb", _owner(F.col("j"), ends))
+    m = moments.groupBy("la", "lb", "i").agg(F.collect_list(F.struct("j", "s")).alias("c"))
+    everyone = F.sequence(F.lit(0), F.lit(len(ends) - 1))
     single = F.when(F.col("lb") < 0, everyone).otherwise(F.array("lb"))
     partners = F.flatten(
         F.transform(
@@ -94,12 +93,7 @@ def pair_moments(layers: Layers, pilot: np.ndarray | None = None) -> DataFrame:
     )
     own = F.array(F.struct(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")))
     crossing = (F.col("la") >= 0) & (F.col("la") != F.col("lb"))
-    return (
-        m.withColumn("pair", F.explode(F.when(crossing, own).otherwise(partners)))
-        .groupBy("pair.a", "pair.b")
-        .agg(F.collect_list(F.struct("i", "j", "s")).alias("c"))
-        .select("a", "b", F.col("c.i").alias("i"), F.col("c.j").alias("j"), F.col("c.s").alias("s"))
-    )
+    return m.withColumn("pair", F.explode(F.when(crossing, own).otherwise(partners))).select("pair.a", "pair.b", "i", "c")
 
 
 def _squared_distance_sums(n, aa, bb, ab, sx, sy, na, nb, saa, sbb, sab, ax, ay, bx, by):
@@ -200,14 +194,26 @@ def _pair_kernel(names: list[str], layout: list[np.ndarray], pilot: np.ndarray,
                 value = None
             yield m.name, value
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, lacking = None, [], None
+
+        def finish() -> pa.RecordBatch:
+            i, j, s = (np.concatenate(x) for x in zip(*held))
+            found = list(one(*at, i, j, s, lacking))
+            n = len(found)
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([names[at[0]]] * n, pa.string()), pa.array([names[at[1]]] * n, pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, ["measure", "a", "b", "value"])
+
         for batch in batches:
-            rows = [
-                (name, names[a], names[b], value)
-                for a, b, *cells in zip(batch["a"], batch["b"], batch["i"], batch["j"], batch["s"], batch["lacking"])
-                for name, value in one(a, b, *cells)
-            ]
-            yield pd.DataFrame(rows, columns=["measure", "a", "b", "value"]).astype({"value": "float64"})
+            for a, b, i, cells, lacks in zip(*batch.columns):
+                if (a.as_py(), b.as_py()) != at:
+                    if held:
+                        yield finish()
+                    at, held, lacking = (a.as_py(), b.as_py()), [], lacks.as_py()
+                j, s = (cells.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                held.append((np.full(len(j), i.as_py()), j, s))
+        if held:
+            yield finish()
 
     return run
 
@@ -239,9 +245,10 @@ def compare_layers(layers: Layers, measures, todo: DataFrame | None = None, **op
             keys = todo.groupBy(F.col("a").alias("ta"), F.col("b").alias("tb")).agg(lacking.alias("lacking"))
             same = (F.get(lookup, F.col("a")) == F.col("ta")) & (F.get(lookup, F.col("b")) == F.col("tb"))
             pairs = pairs.join(keys, same).drop("ta", "tb")
-        # a few rows, each with a decomposition to compute: spread them whatever their size
-        pairs = pairs.repartition(min(len(names) * (len(names) - 1) // 2, layers.df.sparkSession.sparkContext.defaultParallelism), "a", "b")
-        parts.append(pairs.mapInPandas(_pair_kernel(names, _layout(layers), pilot, algebraic, params), DIST))
+        # few pairs, each with a decomposition to compute: spread them whatever their size
+        count = min(len(names) * (len(names) - 1) // 2, layers.df.sparkSession.sparkContext.defaultParallelism)
+        pairs = pairs.select("a", "b", "i", "c", "lacking").repartition(count, "a", "b").sortWithinPartitions("a", "b")
+        parts.append(pairs.mapInArrow(_pair_kernel(names, _layout(layers), pilot, algebraic, params), DIST))
     if MEASURES["rsarank"] in wanted:
         parts.append(_restrict(stimulus_pairs.rank_similarity(layers), todo))
     if MEASURES["jaccard"] in wanted:

@@ -30,6 +30,12 @@ def embedding_layers(spark: SparkSession, sf_dir: str) -> Layers:
     return slices(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", width=8, total=64)
 
 
+def named_layers(spark: SparkSession, sf_dir: str) -> Layers:
+    """The embedding layers with names for ids, in the order of the ids."""
+    named = table(spark, sf_dir, "embeddings").select(F.format_string("vector %012d", "vec_id").alias("name"), "embedding")
+    return slices(named, "name", "embedding", width=8, total=64)
+
+
 #: factors and offset of the layers that test the independence of scale and origin
 SLICE_SCALES = {2: 1e4, 5: 1e-3}
 OFFSET = 1e5

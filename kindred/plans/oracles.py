@@ -566,6 +566,8 @@ def all_sql() -> dict[str, str]:
     for m in ENTRYWISE:
         found[f"layers_{m}"] = _entrywise(m, _EMB_CELLS, K)
         found[f"sales_{m}"] = _entrywise(m, [*_SALES, _COND], 3)
+    # names in the order of the ids change nothing
+    found |= {f"named_{m}": found[f"layers_{m}"] for m in ("jaccard", "rsarank")}
     factor = "CASE pos // 8 " + " ".join(f"WHEN {k} THEN {v!r}" for k, v in SLICE_SCALES.items()) + " ELSE 1 END"
     for m in ("kldiv", "wasserstein"):
         found[f"scaled_{m}"] = _algebraic_layers(m).replace("(pos % 8)::INTEGER AS feat, v FROM e", f"(pos % 8)::INTEGER AS feat, v * {factor} AS v FROM e")

@@ -596,6 +596,8 @@ def all_queries() -> dict[str, Query]:
     for m in ("kldiv", "bhattacharyya", "hellinger"):
         found[f"tiled_{m}"] = _tiled(m)
     found["layers_nbs_unit"] = _layers("nbs", nbs_unit=True)
+    for m in ("jaccard", "rsarank"):
+        found[f"named_{m}"] = lambda spark, sf, m=m: _round(compare_layers(D.named_layers(spark, sf), m, **OPTIONS.get(m, {})))
     found["offset_rsacorr"] = lambda spark, sf: _round(compare_layers(D.offset_layers(spark, sf), "rsacorr"))
     found["wide_rsacorr"] = lambda spark, sf: _round(compare_layers(D.product_layers(spark, sf), "rsacorr"))
     for m in ("kldiv", "mahalanobis"):
