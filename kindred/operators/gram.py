@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kindred.functions.scalars import noise_level
 from kindred.operators.moments import outer_parts, outer_sums
@@ -28,10 +29,15 @@ def stimulus_index(df: DataFrame, stim: str = "stim") -> DataFrame:
     """``(stim, i)``: the distinct stimuli in their natural order, counting from 0.
 
     Stimuli are numbered inside value ranges and shifted by the numbers of stimuli in earlier ranges. The limits are quantiles
-    of a random sample of the stimuli; they balance the work and don't change a number.
+    of a random sample of the stimuli; they balance the work and don't change a number. Where the sample has all stimuli already, the
+    list is a table of these few rows and the input is not read again.
     """
     stims = df.select(F.col(stim).alias("stim")).distinct()
     sample = stims.orderBy(F.xxhash64("stim"), "stim").limit(_SAMPLE).sort("stim").collect()
+    kind = stims.schema["stim"].dataType
+    if len(sample) < _SAMPLE and kind.typeName() in ("byte", "short", "integer", "long", "string"):
+        columns = {"stim": pa.array([r["stim"] for r in sample], to_arrow_type(kind)), "i": pa.array(range(len(sample)), pa.int32())}
+        return df.sparkSession.createDataFrame(pa.table(columns))
     step = max(64, -(-len(sample) // _RANGES))
     limits = [F.lit(r["stim"]) for r in sample[step::step] if r["stim"] is not None]
     within = F.size(F.filter(F.array(*limits), lambda limit: limit <= F.col("stim"))) if limits else F.lit(0)

@@ -161,7 +161,7 @@ def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.stimulus_index(table(spark, sf_dir, "events"), "event_type")
 
 
-def event_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_models(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
     """Trace-normalised Grams of three descriptions of the event types, from one scan."""
     key = F.get_json_object("props", "$.k")
     entries = F.array(
@@ -175,16 +175,16 @@ def event_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("layer", "stim", "feat")
         .agg(F.sum("v").alias("v"))
     )
-    return G.trace_norm(G.gram_from_features(acts, event_index(spark, sf_dir)))
+    return G.trace_norm(G.gram_from_features(acts, event_index(spark, sf_dir) if index is None else index))
 
 
 def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cell_stats(trials(spark, sf_dir))
 
 
-def event_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_channels(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
     """z-scored mean responses of each user to the event types, with the user's own noise."""
-    index = event_index(spark, sf_dir)
+    index = event_index(spark, sf_dir) if index is None else index
     return channel_profiles(event_stats(spark, sf_dir), index, index.count())
 
 
@@ -211,13 +211,13 @@ def discount_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cell_stats(trials)
 
 
-def discount_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def discount_channels(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
     """z-scored mean discount amount of each supplier at each discount rate."""
-    index = discount_index(spark, sf_dir)
+    index = discount_index(spark, sf_dir) if index is None else index
     return channel_profiles(discount_stats(spark, sf_dir), index, index.count())
 
 
-def discount_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+def discount_models(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
     """Trace-normalised Grams of three descriptions of the discount rates, from one scan."""
     entries = F.array(
         F.struct(F.lit("rate").alias("layer"), F.lit("rate").alias("feat"), F.col("l_discount").alias("v")),
@@ -230,4 +230,4 @@ def discount_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("layer", "stim", "feat")
         .agg(F.sum("v").alias("v"))
     )
-    return G.trace_norm(G.gram_from_features(acts, discount_index(spark, sf_dir)))
+    return G.trace_norm(G.gram_from_features(acts, discount_index(spark, sf_dir) if index is None else index))

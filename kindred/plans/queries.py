@@ -338,9 +338,10 @@ def grouped_trials(spark, sf):
 
 def _event_scores(spark, sf, channels: DataFrame | None = None, **noise) -> DataFrame:
     # decomposed models: 3 x stimuli² x 8 bytes, known before the join
-    n = D.event_index(spark, sf).count()
-    channels = D.event_channels(spark, sf).drop("w") if channels is None else channels
-    scores = E.loglik(channels, D.event_models(spark, sf), model_bytes=3 * n * n * 8, **noise)
+    index = D.event_index(spark, sf)
+    n = index.count()
+    channels = D.event_channels(spark, sf, index).drop("w") if channels is None else channels
+    scores = E.loglik(channels, D.event_models(spark, sf, index), model_bytes=3 * n * n * 8, **noise)
     return _round(scores.select("voxel", "model", "ll"))
 
 
@@ -364,10 +365,11 @@ def loglik_signal(spark, sf):
     return _event_scores(spark, sf, noise_var=NOISE, signal_var=0.9)
 
 
-def _discount_scores(spark, sf, **noise) -> DataFrame:
-    n = D.discount_index(spark, sf).count()
-    channels = D.discount_channels(spark, sf).drop("w")
-    return E.loglik(channels, D.discount_models(spark, sf), model_bytes=3 * n * n * 8, **noise)
+def _discount_scores(spark, sf, index: DataFrame | None = None, **noise) -> DataFrame:
+    index = D.discount_index(spark, sf) if index is None else index
+    n = index.count()
+    channels = D.discount_channels(spark, sf, index).drop("w")
+    return E.loglik(channels, D.discount_models(spark, sf, index), model_bytes=3 * n * n * 8, **noise)
 
 
 def discount_loglik(spark, sf):
@@ -375,7 +377,8 @@ def discount_loglik(spark, sf):
 
 
 def _on_grid(spark, sf) -> DataFrame:
-    return _discount_scores(spark, sf, grid=R.fitted_noise_grid(D.discount_channels(spark, sf), GRID))
+    index = D.discount_index(spark, sf)
+    return _discount_scores(spark, sf, index, grid=R.fitted_noise_grid(D.discount_channels(spark, sf, index), GRID))
 
 
 def noise_grid_fixed(spark, sf):
@@ -388,10 +391,11 @@ def noise_grid_fixed(spark, sf):
 
 def loglik_with_mean(spark, sf):
     """Evidence of the event models after a mean response, a fifth of the position, is taken off."""
-    n = D.event_index(spark, sf).count()
-    channels = D.event_channels(spark, sf).drop("w")
+    index = D.event_index(spark, sf)
+    n = index.count()
+    channels = D.event_channels(spark, sf, index).drop("w")
     channels = channels.withColumn("mu", F.transform("y", lambda _, i: (i / 5).cast("double")))
-    scores = E.loglik(channels, D.event_models(spark, sf), noise_var=NOISE, model_bytes=3 * n * n * 8)
+    scores = E.loglik(channels, D.event_models(spark, sf, index), noise_var=NOISE, model_bytes=3 * n * n * 8)
     return _round(scores.select("voxel", "model", "ll"))
 
 
@@ -436,9 +440,10 @@ def posterior_sum_check(spark, sf):
 
 
 def _event_posterior(spark, sf) -> DataFrame:
-    n = D.event_index(spark, sf).count()
-    channels = D.event_channels(spark, sf).drop("w")
-    scores = E.loglik(channels, D.event_models(spark, sf), noise_var=NOISE, model_bytes=3 * n * n * 8)
+    index = D.event_index(spark, sf)
+    n = index.count()
+    channels = D.event_channels(spark, sf, index).drop("w")
+    scores = E.loglik(channels, D.event_models(spark, sf, index), noise_var=NOISE, model_bytes=3 * n * n * 8)
     return E.log_posterior(scores)
 
 
