@@ -8,7 +8,7 @@ from kindred.operators.reliability import beta_noise_grid, cell_stats, fitted_no
 from kindred.plans.registry import register_measure
 from kindred.session import ship_package
 from kindred.sources.activations import Layers, extract, slices
-from kindred.sources.tables import compare_to_table
+from kindred.sources.tables import compare_to_table, gram_job
 
 __all__ = [
     "Layers",
@@ -21,6 +21,7 @@ __all__ = [
     "condition",
     "extract",
     "gram_from_features",
+    "gram_job",
     "log_posterior",
     "loglik",
     "marginal",

@@ -4,6 +4,8 @@ A model is a trace-normalised Gram matrix K over the stimuli.  Channel responses
 y are scored under ``C = s K + ν diag(1/w)``.  With weights shared by all
 channels, W½ K W½ is decomposed once per model; a channel then costs one
 matrix-vector product, and every further noise value only O(stimuli).
+Channels with weights of their own or unseen stimuli share a decomposition per
+model and pattern of weights and gaps; patterns are sorted together before channels form blocks.
 Channels travel in blocks (one Arrow batch each), so that a model matrix is
 sent once per block instead of once per channel.
 """
@@ -125,23 +127,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
 
-def _general(k, y, w, s, nu):
-    """Log-evidence by one factorisation per channel: own weights or unseen stimuli."""
+def _by_pattern(k: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Channels with weights of their own or unseen stimuli: one decomposition per pattern of weights and gaps.
+
+    Per channel, the eigenvalues of its pattern's W½ K W½, the squared responses in that basis, the sum of the logarithms of its
+    weights, and the number of stimuli it lacks. Unseen stimuli have weight zero and so the eigenvalue zero.
+    """
     seen = np.isfinite(y)
-    out = np.full(len(y), np.nan)
+    scale = np.where(seen, np.sqrt(np.where(seen, w, 1.0)), 0.0)
+    patterns, which = np.unique(scale, axis=0, return_inverse=True)
+    which = which.reshape(-1)
+    z = np.where(seen, y, 0.0)
+    lam, square = np.empty_like(y), np.empty_like(y)
+    order = np.argsort(which, kind="stable")
+    edges = np.searchsorted(which[order], np.arange(len(patterns) + 1))
     step = max(1, 8_000_000 // k.size)
-    for lo in range(0, len(y), step):
-        part = slice(lo, lo + step)
-        on, count = seen[part], seen[part].sum(axis=1)
-        scale = np.where(on, np.sqrt(np.where(on, w[part], 1.0)), 0.0)
-        cov = s[part, None, None] * (scale[:, :, None] * k * scale[:, None, :])
-        d = np.arange(k.shape[0])
-        cov[:, d, d] += np.where(on, nu[part, None], 1.0)
-        z = np.where(on, y[part], 0.0) * scale
-        square = (z * np.linalg.solve(cov, z[:, :, None])[:, :, 0]).sum(axis=1)
-        logdet = np.linalg.slogdet(cov).logabsdet - 2 * np.log(np.where(on, scale, 1.0)).sum(axis=1)
-        out[part] = -0.5 * (logdet + square + count * _LOG_2PI)
-    return out
+    for lo in range(0, len(patterns), step):
+        root = patterns[lo : lo + step]
+        values, vectors = np.linalg.eigh(root[:, :, None] * k * root[:, None, :])
+        for p in range(len(root)):
+            rows = order[edges[lo + p] : edges[lo + p + 1]]
+            lam[rows] = values[p]
+            square[rows] = (z[rows] @ (root[p][:, None] * vectors[p])) ** 2
+    return lam, square, 2 * np.log(np.where(seen, np.where(scale > 0, scale, 1.0), 1.0)).sum(axis=1), (~seen).sum(axis=1)
 
 
 def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,17 +171,21 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             logw = float(np.log(shared).sum())
             square = np.where(slow[:, None], 0.0, y) @ q
             square *= square
+            if slow.any():
+                own = np.broadcast_to(shared, y.shape)[slow] if w is None else w[slow]
+                plain = q / shared[:, None]
+                own_lam, own_square, own_logw, gaps = _by_pattern((plain * lam) @ plain.T, y[slow], own)
             for noise_id, nu, s in noises:
                 spread = s[:, None] * lam + nu[:, None]
                 # an estimated signal variance may be negative; the score then
                 # takes the absolute determinant
                 with np.errstate(divide="ignore", invalid="ignore"):
                     ll = -0.5 * ((np.log(np.abs(spread)) + square / spread).sum(axis=1) - logw + n * _LOG_2PI)
-                if slow.any():
-                    own = np.broadcast_to(shared, y.shape)[slow] if w is None else w[slow]
-                    plain = q / shared[:, None]
-                    k = (plain * lam) @ plain.T
-                    ll[slow] = _general(k, y[slow], own, s[slow], nu[slow])
+                    if slow.any():
+                        spread = s[slow, None] * own_lam + nu[slow, None]
+                        # unseen stimuli add the noise alone to the determinant; they are taken out again
+                        logdet = np.log(np.abs(spread)).sum(axis=1) - gaps * np.log(np.abs(nu[slow]))
+                        ll[slow] = -0.5 * (logdet + (own_square / spread).sum(axis=1) - own_logw + (n - gaps) * _LOG_2PI)
                 # a channel without a single response holds no evidence for any model
                 ll = np.where(np.isfinite(y).any(axis=1), ll, np.nan)
                 yield pd.DataFrame({"voxel": voxels, "model": row.model, "noise_id": noise_id, "ll": ll})
@@ -217,7 +229,11 @@ def loglik(
     columns += ["w"] if has_own else []
     voxel_type = channels.schema["voxel"].dataType.simpleString()
     lists = "voxel array<%s>, noise_var array<double>, signal_var array<double>, y array<double>" % voxel_type
-    blocks = channels.select(*columns).mapInArrow(_blocks, lists + (", w array<double>" if has_own else ""))
+    rows = channels.select(*columns)
+    # the same pattern of weights and gaps lies together, without an exchange
+    gaps = F.transform("y", lambda v: v.isNull())
+    rows = rows.sortWithinPartitions(F.xxhash64(gaps, *(["w"] if has_own else []))) if has_own else rows
+    blocks = rows.mapInArrow(_blocks, lists + (", w array<double>" if has_own else ""))
     if not has_own:
         blocks = blocks.withColumn("w", F.lit(None).cast("array<double>"))
 

@@ -157,7 +157,7 @@ def gram_centroids(spark, sf):
 
 
 def gram_stored(spark, sf):
-    """The batch job: store activations, then build and store the Gram per layer."""
+    """The batch job: store activations, then build and store the Gram per layer, and remove the activations."""
     acts_path, out = scratch_path(spark, "acts"), scratch_path(spark, "gram")
     rows = D.table(spark, sf, "documents").groupBy(F.col("lang")).agg(
         *[F.sum(F.regexp_count(F.lower("text"), F.lit(c))).cast("double").alias(c) for c in "aeiouxyz"]
@@ -170,9 +170,7 @@ def gram_stored(spark, sf):
         {"vowels": F.array(*"aeiou"), "rare": F.array(*"xyz")},
         widths={"vowels": 5, "rare": 3},
     )
-    T.write_activations(layers, acts_path)
-    T.write_grams(spark, acts_path, out)
-    return T.read_grams(spark, out)
+    return T.gram_job(layers, acts_path, out, keep_activations=False)
 
 
 def gram_validate(spark, sf):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -44,6 +46,33 @@ def write_grams(spark: SparkSession, acts_path: str, out_path: str, layers: str
     gram_from_features(long).write.mode("errorifexists").partitionBy("layer").parquet(out_path)
 
 
+def remove(path: str) -> None:
+    """Remove a written table, on any file system that pyarrow knows."""
+    store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    store.delete_dir(at)
+
+
+def gram_job(
+    batches: Layers | Iterable[Layers], acts_path: str, out_path: str, layers: str | list[str] | None = None, keep_activations: bool = True
+) -> DataFrame:
+    """The whole way from layer functions to stored Gram matrices: ``(layer, i, j, v)``, read back from ``out_path``.
+
+    Activations of each batch of stimuli are appended at ``acts_path``; the matrices of the named layers (all, if none are named) are formed from
+    what is stored there. Without ``keep_activations`` that table is removed once the matrices are written; if a step fails
+    it stays.
+    """
+    first, spark = True, None
+    for batch in [batches] if isinstance(batches, Layers) else batches:
+        write_activations(batch, acts_path, first)
+        first, spark = False, batch.df.sparkSession
+    if spark is None:
+        raise ValueError("no stimuli")
+    write_grams(spark, acts_path, out_path, layers)
+    if not keep_activations:
+        remove(acts_path)
+    return read_grams(spark, out_path)
+
+
 def read_grams(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("i int, j int, v double, layer string").parquet(path).select("layer", "i", "j", "v")
 

@@ -117,6 +117,19 @@ def test_matrix_files(spark, tmp_path):
     assert {r.layer for r in compare_gram(one, "cka").select(F.explode(F.array("a", "b")).alias("layer")).collect()} == {"one:x", "one:y"}
 
 
+def test_one_job_from_layers_to_matrices(spark, tmp_path):
+    acts, out = str(tmp_path / "acts"), str(tmp_path / "gram")
+    parts = [small_layers(spark, 0, 6), small_layers(spark, 6, 10)]
+    kept = T.gram_job(parts, acts, out, layers="first")
+    assert T.read_activations(spark, acts).count() == 20 and {r.layer for r in kept.select("layer").distinct().collect()} == {"first"}
+    whole = T.gram_job(small_layers(spark), str(tmp_path / "other"), str(tmp_path / "all"), keep_activations=False)
+    assert not (tmp_path / "other").exists()
+    same = {(r.i, r.j): r.v for r in whole.where("layer = 'first'").collect()}
+    assert same == {(r.i, r.j): r.v for r in kept.collect()} and len(same) == 100 and whole.count() == 200
+    with pytest.raises(ValueError, match="no stimuli"):
+        T.gram_job([], acts, out)
+
+
 def test_other_files_and_unsafe_pickles_are_refused(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes(b"1")
     with pytest.raises(Exception, match="expected one of"):

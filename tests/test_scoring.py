@@ -212,6 +212,27 @@ def test_evidence_with_weights_per_voxel(spark):
         E.loglik(channels, gram, weights=spark.createDataFrame([(0, 1.0)], "i int, w double"))
 
 
+def test_one_decomposition_per_pattern_of_weights_and_gaps(monkeypatch):
+    rng = np.random.default_rng(8)
+    k = random_cov(6, 1)
+    patterns = rng.integers(1, 4, (5, 6)).astype(float)
+    w = patterns[rng.integers(0, 5, 200)]
+    y = rng.standard_normal((200, 6))
+    y[w[:, 0] == 2, 3] = np.nan
+    plain, counted = np.linalg.eigh, []
+    monkeypatch.setattr(np.linalg, "eigh", lambda m: (counted.append(len(m)), plain(m))[1])
+    lam, square, logw, gaps = E._by_pattern(k, y, w)
+    assert sum(counted) == len({(*a, *np.isnan(b)) for a, b in zip(w.tolist(), y)}) == 5
+    nu, s = 0.3, 0.8
+    for c in range(0, 200, 17):
+        seen = np.isfinite(y[c])
+        cov = s * k[np.ix_(seen, seen)] + nu * np.diag(1 / w[c][seen])
+        want = np.linalg.slogdet(cov).logabsdet + y[c][seen] @ np.linalg.solve(cov, y[c][seen])
+        spread = s * lam[c] + nu
+        got = np.log(np.abs(spread)).sum() - gaps[c] * np.log(nu) + (square[c] / spread).sum() - logw[c]
+        assert got == pytest.approx(want)
+
+
 def test_evidence_with_a_mean(spark):
     covs, gram, channels, y, *_ = scoring_inputs(spark)
     mu = np.arange(6.0)
