@@ -77,14 +77,56 @@ def _psd_root(k: np.ndarray) -> np.ndarray:
     return (v * np.sqrt(np.clip(w, 0, None))) @ v.T
 
 
-def trace_root_product(s1: np.ndarray, s2: np.ndarray) -> float:
+class Factors:
+    """A matrix with its decompositions, each made once and only if it is asked for."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.matrix, self._made = matrix, {}
+
+    def _once(self, key, make):
+        if key not in self._made:
+            self._made[key] = make()
+        return self._made[key]
+
+    @property
+    def root(self) -> np.ndarray:
+        return self._once("root", lambda: _psd_root(self.matrix))
+
+    @property
+    def low(self) -> np.ndarray:
+        def make():
+            try:
+                return np.linalg.cholesky(self.matrix)
+            except np.linalg.LinAlgError as error:
+                return error
+
+        low = self._once("low", make)
+        if isinstance(low, Exception):
+            raise low
+        return low
+
+    @property
+    def centred(self) -> "Factors":
+        return self._once("centred", lambda: Factors(center(self.matrix)))
+
+    def shrunk(self, scale: float, lmbd: float) -> np.ndarray:
+        """(scale S + lmbd I)^-1 scale S."""
+
+        def make() -> np.ndarray:
+            s = scale * self.matrix
+            return np.linalg.solve(s + lmbd * np.eye(len(s)), s)
+
+        return self._once((scale, lmbd), make)
+
+
+def trace_root_product(s1: Factors, s2: Factors) -> float:
     """Sum of the singular values of S1^1/2 S2^1/2."""
-    return float(np.linalg.svd(_psd_root(s1) @ _psd_root(s2), compute_uv=False).sum())
+    return float(np.linalg.svd(s1.root @ s2.root, compute_uv=False).sum())
 
 
-def relative_spectrum(s1, s2, delta=None):
+def relative_spectrum(s1: np.ndarray, s2: Factors, delta=None):
     """Eigenvalues of S1 relative to S2 and, whitened by S2, the mean difference."""
-    low = np.linalg.cholesky(s2)
+    low = s2.low
     half = np.linalg.solve(low, s1)
     lam, vec = np.linalg.eigh(np.linalg.solve(low, half.T))
     if lam[0] <= 0:

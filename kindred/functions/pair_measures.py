@@ -21,8 +21,15 @@ class Conditioned:
     extra: int = 0
     floor: float = 0.0
     delta: np.ndarray | None = None
+    #: the matrices with decompositions that other pairs may share
+    one: la.Factors | None = None
+    two: la.Factors | None = None
     _shared: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.one = self.one or la.Factors(self.s1)
+        self.two = self.two or la.Factors(self.s2)
+
     @property
     def traces(self) -> tuple[float, float]:
         rest = self.extra * self.floor
@@ -33,12 +40,12 @@ class Conditioned:
         """One Cholesky and one eigenvalue problem serve KL, Bhattacharyya,
         Hellinger, total variation and Jensen-Shannon alike."""
         if "spectrum" not in self._shared:
-            self._shared["spectrum"] = la.relative_spectrum(self.s1, self.s2, self.delta)
+            self._shared["spectrum"] = la.relative_spectrum(self.s1, self.two, self.delta)
         return self._shared["spectrum"]
 
     def root_trace(self) -> float:
         if "root" not in self._shared:
-            self._shared["root"] = la.trace_root_product(self.s1, self.s2)
+            self._shared["root"] = la.trace_root_product(self.one, self.two)
         return self._shared["root"] + self.extra * self.floor
 
 
@@ -101,10 +108,9 @@ def jensen_shannon(c: Conditioned, samples: int | None = None, rng=None) -> floa
 
 def gulp(c: Conditioned, lmbd: float) -> float:
     parts, tails = [], []
-    for s, trace in zip((c.s1, c.s2), c.traces):
+    for s, trace in zip((c.one, c.two), c.traces):
         scale = c.n / trace
-        eye = np.eye(len(s))
-        parts.append(np.linalg.solve(scale * s + lmbd * eye, scale * s))
+        parts.append(s.shrunk(scale, lmbd))
         tails.append(scale * c.floor / (scale * c.floor + lmbd) if c.floor else 0.0)
     gap = np.linalg.norm(parts[0] - parts[1]) ** 2 + c.extra * (tails[0] - tails[1]) ** 2
     return float(np.sqrt(gap))

@@ -8,9 +8,9 @@ partner so that the pairs spread over all tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kindred.functions import linalg as la
 from kindred.functions.pair_measures import Conditioned
 from kindred.functions.scalars import clamp_cosine
-from kindred.operators.gram import condition, cosine_similarity, double_center, layer_pairs, pack, require_comparable, squared_distances, well_formed
+from kindred.operators.gram import condition, cosine_similarity, double_center, materialize, pack, require_comparable, squared_distances, well_formed
 from kindred.operators.ranks import average_ranks
 from kindred.plans.registry import Measure, Params, evaluate, resolve_all
 from kindred.schema import DIST
@@ -124,55 +124,107 @@ def _neighbour(measure: Measure, gram: DataFrame, k: int) -> DataFrame:
     return _named(measure, means, F.col("value"))
 
 
-def _matrix_kernel(measures: list[Measure], params: Params, centring: bool):
-    def one(row) -> Iterator[tuple[str, float | None]]:
-        if len(row.m1) != len(row.m2) or len(row.m1) != row.dim * row.dim:
+#: bytes of the matrices of a block of layers, about
+_BLOCK_BYTES = 64 << 20
+_MEETING = "g1 int, g2 int, kind int, layer string, dim int, m array<double>, mu array<double>, a string, b string, lacking array<string>"
+
+
+class _Layer:
+    """A conditioned matrix and its mean in a task, with decompositions that all its partners there share."""
+
+    def __init__(self, layer: str, dim: int, m: np.ndarray, mu: np.ndarray | None):
+        if len(m) != dim * dim:
             raise ValueError("matrices must be square and of one size")
-        k1, k2 = (np.asarray(m).reshape(row.dim, row.dim) for m in (row.m1, row.m2))
-        if not (np.allclose(k1, k1.T) and np.allclose(k2, k2.T)):
-            raise ValueError(f"matrices must be symmetric: {row.a} or {row.b} is not")
-        delta = None
-        if row.mu1 is not None or row.mu2 is not None:
-            zero = np.zeros(row.dim)
-            delta = (zero if row.mu1 is None else np.asarray(row.mu1)) - (
-                zero if row.mu2 is None else np.asarray(row.mu2)
-            )
-        plain = Conditioned(k1, k2, row.dim, delta=delta)
-        centred = Conditioned(la.center(k1), la.center(k2), row.dim) if centring else None
-        for m in measures:
-            if row.lacking is not None and m.name not in row.lacking:
-                continue
-            rng = la.pair_rng(params.seed, row.a, row.b, params.portable) if m.family == "sampled" else None
-            try:
-                yield m.name, evaluate(m, centred if m.centred else plain, params, rng)
-            except np.linalg.LinAlgError:
-                yield m.name, None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = m.reshape(dim, dim)
+        if not np.allclose(k, k.T):
+            raise ValueError(f"matrices must be symmetric: {layer} is not")
+        self.dim, self.mu, self.plain = dim, mu, la.Factors(k)
+
+
+def _pair_values(a: str, b: str, x: _Layer, y: _Layer, measures: list[Measure], params: Params) -> Iterator[tuple[str, float | None]]:
+    if x.dim != y.dim:
+        raise ValueError("matrices must be square and of one size")
+    delta = None
+    if x.mu is not None or y.mu is not None:
+        zero = np.zeros(x.dim)
+        delta = (zero if x.mu is None else x.mu) - (zero if y.mu is None else y.mu)
+    plain = centred = None
+    for m in measures:
+        rng = la.pair_rng(params.seed, a, b, params.portable) if m.family == "sampled" else None
+        try:
+            if m.centred:
+                one, two = x.plain.centred, y.plain.centred
+                centred = centred or Conditioned(one.matrix, two.matrix, x.dim, one=one, two=two)
+            else:
+                plain = plain or Conditioned(x.plain.matrix, y.plain.matrix, x.dim, delta=delta, one=x.plain, two=y.plain)
+            yield m.name, evaluate(m, centred if m.centred else plain, params, rng)
+        except np.linalg.LinAlgError:
+            yield m.name, None
+
+
+def _block_kernel(measures: list[Measure], params: Params):
+    """Pairs of two blocks of layers; the matrices arrive before the pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, layers = None, {}
         for batch in batches:
-            rows = [(name, r.a, r.b, value) for r in batch.itertuples() for name, value in one(r)]
-            yield pd.DataFrame(rows, columns=["measure", "a", "b", "value"]).astype({"value": "float64"})
+            c = {name: batch.column(name) for name in batch.schema.names}
+            g1, g2, kind, dim = (c[n].to_numpy(zero_copy_only=False) for n in ("g1", "g2", "kind", "dim"))
+            rows = []
+            for r in range(batch.num_rows):
+                if (g1[r], g2[r]) != at:
+                    at, layers = (g1[r], g2[r]), {}
+                if kind[r] == 0:
+                    name = c["layer"][r].as_py()
+                    m, mu = c["m"][r].values.to_numpy(zero_copy_only=False), c["mu"][r]
+                    layers[name] = _Layer(name, int(dim[r]), m, mu.values.to_numpy(zero_copy_only=False) if mu.is_valid else None)
+                    continue
+                a, b, lacks = c["a"][r].as_py(), c["b"][r].as_py(), c["lacking"][r].as_py()
+                if a in layers and b in layers:
+                    wanted = [m for m in measures if lacks is None or m.name in lacks]
+                    rows += [(name, a, b, value) for name, value in _pair_values(a, b, layers[a], layers[b], wanted, params)]
+            if rows:
+                kinds = [pa.string(), pa.string(), pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["measure", "a", "b", "value"])
 
     return run
 
 
-def matrix_pairs(gram: DataFrame, means: DataFrame | None = None, todo: DataFrame | None = None) -> DataFrame:
-    """``(a, b, lacking, dim, m1, m2, mu1, mu2)`` for a < b, or for the pairs of ``todo (a, b[, measures])``."""
-    return packed_pairs(pack(gram), layer_pairs(gram) if todo is None else todo, means)
+def compare_packed(packed: DataFrame, todo: DataFrame | None, measures: list[Measure], params: Params, means: DataFrame | None = None) -> DataFrame:
+    """``(measure, a, b, value)`` of conditioned packed matrices ``(layer, dim, m)``, a written table, for every pair a < b or those of ``todo``.
 
+    Layers are dealt into blocks, and blocks meet pairwise: a matrix is sent to each block once, not to each partner, and what is decomposed of it
+    serves all partners in that block.
+    """
+    facts = packed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("dim"), F.lit(0)).alias("dim")).first()
+    cores = packed.sparkSession.sparkContext.defaultParallelism
+    enough = ceil(sqrt(4 * cores))
+    blocks = int(max(1, min(facts["n"], max(enough, ceil(facts["n"] * facts["dim"] ** 2 * 8 / _BLOCK_BYTES)))))
+
+    def block(layer: str) -> Column:
+        return F.pmod(F.xxhash64(layer), F.lit(blocks)).cast("int")
 
-def packed_pairs(packed: DataFrame, todo: DataFrame, means: DataFrame | None = None) -> DataFrame:
-    """The same from packed matrices ``(layer, dim, m)``."""
     if means is None:
         packed = packed.withColumn("mu", F.lit(None).cast("array<double>"))
     else:
         packed = packed.join(means.select("layer", "mu"), "layer", "left")
-    left = packed.select(F.col("layer").alias("a"), F.col("m").alias("m1"), F.col("mu").alias("mu1"))
-    right = packed.select(F.col("layer").alias("b"), "dim", F.col("m").alias("m2"), F.col("mu").alias("mu2"))
+    if todo is None:
+        names = packed.select("layer")
+        todo = names.select(F.col("layer").alias("a")).join(names.select(F.col("layer").alias("b")), F.col("a") < F.col("b"))
     lacking = F.col("measures") if "measures" in todo.columns else F.lit(None).cast("array<string>")
-    cores = packed.sparkSession.sparkContext.defaultParallelism
-    # few rows but heavy to compute: spread the pairs whatever their byte size
-    return todo.select("a", "b", lacking.alias("lacking")).join(left, "a").join(right, "b").repartition(4 * cores, "a", "b")
+    null = {f.split()[0]: F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in _MEETING.split(", ")}
+    mine, other = F.col("g"), F.col("p")
+    matrices = packed.withColumn("g", block("layer")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        F.least(mine, other).alias("g1"), F.greatest(mine, other).alias("g2"), F.lit(0).alias("kind"), "layer", "dim", "m", "mu", null["a"], null["b"], null["lacking"]
+    )
+    pairs = todo.select(
+        F.least(block("a"), block("b")).alias("g1"), F.greatest(block("a"), block("b")).alias("g2"), F.lit(1).alias("kind"),
+        null["layer"], null["dim"], null["m"], null["mu"], "a", "b", lacking.alias("lacking"),
+    )
+    # few rows, but heavy to compute: one task a pair of blocks, whatever their size
+    tasks = max(cores, min(blocks * (blocks + 1) // 2, 16 * cores))
+    met = matrices.unionByName(pairs).repartition(tasks, "g1", "g2").sortWithinPartitions("g1", "g2", "kind")
+    return met.mapInArrow(_block_kernel(measures, params), DIST)
 
 
 def compare_gram(
@@ -203,8 +255,7 @@ def compare_gram(
     parts = []
     dense = [m for m in wanted if m.family in ("spectral", "gaussian", "sampled")]
     if dense:
-        pairs = matrix_pairs(ready, means, todo)
-        parts.append(pairs.mapInPandas(_matrix_kernel(dense, params, any(m.centred for m in dense)), DIST))
+        parts.append(compare_packed(materialize(pack(ready), "packed"), todo, dense, params, means))
     for m in wanted:
         if m.family == "entrywise":
             part = _entrywise(m, ready)
@@ -228,11 +279,6 @@ def wanted_only(dist: DataFrame, todo: DataFrame) -> DataFrame:
     return dist.join(todo.select("a", "b").distinct(), ["a", "b"], "left_semi")
 
 
-def compare_packed(packed: DataFrame, todo: DataFrame, measures: list[Measure], params: Params) -> DataFrame:
-    """``(measure, a, b, value)`` of conditioned packed matrices, all measures in one kernel, for what ``todo (a, b, measures)`` lacks."""
-    return packed_pairs(packed, todo).mapInPandas(_matrix_kernel(measures, params, any(m.centred for m in measures)), DIST)
-
-
 def symmetrize(dist: DataFrame) -> DataFrame:
     """The full matrix: both orders of each pair, and 0 (distance) or 1 (similarity) on the diagonal."""
     a, b = F.col("a"), F.col("b")

@@ -157,7 +157,7 @@ def test_means_enter_the_distribution_measures(spark):
 
 
 def test_mean_shift_in_sampling_has_the_right_size():
-    lam, shift = la.relative_spectrum(np.diag([2.0, 3.0]), np.diag([4.0, 1.0]), np.array([2.0, 0.0]))
+    lam, shift = la.relative_spectrum(np.diag([2.0, 3.0]), la.Factors(np.diag([4.0, 1.0])), np.array([2.0, 0.0]))
     assert sorted(lam) == pytest.approx([0.5, 3.0]) and np.linalg.norm(shift) == pytest.approx(1.0)
     at_p, at_q = la.log_ratios(lam, shift, 200_000, np.random.default_rng(0))
     # mean log ratio under p is the directed Kullback-Leibler divergence
@@ -393,6 +393,37 @@ def test_asymmetric_matrices_are_not_compared(spark, name):
         compare_gram(frame, name, k=1).collect()
 
 
+def test_a_layer_is_decomposed_once_for_all_its_partners(monkeypatch):
+    covs = {f"l{k}": random_cov(5, k) for k in range(7)}
+    rows = [(0, 0, 0, n, 5, m.ravel().tolist(), None, None, None, None) for n, m in covs.items()]
+    rows += [(0, 0, 1, None, None, None, None, a, b, None) for a in covs for b in covs if a < b]
+    names = [f.split()[0] for f in GC._MEETING.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string(), pa.string(), pa.list_(pa.string())]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
+    counts = {"eigh": 0, "cholesky": 0, "solve": 0}
+    plain = {n: getattr(np.linalg, n) for n in counts}
+    for name in ("eigh", "cholesky"):
+        monkeypatch.setattr(np.linalg, name, lambda *x, name=name: (counts.update({name: counts[name] + 1}), plain[name](*x))[1])
+    measures = [MEASURES[m] for m in ("wasserstein", "procrustes")]
+    out = pa.Table.from_batches(GC._block_kernel(measures, Params())([batch]))
+    assert out.num_rows == 2 * 21 and counts["eigh"] == 2 * 7
+    counts["eigh"] = 0
+    out = pa.Table.from_batches(GC._block_kernel([MEASURES["kldiv"], MEASURES["tvd"]], Params())([batch]))
+    # one eigenvalue problem a pair, and one factor a layer that comes second
+    assert out.num_rows == 2 * 21 and counts == {"eigh": 21, "cholesky": 6, "solve": 0}
+
+
+@pytest.mark.parametrize("size", [1, 4000])
+def test_blocks_of_layers_do_not_change_values(spark, monkeypatch, size):
+    monkeypatch.setattr(GC, "_BLOCK_BYTES", size)
+    covs = {f"l{k}": random_cov(6, k) for k in range(9)}
+    names = ["wasserstein", "kldiv", "gulp", "nbs"]
+    got = values(compare_gram(gram_frame(spark, covs), names, b=0.05, lmbd=0.1))
+    assert len(got) == 4 * 36
+    for (m, a, b), v in got.items():
+        assert v == pytest.approx(measure(m, condition(covs[a], b=0.05), condition(covs[b], b=0.05), lmbd=0.1), rel=1e-6, abs=1e-7)
+
+
 def test_products_of_cells_where_layers_lack_some(spark):
     rng = np.random.default_rng(6)
     cells = {(layer, i, j): float(rng.standard_normal()) for layer in "dbca" for i in range(6) for j in range(6) if rng.random() < 0.7}
