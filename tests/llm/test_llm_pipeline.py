@@ -25,7 +25,7 @@ def folder(spark, tmp_path, labels):
 def test_names_and_order():
     assert [n for n, _ in P.STAGES] == ["quality classifier", "quality rules", "line dedup", "near duplicates", "packing"]
     assert set(all_queries()) | {"pipeline"} <= set(entry.queries()) and set(all_sql()) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in all_queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in all_queries()) == list(range(1, 14))
 
 
 def test_stages_match_brute_force(spark, tmp_path):
@@ -78,7 +78,7 @@ def test_run_and_queries_over_the_small_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert 0.5 * docs < n and pieces.select("doc_id").distinct().count() < docs
     for name, query in all_queries().items():
-        table = "pages" if "page" in name else "documents"
+        table = "pages" if "page" in name else "embeddings" if "whitening" in name else "documents"
         rows = query(spark, SF)
         assert rows.select(rows.columns[0]).distinct().count() == spark.read.parquet(f"{SF}/{table}.parquet").count(), name
     held = entry.queries()["op5_language_id"](spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
