@@ -22,6 +22,7 @@ from kindred.operators.gram import condition, cosine_similarity, double_center,
 from kindred.operators.ranks import average_ranks
 from kindred.plans.registry import Measure, Params, evaluate, resolve_all
 from kindred.schema import DIST
+from kindred.session import small_batches
 
 
 _SUMS = ("n", "sxy", "sx", "sy", "sxx", "syy")
@@ -196,6 +197,7 @@ def compare_packed(packed: DataFrame, todo: DataFrame | None, measures: list[Mea
     Layers are dealt into blocks, and blocks meet pairwise: a matrix is sent to each block once, not to each partner, and what is decomposed of it
     serves all partners in that block.
     """
+    small_batches(packed.sparkSession)
     facts = packed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("dim"), F.lit(0)).alias("dim")).first()
     cores = packed.sparkSession.sparkContext.defaultParallelism
     enough = ceil(sqrt(4 * cores))

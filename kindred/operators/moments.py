@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.session import small_batches
+
 #: cells of numbers a task holds: of its buffered rows, and of its sums
 _MAX_CELLS = 16_000_000
 #: side of the tiles in which larger matrices are formed, and cells of the strips sent to them at a time
@@ -224,6 +226,7 @@ def _row_sums(keyed: bool):
 
 
 def _tiled_sums(columns: DataFrame, width: int, augment: Callable | None, keyed: bool, sparse: bool, schema: str) -> DataFrame:
+    small_batches(columns.sparkSession)
     tiles = -(-width // _TILE)
     cores = columns.sparkSession.sparkContext.defaultParallelism
     salts = max(1, 2 * cores // (tiles * (tiles + 1) // 2))

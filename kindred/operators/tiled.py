@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.scalars import noise_level
-from kindred.operators.gram import materialize
 from kindred.plans.registry import Params, resolve_all
+from kindred.session import scratch_path, small_batches
 
 #: stimuli of a tile: 8 MB each
 SIDE = 1024
@@ -47,6 +47,15 @@ def _row(layer: str, r: int, c: int, tile: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["layer", "r", "c", "cells"])
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back; row groups are closed by bytes after every row, since a row may have megabytes."""
+    small_batches(df.sparkSession)
+    path = scratch_path(df.sparkSession, name)
+    options = {"parquet.block.size": 32 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tiles_from_features(acts: DataFrame, index: DataFrame, dim: int, side: int = SIDE) -> DataFrame:
     """Tiles of the uncentred second moments of ``acts (layer, stim, feat, v)``; ``index (stim, i)`` numbers the stimuli.
 
@@ -187,7 +196,7 @@ def _reduced(group, rows: int) -> np.ndarray:
 
 def cholesky(tiles: DataFrame, dim: int, side: int = SIDE) -> tuple[list[DataFrame], list[DataFrame]]:
     """Columns of the lower factor, and the inverses of its diagonal tiles ``(layer, r, c, cells)``; all are written tables."""
-    tiles = materialize(tiles, "tiles")
+    tiles = _written(tiles, "tiles")
     count, columns, inverses = -(-dim // side), [], []
     for k in range(count):
         # tiles (i, k) less the products of rows i and k of the earlier columns
@@ -202,7 +211,7 @@ def cholesky(tiles: DataFrame, dim: int, side: int = SIDE) -> tuple[list[DataFra
             for layer, i, group in _groups(batches):
                 yield _row(layer, i, k, _reduced(group, _size(dim, side, i)))
 
-        reduced = materialize(_meeting(parts, panel), "panel")
+        reduced = _written(_meeting(parts, panel), "panel")
 
         def root(batches: Batches, k=k) -> Batches:
             for batch in batches:
@@ -216,7 +225,7 @@ def cholesky(tiles: DataFrame, dim: int, side: int = SIDE) -> tuple[list[DataFra
                     yield _row(layer, k, k, low)
                     yield _row(layer, k, -1, inverse)
 
-        diagonal = materialize(reduced.where(f"r = {k}").mapInArrow(root, _TILE), "diagonal")
+        diagonal = _written(reduced.where(f"r = {k}").mapInArrow(root, _TILE), "diagonal")
         inverses.append(diagonal.where("c < 0"))
 
         def finish(batches: Batches, k=k) -> Batches:
@@ -226,7 +235,7 @@ def cholesky(tiles: DataFrame, dim: int, side: int = SIDE) -> tuple[list[DataFra
 
         below = reduced.where(f"r > {k}").join(diagonal.where("c < 0").select("layer", F.col("cells").alias("inverse")), "layer")
         lower = below.select("layer", "r", "cells", "inverse").mapInArrow(finish, _TILE)
-        columns.append(materialize(lower.unionByName(diagonal.where("c >= 0")), "column"))
+        columns.append(_written(lower.unionByName(diagonal.where("c >= 0")), "column"))
     return columns, inverses
 
 
@@ -281,7 +290,7 @@ def trace_ratios(columns: list[DataFrame], inverses: list[DataFrame], pairs: Dat
                 x = np.tril(_tile(last, n)) @ reduced
                 yield _row(layer, i, k, x.T)
 
-        rows.append(materialize(_meeting(parts, solved), "solved"))
+        rows.append(_written(_meeting(parts, solved), "solved"))
 
     def squares(batches: Batches) -> Batches:
         for batch in batches:
@@ -304,9 +313,9 @@ def compare_tiles(tiles: DataFrame, dim: int, measures, side: int = SIDE, **opti
     unknown = [m.name for m in wanted if m.name not in _MEASURES]
     if unknown:
         raise NotImplementedError(f"not available on tiles: {unknown}")
-    ready = materialize(condition_tiles(tiles, dim, side, params.noise_var, params.b, params.normalize), "conditioned")
+    ready = _written(condition_tiles(tiles, dim, side, params.noise_var, params.b, params.normalize), "conditioned")
     names = ready.select("layer").distinct()
-    pairs = materialize(names.select(F.col("layer").alias("a")).join(names.select(F.col("layer").alias("b")), F.col("a") < F.col("b")), "pairs")
+    pairs = _written(names.select(F.col("layer").alias("a")).join(names.select(F.col("layer").alias("b")), F.col("a") < F.col("b")), "pairs")
     columns, inverses = cholesky(ready, dim, side)
     parts = []
     if any(m.name != "kldiv" for m in wanted):
@@ -324,7 +333,7 @@ def compare_tiles(tiles: DataFrame, dim: int, measures, side: int = SIDE, **opti
         for n in "ab":
             found = found.join(own.select(F.col("layer").alias(n), F.col("logdet").alias(f"log_{n}")), n)
         distance = F.greatest(0.5 * (F.col("mid") - 0.5 * (F.col("log_a") + F.col("log_b"))), F.lit(0.0))
-        found = materialize(found.select("a", "b", F.when(~F.isnan("mid") & ~F.isnan("log_a") & ~F.isnan("log_b"), distance).alias("d")), "logdets")
+        found = _written(found.select("a", "b", F.when(~F.isnan("mid") & ~F.isnan("log_a") & ~F.isnan("log_b"), distance).alias("d")), "logdets")
         for m in wanted:
             if m.name != "kldiv":
                 value = F.col("d") if m.name == "bhattacharyya" else F.sqrt(-F.expm1(-F.col("d")))

@@ -27,6 +27,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: bytes of an Arrow batch of rows that each hold a tile or a matrix, about
+WIDE_BATCH = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches by bytes; a lower limit stays. Rows of megabytes would else travel thousands at a time."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.conf.get(setting, None)
+    plain = limit.removesuffix("b") if limit else ""
+    if not plain.isdigit() or int(plain) > WIDE_BATCH:
+        if limit is None or plain.lstrip("-").isdigit():
+            spark.conf.set(setting, f"{WIDE_BATCH}b")
+
+
 _shipped: set[str] = set()
 
 
