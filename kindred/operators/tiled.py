@@ -25,8 +25,10 @@ from kindred.session import scratch_path, small_batches
 
 #: stimuli of a tile: 8 MB each
 SIDE = 1024
-#: features whose products are formed together
-_FEATURE_BLOCKS = 64
+#: features of a block, about: a strip holds at most so many values of every stimulus
+_BLOCK_FEATURES = 256
+#: partitions of the exchange that forms tiles, at most
+_MAX_PARTS = 4096
 _TILE = "layer string, r int, c int, cells binary"
 _MEASURES = ("kldiv", "bhattacharyya", "hellinger")
 
@@ -56,54 +58,84 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tile_side(dim: int) -> int:
+    """Stimuli of a tile for a matrix of ``dim``: eight rows of tiles, each tile between 2 MB and 32 MB.
+
+    What the factorisation exchanges falls with the side, what a task holds (a few tiles) grows with its square.
+    """
+    return min(2048, max(512, -(-dim // 8)))
+
+
 def tiles_from_features(acts: DataFrame, index: DataFrame, dim: int, side: int = SIDE) -> DataFrame:
     """Tiles of the uncentred second moments of ``acts (layer, stim, feat, v)``; ``index (stim, i)`` numbers the stimuli.
 
-    Stimuli are cut into strips and features dealt into blocks; the strips of a block meet pairwise, and products are added up by tile. Absent
+    Stimuli are cut into strips and features dealt into blocks. The strips of a tile's two sides come together at the tile, block after block,
+    and their products are added up there, so that no unfinished tile is exchanged; a strip goes to each tile of its row and column. Where
+    there are fewer tiles than cores, the blocks of a tile are dealt over salts and the salts' tiles are added. Absent
     activations count as zero, and every tile is there.
     """
-    block = F.pmod(F.xxhash64("feat"), F.lit(_FEATURE_BLOCKS)).cast("int")
+    small_batches(acts.sparkSession)
+    count = -(-dim // side)
+    tiles = count * (count + 1) // 2
+    blocks = max(1, -(-acts.agg(F.approx_count_distinct("feat")).first()[0] // _BLOCK_FEATURES))
+    salts = min(blocks, max(1, -(-acts.sparkSession.sparkContext.defaultParallelism // tiles)))
+    block = F.pmod(F.xxhash64("feat"), F.lit(blocks)).cast("int")
     cells = acts.join(index, "stim").select(
-        F.col("layer").cast("string").alias("layer"), block.alias("block"), F.expr(f"cast(i div {side} as int)").alias("r"), F.struct(F.xxhash64("feat").alias("f"), (F.col("i") % side).cast("int").alias("i"), F.col("v").cast("double").alias("v")).alias("x")
+        F.col("layer").cast("string").alias("layer"), block.alias("block"), F.expr(f"cast(i div {side} as int)").alias("s"), F.struct(F.xxhash64("feat").alias("f"), (F.col("i") % side).cast("int").alias("i"), F.col("v").cast("double").alias("v")).alias("x")
     )
-    strips = cells.groupBy("layer", "block", "r").agg(F.collect_list("x").alias("x"))
-    right = strips.select("layer", "block", F.col("r").alias("c"), F.col("x").alias("y"))
-    pairs = strips.join(right, ["layer", "block"]).where("r >= c").select("layer", "r", "c", "x", "y")
-
-    def matrix(entries, rows: int, names: np.ndarray) -> np.ndarray:
+    strips = cells.groupBy("layer", "block", "s").agg(F.collect_list("x").alias("x"))
+    # a strip is the left side of the tiles of its row, and the right side of those of its column; on the diagonal it is both and goes once
+    place = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    sent = strips.select("layer", "block", "s", place.alias("t"), "x").select(
+        "layer", F.greatest("s", "t").alias("r"), F.least("s", "t").alias("c"), F.pmod("block", F.lit(salts)).alias("salt"), "block", (F.col("t") > F.col("s")).cast("int").alias("right"), "x"
+    )
+    every = acts.select(F.col("layer").cast("string").alias("layer")).distinct().select("layer", place.alias("r")).select("layer", "r", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("c"))
+    nothing = F.array().cast(sent.schema["x"].dataType)
+    sent = sent.unionByName(every.select("*", F.lit(0).alias("salt"), F.lit(-1).alias("block"), F.lit(0).alias("right"), nothing.alias("x")))
+
+    def matrix(x, rows: int, names: np.ndarray) -> np.ndarray:
+        f, i, v = (x.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        at = np.minimum(np.searchsorted(names, f), len(names) - 1)
+        there = names[at] == f
         out = np.zeros((rows, len(names)))
-        f, i, v = (entries.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        np.add.at(out, (i, np.searchsorted(names, f)), v)
+        np.add.at(out, (i[there], at[there]), v[there])
         return out
 
-    def products(batches: Batches) -> Batches:
+    def product(x, y, r: int, c: int):
+        names = np.unique(x.field(0).to_numpy())
+        if r != c:
+            names = np.intersect1d(names, y.field(0).to_numpy())
+        if not len(names):
+            return 0.0
+        one = matrix(x, _size(dim, side, r), names)
+        return one @ (one if r == c else matrix(y, _size(dim, side, c), names)).T
+
+    def sums(batches: Batches) -> Batches:
+        at, total, left = None, None, (None, None)
         for batch in batches:
-            for layer, r, c, x, y in zip(*batch.columns):
-                r, c = r.as_py(), c.as_py()
-                names = np.intersect1d(x.values.field(0).to_numpy(), y.values.field(0).to_numpy())
+            keys = zip(*(batch.column(k).to_pylist() for k in ("layer", "r", "c", "salt", "block", "right")))
+            for (layer, r, c, salt, block, right), x in zip(keys, batch.column("x")):
+                if (layer, r, c, salt) != at:
+                    if at is not None:
+                        yield _row(*at[:3], total)
+                    at, total = (layer, r, c, salt), np.zeros((_size(dim, side, r), _size(dim, side, c)))
                 if r == c:
-                    names = np.unique(x.values.field(0).to_numpy())
-                keep = [s.values.filter(pa.array(np.isin(s.values.field(0).to_numpy(), names))) for s in (x, y)]
-                one, two = (matrix(_Entries(k), _size(dim, side, t), names) for k, t in zip(keep, (r, c)))
-                yield _row(layer.as_py(), r, c, one @ two.T)
-
-    partial = pairs.mapInArrow(products, _TILE)
-    count = -(-dim // side)
-    empty = acts.select(F.col("layer").cast("string").alias("layer")).distinct().select("layer", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("r")).select(
-        "layer", "r", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("c"), F.lit(b"").alias("cells")
-    )
-    return _summed(partial.unionByName(empty), dim, side)
-
-
-class _Entries:
-    """Struct values under the name the list scalar has them."""
+                    total += product(x.values, x.values, r, c)
+                elif not right:
+                    left = (at, block), x.values
+                elif left[0] == (at, block):
+                    total += product(left[1], x.values, r, c)
+        if at is not None:
+            yield _row(*at[:3], total)
 
-    def __init__(self, values):
-        self.values = values
+    # the number is given, since the strips are small beside the tiles they make
+    keys = ["layer", "r", "c", "salt"]
+    parts = sent.repartition(min(tiles * salts, _MAX_PARTS), *keys).sortWithinPartitions(*keys, "block", "right").mapInArrow(sums, _TILE)
+    return parts if salts == 1 else _summed(parts, dim, side)
 
 
 def _summed(parts: DataFrame, dim: int, side: int) -> DataFrame:
-    """Sums of equal tiles; an empty one is zero."""
+    """Sums of equal tiles."""
 
     def add(batches: Batches) -> Batches:
         at, total = None, None
@@ -113,8 +145,7 @@ def _summed(parts: DataFrame, dim: int, side: int) -> DataFrame:
                     if at is not None:
                         yield _row(*at, total)
                     at, total = (layer, r, c), np.zeros((_size(dim, side, r), _size(dim, side, c)))
-                if cells:
-                    total += _tile(cells, len(total))
+                total += _tile(cells, len(total))
         if at is not None:
             yield _row(*at, total)
 

@@ -534,13 +534,14 @@ def streamed_comparisons(spark, sf):
 
 
 def _tiled(measure: str) -> Query:
-    """Customers against customers by their orders: matrices of all customers as tiles of 512."""
+    """Customers against customers by their orders: matrices of all customers as tiles."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         acts = D.customer_activations(spark, sf)
         index = G.stimulus_index(acts)
         dim = index.count()
-        return _round(TG.compare_tiles(TG.tiles_from_features(acts, index, dim, 512), dim, measure, 512))
+        side = TG.tile_side(dim)
+        return _round(TG.compare_tiles(TG.tiles_from_features(acts, index, dim, side), dim, measure, side))
 
     return query
 
