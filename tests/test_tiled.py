@@ -32,6 +32,27 @@ def test_tiles_equal_whole_matrices(spark, side):
     assert {(k[0], *sorted(k[1:])) for k in got} == {(k[0], *sorted(k[1:])) for k in whole}
 
 
+@pytest.mark.parametrize("side", [8, 23])
+def test_blocks_and_salts_of_many_features(spark, side):
+    """A thousand features are several blocks; one tile, and fewer tiles than cores, are dealt over salts."""
+    acts = acts_of(spark, features=1000, seed=5)
+    index = G.stimulus_index(acts)
+    order = [r.stim for r in index.orderBy("i").collect()]
+    rows = {layer: np.zeros((23, 1000)) for layer in "abc"}
+    for r in acts.collect():
+        rows[r.layer][order.index(r.stim), r.feat] = r.v
+    tiles = T.tiles_from_features(acts, index, 23, side).collect()
+    assert len(tiles) == len({(t.layer, t.r, t.c) for t in tiles}) == 3 * (6 if side == 8 else 1)
+    for t in tiles:
+        cells = np.frombuffer(t.cells).reshape(T._size(23, side, t.r), -1)
+        want = rows[t.layer] @ rows[t.layer].T
+        assert np.allclose(cells, want[t.r * side :, t.c * side :][: cells.shape[0], : cells.shape[1]], atol=1e-10)
+
+
+def test_side_of_tiles():
+    assert [T.tile_side(n) for n in (1, 1000, 8000, 15000, 10**6)] == [512, 512, 1000, 1875, 2048]
+
+
 @pytest.mark.parametrize("side", [7, 12])
 def test_measures_equal_those_of_whole_matrices(spark, side):
     acts = acts_of(spark, seed=2)
