@@ -9,8 +9,8 @@ the page's text. Differencing decides about all other lines, those beside an art
 
 Pages are parsed once into narrow rows. Only the line hashes of one page per path are sorted by URL, over
 all tasks together, so a large host is no hot key; where a host has one path only, its pages are told apart by query; the first and last path of a task meet their
-neighbours in the next task through a small table. Pages whose markup settles everything
-pass straight through; the text of the others is exchanged once.
+neighbours in the next task through a small table of paths, and only then their hashes. Pages whose markup settles everything
+pass straight through; the text of the others is exchanged, cut into parts where a path or a page holds many rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from kindred.llm.common import Batches, columns_ddl, in_arrow, stored
 from kindred.llm.markup import BESIDE, MAYBE, YES, lines_of
 
+#: parts of a key that holds many rows, and the rows below which a key is never cut
+PARTS, HOT = 64, 1000
 _URL = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?")
 
 
@@ -152,21 +154,20 @@ def nearest(paths: DataFrame) -> DataFrame:
     order = ["host", "path"]
     schema = "border boolean, host string, path string, other binary, common int, before int"
     found = stored(in_arrow(paths.repartitionByRange(*order).sortWithinPartitions(*order), walk, schema), "neighbours")
-    # the first and last path of every task; a lone path of a task is both
+    # the first and last path of every task, a lone path of a task being both: two rows a task go by host, without their hashes
+    ends = found.where("border").dropDuplicates(order)
     along = Window.partitionBy("host").orderBy("path")
-    edge = found.where("border").select("host", "path", "other").dropDuplicates(order)
-    pairs = [
-        edge.select("host", "path", look("path").over(along).alias("near"), look("other").over(along).alias("other"), F.lit(before).alias("before"))
-        for before, look in ((1, F.lag), (0, F.lead))
-    ]
+    edge = ends.select(*order)
+    pairs = [edge.select(*order, look("path").over(along).alias("near"), F.lit(before).alias("before")) for before, look in ((1, F.lag), (0, F.lead))]
 
     def measure(batches: Batches) -> Batches:
         for batch in batches:
             n = [_common(a, b) for a, b in zip(batch.column("path").to_pylist(), batch.column("near").to_pylist(), strict=True)]
-            yield batch.set_column(2, "common", pa.array(n, pa.int32()))
+            yield batch.append_column("common", pa.array(n, pa.int32()))
 
     pairs = pairs[0].unionByName(pairs[1]).where("near is not null")
-    pairs = in_arrow(pairs, measure, "host string, path string, common int, other binary, before int")
+    pairs = in_arrow(pairs, measure, "host string, path string, near string, before int, common int")
+    pairs = pairs.join(ends.select("host", F.col("path").alias("near"), "other"), ["host", "near"]).select(*order, "other", "common", "before")
     every = found.where("not border").select("host", "path", "other", "common", "before").unionByName(pairs)
     return every.groupBy(order).agg(F.max_by("other", F.struct("common", "before")).alias("other"))
 
@@ -184,6 +185,22 @@ def nearest_query(rows: DataFrame, lone: DataFrame) -> DataFrame:
     return texts.join(near, ["host", "first"]).select(*key, "hashes", "q_other")
 
 
+def met_in_parts(rows: DataFrame, groups: DataFrame, keys: list[str], spread: list[str], counted: DataFrame, total: int) -> DataFrame:
+    """Left join of ``rows`` with ``groups`` (unique keys) in which no key holds a task up; ``counted`` has the keys of the ``total`` rows.
+
+    A key with more than a 200th of all rows is cut into ``PARTS`` by a hash of the columns ``spread``, and its group is sent to each part. Only
+    64-bit digests of such keys, fewer than 200, reach all tasks; keys of equal digest are cut alike, which changes no result.
+    """
+    digest = F.xxhash64(*keys)
+    counts = counted.groupBy(digest.alias("_digest")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counts.where(F.col("_n") > max(total // 200, HOT)).select("_digest", F.lit(PARTS).alias("_parts")))
+    cut = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.lit(PARTS))).cast("int")
+    left = rows.withColumn("_digest", digest).join(hot, "_digest", "left").withColumn("_part", cut).drop("_digest", "_parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    right = groups.withColumn("_digest", digest).join(hot, "_digest", "left").withColumn("_part", every).drop("_digest", "_parts")
+    return left.join(right, [*keys, "_part"], "left").drop("_part")
+
+
 def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [("border", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("other", pa.binary()), ("common", pa.int32()), ("before", pa.int32())]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
@@ -201,11 +218,13 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """
     rows = stored(parsed(pages, page_id, url, html), "pages", compression="zstd")
     paths = rows.groupBy("host", "path").agg(F.max_by("hashes", F.struct("page_id", "hashes")).alias("hashes"))
-    open_ = rows.where("lines is not null").drop("text")
+    open_ = rows.where("sure is not null").drop("text")
     near = stored(nearest(paths), "nearest")
     lone = open_.select("host", "path").distinct().join(near, ["host", "path"], "left_anti")
     queries = nearest_query(rows.select("host", "path", "query", "hashes"), lone)
-    met = open_.join(near, ["host", "path"], "left").join(queries, ["host", "path", "hashes"], "left")
+    total, apart = open_.count(), ["page_id", "url"]
+    met = met_in_parts(open_, near, ["host", "path"], apart, open_, total)
+    met = met_in_parts(met, queries, ["host", "path", "hashes"], apart, open_, total)
     met = met.select("page_id", "url", "lines", "sure", "hashes", F.coalesce("other", "q_other").alias("other"))
 
     def differ(batches: Batches) -> Batches:
@@ -218,5 +237,5 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                 texts.append("\n\n".join(x for x, y, s in zip(lines, sure, shared, strict=True) if x is not None and (y or not s)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    out = rows.where("lines is null").select("page_id", "url", "text")
+    out = rows.where("sure is null").select("page_id", "url", "text")
     return out.unionByName(in_arrow(met, differ, columns_ddl(out)))

@@ -61,6 +61,23 @@ def test_pages_told_apart_by_query_are_differenced(spark):
     assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
 
 
+def test_paths_and_pages_of_many_rows_are_cut(spark, monkeypatch):
+    """One path of one host, a third of its pages equal, and a path of many pages beside another: the same texts with and without cutting."""
+    page = lambda k: f"<div>menu</div><div>text {k}</div><div>foot</div>"
+    rows = [(k, f"http://q.example/index.php?id={k:02d}", page(0 if k % 3 == 0 else k)) for k in range(30)]
+    rows += [(None, "http://two.example/a", page(f"a{k}")) for k in range(20)] + [(40, "http://two.example/b", page("b"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = Counter((k, url, html.split("<div>")[2].removesuffix("</div>")) for k, url, html in rows)
+    for hot in (1, 1000):
+        monkeypatch.setattr(D, "HOT", hot)
+        assert Counter(map(tuple, D.main_text(frame).collect())) == want
+    keyed = spark.createDataFrame([(k % 2, k) for k in range(50)], "key int, n int")
+    groups = spark.createDataFrame([(0, "even"), (5, "none")], "key int, name string")
+    monkeypatch.setattr(D, "HOT", 1)
+    got = D.met_in_parts(keyed, groups, ["key"], ["n"], keyed, 50)
+    assert sorted(map(tuple, got.select("n", "name").collect())) == [(k, None if k % 2 else "even") for k in range(50)]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<>/!-pdivarticle \"'=&;x\n", max_size=80))
 def test_any_input_is_taken(page):
