@@ -3,8 +3,9 @@
 Rows are ``(layer, r, c, cells)`` with r >= c: tiles of the lower triangle, row-major doubles; the last tile of a row is
 smaller. A task holds a few tiles, whatever the number of stimuli. The Cholesky factorisation is left-looking: for each
 column of tiles, the earlier columns' products come together at the tiles of this column, and the finished column is written once to
-the shared folder. Triangular solves go row by row in the same way. A matrix with T rows of tiles takes 2 T small jobs, over
-all layers (or pairs of layers) at once; each job exchanges the tiles that its products need.
+the shared folder. Inverses go row by row in the same way. A matrix with T rows of tiles takes 3 T small jobs to factorise and 2 T to invert, over
+all layers at once; each job exchanges the tiles that its products need. Symmetrised KL inverts each layer once, and a pair
+of layers costs no more than its tiles; Bhattacharyya and Hellinger factorise the middle of each pair.
 
 From the factors follow the log-determinants and traces of the Gaussian measures. A matrix that is not positive
 definite has factors of NaN, and measures that need them are NULL.
@@ -212,7 +213,7 @@ def _groups(batches: Batches):
 
 def _reduced(group, rows: int) -> np.ndarray:
     """The first tile of a group less the products of the pairs of tiles that follow."""
-    total, left = None, None
+    total, left = None, None  # without a first tile it counts as zero
     for j, side, cells in group:
         if j < 0:
             total = _tile(cells, rows).copy()
@@ -221,7 +222,8 @@ def _reduced(group, rows: int) -> np.ndarray:
         else:
             right = np.frombuffer(cells)
             one = _tile(left, rows)
-            total -= one @ right.reshape(-1, one.shape[1]).T
+            product = one @ right.reshape(-1, one.shape[1]).T
+            total = -product if total is None else total - product
     return total
 
 
@@ -284,27 +286,25 @@ def log_determinants(columns: list[DataFrame], dim: int, side: int = SIDE) -> Da
     return diagonal.select("layer", "r", "cells").mapInArrow(logs, "layer string, part double").groupBy("layer").agg(F.sum("part").alias("logdet"))
 
 
-def trace_ratios(columns: list[DataFrame], inverses: list[DataFrame], pairs: DataFrame, dim: int, side: int = SIDE) -> DataFrame:
-    """``(a, b, trace)``: trace of inverse(S_b) S_a for ``pairs (a, b)``, the squared norm of X = inverse(L_b) L_a.
+def inverted(columns: list[DataFrame], inverses: list[DataFrame], dim: int, side: int = SIDE) -> DataFrame:
+    """Tiles of the inverse matrices, lower triangle, from :func:`cholesky`; a written table.
 
-    Row i of X needs row i of L_b and the earlier rows of X; its tiles (i, k) are the targets of step i.
+    First Y = inverse(L), row by row: row i needs row i of L and the earlier rows of Y, and its tiles (i, k) are the targets of step i. Then the
+    inverse is Y^T Y, a row of tiles a step.
     """
     count = -(-dim // side)
-    keyed = pairs.select("a", "b", F.format_string("%s\\u0001%s", "a", "b").alias("layer"))
-    mine = [c.withColumnRenamed("layer", "a").join(keyed, "a").select("layer", "r", "c", "cells") for c in columns]
-    other = [c.withColumnRenamed("layer", "b").join(keyed, "b").select("layer", "r", "c", "cells") for c in columns]
-    inverse = [x.withColumnRenamed("layer", "b").join(keyed, "b").select("layer", "cells") for x in inverses]
     rows: list[DataFrame] = []
     for i in range(count):
-        parts = [mine[k].where(f"r = {i}").select("layer", F.lit(k).alias("at"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "cells") for k in range(i + 1)]
+        targets = F.explode(F.sequence(F.lit(0), F.lit(i)))
+        parts = [inverses[i].select("layer", targets.alias("at"), F.lit(count).alias("j"), F.lit(2).alias("side"), "cells")]
         for j in range(i):
-            targets = F.explode(F.sequence(F.lit(0), F.lit(j)))
-            parts.append(other[j].where(f"r = {i}").select("layer", targets.alias("at"), F.lit(j).alias("j"), F.lit(0).alias("side"), "cells"))
-            # transposed, so that both steps multiply alike
+            below = F.explode(F.sequence(F.lit(0), F.lit(j)))
+            parts.append(columns[j].where(f"r = {i}").select("layer", below.alias("at"), F.lit(j).alias("j"), F.lit(0).alias("side"), "cells"))
+            # transposed, so that all steps multiply alike
             parts.append(rows[j].select("layer", F.col("c").alias("at"), F.lit(j).alias("j"), F.lit(1).alias("side"), "cells"))
-        parts.append(inverse[i].select("layer", F.explode(F.sequence(F.lit(0), F.lit(i))).alias("at"), F.lit(count).alias("j"), F.lit(2).alias("side"), "cells"))
 
         def solved(batches: Batches, i=i) -> Batches:
+            n = _size(dim, side, i)
             for layer, k, group in _groups(batches):
                 last = None
 
@@ -316,23 +316,50 @@ def trace_ratios(columns: list[DataFrame], inverses: list[DataFrame], pairs: Dat
                         else:
                             yield row
 
-                n = _size(dim, side, i)
                 reduced = _reduced(products(), n)
-                x = np.tril(_tile(last, n)) @ reduced
-                yield _row(layer, i, k, x.T)
+                own = np.tril(_tile(last, n))
+                yield _row(layer, i, k, (own if reduced is None else own @ reduced).T)
 
         rows.append(_written(_meeting(parts, solved), "solved"))
 
-    def squares(batches: Batches) -> Batches:
+    found: list[DataFrame] = []
+    for r in range(count):
+        parts = []
+        for i in range(r, count):
+            targets = F.explode(F.sequence(F.lit(0), F.lit(r)))
+            parts.append(rows[i].where(f"c = {r}").select("layer", targets.alias("at"), F.lit(i).alias("j"), F.lit(0).alias("side"), "cells"))
+            parts.append(rows[i].where(f"c <= {r}").select("layer", F.col("c").alias("at"), F.lit(i).alias("j"), F.lit(1).alias("side"), "cells"))
+
+        def squared(batches: Batches, r=r) -> Batches:
+            for layer, c, group in _groups(batches):
+                yield _row(layer, r, c, -_reduced(group, _size(dim, side, r)))
+
+        found.append(_written(_meeting(parts, squared), "inverse"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def trace_ratios(tiles: DataFrame, inverse: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b, trace)``: trace of inverse(S_b) S_a for ``pairs (a, b)``, the sum of the products of their cells.
+
+    Layers are inverted once each, whatever the number of pairs; a pair costs one meeting of equal tiles.
+    """
+    one = tiles.select(F.col("layer").alias("a"), "r", "c", F.col("cells").alias("x"))
+    two = inverse.select(F.col("layer").alias("b"), "r", "c", F.col("cells").alias("y"))
+
+    def products(batches: Batches) -> Batches:
         for batch in batches:
-            sums = [float((np.frombuffer(x) ** 2).sum()) for x in batch.column("cells").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("layer"), pa.array(sums)], ["layer", "part"])
+            # a tile beside the diagonal stands for two
+            sums = [
+                (1 if r == c else 2) * float(np.frombuffer(x) @ np.frombuffer(y))
+                for r, c, x, y in zip(*(batch.column(k).to_pylist() for k in ("r", "c", "x", "y")))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sums)], ["a", "b", "part"])
 
-    every = rows[0]
-    for more in rows[1:]:
-        every = every.unionByName(more)
-    total = every.select("layer", "cells").mapInArrow(squares, "layer string, part double").groupBy("layer").agg(F.sum("part").alias("trace"))
-    return total.join(keyed, "layer").select("a", "b", "trace")
+    met = pairs.join(one, "a").join(two, ["b", "r", "c"]).select("a", "b", "r", "c", "x", "y")
+    return met.mapInArrow(products, "a string, b string, part double").groupBy("a", "b").agg(F.sum("part").alias("trace"))
 
 
 def compare_tiles(tiles: DataFrame, dim: int, measures, side: int = SIDE, **options) -> DataFrame:
@@ -371,7 +398,7 @@ def compare_tiles(tiles: DataFrame, dim: int, measures, side: int = SIDE, **opti
                 parts.append(found.select(F.lit(m.name).alias("measure"), "a", "b", value.alias("value")))
     if any(m.name == "kldiv" for m in wanted):
         ordered = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        traces = trace_ratios(columns, inverses, ordered, dim, side).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("trace").alias("t"))
+        traces = trace_ratios(ready, inverted(columns, inverses, dim, side), ordered).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("trace").alias("t"))
         divergence = F.greatest(0.25 * F.col("t") - dim / 2, F.lit(0.0))
         parts.append(traces.select(F.lit("kldiv").alias("measure"), "a", "b", F.when(~F.isnan("t"), divergence).alias("value")))
     result = parts[0]

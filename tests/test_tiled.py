@@ -85,3 +85,19 @@ def test_factor_of_one_matrix(spark):
             low[t.r * side : t.r * side + len(tile), t.c * side : t.c * side + tile.shape[1]] = tile
     assert np.allclose(low, np.linalg.cholesky(k))
     assert T.log_determinants(columns, 17, side).first().logdet == pytest.approx(np.linalg.slogdet(k).logabsdet)
+
+
+def test_inverse_and_traces(spark):
+    side, names = 6, "abc"
+    whole = {m: random_cov(17, k) for k, m in enumerate(names)}
+    rows = [(m, r, c, np.ascontiguousarray(whole[m][r * side : (r + 1) * side, c * side : (c + 1) * side]).tobytes()) for m in names for r in range(3) for c in range(r + 1)]
+    tiles = spark.createDataFrame(rows, T._TILE)
+    inverse = T.inverted(*T.cholesky(tiles, 17, side), 17, side)
+    got = inverse.collect()
+    assert len(got) == 18
+    for t in got:
+        cells = np.frombuffer(t.cells).reshape(T._size(17, side, t.r), -1)
+        assert np.allclose(cells, np.linalg.inv(whole[t.layer])[t.r * side :, t.c * side :][: cells.shape[0], : cells.shape[1]])
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    traces = {(r.a, r.b): r.trace for r in T.trace_ratios(tiles, inverse, pairs).collect()}
+    assert traces == {(a, b): pytest.approx(np.trace(np.linalg.inv(whole[b]) @ whole[a])) for a in names for b in names}
