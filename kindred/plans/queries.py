@@ -527,7 +527,7 @@ def streamed_comparisons(spark, sf):
     source, grams, out = (scratch_path(spark, name) for name in ("arriving", "grams", "dist"))
     gram = D.sales_gram(spark, sf)
     for state in ("layer < 'N'", "layer >= 'N'"):
-        gram.where(state).coalesce(1).write.mode("append").parquet(source)
+        gram.where(state).write.mode("append").parquet(source)
         stream = spark.readStream.schema("layer string, i int, j int, v double").parquet(source)
         I.run_to_end(lambda: I.compare_arrivals(stream, grams, out, f"{out}-offsets", "sales", ["cka", "gulp"], lmbd=LMBD))
     return _round(T.read_distances(spark, out).select("measure", "a", "b", "value"))

@@ -119,6 +119,20 @@ def test_zscores_and_profiles_agree_with_pandas(spark):
         assert r.signal_var == pytest.approx(r.total_var - noise)
 
 
+def test_zscores_of_one_large_voxel_among_many(spark):
+    rng = np.random.default_rng(6)
+    rows = [(v, k % 2, k, float(x)) for v in range(300) for k, x in enumerate(rng.normal(v, 1 + v % 3, 1500 if v == 7 else 4))]
+    trials = spark.createDataFrame([*rows, (None, 0, 0, 1.0), (7, 1, 5000, None)], "voxel int, stim int, trial int, v double")
+    facts = R.voxel_reliability(R.cell_stats(trials.where("voxel is not null and voxel <> 9")))
+    got = {(r.voxel, r.trial): r.v for r in R.zscore(trials, facts).collect()}
+    frame = pd.DataFrame(rows, columns=["voxel", "stim", "trial", "v"]).query("voxel != 9")
+    group = frame.groupby("voxel").v
+    frame["z"] = (frame.v - group.transform("mean")) / group.transform("std", ddof=0)
+    want = {(r.voxel, r.trial): r.z for r in frame.itertuples()}
+    assert got.pop((7, 5000)) is None and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(z, abs=1e-9) for k, z in want.items())
+
+
 def ratios(spark, n=50):
     rng = np.random.default_rng(0)
     total = rng.uniform(1, 2, n)
