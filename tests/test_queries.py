@@ -39,3 +39,12 @@ def test_entry(spark):
 def test_query_equals_its_sql(spark, name):
     got = entry.queries()[name](spark, SF).toPandas()
     assert difference(got, connect(SF).sql(entry.oracle_sql()[name]).df()) is None
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["streamed_activations", "streamed_statistics"])
+def test_streams_read_tables_that_are_folders(spark, tmp_path, name):
+    for table in ("embeddings", "events"):
+        spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = entry.queries()[name](spark, str(tmp_path)).toPandas()
+    assert difference(got, connect(SF).sql(entry.oracle_sql()[name]).df()) is None
