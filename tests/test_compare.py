@@ -555,3 +555,23 @@ def test_rank_similarity_with_an_outlier_and_ties(spark, monkeypatch):
     monkeypatch.setattr(SP, "BLOCK_ROWS", 16)
     bins = SP._binned_distances(SP._block_pairs(layers, 16, False, 1)[0], layers, SP._splitters(layers, 64)).where("bin % 2 = 0").groupBy("layer", "bin").agg(F.sum("n").alias("n"))
     assert bins.agg(F.max("n")).first()[0] < 4 * 90 * 89 / 2 / 64
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_a_task_works_on_few_rows_at_a_time(monkeypatch, sparse):
+    """However many rows there are, and however narrow or wide they are."""
+    monkeypatch.setattr(M, "_ROW_CELLS", 60)
+    sizes, block, entries = [], M._block, M._entries
+    monkeypatch.setattr(M, "_block", lambda part, *rest: (sizes.append(part.num_rows), block(part, *rest))[1])
+    monkeypatch.setattr(M, "_entries", lambda part, width: (sizes.append(part.num_rows), entries(part, width))[1])
+    x = np.random.default_rng(3).standard_normal((500, 5))
+    batches = [pa.RecordBatch.from_arrays([pa.array([[{"i": i, "v": v} for i, v in enumerate(r)] for r in x] if sparse else x.tolist())], ["v"])] * 2
+    total = np.zeros((5, 5))
+    for cells in M._whole_sums(5, None, False, sparse)(iter(batches)):
+        for r in cells.to_pylist():
+            total[r["i"], r["j"]] += r["s"]
+    assert np.allclose(total, 2 * np.triu(x.T @ x)) and max(sizes) <= 12
+    if sparse:  # a matrix of a million stimuli: parts follow what the rows hold, so several rows go together
+        sizes.clear()
+        sums = sum(sum(b.column(2).to_pylist()) for b in M._light_sums(10**6, False)(iter(batches)))
+        assert sums == pytest.approx(2 * np.triu(x.T @ x).sum()) and set(sizes) <= {12, 8}
