@@ -575,3 +575,30 @@ def test_a_task_works_on_few_rows_at_a_time(monkeypatch, sparse):
         sizes.clear()
         sums = sum(sum(b.column(2).to_pylist()) for b in M._light_sums(10**6, False)(iter(batches)))
         assert sums == pytest.approx(2 * np.triu(x.T @ x).sum()) and set(sizes) <= {12, 8}
+
+
+def test_wide_rows_are_summed_up_before_they_are_exchanged(monkeypatch):
+    monkeypatch.setattr(M, "_TILE", 5)
+    monkeypatch.setattr(M, "_STRIP_CELLS", 20)
+    for n in (50, 2000):
+        x = np.random.default_rng(4).standard_normal((n, 13))
+        batch = pa.RecordBatch.from_arrays([pa.array(x.tolist())], ["v"])
+        rows = [r for b in M._held_tiles(13, None, False, False)(iter([batch])) for r in b.to_pylist()]
+        assert len(rows) == 5 * 3 + 5 * 2 + 3
+        total = np.zeros((13, 13))
+        for row in rows:
+            cells = np.frombuffer(row["cells"])
+            total[row["i"], row["first"] : row["first"] + len(cells)] += cells
+        assert np.allclose(total, np.triu(x.T @ x))
+
+
+def test_rows_of_a_salt_are_bounded(spark, monkeypatch):
+    """A matrix too large for a task: the strips of more rows go to more salts."""
+    for name, value in (("_MAX_CELLS", 60), ("_TILE", 5), ("_STRIP_CELLS", 40), ("_SALT_ROWS", 50)):
+        monkeypatch.setattr(M, name, value)
+    salts, strips = [], M._strips
+    monkeypatch.setattr(M, "_strips", lambda *x: (salts.append(x[-1]), strips(*x))[1])
+    x = np.random.default_rng(5).standard_normal((2000, 13))
+    got = {(r.i, r.j): r.s for r in M.outer_sums(moment_rows(spark, x), "dense", 13).collect()}
+    want = x.T @ x
+    assert salts == [40] and all(v == pytest.approx(want[k]) for k, v in got.items()) and len(got) == 91
