@@ -602,3 +602,12 @@ def test_rows_of_a_salt_are_bounded(spark, monkeypatch):
     got = {(r.i, r.j): r.s for r in M.outer_sums(moment_rows(spark, x), "dense", 13).collect()}
     want = x.T @ x
     assert salts == [40] and all(v == pytest.approx(want[k]) for k, v in got.items()) and len(got) == 91
+
+
+def test_rows_of_sparse_matrices_are_gathered_once(spark):
+    """A matrix wider than a task: the rows are read back from a table, and without heavy rows nothing else is planned."""
+    frame = moment_rows(spark, np.eye(13)[[0, 3, 3]])
+    parts, once = M.outer_parts(frame.groupBy("key", "sparse").agg(F.count("*")), "sparse", 10**6, key="key", sparse=True)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert not once and "Exchange" not in plan and "Union" not in plan
+    assert sorted((r.i, r.j, r.s) for r in parts.collect()) == [(0, 0, 1.0), (3, 3, 1.0)]
