@@ -101,3 +101,29 @@ def test_inverse_and_traces(spark):
     pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
     traces = {(r.a, r.b): r.trace for r in T.trace_ratios(tiles, inverse, pairs).collect()}
     assert traces == {(a, b): pytest.approx(np.trace(np.linalg.inv(whole[b]) @ whole[a])) for a in names for b in names}
+
+
+@pytest.mark.parametrize("b", [0.05, 0.0])
+def test_few_features_need_no_tiles(spark, monkeypatch, b):
+    acts = acts_of(spark, seed=6)
+    # a stimulus without activations, one activation in two parts, and one of a stimulus that is not in the index
+    index = G.stimulus_index(acts.select("stim").union(spark.createDataFrame([("none",)], "stim string")))
+    acts = acts.union(spark.createDataFrame([("a", "s003", 1, 0.5), ("b", "s003", 1, 0.25), ("b", "s003", 1, 0.25)], acts.schema))
+    dim = index.count()
+    want = values(T.compare_tiles(T.tiles_from_features(acts, index, dim, 7), dim, NAMES, 7, b=b))
+
+    def formed(*_):
+        raise AssertionError("tiles were formed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(T, "tiles_from_features", formed)
+        got = values(T.compare_features(acts, index, dim, NAMES, b=b))
+        with pytest.raises(AssertionError, match="tiles were formed"):
+            patch.setattr(T, "FEW_FEATURES", 5)
+            T.compare_features(acts, index, dim, NAMES, b=b)
+    assert set(got) == set(want)
+    # without noise the matrices are singular, and factors of rounding errors are no reference
+    assert all(got[k] is None if not b else got[k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
+    monkeypatch.setattr(T, "FEW_FEATURES", 5)
+    tiles = values(T.compare_features(acts, index, dim, NAMES, b=0.05))
+    assert set(tiles) == set(want) and (not b or tiles == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()})
