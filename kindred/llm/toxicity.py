@@ -4,7 +4,8 @@ A window that gets shorter with the toxic dictionary holds what is typical of to
 part that zstandard trains on ordinary text, at the same distance from the window, so that everyday text compresses alike
 under both. In front of it each has, in equal space, what sets its own class apart: zstandard's own training picks what is
 frequent in a class, and that is the same language in both. Distinctive words are those whose documents differ between the
-classes by the likelihood-ratio statistic; a document counts for a word only if it has the word in surroundings that no
+classes by the likelihood-ratio statistic, each held against a fixed value and not against the best word: what marks a rarer language, or is
+spread over many words, is as telling in its documents; a document counts for a word only if it has the word in surroundings that no
 document before it has, so copies of one text count once.
 
 Half of the labelled sample makes the dictionaries, the other half calibrates: the window threshold is the gain in bytes
@@ -33,8 +34,8 @@ WINDOW, STEP, BLANKS = 64, 32, 64
 SHARED_BYTES, OWN_BYTES = 16 << 10, 2 << 10
 #: labelled documents to learn from, at most; windows to train the shared part on, at most, and their bytes
 MAX_TRAIN, TRAIN_WINDOWS, TRAIN_WINDOW = 10_000, 20_000, 256
-#: a distinctive word's likelihood ratio, at least, also as a share of the largest, and how often its rate in the other class it occurs
-MIN_RATIO, SHARE_OF_BEST, TIMES = 20.0, 0.2, 4.0
+#: a distinctive word's likelihood ratio, at least, and how often its rate in the other class it occurs
+MIN_RATIO, TIMES = 20.0, 4.0
 #: words of more bytes are no candidates; candidates of a class, at most
 WORD_BYTES, MAX_WORDS = 40, 256
 #: gains above this count as this
@@ -190,7 +191,7 @@ def distinctive_words(rows: DataFrame) -> dict[int, list[bytes]]:
     out = {}
     for k, (own, other) in {0: (c0 / n0, c1 / n1), 1: (c1 / n1, c0 / n0)}.items():
         best = rated.where((own > TIMES * other) & (F.col("ratio") >= MIN_RATIO)).orderBy(F.desc("ratio"), "word").limit(MAX_WORDS).collect()
-        out[k] = [bytes(r["word"]) for r in best if r["ratio"] >= SHARE_OF_BEST * best[0]["ratio"]][::-1]
+        out[k] = [bytes(r["word"]) for r in best][::-1]
     return out
 
 

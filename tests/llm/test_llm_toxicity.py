@@ -49,6 +49,23 @@ def test_words_of_copies_count_once(spark):
     assert set(words[1]) == {b.encode() for b in BAD} and words[0] == []
 
 
+def test_words_of_a_rarer_language_are_found_beside_commoner_ones(spark):
+    rng, rare = random.Random(7), [f"qu{a}{b}xo" for a in "aeio" for b in "ln"]
+    rows, labels = labelled(7, 2400)
+    for d in range(5000, 5300):
+        words = ["ny" + rng.choice(WORDS) + rng.choice(WORDS) for _ in range(rng.randrange(15, 90))]
+        bad = d % 3 == 0
+        for _ in range(4 * bad):
+            words[rng.randrange(len(words))] = rng.choice(rare)
+        rows.append((d, " ".join(words)))
+        labels.append((d, int(bad)))
+    docs = documents(spark, rows)
+    model = T.fit(docs, spark.createDataFrame([x for x in labels if x[0] % 4], "doc_id long, label int"))
+    got = {r.doc_id: r["_score"] for r in T.score(docs, model).where("doc_id >= 5000 and doc_id % 4 = 0").collect()}
+    assert np.mean([got[d] >= 0.5 for d in got if d % 3 == 0]) >= 0.9
+    assert np.mean([got[d] < 0.5 for d in got if d % 3]) >= 0.95
+
+
 def test_the_model_does_not_depend_on_partitions_and_the_sample_is_bounded(spark):
     rows, labels = labelled(5, 300)
     docs, train = documents(spark, rows), spark.createDataFrame(labels * 2, "doc_id long, label int")
