@@ -8,9 +8,9 @@ classes by the likelihood-ratio statistic, each held against a fixed value and n
 spread over many words, is as telling in its documents; a document counts for a word only if it has the word in surroundings that no
 document before it has, so copies of one text count once.
 
-Half of the labelled sample makes the dictionaries, the other half calibrates: the window threshold is the gain in bytes
-that best separates the classes, and a logistic curve over the largest gain (up to a little above the threshold, where nothing is left to
-decide), the number of windows at the threshold and the number of windows gives the score. The sample has at most ``MAX_TRAIN`` documents (those with the smallest hashes of their id); that is
+Half of the labelled sample makes the dictionaries, the other half calibrates: a logistic curve weighs, for every gain in bytes up to ``GAINS``,
+whether a window reaches it and the share of those that do, and the number of windows. So short words and long
+ones, and languages in which parts of words gain by chance, need not share one threshold. The sample has at most ``MAX_TRAIN`` documents (those with the smallest hashes of their id); that is
 the only sampling. Every document is scored by all of its windows in one scan without any exchange.
 """
 
@@ -42,8 +42,8 @@ WORD_BYTES, MAX_WORDS = 40, 256
 MAX_GAIN = 16
 #: windows compressed in one call
 TOGETHER = 20_000
-#: gains this far above the threshold count alike
-BEYOND = 3
+#: gains that have a threshold of their own
+GAINS = 8
 SEED = 11
 
 
@@ -110,17 +110,16 @@ def gain_counts(block: Block, toxic: bytes, ordinary: bytes) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Dictionaries, the window threshold, and the weights of (1, largest gain, windows at the threshold, windows)."""
+    """Dictionaries, and the weights of 1, of each threshold being reached, of the windows' shares at each and of all windows."""
 
     toxic: bytes
     ordinary: bytes
-    threshold: int
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(2 * GAINS + 2))
 
     def features(self, counts: np.ndarray) -> np.ndarray:
-        peak = (MAX_GAIN - (counts[:, ::-1] > 0).argmax(axis=1)) * (counts.sum(axis=1) > 0)
-        peak = np.minimum(peak, self.threshold + BEYOND)
-        return np.stack([np.ones(len(counts)), peak, np.log1p(counts[:, self.threshold :].sum(axis=1)), np.log1p(counts.sum(axis=1))], axis=1)
+        reach = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
+        at, size = reach[:, 1 : GAINS + 1], np.log1p(reach[:, :1])
+        return np.hstack([np.ones((len(counts), 1)), np.minimum(at, 1), np.log1p(at) - size, size])
 
     def probability(self, counts: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(counts) @ self.weights, -40, 40)))
@@ -243,17 +242,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def calibrated(toxic: bytes, ordinary: bytes, labels: np.ndarray, counts: np.ndarray) -> Model:
-    """The threshold with the largest difference of both classes' shares (the higher one of ties), and the weights.
+    """The weights that fit the labels.
 
     Without both classes the score is the share of label 1 (with one document of each added).
     """
-    model = Model(toxic, ordinary, 1)
+    model = Model(toxic, ordinary)
     prior = (labels.sum() + 1) / (len(labels) + 2)
     model.weights[0] = np.log(prior / (1 - prior))
     if len(set(labels.tolist())) == 2:
-        reach = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] > 0
-        apart = [reach[labels == 1, g].mean() - reach[labels == 0, g].mean() for g in range(1, MAX_GAIN + 1)]
-        model.threshold = MAX_GAIN - int(np.argmax(apart[::-1]))
         model.weights = _logistic(model.features(counts), labels.astype(float))
     return model
 
@@ -264,7 +260,7 @@ def _counted(batches: Batches, text: str, toxic: bytes, ordinary: bytes) -> Iter
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """Learn dictionaries, threshold and weights from the bounded sample; the result does not depend on partitions."""
+    """Learn dictionaries and weights from the bounded sample; the result does not depend on partitions."""
     rows = sample(docs, labels, limit, text, doc_id)
     half = rows.where("not calibrates")
     toxic, ordinary = dictionaries(distinctive_words(half), training_windows(half))
