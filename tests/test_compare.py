@@ -557,6 +557,17 @@ def test_rank_similarity_with_an_outlier_and_ties(spark, monkeypatch):
     assert bins.agg(F.max("n")).first()[0] < 4 * 90 * 89 / 2 / 64
 
 
+def test_ranks_travel_in_four_bytes_a_pair_and_equal_distances_without_any():
+    inf, nan = np.inf, np.nan
+    parts = [("x", 0, [3.0, 1.0, 3.0]), ("y", 0, [2.0, 1.0, inf, nan, inf, nan]), ("x", 1, [9.0] * 5)]
+    rows = [{"chunk": c, "layer": 0, "bin": b, "n": len(d), "total": 9 if b == 0 else 5, "before": 100, "at": np.arange(len(d), dtype=np.int32).tobytes(),
+             "d": b"" if b else np.array(d).tobytes()} for c, b, d in parts]
+    found = [r for batch in SP._ranked(iter([pa.RecordBatch.from_pylist(rows)])) for r in batch.to_pylist()]
+    ranks = [r["base"] + (np.frombuffer(r["place"], np.int32) / 2 if r["place"] else np.zeros(len(r["at"]) // 4)) for r in found]
+    assert [x.tolist() for x in ranks] == [[104.5, 101.5, 104.5], [103.0, 101.5, 106.5, 108.5, 106.5, 108.5], [103.0] * 5]
+    assert [len(r["place"]) for r in found] == [12, 24, 0]
+
+
 @pytest.mark.parametrize("sparse", [False, True])
 def test_a_task_works_on_few_rows_at_a_time(monkeypatch, sparse):
     """However many rows there are, and however narrow or wide they are."""
