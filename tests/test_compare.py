@@ -557,6 +557,74 @@ def test_rank_similarity_with_an_outlier_and_ties(spark, monkeypatch):
     assert bins.agg(F.max("n")).first()[0] < 4 * 90 * 89 / 2 / 64
 
 
+AWKWARD = {
+    "plain": lambda rng: rng.chisquare(8, 40000),
+    "ties": lambda rng: np.round(rng.chisquare(8, 40000), 3),
+    "close": lambda rng: rng.chisquare(8, 40000) * 1e-9 + 1e5,
+    "equal": lambda rng: np.zeros(40000),
+    "odd": lambda rng: np.append(rng.chisquare(8, 40000), [0, 0, 5e-324, 1e308, np.inf, np.nan, np.inf, np.nan]),
+    "one": lambda rng: np.array([2.5]),
+    "none": lambda rng: np.zeros(0),
+}
+
+
+@pytest.mark.parametrize("kind", AWKWARD)
+def test_sorted_distances_and_their_ranks_travel_without_losing_a_bit(kind):
+    d = AWKWARD[kind](np.random.default_rng(6))
+    ordered = np.sort(d)
+    order = SP._order(d)
+    assert np.array_equal(d[order], ordered, equal_nan=True) and np.array_equal(np.sort(order), np.arange(len(d)))
+    for part in np.array_split(ordered, 3):
+        assert SP._unpacked(len(part), pa.py_buffer(SP._packed(part))).tobytes() == part.tobytes()
+    parts = [np.sort(x) for x in np.array_split(d, 7)]
+    _, which, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    doubled = (2 * np.cumsum(count) - count + 1)[which]
+    assert np.array_equal(SP._doubled_ranks(parts), doubled)
+    steps = [[f"{k}", 0, 2, len(x), 10.0, x.astype(np.int32).tobytes()] for k, x in enumerate(np.split(doubled, np.cumsum([len(x) for x in parts])[:-1]))]
+    names = ["chunk", "layer", "bin", "n", "base", "place"]
+    sent = [r for batch in SP._stepped(iter([pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in steps])])) for r in batch.to_pylist()]
+    assert np.array_equal(np.concatenate([SP._unstepped(r["n"], r["base"], r["place"])[: r["n"]] for r in sent if r["n"]] or [[]]), 10 + doubled / 2)
+
+
+def test_many_ranks_are_sorted_range_by_range(monkeypatch):
+    """Ranges of a bin stay small, and neither equal values nor NaN are torn apart."""
+    monkeypatch.setattr(SP, "CACHED", 1 << 12)
+    sizes, one = [], SP._sorted_doubled_ranks
+    monkeypatch.setattr(SP, "_sorted_doubled_ranks", lambda d: (sizes.append(len(d)), one(d))[1])
+    rng = np.random.default_rng(7)
+    parts = [np.sort(np.append(np.round(rng.chisquare(8, 6000), 3), [np.nan] * 3)) for _ in range(10)]
+    _, which, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    assert np.array_equal(SP._doubled_ranks(parts), (2 * np.cumsum(count) - count + 1)[which])
+    assert len(sizes) >= 10 and max(sizes) < 3 * SP.CACHED
+
+
+def test_distances_are_exchanged_in_few_rows_and_bytes(spark):
+    """A pair in a layer takes less than seven bytes on the way to its bin, and a chunk has few rows in a layer."""
+    x = np.random.default_rng(9).standard_normal((1500, 6)).astype(np.float32)
+    layers = extract(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>"), "id", {"a": F.slice("x", 1, 2), "b": F.slice("x", 3, 4)})
+    sent = SP._binned_distances(SP._block_pairs(layers, SP.BLOCK_ROWS, False, 1)[0], layers, SP._splitters(layers, 16))
+    rows, pairs, size = sent.agg(F.count("*"), F.sum("n"), F.sum(sum(F.length(c) for c, t in sent.dtypes if t == "binary"))).first()
+    assert pairs == 1500 * 1499 and size < 7 * pairs and rows <= 2 * 6 * (2 * 17 + 1)
+
+
+@pytest.mark.parametrize("side", [7, 64])
+def test_bands_and_small_distances(monkeypatch, side):
+    """Every pair comes once, and copies have no distance, whatever the rounding."""
+    monkeypatch.setattr(SP, "CACHED", 16)
+    monkeypatch.setattr(SP, "CHUNK_PAIRS", 100)
+    x = np.random.default_rng(10).standard_normal((2, side, 5)) * 1e3 + 1e5
+    x[1, :3], x[0, -1], x[1, 4, 0] = x[0, :3], x[0, 0], np.nan
+    blocks = [(0, 0, (None, x[0]), (None, x[0])), (0, 1, (None, x[0]), (None, x[1]))]
+    monkeypatch.setattr(SP, "_blocks", lambda batches, width: iter(blocks))
+    got = [SP._band_distances(left, right, first, slice(1, 4)) for _, left, right, first in SP._bands(None, 5, 3)]
+    y, i, j = x[:, :, 1:4], *np.triu_indices(side, 1)
+    want = np.concatenate([((y[0][i] - y[0][j]) ** 2).sum(1), ((y[0][:, None] - y[1]) ** 2).sum(-1).ravel()])
+    got = np.concatenate(got)
+    assert len(got) == len(want) and np.allclose(np.sort(got), np.sort(want), rtol=1e-2, atol=1) and (got == 0).sum() == (want == 0).sum()
+    whole = SP._distance(x[0], x[1])
+    assert np.isnan(whole[:, 4]).all() and (np.delete(whole, 4, 1) == 0).sum() == 4 and (np.diag(whole)[:3] == 0).all()
+
+
 def test_ranks_travel_in_four_bytes_a_pair_and_equal_distances_without_any():
     inf, nan = np.inf, np.nan
     parts = [("x", 0, [3.0, 1.0, 3.0]), ("y", 0, [2.0, 1.0, inf, nan, inf, nan]), ("x", 1, [9.0] * 5)]
