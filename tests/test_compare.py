@@ -598,10 +598,12 @@ def test_many_ranks_are_sorted_range_by_range(monkeypatch):
     assert len(sizes) >= 10 and max(sizes) < 3 * SP.CACHED
 
 
-def test_distances_are_exchanged_in_few_rows_and_bytes(spark):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_distances_are_exchanged_in_few_rows_and_bytes(spark, kind):
     """A pair in a layer takes less than seven bytes on the way to its bin, and a chunk has few rows in a layer."""
     x = np.random.default_rng(9).standard_normal((1500, 6)).astype(np.float32)
-    layers = extract(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>"), "id", {"a": F.slice("x", 1, 2), "b": F.slice("x", 3, 4)})
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").select(F.col("id").cast(kind), "x")
+    layers = extract(rows, "id", {"a": F.slice("x", 1, 2), "b": F.slice("x", 3, 4)})
     sent = SP._binned_distances(SP._block_pairs(layers, SP.BLOCK_ROWS, False, 1)[0], layers, SP._splitters(layers, 16))
     rows, pairs, size = sent.agg(F.count("*"), F.sum("n"), F.sum(sum(F.length(c) for c, t in sent.dtypes if t == "binary"))).first()
     assert pairs == 1500 * 1499 and size < 7 * pairs and rows <= 2 * 6 * (2 * 17 + 1)
